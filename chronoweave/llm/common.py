@@ -65,9 +65,9 @@ def pieces(batches, column: str = "text", most: int = 4 << 20):
             start = stop
 
 
-def buffers(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes behind a binary column and the offsets of its rows in them (rows + 1 of them)."""
-    large = pa.types.is_large_binary(column.type)
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes behind a binary or text column and the offsets of its rows in them (rows + 1 of them); null rows are empty."""
+    large = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     raw = column.buffers()
     n, at = len(column), column.offset
     offsets = np.frombuffer(raw[1], np.int64 if large else np.int32)[at : at + n + 1].astype(np.int64) if raw[1] and n else np.zeros(n + 1, np.int64)

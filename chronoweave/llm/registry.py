@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import html_text, mixing, telephony, warc
+from chronoweave.llm import decontaminate, html_text, mixing, telephony, toxicity, warc
 from chronoweave.llm.common import table
+from chronoweave.session import ship_package
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def queries() -> dict:
@@ -43,3 +51,13 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_media(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
