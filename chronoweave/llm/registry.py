@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import decontaminate, html_text, mixing, telephony, toxicity, warc
+from chronoweave.llm import decontaminate, html_text, mixing, quality, telephony, toxicity, warc
 from chronoweave.llm.common import table
 from chronoweave.session import ship_package
 
@@ -61,3 +61,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.llm import words as W
 from chronoweave.llm.common import buffers, pieces
@@ -69,14 +70,31 @@ def sparse_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "label int, ids binary, share binary")
 
 
-def train(rows: list, *, dim: int = 8, epochs: int = 12, rate: float = 0.05, decay: float = 2e-6, batch: int = 64, seed: int = 5) -> tuple[np.ndarray, float]:
+def informative(ids: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
+    """Buckets whose share of documents with them differs between the classes by `least` standard errors.
+
+    The others can only be learnt by heart: their embeddings stay zero.
+    """
+    seen = np.zeros((2, 1 << BITS))
+    for i, k in zip(ids, y, strict=True):
+        seen[k, i] += 1
+    n = np.bincount(y, minlength=2).astype(float)
+    p = seen.sum(0) / n.sum()
+    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
+    return (np.abs(z) >= least) & (seen.sum(0) >= 3)
+
+
+def train(rows: list, *, dim: int = 8, epochs: int = 15, rate: float = 0.05, decay: float = 1e-3, batch: int = 64, least: float = 4.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """One number per bucket and a bias, of embeddings and softmax trained together with Adam; the classes weigh the same."""
     rng = np.random.default_rng(seed)
     ids = [np.frombuffer(r["ids"], np.uint16).astype(np.int64) for r in rows]
     share = [np.frombuffer(r["share"], np.float32) for r in rows]
     y = np.array([r["label"] for r in rows], np.int64)
+    use = informative(ids, y, least)
+    share = [s[use[i]] for i, s in zip(ids, share, strict=True)]
+    ids = [i[use[i]] for i in ids]
     weight = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))[y]
-    emb, out, bias = rng.normal(0, 0.1, (1 << BITS, dim)).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    emb, out, bias = (rng.normal(0, 0.1, (1 << BITS, dim)) * use[:, None]).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, out, bias)]
     step = 0
     for _ in range(epochs):
@@ -94,7 +112,7 @@ def train(rows: list, *, dim: int = 8, epochs: int = 12, rate: float = 0.05, dec
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), y[pick]] -= 1
             p *= (weight[pick] / len(pick))[:, None].astype(np.float32)
-            grads = (bag.T @ (p @ out.T) + decay * emb[used], hidden.T @ p, p.sum(0))
+            grads = (bag.T @ (p @ out.T) + decay * emb[used], hidden.T @ p + decay * out, p.sum(0))
             step += 1
             for k, (param, grad, (m, v)) in enumerate(zip((emb, out, bias), grads, moments, strict=True)):
                 at = used if k == 0 else slice(None)
@@ -129,8 +147,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
             mean = np.bincount(row, table[bucket], minlength=n) / np.maximum(1, np.bincount(row, minlength=n))
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(1 / (1 + np.exp(-np.clip(mean + bias, -60, 60))), pa.float64())], [*names, column])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
