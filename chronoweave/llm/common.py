@@ -75,13 +75,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def tree_sum(parts: DataFrame, dtype: str, fan: int = 48) -> DataFrame:
+def tree_sum(parts: DataFrame, dtype: str, fan: int = 48, tasks: int | None = None) -> DataFrame:
     """Sum of packed arrays by `part`, through levels of at most `fan` partials each.
 
     `parts` has (part int, task int, data binary): zlib-packed numpy arrays, equal in length within a part.
     Each level streams its rows, so a task holds one accumulator per part, whatever the number of partials.
     """
-    n, level = parts.rdd.getNumPartitions(), parts
+    n, level = tasks or parts.rdd.getNumPartitions(), parts
 
     def add(batches):
         acc: dict[tuple[int, int], np.ndarray] = {}

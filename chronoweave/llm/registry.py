@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import decontaminate, html_text, mixing, quality, telephony, toxicity, warc
+from chronoweave.llm import decontaminate, html_text, jaccard_join, mixing, quality, telephony, toxicity, warc
 from chronoweave.llm.common import table
 from chronoweave.session import ship_package
 
@@ -66,3 +66,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
