@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import decontaminate, html_text, jaccard_join, mixing, quality, telephony, toxicity, warc
+from chronoweave.llm import decontaminate, html_text, jaccard_join, mixing, quality, telephony, toxicity, training_order, warc
 from chronoweave.llm.common import table
 from chronoweave.session import ship_package
 
@@ -71,3 +71,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(table(spark, sf_dir, "documents"))
