@@ -27,7 +27,7 @@ from chronoweave.llm.components import components
 WIDTH = 5
 #: Similarity 80 %, as integers: links have 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 PARTS = 8
 PARITY = 1024
 HUBS = 8
@@ -80,7 +80,7 @@ def allocation(docs_by_size: dict[int, int], clash: float) -> dict[int, int]:
     """For each band the cheaper of plain segments and one-deletion neighbourhoods.
 
     A key costs a row, and a comparison with each document of its band that has it by chance: `clash` is the chance
-    that one shingle of a set is in another set at all, and a key of k shingles needs k of them.
+    that one of a set's rarer shingles is in another set at all, and a key of k shingles needs k of them.
     """
     out = {}
     for log in {band(n) for n in docs_by_size} | {band(n * DEN // NUM) for n in docs_by_size}:
@@ -101,17 +101,15 @@ def keys_of(h: np.ndarray, log: int, mode: int, rarity: np.ndarray, most: int) -
     count = rarity[(h >> U(64 - SKETCH_BITS)).astype(np.int64)]
     salt = U(log * 2 + mode)
     if mode == DELETE:
-        half = U(max(1, (m // 2 + 1) // 2))
-        seg = ((h >> U(8)) % half).astype(np.int64)
-        total = np.zeros(int(half), np.uint64)
-        np.add.at(total, seg, W.mix(h ^ salt))
-        whole = W.mix(total ^ W.mix(np.arange(int(half), dtype=np.uint64) * U(64) + salt))
-        less = W.mix((total[seg] - W.mix(h ^ salt)) ^ W.mix(seg.astype(np.uint64) * U(64) + salt))
-        return np.concatenate([whole, less]), np.zeros(len(whole) + len(less), np.int64)
+        half = max(1, (m // 2 + 1) // 2)
+        seg = ((h >> U(8)) % U(half)).astype(np.int64)
+        part = W.mix(h ^ salt)
+        total = by_segment(seg, half, part)[0]
+        number = np.arange(half, dtype=np.uint64) * U(64) + salt
+        key = np.concatenate([W.mix(total ^ W.mix(number)), W.mix((total[seg] - part) ^ W.mix(number[seg]))])
+        return key, np.zeros(len(key), np.int64)
     seg = ((h >> U(8)) & U(m - 1)).astype(np.int64)
-    total, rare = np.zeros(m, np.uint64), np.full(m, (1 << 20) - 1, np.int64)
-    np.add.at(total, seg, W.mix(h ^ salt))
-    np.minimum.at(rare, seg, np.minimum(count, (1 << 20) - 2))
+    total, rare = by_segment(seg, m, W.mix(h ^ salt), np.minimum(count, (1 << 20) - 2))
     key = W.mix(total ^ W.mix(np.arange(m, dtype=np.uint64) * U(64) + salt))
     if most >= m:
         return key, rare
@@ -120,6 +118,20 @@ def keys_of(h: np.ndarray, log: int, mode: int, rarity: np.ndarray, most: int) -
     return key[pick], rare[pick]
 
 
+def by_segment(seg: np.ndarray, m: int, values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sum of the values and least count of each segment; an empty one has 0 and a count above all."""
+    order = np.argsort(seg.astype(np.uint16) if m <= 1 << 16 else seg, kind="stable")
+    ordered = seg[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total = np.zeros(m, np.uint64)
+    total[ordered[first]] = np.add.reduceat(values[order], first)
+    if counts is None:
+        return total, None
+    rare = np.full(m, (1 << 20) - 1, np.int64)
+    rare[ordered[first]] = np.minimum.reduceat(counts[order], first)
+    return total, rare
+
+
 def members(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
     """A row per document (doc_id, n, cid, check, parity, carried columns) and the sketch of shingle counts, in one pass.
 
@@ -185,63 +197,80 @@ def index(docs: DataFrame, sketch: np.ndarray, modes: dict[int, int]) -> DataFra
 
 
 def crowded(keys: DataFrame) -> DataFrame:
-    """The rows of keys with two different sets or more, from rows sorted by key; streams, whatever a key's size."""
+    """(key, cid, hot) of keys with two different sets or more; streams sorted rows, whatever a key's size.
+
+    Hot keys are known to be crowded, so their rows are spread over tasks and all kept.
+    """
 
     def run(batches):
-        key, cid, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether its key came before it
+        key, cid, hot, before = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), False  # the last row, and whether its key came before it
         for b in batches:
             if not b.num_rows:
                 continue
-            key, cid = np.concatenate([key, b["key"].to_numpy()]), np.concatenate([cid, b["cid"].to_numpy()])
+            key, cid, hot = (np.concatenate([x, b[c].to_numpy(zero_copy_only=False)]) for x, c in ((key, "key"), (cid, "cid"), (hot, "hot")))
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])
-            key, cid = key[new], cid[new]
+            key, cid, hot = key[new], cid[new], hot[new]
             same = np.zeros(len(key), bool)
             same[1:] = key[1:] == key[:-1]
             same[0] = before
-            out = same[:-1] | same[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(cid[:-1][out])], ["key", "cid"])
-            key, cid, before = key[-1:], cid[-1:], bool(same[-1])
-        if before:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid)], ["key", "cid"])
+            out = same[:-1] | same[1:] | hot[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(cid[:-1][out]), pa.array(hot[:-1][out])], ["key", "cid", "hot"])
+            key, cid, hot, before = key[-1:], cid[-1:], hot[-1:], bool(same[-1])
+        if len(key) and (before or hot[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid), pa.array(hot)], ["key", "cid", "hot"])
 
-    cold = keys.where("not hot").select("key", "cid").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "key long, cid long")
-    return cold.withColumn("hot", F.lit(False)).unionByName(keys.where("hot").distinct())
+    spread = F.when(F.col("hot"), F.pmod("cid", F.lit(64))).otherwise(F.lit(0)).cast("int")
+    return keys.repartition("key", spread).sortWithinPartitions("key", "cid").mapInArrow(run, "key long, cid long, hot boolean")
 
 
 def words64(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buffers(column)[0].tobytes(), np.uint64).reshape(-1, PARITY // 64)
 
 
-def may_link(n: np.ndarray, bits: np.ndarray, m: int, other: np.ndarray) -> np.ndarray:
-    """Distance of parity sketches where sizes and sketches allow a link with a set of m shingles, -1 elsewhere."""
-    d = np.bitwise_count(bits ^ other).sum(1).astype(np.int64)
-    ok = (np.minimum(n, m) * DEN >= NUM * np.maximum(n, m)) & (d <= (n + m) * (DEN - NUM) // (DEN + NUM))
-    return np.where(ok, d, -1)
+def may_link(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distance of the parity sketches of pairs of rows where sizes and sketches allow a link, -1 elsewhere."""
+    x, y = n[i], n[j]
+    out = np.full(len(i), -1, np.int64)
+    near = np.flatnonzero(np.minimum(x, y) * DEN >= NUM * np.maximum(x, y))
+    for at in range(0, len(near), 1 << 16):
+        k = near[at : at + (1 << 16)]
+        d = np.bitwise_count(bits[i[k]] ^ bits[j[k]]).sum(1).astype(np.int64)
+        out[k] = np.where(d <= (x[k] + y[k]) * (DEN - NUM) // (DEN + NUM), d, -1)
+    return out
+
+
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """For each row, the first row of its run of equal values."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, d) of members of a key and those of its first few members that they may link with, nearest first; rows come sorted by `key`, `salt`."""
+    """(a, b, d) of members of a key and those of its first few members that they may link with; rows come sorted by `key`, `salt`."""
 
     def run(batches):
-        group, hubs = None, []
+        held = None  # the first members of the group that the last batch ended in
         for b in batches:
-            a, bb, dd = [], [], []
-            bits = words64(b["parity"])
-            for i, (key, salt, cid, n) in enumerate(zip(b["key"].to_pylist(), b["salt"].to_pylist(), b["cid"].to_pylist(), b["n"].to_pylist(), strict=True)):
-                if group != (key, salt):
-                    group, hubs = (key, salt), []
-                if hubs:
-                    d = may_link(np.array([x[1] for x in hubs]), np.array([x[2] for x in hubs]), n, bits[i])
-                    for j in np.argsort(d, kind="stable").tolist():
-                        if d[j] >= 0 and hubs[j][0] != cid:
-                            a.append(cid)
-                            bb.append(hubs[j][0])
-                            dd.append(int(d[j]))
-                if len(hubs) < HUBS and all(x[0] != cid for x in hubs):
-                    hubs.append((cid, n, bits[i]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(bb, pa.int64()), pa.array(dd, pa.int32())], ["a", "b", "d"])
+            if not b.num_rows:
+                continue
+            now = [b[c].to_numpy() for c in ("key", "salt", "cid", "n")] + [words64(b["parity"])]
+            old = len(held[0]) if held else 0
+            key, salt, cid, n, bits = now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            start = starts_of(key, salt)
+            rows = np.arange(old, len(key))
+            i = np.repeat(rows, HUBS)
+            j = start[i] + np.tile(np.arange(HUBS), len(rows))
+            ok = j < i
+            i, j = i[ok], j[ok]
+            d = may_link(n, bits, i, j)
+            ok = d >= 0
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cid[i[ok]]), pa.array(cid[j[ok]]), pa.array(d[ok], pa.int32())], ["a", "b", "d"])
+            held = [x[start[-1] : start[-1] + HUBS] for x in now]
 
     return rows.mapInArrow(run, "a long, b long, d int")
 
@@ -249,53 +278,49 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
 def cell_pairs(rows: DataFrame) -> DataFrame:
     """(a, b) of members of a cell that are in different components and may link; rows come sorted by `key`, `low`, `high`."""
 
-    def compare(low, high, side, cid, comp, n, bits):
-        out = []
-        left = np.flatnonzero(side == low)
-        right = np.flatnonzero(side == high)
-        for i in left.tolist():
-            j = right[right > i] if low == high else right
-            j = j[comp[j] != comp[i]]
-            if len(j):
-                j = j[may_link(n[j], bits[j], n[i], bits[i]) >= 0]
-                out.append(np.stack([np.full(len(j), cid[i]), cid[j]], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    def compare(group):
+        """Pairs of whole cells, each row with the rows after it in its cell, a distance at a time."""
+        key, low, high, side, cid, comp, n, bits = group
+        start = starts_of(key, low, high)
+        size = np.bincount(start, minlength=len(start))[start]
+        found = []
+        rows = np.arange(len(key))
+        step = 1
+        while len(rows):
+            rows = rows[rows + step < (start + size)[rows]]
+            i, j = rows, rows + step
+            ok = (comp[i] != comp[j]) & ((low[i] == high[i]) | (side[i] != side[j]))
+            i, j = i[ok], j[ok]
+            if len(i):
+                ok = may_link(n, bits, i, j) >= 0
+                found.append(np.stack([np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]])], 1))
+            step += 1
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
     def run(batches):
         held = None
-
-        def done(x):
-            p = compare(*x)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(p[:, 0], p[:, 1])), pa.array(np.maximum(p[:, 0], p[:, 1]))], ["a", "b"])
-
         for b in batches:
             if not b.num_rows:
                 continue
-            key, low, high, side, cid, comp, n = (b[c].to_numpy() for c in ("key", "low", "high", "side", "cid", "comp", "n"))
-            bits = words64(b["parity"])
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            cut = np.append(np.flatnonzero(new), len(key))
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                name, part = (int(key[s]), int(low[s]), int(high[s])), [side[s:e], cid[s:e], comp[s:e], n[s:e], bits[s:e]]
-                if held and held[0] == name:
-                    held = (name, [np.concatenate([x, y]) for x, y in zip(held[1], part, strict=True)])
-                    continue
-                if held:
-                    yield done((held[0][1], held[0][2], *held[1]))
-                held = (name, part)
+            now = [b[c].to_numpy() for c in ("key", "low", "high", "side", "cid", "comp", "n")] + [words64(b["parity"])]
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            cut = starts_of(*now[:3])[-1]  # the last cell may go on; cells are bounded
+            if cut:
+                yield compare([x[:cut] for x in now])
+            held = [x[cut:] for x in now]
         if held:
-            yield done((held[0][1], held[0][2], *held[1]))
+            yield compare(held)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(cid, n, members) of the wanted sets, from the texts again.
+def whole_sets(docs: DataFrame, pairs: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(cid, members) of the sets in the pairs (a, b), from the texts again.
 
     Up to `most` wanted sets (8 bytes each) go to every task, which then keeps theirs only; beyond, a join picks them.
     """
-    wanted = materialize(wanted.distinct(), "wanted")
+    wanted = materialize(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "wanted")
     few = wanted.count() <= most
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if few else None)
 
@@ -310,10 +335,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, most: int = 2_000_000) -> Dat
                 ok &= only[near] == ids if len(only) else False
             rows = [i for i in np.flatnonzero(ok).tolist() if ids[i] not in seen and not seen.add(ids[i])]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(np.diff(at)[rows]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], ["cid", "n", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], ["cid", "members"])
 
-    sets = docs.select("text").mapInArrow(run, "cid long, n long, members binary")
-    return sets if few else sets.join(wanted, "cid", "left_semi")
+    sets = docs.select("text").mapInArrow(run, "cid long, members binary")
+    sets = sets if few else sets.join(wanted, "cid", "left_semi")
+    return materialize(sets, "whole-sets").dropDuplicates(["cid"])  # equal sets can come from several tasks
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -340,29 +366,25 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    # equal sets can come from several tasks: one row each is enough
     rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind", "a")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, sets_of: DataFrame, sketch: np.ndarray, modes: dict[int, int] | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links between classes of equal sets that connect whatever is connected, and their components (None without links)."""
-    info = sets_of.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+def links(docs: DataFrame, sets_of: DataFrame, sketch: np.ndarray, modes: dict[int, int] | None = None) -> DataFrame:
+    """Components (node, comp) of the classes of equal sets that have a link."""
     if modes is None:
-        sizes = {r["n"]: r["docs"] for r in sets_of.where("n > 0").groupBy("n").agg(F.countDistinct("cid").alias("docs")).collect()}  # as many as sizes
-        total = max(1.0, float(sketch.sum()))
-        spread = max(0.0, float(np.square(sketch / total).sum()) - 1 / len(sketch))
-        modes = allocation(sizes, spread * total / max(1, sum(sizes.values())))
+        sizes = {r["n"]: r["docs"] for r in sets_of.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("docs")).collect()}  # as many as sizes
+        modes = allocation(sizes, clash(sketch, sum(sizes.values())))
     crowd = materialize(crowded(index(docs, sketch, modes)), "crowded")
-    info = materialize(info.join(crowd.select("cid").distinct(), "cid"), "crowded-sets")
-    sets = materialize(whole_sets(docs, info.select("cid")), "whole-sets").dropDuplicates(["cid"])
+    info = sets_of.where("n > 0").join(crowd.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    info = materialize(info, "crowded-sets")
 
     # a part of the keys, by hash, is enough to find hubs; what they leave open the second step finds
     some = crowd.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).withColumn("salt", F.when(F.col("hot"), F.pmod("cid", F.lit(64))).otherwise(0).cast("int"))
     near = some.join(info, "cid").withColumn("order", F.xxhash64("cid")).repartition("key", "salt").sortWithinPartitions("key", "salt", "order")
     tried = hub_pairs(near).groupBy("a", "b").agg(F.min("d").alias("d")).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, 3).alias("best"))
     tried = materialize(tried.select("a", F.explode("best.b").alias("b")), "hub-pairs")
-    first = materialize(verified(tried, sets), "hub-links")
+    first = materialize(verified(tried, whole_sets(docs, tried)), "hub-links")
     comp = components(first)
 
     now = crowd.select("key", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -372,9 +394,20 @@ def links(docs: DataFrame, sets_of: DataFrame, sketch: np.ndarray, modes: dict[i
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
     pairs = cell_pairs(rest.select("key", "low", "high", "side", "cid", "comp", "n", "parity").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")).distinct()
     pairs = materialize(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "open-pairs")
-    second = materialize(verified(pairs, sets), "open-links")
-    found = first.unionByName(second)
-    return found, components(found) if second.limit(1).count() else comp
+    if not pairs.limit(1).count():
+        return comp
+    second = materialize(verified(pairs, whole_sets(docs, pairs)), "open-links")
+    return components(first.unionByName(second)) if second.limit(1).count() else comp
+
+
+def clash(sketch: np.ndarray, docs: int) -> float:
+    """The chance that a shingle of the rarer half is in another set, beyond what the sketch's hashing gives."""
+    counts = np.sort(sketch)
+    total = float(counts.sum())
+    if not total or not docs:
+        return 0.0
+    half = counts[: int(np.searchsorted(np.cumsum(counts), total / 2)) + 1] / total
+    return max(0.0, float(np.square(half).sum()) - float(half.sum()) / len(counts)) * total / docs
 
 
 def join(docs: DataFrame, *, modes: dict[int, int] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -386,7 +419,7 @@ def join(docs: DataFrame, *, modes: dict[int, int] | None = None, carry: tuple[s
     no rows. Links are exact but for hash collisions: shingles and classes have 64 bits, equal sets are told by 128.
     """
     sets_of, sketch = members(docs, carry)
-    _, comp = links(docs, sets_of, sketch, modes)
+    comp = links(docs, sets_of, sketch, modes)
     classes = sets_of.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     groups = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
