@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import decontaminate, html_text, jaccard_join, mixing, quality, telephony, toxicity, training_order, warc
+from chronoweave.llm import decontaminate, html_text, jaccard_join, lm, mixing, quality, telephony, toxicity, training_order, warc
 from chronoweave.llm.common import table
 from chronoweave.session import ship_package
 
@@ -76,3 +76,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
