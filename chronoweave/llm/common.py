@@ -22,8 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="chronoweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
+        found = sc.getCheckpointDir()
     return found
 
 

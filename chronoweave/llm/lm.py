@@ -4,11 +4,11 @@ A text is its words (A-Z in lower case, split at ASCII white space), each with a
 bytes are spelt by a Huffman code of the corpus, so frequent bytes take few binary decisions. For each decision every
 predictor looks up a hashed context (the last bytes, the word so far, the word so far with the word before) in a table
 of bit counts; the log-odds it finds are mixed with weights that a gate picks by how sure the longest contexts are,
-the weights follow the text by online gradient steps, and an adaptive table refines the mixed odds. The sum of the
-decisions' log-probabilities is the text's; over the bytes it gives bits per byte.
+weights are learnt by online gradient steps, each text learns as it goes how far to trust the mix, and a table refines
+the mixed odds. The sum of the decisions' log-probabilities is the text's; over the bytes it gives bits per byte.
 
-Tables hold the counts of all training documents but one fold; the fold left out, which the tables have not seen, sets
-the starting weights and the refinement. Tables have a fixed number of slots, each task counts its share, and a tree
+Tables hold the counts of all training documents but one of 28; those left out, which the tables have not seen, set
+the weights and the refinement. Tables have a fixed number of slots, each task counts its share, and a tree
 adds them up. Every document is scored by itself from the same starting weights, so equal texts get equal scores.
 """
 
@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 from chronoweave.llm import words as W
 from chronoweave.llm.common import buffers, fold, gathered, materialize, packed_rows, pieces, tree_sum
 
-HELD_OUT, WEIGHTS, FOLDS = 2, 5, 7
+HELD_OUT, FOLDS = 2, 7
+#: Mark of the training documents that set weights: a part of a fold, one document of 28.
+WEIGHTS_FOLD, WEIGHTS_PART, WEIGHTS = 5, 4, 100
 SLOT_BITS = 22
-#: Bytes behind a predictor's context; word and pair are the word so far, alone or with the word before.
-PREDICTORS = ("2", "4", "6", "word", "pair")
-K = len(PREDICTORS)
+#: Predictors see the last 3 or 5 bytes, the word so far, or that and the word before.
+K = 4
 GATES = 27
 #: Pieces of a table that are added up side by side.
 PARTS = 8
 PRIOR = 0.1
-#: Steps of mixed log-odds, from -12 to 12, in the refinement.
-REFINE = 32
+#: Steps of a unit in a table's log-odds; steps of mixed log-odds, from -12 to 12, in the refinement.
+SCALE, REFINE = 16, 256
 SLAB = 512
 #: Bytes of text in a block, in a task that counts, and scored at a time.
 BLOCK, COUNTED, SCORED = 16 << 20, 64 << 20, 1 << 18
@@ -93,7 +94,8 @@ def packed(docs: DataFrame) -> DataFrame:
         if texts:
             yield done(block)
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), fold("doc_id", FOLDS).cast("int").alias("fold"), "text")
+    mark = F.when((fold("doc_id", FOLDS) == WEIGHTS_FOLD) & (F.floor(fold("doc_id", FOLDS * WEIGHTS_PART) / FOLDS) == 0), WEIGHTS).otherwise(fold("doc_id", FOLDS))
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), mark.cast("int").alias("fold"), "text")
     return rows.mapInArrow(run, "block long, ids array<string>, folds binary, ends binary, text binary, size long, toks array<long>, cnts array<long>, hist array<long>")
 
 
@@ -121,8 +123,8 @@ def unpack(row_text: bytes, size: int) -> np.ndarray:
 # ---------------------------------------------------------------- code and contexts
 
 
-def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman code of the 256 bytes: number of decisions, and the inner node (spread over 32 bits) and bit of each decision."""
+def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman code of the 256 bytes: number of decisions, nodes (spread over the slots) and bits of all decisions one byte after another, and where each byte's begin."""
     weight = np.maximum(counts + 1, counts.sum() // (1 << 13))
     heap = [(int(w), i, i) for i, w in enumerate(weight)]
     heapq.heapify(heap)
@@ -140,53 +142,55 @@ def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         else:
             stack += [(tree[at][0], (*path, (at - 256, 0))), (tree[at][1], (*path, (at - 256, 1)))]
     length = np.array([len(paths[i]) for i in range(256)], np.int64)
-    node, bit = np.zeros((256, length.max()), np.uint32), np.zeros((256, length.max()), np.uint8)
-    for i, path in paths.items():
-        for k, (a, b) in enumerate(path):
-            node[i, k], bit[i, k] = (a + 1) * 0x9E3779B1 & 0xFFFFFFFF, b
-    return length, node, bit
+    steps = [x for i in range(256) for x in paths[i]]
+    node = np.array([((a + 1) * W.BASE & (1 << 64) - 1) >> (64 - SLOT_BITS) for a, _ in steps], np.int64)
+    return length, node, np.array([b for _, b in steps], np.int8), np.cumsum(length) - length
 
 
 def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """The predictors' context hashes (uint32) at each byte; nothing before a text's start is seen."""
+    """The predictors' context slots (int64) at each byte; nothing before a text's start is seen."""
     n = len(data)
-    first = np.repeat(ends[:-1], np.diff(ends))
-    place = np.arange(n)
+    place, size = np.arange(n), np.diff(ends)
+    first = np.repeat(ends[:-1], size)
+    heads = ends[:-1][size > 0]
+    # the eight bytes before each place, the nearest highest; those before its text's start are zero
+    padded = np.concatenate([np.zeros(8, np.uint8), data])
+    window = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
+    for j in range(8):
+        at = heads[size[size > 0] > j] + j
+        window[at] &= U(((1 << 64) - 1) ^ ((1 << 8 * (8 - j)) - 1))
+    out = []
+    for k in (3, 5):
+        x = ((window >> U(8 * (8 - k))) + U(k)) * U(W.BASE)
+        x ^= x >> U(29)
+        x *= U(0xBF58476D1CE4E5B9)
+        out.append(x)
     s = W.prefix_sums(data)
     inverse = W.powers(W.INVERSE, n + 1)
-
-    def span(start):
-        return W.mix((s[:-1] - s[start]) * inverse[start])
-
-    out = [span(np.maximum(first, place - k)) for k in (2, 4, 6)]
-    space = data == 32
-    after = np.where(np.concatenate([[True], space[:-1]]) | (place == first), place, 0)
-    start = np.maximum.accumulate(after)  # of the word that each byte is in
-    word = span(start)
-    # the word before: from its own start to this word's
-    before = np.maximum(first, start[np.maximum(start - 1, 0)])
-    before = np.where(start > first, before, start)
-    pair = word ^ W.mix((s[start] - s[before]) * inverse[before] + U(0x632BE59BD9B4E019))
-    out += [word + U(0x9E6C63D0876A9A47), pair]
-    return [(x >> U(32)).astype(np.uint32) for x in out]
-
-
-def slots(context: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Slots of contexts (uint32, well mixed) at nodes, these already spread over 32 bits."""
-    x = context ^ spread
-    x *= np.uint32(0xC2B2AE3D)
-    x >>= np.uint32(32 - SLOT_BITS)
-    return x.astype(np.int64)
+    start = data == 32
+    start[1:] = start[:-1]
+    start[heads] = True
+    start[:1] = True
+    start = np.maximum.accumulate(np.where(start, place, 0))  # of the word that each byte is in
+    word = (s[:-1] - s[start]) * inverse[start]
+    word ^= word >> U(31)
+    word *= U(0x94D049BB133111EB)
+    before = np.where(start > first, start[np.maximum(start - 1, 0)], start)
+    pair = (s[start] - s[before]) * inverse[before] + U(0x632BE59BD9B4E019)
+    pair ^= pair >> U(32)
+    pair = (word ^ pair * U(W.BASE)) * U(0xBF58476D1CE4E5B9)
+    out += [word * U(0xD6E8FEB86659FD93) + U(0x9E6C63D0876A9A47), pair ^ pair >> U(30)]
+    return [(x >> U(64 - SLOT_BITS)).astype(np.int64) for x in out]
 
 
 def decisions(symbols: np.ndarray, book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run of bytes, all decisions: the byte each belongs to, its node and its bit."""
-    length, node, bit = book
+    """Of a run of bytes, all decisions: the byte each belongs to, its node (spread over the slots) and its bit."""
+    length, node, bit, start = book
     n = length[symbols]
     byte = np.repeat(np.arange(len(symbols)), n)
-    level = np.arange(len(byte)) - np.repeat(np.cumsum(n) - n, n)
-    flat = symbols[byte].astype(np.int64) * node.shape[1] + level
-    return byte, node.reshape(-1)[flat], bit.reshape(-1)[flat]
+    flat = np.repeat(start[symbols] - (np.cumsum(n) - n), n)
+    flat += np.arange(len(byte))
+    return byte, node.take(flat), bit.take(flat)
 
 
 # ---------------------------------------------------------------- counting
@@ -229,7 +233,7 @@ def tables(blocks: DataFrame, book, total: int) -> np.ndarray:
                     mine = np.repeat(use[i:j], np.diff(edge))[byte]
                     byte, node, bit = byte[mine], node[mine], bit[mine]
                     for k, c in enumerate(contexts(part, edge)):
-                        at_slot = slots(c[byte], node) * 2 + bit
+                        at_slot = (c.take(byte) ^ node) * 2 + bit
                         if len(at_slot) > 1 << 18:
                             count[k] += np.bincount(at_slot, minlength=size).astype(np.int32)
                         else:
@@ -266,60 +270,59 @@ def lanes(ends: np.ndarray):
         yield live, take, np.repeat(ends[:-1][live] + slab - (np.cumsum(take) - take), take) + np.arange(take.sum())
 
 
+#: Which of three levels a log-odds' size is at, for every int8.
+LEVEL = np.array([(abs(i) > 0.7 * SCALE) + (abs(i) > 2.5 * SCALE) for i in [*range(128), *range(-128, 0)]], np.int8)
+
+
 class Mixer:
-    """Mixes and learns over texts in slabs. Alone (`own` false) its weights follow all texts; else each text has its own offset from them."""
+    """Mixes and learns over texts in slabs.
+
+    Alone (`refine` None) its weights follow all texts. With a refinement, weights stay, each text learns how far to
+    trust them, and the probability of each decision is what the refinement says of the gate and mixed log-odds.
+    """
 
-    def __init__(self, book, table: np.ndarray, odds: np.ndarray, weights: np.ndarray, refine: np.ndarray | None, own: bool, rate: float):
-        self.book, self.table, self.odds, self.weights, self.refine, self.own, self.rate = book, table, odds, weights.copy(), refine, own, rate
-        self.seen, self.used = np.zeros((GATES * (REFINE + 1), 2)), np.zeros(GATES)
+    def __init__(self, book, table: np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float):
+        self.book, self.table, self.weights, self.refine, self.rate = book, table, (weights / SCALE).astype(np.float32), refine, rate
+        self.seen, self.used = np.zeros((GATES * REFINE, 2)), np.zeros(GATES)
+        if refine is not None:
+            p = np.clip(refine, 1e-7, 1 - 1e-7)
+            self.cost = -np.log2(np.stack([1 - p, p], 1)).ravel().astype(np.float32)
 
     def bits(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits of each text."""
-        ctx, docs = contexts(data, ends), len(ends) - 1
-        offset, total = np.zeros((K, docs), np.float32), np.zeros(docs)
-        length = self.book[0]
+        ctx, docs, length = contexts(data, ends), len(ends) - 1, self.book[0]
+        trust, total = np.ones(docs, np.float32), np.zeros(docs)
         for live, take, place in lanes(ends):
             symbols = data[place]
             byte, node, bit = decisions(symbols, self.book)
             at = place[byte]
             starts = np.concatenate([[0], np.cumsum(length[symbols])])[np.cumsum(take) - take]  # of each text's decisions
             each = np.diff(np.append(starts, len(byte)))
-            s = [self.odds[k].take(self.table[k].take(slots(ctx[k].take(at), node))) for k in range(K)]
-            gate = np.zeros(len(byte), np.int64)
-            for k in (K - 1, 2, 3):
-                size = np.abs(s[k])
-                gate = gate * 3 + (size > 0.7) + (size > 2.5)
-            x = np.zeros(len(byte), np.float32)
-            for k in range(K):
-                w = self.weights[k].take(gate)
-                if self.own:
-                    w += np.repeat(offset[k, live], each)
-                x += w * s[k]
+            s = [self.table[k].take(ctx[k].take(at) ^ node) for k in range(K)]
+            gate = LEVEL.take(s[3].view(np.uint8)) * np.int8(9)
+            gate += LEVEL.take(s[1].view(np.uint8)) * np.int8(3)
+            gate += LEVEL.take(s[2].view(np.uint8))
+            gate = gate.astype(np.int64)
+            x = self.weights[0].take(gate) * s[0]
+            for k in range(1, K):
+                x += self.weights[k].take(gate) * s[k]
+            if self.refine is not None:
+                mixed = x * np.repeat(trust[live], each)
+                cell = np.clip(mixed * np.float32(REFINE / 24) + np.float32(REFINE / 2), 0, REFINE - 1).astype(np.int64)
+                cell += gate * REFINE
+                total[live] += np.add.reduceat(self.cost.take(cell * 2 + bit), starts, dtype=np.float64)
+                trust[live] += self.rate * np.add.reduceat((bit - self.refine.take(cell)) * x, starts) / np.sqrt(each)
+                continue
             np.clip(x, -11.9, 11.9, out=x)
             p = 1 / (1 + np.exp(-x))
-            error = bit - p
-            left = (x + 12) * np.float32(REFINE / 24)
-            cell = left.astype(np.int64)
-            left -= cell
-            cell += gate * (REFINE + 1)
-            if self.refine is None:
-                for c, share in ((cell, 1 - left), (cell + 1, left)):
-                    self.seen += np.bincount(c * 2 + bit, share, 2 * len(self.seen)).reshape(-1, 2)
-            else:
-                p = 0.5 * p + 0.5 * ((1 - left) * self.refine.take(cell) + left * self.refine.take(cell + 1))
-            p = np.where(bit, p, 1 - p)
-            np.clip(p, 1e-7, 1, out=p)
-            total[live] -= np.add.reduceat(np.log(p), starts, dtype=np.float64) / np.log(2)
-            if self.own:
-                step = (self.rate / np.sqrt(each)).astype(np.float32)
-                for k in range(K):
-                    offset[k, live] += step * np.add.reduceat(error * s[k], starts)
-            else:
-                n = np.bincount(gate, minlength=GATES)
-                step = self.rate / np.sqrt(np.maximum(1, n))
-                for k in range(K):
-                    self.weights[k] += step * np.bincount(gate, error * s[k], GATES)
-                self.used += n
+            error, cell = bit - p, ((x + 12) * np.float32(REFINE / 24)).astype(np.int64) + gate * REFINE
+            self.seen += np.bincount(cell * 2 + bit, minlength=2 * len(self.seen)).reshape(-1, 2)
+            n = np.bincount(gate, minlength=GATES)
+            step = self.rate / np.sqrt(np.maximum(1, n)) / SCALE
+            for k in range(K):
+                self.weights[k] += step * np.bincount(gate, error * (s[k] * np.float32(1 / SCALE)), GATES)
+            self.used += n
+            total[live] -= np.add.reduceat(np.log2(np.where(bit, p, 1 - p)), starts, dtype=np.float64)
         return total
 
 
@@ -339,7 +342,7 @@ def follow(book, table: np.ndarray, data: np.ndarray, ends: np.ndarray, hits: np
     ctx = contexts(data, ends)
     byte, node, bit = decisions(data, book)
     for k in range(K):
-        state = table[k].take(slots(ctx[k].take(byte), node)).astype(np.int64)
+        state = table[k].take(ctx[k].take(byte) ^ node).astype(np.int64)
         hits[k] += np.bincount(state * 2 + bit, minlength=512).reshape(256, 2)
 
 
@@ -359,45 +362,54 @@ def fit_states(blocks: DataFrame, book, table: np.ndarray) -> np.ndarray:
     return state_odds(got.reshape(K, 256, 2) if len(got) else np.zeros((K, 256, 2)))
 
 
-def fit_weights(blocks: DataFrame, book, table: np.ndarray, odds: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starting weights and the refinement table, from the same fold.
+def fit_weights(blocks: DataFrame, book, table: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and the refinement table, from the same fold.
 
     Without `start` each task learns weights online through its texts and the tasks' weights are averaged by use; with
     it, weights begin there, and what follows the mixed odds makes the refinement.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast((book, table, odds, start_weights() if start is None else start))
-    rate = 0.02 if start is None else 0.002
+    first = start_weights() if start is None else start
+    shared = blocks.sparkSession.sparkContext.broadcast((book, table, first))
+    rate = 0.02 if start is None else 0.001
 
     def run(batches):
         from pyspark import TaskContext
 
-        mixer = Mixer(*shared.value, None, False, rate)
+        mixer = Mixer(*shared.value, None, rate)
         for data, ends in left_out(batches):
             mixer.bits(data, ends)
-        out = np.concatenate([(mixer.weights * mixer.used).ravel(), mixer.used, mixer.seen.ravel()])
+        out = np.concatenate([(mixer.weights * SCALE * mixer.used).ravel(), mixer.used, mixer.seen.ravel()])
         yield packed_rows([(0, TaskContext.get().partitionId(), out)])
 
     parts = blocks.select("folds", "ends", "text", "size").mapInArrow(run, "part int, task int, data binary")
     got = gathered(tree_sum(parts, "float64"), "float64")
-    first = start_weights() if start is None else start
     if not len(got):
-        return first, refinement(np.zeros((GATES * (REFINE + 1), 2)))
+        return first, refinement(np.zeros((GATES * REFINE, 2)))
     weights, used, seen = np.split(got, [GATES * K, GATES * K + GATES])
     prior = 2000.0  # decisions that the first weights count for
     weights = (weights.reshape(K, GATES) + prior * first) / (used + prior)
     return weights.astype(np.float32), refinement(seen.reshape(-1, 2))
 
 
-def refinement(seen: np.ndarray) -> np.ndarray:
-    """Probability of a 1 at each gate and step of mixed log-odds, drawn to what the step says."""
-    base = np.tile(1 / (1 + np.exp(-(np.arange(REFINE + 1) * (24 / REFINE) - 12))), GATES)
-    return ((seen[:, 1] + 30 * base) / (seen.sum(1) + 30)).astype(np.float32)
+def refinement(seen: np.ndarray, reach: int = 2) -> np.ndarray:
+    """Probability of a 1 at each gate and step of mixed log-odds, counted over steps nearby and drawn to what the step says."""
+    near = seen.reshape(GATES, REFINE, 2)
+    wide = np.pad(near, ((0, 0), (reach, reach), (0, 0)))
+    near = sum(wide[:, i : i + REFINE] for i in range(2 * reach + 1)).reshape(-1, 2)
+    base = np.tile(1 / (1 + np.exp(-((np.arange(REFINE) + 0.5) * (24 / REFINE) - 12))), GATES)
+    return ((near[:, 1] + 30 * base) / (near.sum(1) + 30)).astype(np.float32)
+
+
+def odds_table(table: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The tables with the log-odds (int8) that their states stand for in place of the states."""
+    small = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
+    return np.stack([small[k].take(table[k]) for k in range(K)])
 
 
 # ---------------------------------------------------------------- scores
 
 
-def score(docs: DataFrame, *, rate: float = 0.002) -> DataFrame:
+def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every document.
 
     Learns from the documents whose fold is not 2. base_score is the add-one unigram model of the training tokens, over
@@ -411,20 +423,20 @@ def score(docs: DataFrame, *, rate: float = 0.002) -> DataFrame:
     seen = {r["i"]: r["n"] for r in blocks.select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).collect()}  # 256 rows
     book = code(np.array([seen.get(i, 0) for i in range(256)], np.int64))
     table = tables(blocks, book, total)
-    odds = fit_states(blocks, book, table)
-    weights, _ = fit_weights(blocks, book, table, odds, None)
-    weights, refine = fit_weights(blocks, book, table, odds, weights)
+    table = odds_table(table, fit_states(blocks, book, table))
+    weights, _ = fit_weights(blocks, book, table, None)
+    weights, refine = fit_weights(blocks, book, table, weights)
 
     words = blocks.select("block", F.explode(F.arrays_zip("toks", "cnts")).alias("t")).select("block", F.col("t.toks").alias("tok"), F.col("t.cnts").alias("cnt"))
     vocabulary = words.groupBy("tok").agg(F.sum("cnt").alias("c"))
     known = materialize(words.select("block", "tok").join(vocabulary.where("c > 0"), "tok").select("block", "tok", "c"), "lm-counts")
     size = materialize(vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")), "lm-size")
     n_train, v_train = size.first()
-    shared = spark.sparkContext.broadcast((book, table, odds, weights, refine))
+    shared = spark.sparkContext.broadcast((book, table, weights, refine))
     fields = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        mixer = Mixer(*shared.value, True, rate)
+        mixer = Mixer(*shared.value, rate)
         tok, c = right["tok"].to_numpy().view(np.uint64), right["c"].to_numpy()
         order = np.argsort(tok)
         tok, c = np.append(tok[order], U(2**64 - 1)), np.append(c[order], 0)

@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from chronoweave.llm import decontaminate, html_text, jaccard_join, lm, mixing, quality, telephony, toxicity, training_order, warc
 from chronoweave.llm.common import table
 from chronoweave.session import ship_package
@@ -81,3 +82,8 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
