@@ -10,7 +10,7 @@ os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
 def spark():
     from chronoweave.session import local_session, ship_package
 
-    session = local_session("4", "tests")
+    session = local_session("2", "tests")
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     ship_package(session)
