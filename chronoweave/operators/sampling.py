@@ -78,3 +78,38 @@ def budget_round_robin(windows: DataFrame, budget: int) -> DataFrame:
     """Share a budget of samples over an entity's windows: one each by priority, then by turns until it is spent."""
     rows = windows.withColumn("turn", F.explode(F.sequence(F.lit(1), "capacity")))
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy("entity").orderBy("turn", "priority", "window_no"))).where(F.col("_k") <= budget).groupBy("entity", "window_no").agg(F.count(F.lit(1)).alias("samples"))
+
+
+def phase_aligned(spans: DataFrame, step: int, phase: int) -> DataFrame:
+    """Times of each span that are `phase` modulo `step`."""
+    first = F.col("start_s") + F.pmod(phase - F.col("start_s"), F.lit(step))
+    return spans.withColumn("_first", first).where("_first <= end_s").select("entity", F.explode(F.sequence("_first", "end_s", F.lit(step).cast("long"))).alias("at_s"))
+
+
+def half_open_buckets(spans: DataFrame, step: int) -> DataFrame:
+    """Buckets [from, to) of each span that cover all of it."""
+    count = F.ceil((F.col("end_s") - F.col("start_s")) / step)
+    rows = spans.where("end_s > start_s").withColumn("bucket_no", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)))
+    return rows.select("entity", "bucket_no", (F.col("start_s") + F.col("bucket_no") * step).alias("from_s"), F.least(F.col("start_s") + (F.col("bucket_no") + 1) * step, F.col("end_s")).alias("to_s"))
+
+
+def overlapping_chunks(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Chunks of `size` rows of each entity, each beginning with the row that the one before ended with."""
+    rows = rows.withColumns({"_i": F.row_number().over(Window.partitionBy("entity").orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("entity"))})
+    own = F.floor(F.col("_i") / (size - 1))
+    last = F.greatest(F.lit(0), F.ceil((F.col("_n") - 1) / (size - 1)) - 1)
+    chunks = F.array_distinct(F.array(F.least(own, last), F.when((F.col("_i") % (size - 1) == 0) & (F.col("_i") > 0), own - 1).otherwise(F.least(own, last))))
+    return rows.withColumn("chunk_no", F.explode(chunks)).drop("_i", "_n")
+
+
+def bursts(anchors: DataFrame, at: str, radius: int, step: int, still: int) -> DataFrame:
+    """Distinct times around anchors, each said to be before, during (within `still`) or after its nearest anchor."""
+    rows = anchors.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius), F.lit(step))))
+    rows = rows.select("entity", (F.col(at) + F.col("_d")).alias("at_s"), F.col("_d").cast("long").alias("_d"))
+    near = rows.groupBy("entity", "at_s").agg(F.min_by("_d", F.struct(F.abs(F.col("_d")), "_d")).alias("delta"))
+    return near.withColumn("phase", F.when(F.abs(F.col("delta")) <= still, "during").when(F.col("delta") < 0, "before").otherwise("after"))
+
+
+def role_times(spans: DataFrame, shares: list[int]) -> DataFrame:
+    """Times at given hundredths of each span."""
+    return spans.select("entity", F.explode(F.array(*(F.struct(F.lit(p).cast("long").alias("share"), (F.col("start_s") + F.floor((F.col("end_s") - F.col("start_s")) * p / 100)).alias("at_s")) for p in shares))).alias("r")).select("entity", "r.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as X
-from chronoweave.operators import checking, decode, intervals, matching, sampling, voting
+from chronoweave.operators import checking, decode, fusion, intervals, matching, sampling, voting
 from chronoweave.plans.registry import query
 from chronoweave.session import table
 from chronoweave.sources.timeline import timeline
@@ -408,3 +408,113 @@ def _(spark, d):
 def _(spark, d):
     rows = tl(spark, d).select("entity", "event_id", (F.col("first_s") / 1e4).alias("x0"), (F.col("conf") / 1e2).alias("y0"), (F.col("last_s") / 1e4).alias("x1"), (F.col("conf") / 1e2 + 5).alias("y1"), F.col("conf").cast("double").alias("score"))
     return decode.suppressed(rows, 20)
+
+
+@query("phase_aligned_sampling", f"WITH {SPANS}, f AS (SELECT *, start_s + ((7 - start_s) % 40000 + 40000) % 40000 AS f FROM spans) SELECT entity, unnest(generate_series(f, end_s, 40000)) AS at_s FROM f WHERE f <= end_s")
+def _(spark, d):
+    return sampling.phase_aligned(spans(spark, d), 40000, 7)
+
+
+@query("half_open_buckets", f"""WITH {SPANS}, b AS (SELECT *, unnest(generate_series(0, CAST(ceil((end_s - start_s) / 30000.0) AS BIGINT) - 1)) AS k FROM spans WHERE end_s > start_s)
+  SELECT entity, k AS bucket_no, start_s + k * 30000 AS from_s, least(start_s + (k + 1) * 30000, end_s) AS to_s FROM b""")
+def _(spark, d):
+    return sampling.half_open_buckets(spans(spark, d), 30000)
+
+
+@query("overlapping_chunks", f"""WITH {TL}, r AS (SELECT entity, event_id, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM tl),
+  c AS (SELECT entity, unnest(generate_series(0, greatest(0, CAST(ceil((n - 1) / 4.0) AS BIGINT) - 1))) AS chunk_no FROM (SELECT DISTINCT entity, n FROM r)) SELECT r.entity, event_id, chunk_no FROM r JOIN c ON r.entity = c.entity AND i BETWEEN chunk_no * 4 AND chunk_no * 4 + 4""")
+def _(spark, d):
+    return sampling.overlapping_chunks(tl(spark, d), ["first_s", "event_id"], 5).select("entity", "event_id", "chunk_no")
+
+
+@query("transition_bursts", f"""WITH {RUNS}, b AS (SELECT entity, first_s + dl AS at_s, dl FROM runs, (SELECT unnest(generate_series(-120, 120, 30)) AS dl)), n AS (SELECT entity, at_s, first(dl ORDER BY abs(dl), dl) AS delta FROM b GROUP BY ALL)
+  SELECT entity, at_s, delta, CASE WHEN abs(delta) <= 30 THEN 'during' WHEN delta < 0 THEN 'before' ELSE 'after' END AS phase FROM n""")
+def _(spark, d):
+    return sampling.bursts(runs(spark, d), "first_s", 120, 30, 30)
+
+
+@query("role_times", f"WITH {SPANS} SELECT entity, CAST(p AS BIGINT) AS share, start_s + CAST(floor((end_s - start_s) * p / 100.0) AS BIGINT) AS at_s FROM spans, (SELECT unnest([10, 50, 85]) AS p)")
+def _(spark, d):
+    return sampling.role_times(spans(spark, d), [10, 50, 85])
+
+
+@query("best_per_key", f"WITH {TL} SELECT entity, action, event_id, conf FROM tl QUALIFY row_number() OVER (PARTITION BY entity, action ORDER BY conf DESC, first_s, event_id) = 1")
+def _(spark, d):
+    return fusion.best_per_key(tl(spark, d), ["entity", "action"], [F.col("conf").desc(), "first_s", "event_id"]).select("entity", "action", "event_id", "conf")
+
+
+@query("first_wins_merge", f"WITH {TL}, u AS (SELECT entity, action, 0 AS f, min(first_s) AS s FROM tl WHERE conf >= 500 GROUP BY ALL UNION ALL SELECT entity, action, 1, min(first_s) FROM tl GROUP BY ALL) SELECT entity, action, s FROM u QUALIFY row_number() OVER (PARTITION BY entity, action ORDER BY f) = 1")
+def _(spark, d):
+    firsts = lambda rows: rows.groupBy("entity", "action").agg(F.min("first_s").alias("s"))
+    return fusion.first_wins([firsts(tl(spark, d).where("conf >= 500")), firsts(tl(spark, d))], ["entity", "action"])
+
+
+@query("verifier_override", "SELECT p_partkey, CASE WHEN l.q >= 40 THEN 'large' ELSE p_brand END AS p_brand FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY l_partkey) l ON p_partkey = l_partkey")
+def _(spark, d):
+    newer = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias("q")).withColumn("p_brand", F.lit("large"))
+    return fusion.overridden(table(spark, d, "part").select("p_partkey", "p_brand"), newer, "p_partkey", F.col("q") >= 40, ["p_brand"])
+
+
+@query("two_pass_choice", "SELECT event_id, coalesce(CASE WHEN value >= 80 THEN 2 END, CASE WHEN value >= 40 THEN 1 END, 0) AS level, CASE WHEN value >= 80 THEN 'dense' WHEN value >= 40 THEN 'coarse' ELSE 'fallback' END AS origin FROM events")
+def _(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("value") >= 80, 2).alias("dense"), F.when(F.col("value") >= 40, 1).alias("coarse"), F.lit(0).alias("fallback"))
+    value, origin = fusion.chosen_pass("dense", "coarse", "fallback")
+    return rows.select("event_id", value.alias("level"), origin.alias("origin"))
+
+
+@query("plan_diff", """WITH o AS (SELECT doc_id, quality AS was FROM labels WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, toxic AS now FROM labels WHERE doc_id % 3 <> 0)
+  SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, was, now, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'gone' ELSE 'changed' END AS state FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR was IS DISTINCT FROM now""")
+def _(spark, d):
+    rows = table(spark, d, "labels")
+    return fusion.changed(rows.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("v")), rows.where("doc_id % 3 <> 0").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+
+
+@query("partition_errors", f"""WITH {TL}, k AS (SELECT event_id, conf >= 100 AS a, conf < 120 AND action <> 'uncertain' AS j FROM tl) SELECT event_id, CASE WHEN a AND j THEN 'both' ELSE 'missing' END AS error FROM k WHERE a = j""")
+def _(spark, d):
+    rows = tl(spark, d)
+    return fusion.partition_errors(rows, rows.where("conf >= 100"), rows.where("conf < 120 and action <> 'uncertain'"), "event_id")
+
+
+@query("bucket_coverage", f"""WITH {SPANS}, w AS (SELECT DISTINCT entity, unnest(generate_series(start_s // 86400, end_s // 86400)) AS day FROM spans), s AS (SELECT entity, first_s // 86400 AS day, count(*) AS times FROM tl GROUP BY ALL)
+  SELECT coalesce(w.entity, s.entity) AS entity, coalesce(w.day, s.day) AS day, CASE WHEN times IS NULL THEN 'missing' WHEN w.day IS NULL THEN 'unexpected' ELSE 'duplicate' END AS state FROM w FULL JOIN s ON w.entity = s.entity AND w.day = s.day WHERE times IS NULL OR w.day IS NULL OR times > 1""")
+def _(spark, d):
+    wanted = spans(spark, d).select("entity", F.explode(F.sequence(F.floor(F.col("start_s") / 86400), F.floor(F.col("end_s") / 86400))).alias("day"))
+    return fusion.coverage(wanted, tl(spark, d).select("entity", F.floor(F.col("first_s") / 86400).alias("day")), ["entity", "day"])
+
+
+@query("episode_any_pass", f"WITH {TL}, e AS (SELECT entity, conf, conf >= 300 AS ok FROM tl) SELECT entity, CASE WHEN bool_or(ok) THEN 'pass' ELSE 'fail' END AS decision, coalesce(max(CASE WHEN ok THEN conf END), max(conf)) AS conf, count(*) AS episodes FROM e GROUP BY entity")
+def _(spark, d):
+    return fusion.any_pass(tl(spark, d).withColumn("decision", F.when(F.col("conf") >= 300, "pass").otherwise("fail")))
+
+
+@query("stable_abnormal", f"WITH {TL} SELECT entity, count(DISTINCT first_s // 86400) AS units, max(conf) AS best FROM tl WHERE action = 'uncertain' AND conf >= 200 GROUP BY entity HAVING count(DISTINCT first_s // 86400) >= 2 OR max(conf) >= 900")
+def _(spark, d):
+    return fusion.stable_abnormal(tl(spark, d).where("action = 'uncertain' and conf >= 200").withColumn("day", F.floor(F.col("first_s") / 86400)), "day", "conf")
+
+
+@query("dominant_cluster", f"""WITH {TL}, n AS (SELECT entity, conf, count(*) OVER (PARTITION BY entity ORDER BY conf RANGE BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS near, count(*) OVER (PARTITION BY entity) AS total FROM tl)
+  SELECT entity, conf AS centre, near, near * 1000 // total AS share, near * 2 > total AS majority FROM n QUALIFY row_number() OVER (PARTITION BY entity ORDER BY near DESC, conf) = 1""")
+def _(spark, d):
+    return fusion.dominant_cluster(tl(spark, d), "conf", 30)
+
+
+@query("entity_classes", f"WITH {TL} SELECT entity, CASE WHEN bool_or(conf >= 400) THEN 'over' WHEN bool_or(action = 'uncertain') THEN 'unsure' ELSE 'plain' END AS class FROM tl GROUP BY entity")
+def _(spark, d):
+    return fusion.classified(tl(spark, d), {"over": F.col("conf") >= 400, "unsure": F.col("action") == "uncertain"}, "plain")
+
+
+@query("boundary_comparison", f"""WITH {RUNS}, a AS (SELECT DISTINCT entity, stage, first_s FROM runs), r AS (SELECT entity, stage, last_s AS x FROM runs WHERE run_no % 2 = 0) SELECT a.entity, a.stage, a.first_s, min(abs(a.first_s - x)) AS distance FROM a LEFT JOIN r ON a.entity = r.entity AND a.stage = r.stage GROUP BY ALL""")
+def _(spark, d):
+    r = runs(spark, d)
+    return fusion.nearest_reference(r.select("entity", "stage", "first_s").distinct(), r.where("run_no % 2 = 0").select("entity", "stage", F.col("last_s").alias("first_s")), ["entity", "stage"], "first_s")
+
+
+@query("beam_decode")
+def _(spark, d):
+    return decode.beam_decode(tl(spark, d), scale=3600)
+
+
+@query("track_link")
+def _(spark, d):
+    rows = tl(spark, d).select("entity", "event_id", F.floor(F.col("first_s") / 86400).alias("frame"), (F.col("first_s") % 86400 / 1e3).alias("x0"), (F.col("conf") / 1e2).alias("y0"))
+    return decode.linked_tracks(rows.withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 5}), 0.25, 2)

@@ -167,3 +167,19 @@ def test_streams(spark, tmp_path):
     last = batch.agg(F.max("ts")).first()[0]
     closed = batch.where(F.col("ts") < F.lit(last) - F.expr("interval 1 hour")).count()
     assert closed - 20 <= spark.table("tumbling").agg(F.sum("events")).first()[0] <= batch.count()
+
+
+def test_beam_keeps_the_plain_protocol(spark):
+    names = ["wiring", "measurement", "writing", "wiring", "measurement", "writing", "cleanup", "wiring"]
+    rows = spark.createDataFrame([(i, 1, a, 40 * i, 40 * i + 20, 900) for i, a in enumerate(names)], SCHEMA)
+    got = [r.stage for r in decode.beam_decode(rows).orderBy("event_id").collect()]
+    assert got == ["circuit_wiring", "measurement_1", "recording_1", "circuit_rewiring", "measurement_2", "recording_2", "material_cleanup", "noise"]
+    # wiring after a measurement: a correction if that was short and another follows, a rewiring if it was long
+    fix = spark.createDataFrame([(1, 1, "wiring", 0, 5, 500), (2, 1, "measurement", 10, 11, 500), (3, 1, "wiring", 12, 15, 500), (4, 1, "measurement", 16, 30, 500), (5, 1, "writing", 40, 50, 500)], SCHEMA)
+    assert [r.stage for r in decode.beam_decode(fix).orderBy("event_id").collect()] == ["circuit_wiring", "measurement_1", "circuit_wiring", "measurement_1", "recording_1"]
+
+
+def test_tracks_follow_boxes(spark):
+    rows = [(1, 10 * f + k, f, 50.0 * k + f, 0.0, 50.0 * k + f + 20, 20.0) for f in range(4) for k in range(2)]
+    got = decode.linked_tracks(spark.createDataFrame(rows, "entity long, event_id long, frame long, x0 double, y0 double, x1 double, y1 double")).collect()
+    assert {r.event_id: r.track for r in got} == {10 * f + k: k for f in range(4) for k in range(2)}
