@@ -7,9 +7,9 @@ link have one in common (the pigeonhole argument on an ordered subset). Segments
 therefore left out wherever rarer ones suffice. Where a cost model finds it cheaper for a band, fewer segments are
 indexed together with all neighbours one deletion away, each then standing for two differences.
 
-What shares a key is then compared: equal sets are one class from the start; members of a key are first tried against
-a few hubs and verified pairs joined; then every pair of a key that is not yet in one component and whose parity
-sketches (an exact lower bound of the difference) allow a link is verified. All shingle sets compared are whole.
+What shares a key is then compared: equal sets are one class from the start, and parity sketches give an exact lower
+bound of two sets' difference. Of the pairs of a key that it allows, first a spanning forest of the closest is verified
+and joined; then every pair of a key that is still in different components. All sets compared are whole.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ NUM, DEN = 80, 100
 SKETCH_BITS = 22
 PARTS = 8
 PARITY = 1024
-HUBS = 8
-#: Members of a key that are compared in one cell, pairs of a hub that are verified in one go.
+#: Members of a key that are compared in one cell, pairs of a set that are verified in one go.
 CELL, GO = 2048, 512
 EXACT, DELETE = 1, 2
 U = np.uint64
@@ -145,7 +144,7 @@ def members(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, np
         from pyspark import TaskContext
 
         counts, blank = np.zeros(1 << SKETCH_BITS, np.int64), {}
-        for piece in pieces(batches):
+        for piece in pieces(batches, most=2 << 20):
             h, at = shingle_sets(piece["text"])
             n = piece.num_rows
             counts += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
@@ -175,7 +174,7 @@ def index(docs: DataFrame, sketch: np.ndarray, modes: dict[int, int]) -> DataFra
     def run(batches):
         rarity, chosen, hot = shared.value
         seen: set[int] = set()
-        for piece in pieces(batches):
+        for piece in pieces(batches, most=2 << 20):
             h, at = shingle_sets(piece["text"])
             cids = set_keys(h, at)[0].tolist()
             key, cid, often, size = [], [], [], []
@@ -249,34 +248,34 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def hub_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, d) of members of a key and those of its first few members that they may link with; rows come sorted by `key`, `salt`."""
+def cells(rows: DataFrame, keys: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows (key, cid, comp) of the `keys` (key, rows) dealt to cells of bounded size, every two of a key's rows to one cell, with their sets' sizes and parities."""
+    rows = rows.join(keys.select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("ways")), "key").join(info, "cid")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    rows = rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+    return rows.select("key", "low", "high", "side", "cid", "comp", "n", "parity").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "cid")
 
-    def run(batches):
-        held = None  # the first members of the group that the last batch ended in
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = [b[c].to_numpy() for c in ("key", "salt", "cid", "n")] + [words64(b["parity"])]
-            old = len(held[0]) if held else 0
-            key, salt, cid, n, bits = now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
-            start = starts_of(key, salt)
-            rows = np.arange(old, len(key))
-            i = np.repeat(rows, HUBS)
-            j = start[i] + np.tile(np.arange(HUBS), len(rows))
-            ok = j < i
-            i, j = i[ok], j[ok]
-            d = may_link(n, bits, i, j)
-            ok = d >= 0
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cid[i[ok]]), pa.array(cid[j[ok]]), pa.array(d[ok], pa.int32())], ["a", "b", "d"])
-            held = [x[start[-1] : start[-1] + HUBS] for x in now]
 
-    return rows.mapInArrow(run, "a long, b long, d int")
+def forest(pairs: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Of pairs in order, those that join two groups of their cell that no pair before has joined."""
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
 
+    def find(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
 
-def cell_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) of members of a cell that are in different components and may link; rows come sorted by `key`, `low`, `high`."""
+    keep = np.zeros(len(pairs), bool)
+    for k, (c, (i, j)) in enumerate(zip(cell.tolist(), pairs.tolist(), strict=True)):
+        x, y = find((c, i)), find((c, j))
+        if x != y:
+            parent[x] = y
+            keep[k] = True
+    return keep
+
+
+def cell_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
+    """(a, b) of members of a cell that are in different components and may link, or enough of them to join the same groups, the closest first; rows come sorted by cell."""
 
     def compare(group):
         """Pairs of whole cells, each row with the rows after it in its cell, a distance at a time."""
@@ -292,10 +291,15 @@ def cell_pairs(rows: DataFrame) -> DataFrame:
             ok = (comp[i] != comp[j]) & ((low[i] == high[i]) | (side[i] != side[j]))
             i, j = i[ok], j[ok]
             if len(i):
-                ok = may_link(n, bits, i, j) >= 0
-                found.append(np.stack([np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]])], 1))
+                d = may_link(n, bits, i, j)
+                ok = d >= 0
+                found.append(np.stack([np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]]), d[ok], start[i[ok]]], 1))
             step += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+        if spanning:
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2], pairs[:, 3]))]
+            pairs = pairs[forest(pairs[:, :2], pairs[:, 3])]
+        pairs = np.unique(pairs[:, :2], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
     def run(batches):
@@ -326,7 +330,7 @@ def whole_sets(docs: DataFrame, pairs: DataFrame, most: int = 2_000_000) -> Data
 
     def run(batches):
         only, seen = shared.value, set()
-        for piece in pieces(batches):
+        for piece in pieces(batches, most=2 << 20):
             h, at = shingle_sets(piece["text"])
             ids = set_keys(h, at)[0]
             ok = np.diff(at) > 0
@@ -379,21 +383,18 @@ def links(docs: DataFrame, sets_of: DataFrame, sketch: np.ndarray, modes: dict[i
     info = sets_of.where("n > 0").join(crowd.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
     info = materialize(info, "crowded-sets")
 
-    # a part of the keys, by hash, is enough to find hubs; what they leave open the second step finds
-    some = crowd.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).withColumn("salt", F.when(F.col("hot"), F.pmod("cid", F.lit(64))).otherwise(0).cast("int"))
-    near = some.join(info, "cid").withColumn("order", F.xxhash64("cid")).repartition("key", "salt").sortWithinPartitions("key", "salt", "order")
-    tried = hub_pairs(near).groupBy("a", "b").agg(F.min("d").alias("d")).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, 3).alias("best"))
-    tried = materialize(tried.select("a", F.explode("best.b").alias("b")), "hub-pairs")
-    first = materialize(verified(tried, whole_sets(docs, tried)), "hub-links")
+    sizes = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    near = cells(crowd.select("key", "cid", F.col("cid").alias("comp")), sizes, info)
+    tried = materialize(cell_pairs(near, True).distinct(), "near-pairs")
+    first = materialize(verified(tried, whole_sets(docs, tried)), "near-links")
     comp = components(first)
 
+    # what is still apart in some key: all its pairs that may link
     now = crowd.select("key", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     now = materialize(now, "crowded-now")
-    open_ = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y").select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("ways"))
-    rest = now.join(open_, "key").join(info, "cid").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("ways")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
-    pairs = cell_pairs(rest.select("key", "low", "high", "side", "cid", "comp", "n", "parity").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")).distinct()
-    pairs = materialize(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "open-pairs")
+    open_ = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y")
+    pairs = cell_pairs(cells(now, open_, info), False).distinct()
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "open-pairs")
     if not pairs.limit(1).count():
         return comp
     second = materialize(verified(pairs, whole_sets(docs, pairs)), "open-links")
@@ -429,12 +430,22 @@ def join(docs: DataFrame, *, modes: dict[int, int] | None = None, carry: tuple[s
     return rows.select("doc_id", "n", *carry, "component_id", "comp").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("comp").alias("class_id"), *carry)
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """One document of each component, that with the smallest id, in the columns of `docs`; texts without words all stay."""
+def keep_one(docs: DataFrame, *, most: int = 2_000_000, **params) -> DataFrame:
+    """One document of each component, that with the smallest id, in the columns of `docs`; texts without words all stay.
+
+    Rows that go are named by a hash of all their columns. Up to `most` such names (8 bytes each) go to every task, so
+    that texts needn't be shuffled; beyond, a join on the name drops them.
+    """
     columns, row = docs.columns, "_join_row"
     keyed = docs.withColumn(row, F.xxhash64(*columns))
-    joined = join(keyed, carry=(row,), **params)
+    joined = materialize(join(keyed, carry=(row,), **params).where("class_id is not null").select("class_id", row, "doc_id"), "joined")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
-    kept = joined.where("class_id is not null").groupBy("class_id").agg(F.min_by(F.col(row), order).alias(row)).select(row)
-    empty = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
-    return keyed.where(~empty).join(kept, row, "left_semi").dropDuplicates([row]).select(*columns).unionByName(docs.where(empty))
+    best = joined.groupBy("class_id").agg(F.min_by(F.col(row), order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    names = joined.join(best, "class_id").groupBy(row).agg(F.max((F.col(row) == F.col("best")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("times"))
+    names = materialize(names.where("stays = 0 or times > 1"), "rows-to-drop")
+    listed = lambda rows: F.broadcast(rows.select(row)) if rows.count() <= most else rows.select(row)
+    out = keyed.join(listed(names), row, "left_anti").select(*columns)
+    again = names.where("stays = 1")  # rows equal in every column: one of them stays
+    if not again.limit(1).count():
+        return out
+    return out.unionByName(keyed.join(listed(again), row, "left_semi").dropDuplicates([row]).select(*columns))

@@ -227,7 +227,7 @@ def tables(blocks: DataFrame, book, total: int) -> np.ndarray:
             for folds, ends, text, n in zip(b["folds"], b["ends"], b["text"], b["size"].to_pylist(), strict=True):
                 kind, at, data = np.frombuffer(folds.as_py(), np.uint8), np.frombuffer(ends.as_py(), np.int64), unpack(text.as_py(), n)
                 use = (kind != HELD_OUT) & (kind != WEIGHTS)
-                for i, j in slabs(at, 2 << 20):
+                for i, j in slabs(at, 3 << 19):
                     part, edge = data[at[i] : at[j]], at[i : j + 1] - at[i]
                     byte, node, bit = decisions(part, shared.value)
                     mine = np.repeat(use[i:j], np.diff(edge))[byte]
