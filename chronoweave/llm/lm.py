@@ -1,7 +1,7 @@
 """Language-model scores: online logistic mixing of hashed-context bit predictors.
 
 A text is its words (A-Z in lower case, split at ASCII white space), each with a space behind, and an end mark. Its
-bytes are spelt by a Huffman code of the corpus, so frequent bytes take few binary decisions. For each decision every
+bytes are spelt by Huffman codes of the corpus, one after each byte, so likely bytes take few binary decisions. For each decision every
 predictor looks up a hashed context (the last bytes, the word so far, the word so far with the word before) in a table
 of bit counts; the log-odds it finds are mixed with weights that a gate picks by how sure the longest contexts are,
 weights are learnt by online gradient steps, each text learns as it goes how far to trust the mix, and a table refines
@@ -29,7 +29,7 @@ from chronoweave.llm.common import buffers, fold, gathered, materialize, packed_
 HELD_OUT, FOLDS = 2, 7
 #: Mark of the training documents that set weights: a part of a fold, one document of 28.
 WEIGHTS_FOLD, WEIGHTS_PART, WEIGHTS = 5, 4, 100
-SLOT_BITS = 22
+SLOT_BITS = 21
 #: Predictors see the last 3 or 5 bytes, the word so far, or that and the word before.
 K = 4
 GATES = 27
@@ -55,7 +55,7 @@ def normal(raw: bytes) -> bytes:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: ids (as text), folds, ends of the texts, the normal texts packed, the distinct words' hashes with their counts in training documents, and the training texts' byte counts."""
+    """Blocks of documents: ids (as text), folds, ends of the texts, the normal texts packed, the distinct words' hashes with their counts in training documents, and the training texts' counts of byte pairs."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -66,14 +66,14 @@ def packed(docs: DataFrame) -> DataFrame:
         def done(no):
             data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
             train = np.array(folds) != HELD_OUT
-            toks, cnts, hist = [], [], np.zeros(256, np.int64)
+            toks, cnts, hist = [], [], np.zeros(1 << 16, np.int64)
             for a, b in slabs(ends, 4 * SCORED):
                 h, first = token_hashes(data, ends[a : b + 1])
                 doc = W.doc_of(first) + a
                 u, inv = np.unique(h, return_inverse=True)
                 toks.append(u)
                 cnts.append(np.bincount(inv, train[doc], len(u)).astype(np.int64))
-                hist += np.bincount(data[ends[a] : ends[b]][np.repeat(train[a:b], np.diff(ends[a : b + 1]))], minlength=256)
+                hist += np.bincount(pairs(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[np.repeat(train[a:b], np.diff(ends[a : b + 1]))], minlength=1 << 16)
             u, inv = np.unique(np.concatenate(toks), return_inverse=True)
             c = np.bincount(inv, np.concatenate(cnts), len(u)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([no]), pa.array([ids], pa.list_(pa.string())), pa.array([bytes(folds)], pa.binary()), pa.array([ends.astype(np.int64).tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes())], pa.binary()), pa.array([len(data)]), pa.array([u.view(np.int64)], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64())), pa.array([hist], pa.list_(pa.int64()))], ["block", "ids", "folds", "ends", "text", "size", "toks", "cnts", "hist"])
@@ -123,28 +123,50 @@ def unpack(row_text: bytes, size: int) -> np.ndarray:
 # ---------------------------------------------------------------- code and contexts
 
 
-def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman code of the 256 bytes: number of decisions, nodes (spread over the slots) and bits of all decisions one byte after another, and where each byte's begin."""
-    weight = np.maximum(counts + 1, counts.sum() // (1 << 13))
-    heap = [(int(w), i, i) for i, w in enumerate(weight)]
+def huffman(weights: np.ndarray) -> list[tuple]:
+    """The path (inner node, bit) to each symbol in the cheapest binary tree."""
+    heap = [(int(w), i, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    tree, inner = {}, 256
+    tree, inner = {}, len(weights)
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
         tree[inner] = (a[2], b[2])
         heapq.heappush(heap, (a[0] + b[0], inner, inner))
         inner += 1
-    paths, stack = {}, [(heap[0][2], ())]
+    paths, stack = [()] * len(weights), [(heap[0][2], ())]
     while stack:
         at, path = stack.pop()
-        if at < 256:
+        if at < len(weights):
             paths[at] = path
         else:
-            stack += [(tree[at][0], (*path, (at - 256, 0))), (tree[at][1], (*path, (at - 256, 1)))]
-    length = np.array([len(paths[i]) for i in range(256)], np.int64)
-    steps = [x for i in range(256) for x in paths[i]]
-    node = np.array([((a + 1) * W.BASE & (1 << 64) - 1) >> (64 - SLOT_BITS) for a, _ in steps], np.int64)
-    return length, node, np.array([b for _, b in steps], np.int8), np.cumsum(length) - length
+            stack += [(tree[at][0], (*path, (at - len(weights), 0))), (tree[at][1], (*path, (at - len(weights), 1)))]
+    return paths
+
+
+def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman code of the bytes after each byte, from counts of pairs (256 * byte before + byte).
+
+    For each pair: the number of decisions and where they begin in the lists of all decisions' nodes (spread over the
+    slots) and bits.
+    """
+    length, node, bit = np.zeros(1 << 16, np.int64), [], []
+    for before in range(256):
+        n = counts[before * 256 : before * 256 + 256]
+        for byte, path in enumerate(huffman(np.maximum(n + 1, n.sum() >> 13))):
+            length[before * 256 + byte] = len(path)
+            node += [before * 256 + k + 1 for k, _ in path]
+            bit += [b for _, b in path]
+    spread = (np.array(node, np.uint64) * U(W.BASE)) >> U(64 - SLOT_BITS)
+    return length, spread.astype(np.int64), np.array(bit, np.int8), np.cumsum(length) - length
+
+
+def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """256 * the byte before + the byte, at each byte; before a text stands an end mark."""
+    out = data.astype(np.int64)
+    out[1:] += data[:-1].astype(np.int64) << 8
+    heads = ends[:-1][np.diff(ends) > 0]
+    out[heads] = data[heads].astype(np.int64) + (END << 8)
+    return out
 
 
 def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -184,7 +206,7 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
 
 
 def decisions(symbols: np.ndarray, book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run of bytes, all decisions: the byte each belongs to, its node (spread over the slots) and its bit."""
+    """Of a run of pairs, all decisions: the byte each belongs to, its node (spread over the slots) and its bit."""
     length, node, bit, start = book
     n = length[symbols]
     byte = np.repeat(np.arange(len(symbols)), n)
@@ -229,7 +251,7 @@ def tables(blocks: DataFrame, book, total: int) -> np.ndarray:
                 use = (kind != HELD_OUT) & (kind != WEIGHTS)
                 for i, j in slabs(at, 3 << 19):
                     part, edge = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                    byte, node, bit = decisions(part, shared.value)
+                    byte, node, bit = decisions(pairs(part, edge), shared.value)
                     mine = np.repeat(use[i:j], np.diff(edge))[byte]
                     byte, node, bit = byte[mine], node[mine], bit[mine]
                     for k, c in enumerate(contexts(part, edge)):
@@ -291,9 +313,9 @@ class Mixer:
     def bits(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits of each text."""
         ctx, docs, length = contexts(data, ends), len(ends) - 1, self.book[0]
-        trust, total = np.ones(docs, np.float32), np.zeros(docs)
+        trust, total, both = np.ones(docs, np.float32), np.zeros(docs), pairs(data, ends)
         for live, take, place in lanes(ends):
-            symbols = data[place]
+            symbols = both[place]
             byte, node, bit = decisions(symbols, self.book)
             at = place[byte]
             starts = np.concatenate([[0], np.cumsum(length[symbols])])[np.cumsum(take) - take]  # of each text's decisions
@@ -340,7 +362,7 @@ def left_out(batches):
 def follow(book, table: np.ndarray, data: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> None:
     """Count into `hits` what follows each predictor's states."""
     ctx = contexts(data, ends)
-    byte, node, bit = decisions(data, book)
+    byte, node, bit = decisions(pairs(data, ends), book)
     for k in range(K):
         state = table[k].take(ctx[k].take(byte) ^ node).astype(np.int64)
         hits[k] += np.bincount(state * 2 + bit, minlength=512).reshape(256, 2)
@@ -420,8 +442,8 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     blocks = materialize(packed(docs), "lm-blocks")
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    seen = {r["i"]: r["n"] for r in blocks.select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).collect()}  # 256 rows
-    book = code(np.array([seen.get(i, 0) for i in range(256)], np.int64))
+    seen = {r["i"]: r["n"] for r in blocks.select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).where("n > 0").collect()}  # 65536 rows at most
+    book = code(np.array([seen.get(i, 0) for i in range(1 << 16)], np.int64))
     table = tables(blocks, book, total)
     table = odds_table(table, fit_states(blocks, book, table))
     weights, _ = fit_weights(blocks, book, table, None)
