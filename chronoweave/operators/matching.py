@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,10 +64,6 @@ def lookups(base: DataFrame, *tables: tuple[DataFrame, str, dict[str, object]])
     return base
 
 
-def first_of(*columns: Column) -> Column:
-    return F.coalesce(*columns)
-
-
 def compare_by_position(actual: DataFrame, wanted: DataFrame, tolerance: float) -> DataFrame:
     """Runs of an entity compared by position: missing on either side, another stage or times apart by more than `tolerance`."""
     both = actual.alias("a").join(wanted.alias("w"), (F.col("a.entity") == F.col("w.entity")) & (F.col("a.run_no") == F.col("w.run_no")), "full")
