@@ -27,7 +27,7 @@ from chronoweave.llm.components import components
 WIDTH = 5
 #: Similarity 80 %, as integers: links have 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 PARTS = 8
 PARITY = 1024
 #: Members of a key that are compared in one cell, pairs of a set that are verified in one go.

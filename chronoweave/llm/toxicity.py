@@ -53,7 +53,7 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def sparse_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, label and the n-gram buckets of each document with their shares (packed uint16 and float32)."""
+    """Label, number of n-grams, and the n-gram buckets of each document with their counts (both packed as uint16)."""
 
     def run(batches):
         for piece in pieces(batches, most=1 << 20):
@@ -63,11 +63,11 @@ def sparse_rows(docs: DataFrame) -> DataFrame:
             ends = np.searchsorted(code >> BITS, np.arange(n + 1))
             total = np.maximum(1, np.bincount(row, minlength=n))
             ids = (code & ((1 << BITS) - 1)).astype(np.uint16)
-            share = (count / total[code >> BITS]).astype(np.float32)
+            count = np.minimum(count, 65535).astype(np.uint16)
             cut = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([piece["label"], pa.array([ids[c].tobytes() for c in cut], pa.binary()), pa.array([share[c].tobytes() for c in cut], pa.binary())], ["label", "ids", "share"])
+            yield pa.RecordBatch.from_arrays([piece["label"], pa.array(total), pa.array([ids[c].tobytes() for c in cut], pa.binary()), pa.array([count[c].tobytes() for c in cut], pa.binary())], ["label", "total", "ids", "counts"])
 
-    return docs.mapInArrow(run, "label int, ids binary, share binary")
+    return docs.mapInArrow(run, "label int, total long, ids binary, counts binary")
 
 
 def informative(ids: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
@@ -84,20 +84,19 @@ def informative(ids: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarra
     return (np.abs(z) >= least) & (seen.sum(0) >= 3)
 
 
-def train(rows: list, *, dim: int = 8, epochs: int = 15, rate: float = 0.05, decay: float = 1e-3, batch: int = 64, least: float = 4.0, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(rows: list, *, dim: int = 8, steps: int = 1200, rate: float = 0.05, decay: float = 1e-3, batch: int = 64, least: float = 4.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """One number per bucket and a bias, of embeddings and softmax trained together with Adam; the classes weigh the same."""
     rng = np.random.default_rng(seed)
-    ids = [np.frombuffer(r["ids"], np.uint16).astype(np.int64) for r in rows]
-    share = [np.frombuffer(r["share"], np.float32) for r in rows]
+    ids = [np.frombuffer(r["ids"], np.uint16) for r in rows]
     y = np.array([r["label"] for r in rows], np.int64)
     use = informative(ids, y, least)
-    share = [s[use[i]] for i, s in zip(ids, share, strict=True)]
-    ids = [i[use[i]] for i in ids]
+    share = [(np.frombuffer(r["counts"], np.uint16)[use[i]] / r["total"]).astype(np.float32) for r, i in zip(rows, ids, strict=True)]
+    ids = [i[use[i]].astype(np.int64) for i in ids]
     weight = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))[y]
     emb, out, bias = (rng.normal(0, 0.1, (1 << BITS, dim)) * use[:, None]).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, out, bias)]
     step = 0
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // max(1, len(y)))):
         order = rng.permutation(len(y))
         for start in range(0, len(y), batch):
             pick = order[start : start + batch]
@@ -122,14 +121,14 @@ def train(rows: list, *, dim: int = 8, epochs: int = 15, rate: float = 0.05, dec
     return ((emb @ (out[:, 1] - out[:, 0])) * 100).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2000) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 1000) -> tuple[np.ndarray, float]:
     """A model from at most `per_class` documents of each class; with fewer than two classes, the same score for all."""
     share = prior(labels, label)
-    rows = sparse_rows(sample(docs, labels, label, per_class)).collect()
+    rows = [r.asDict() for r in sparse_rows(sample(docs, labels, label, per_class)).repartition(8).toLocalIterator()]  # an eighth at a time
     base = float(np.log(share / (1 - share)))
     if len({r["label"] for r in rows}) < 2:
         return np.zeros(1 << BITS, np.float32), base
-    rows.sort(key=lambda r: (r["label"], bytes(r["ids"]), bytes(r["share"])))
+    rows.sort(key=lambda r: (r["label"], bytes(r["ids"]), bytes(r["counts"])))
     table, bias = train(rows)
     return table, bias + base
 
