@@ -40,7 +40,7 @@ PRIOR = 0.1
 SCALE, REFINE = 16, 256
 SLAB = 512
 #: Bytes of text in a block, in a task that counts, and scored at a time.
-BLOCK, COUNTED, SCORED = 16 << 20, 64 << 20, 1 << 18
+BLOCK, COUNTED, SCORED = 8 << 20, 64 << 20, 1 << 18
 END = 10
 U = np.uint64
 
@@ -244,26 +244,28 @@ def tables(blocks: DataFrame, book, total: int) -> np.ndarray:
     def run(batches):
         from pyspark import TaskContext
 
-        count = np.zeros((K, size), np.int32)
+        count = np.zeros((K, size), np.int64)
         for b in batches:
             for folds, ends, text, n in zip(b["folds"], b["ends"], b["text"], b["size"].to_pylist(), strict=True):
                 kind, at, data = np.frombuffer(folds.as_py(), np.uint8), np.frombuffer(ends.as_py(), np.int64), unpack(text.as_py(), n)
                 use = (kind != HELD_OUT) & (kind != WEIGHTS)
-                for i, j in slabs(at, 3 << 19):
+                data, at = data[np.repeat(use, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[use])])
+                for i, j in slabs(at, 1 << 20):
                     part, edge = data[at[i] : at[j]], at[i : j + 1] - at[i]
                     byte, node, bit = decisions(pairs(part, edge), shared.value)
-                    mine = np.repeat(use[i:j], np.diff(edge))[byte]
-                    byte, node, bit = byte[mine], node[mine], bit[mine]
                     for k, c in enumerate(contexts(part, edge)):
-                        at_slot = (c.take(byte) ^ node) * 2 + bit
+                        at_slot = c.take(byte)  # arrays of millions: changed in place
+                        at_slot ^= node
+                        at_slot <<= 1
+                        at_slot += bit
                         if len(at_slot) > 1 << 18:
-                            count[k] += np.bincount(at_slot, minlength=size).astype(np.int32)
+                            count[k] += np.bincount(at_slot, minlength=size)
                         else:
                             np.add.at(count[k], at_slot, 1)
         task = TaskContext.get().partitionId()
         for k in range(K):
             for p, x in enumerate(np.split(count[k], PARTS)):
-                yield packed_rows([(k * PARTS + p, task, x.astype(np.int64))])
+                yield packed_rows([(k * PARTS + p, task, x)])
 
     def reduced(batches):
         for b in batches:
