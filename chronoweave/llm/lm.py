@@ -2,23 +2,24 @@
 
 A text is its words (A-Z in lower case, split at ASCII white space), each with a space behind, and an end mark. Its
 bytes are spelt by Huffman codes of the corpus, one after each byte, so likely bytes take few binary decisions. For each decision every
-predictor looks up a hashed context (the last bytes, the word so far, the word so far with the word before) in a table
+predictor looks up a context (the last bytes, the word so far, the word so far with the word before) in a table
 of bit counts; the log-odds it finds are mixed with weights that a gate picks by how sure the longest contexts are,
 weights are learnt by online gradient steps, each text learns as it goes how far to trust the mix, and a table refines
 the mixed odds. The sum of the decisions' log-probabilities is the text's; over the bytes it gives bits per byte.
 
 Tables hold the counts of all training documents but one of 28; those left out, which the tables have not seen, set
-the weights and the refinement. Tables have a fixed number of slots, each task counts its share, and a tree
-adds them up. Every document is scored by itself from the same starting weights, so equal texts get equal scores.
+the weights and the refinement. Tables are Spark rows by ranges of keys, with an entry for each context and decision
+that the corpus has, so they grow with it; each block asks the ranges for the entries that its texts visit. Every
+document is scored by itself from the same starting weights, so equal texts get equal scores.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,18 +30,21 @@ from chronoweave.llm.common import buffers, fold, gathered, materialize, packed_
 HELD_OUT, FOLDS = 2, 7
 #: Mark of the training documents that set weights: a part of a fold, one document of 28.
 WEIGHTS_FOLD, WEIGHTS_PART, WEIGHTS = 5, 4, 100
+#: Bits of a context's hash; a key is the hash and, in 16 bits more, the node of a decision.
+CONTEXT_BITS = 47
+#: Bytes of text for which a predictor's table gets a range of its own, and the fewest ranges.
+RANGE, LEAST_RANGES = 16 << 20, 64
+#: Size of a table given as an array, which has no keys.
 SLOT_BITS = 21
 #: Predictors see the last 3 or 5 bytes, the word so far, or that and the word before.
 K = 4
 GATES = 27
-#: Pieces of a table that are added up side by side.
-PARTS = 8
 PRIOR = 0.1
 #: Steps of a unit in a table's log-odds; steps of mixed log-odds, from -12 to 12, in the refinement.
 SCALE, REFINE = 16, 256
 SLAB = 512
-#: Bytes of text in a block, in a task that counts, and scored at a time.
-BLOCK, COUNTED, SCORED = 8 << 20, 64 << 20, 1 << 18
+#: Bytes of text in a block, and scored at a time.
+BLOCK, SCORED = 2 << 20, 1 << 18
 END = 10
 U = np.uint64
 
@@ -55,15 +59,16 @@ def normal(raw: bytes) -> bytes:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: ids (as text), folds, ends of the texts, the normal texts packed, the distinct words' hashes with their counts in training documents, and the training texts' counts of byte pairs."""
+    """Blocks of documents, those that set weights in blocks with odd numbers: ids (as text), folds, ends of the texts, the normal texts packed, the distinct words' hashes with their counts in training documents, and the training texts' counts of byte pairs."""
 
     def run(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 24
-        ids, folds, texts, size = [], [], [], 0
+        filling = {False: ([], [], []), True: ([], [], [])}
+        size = {False: 0, True: 0}
 
-        def done(no):
+        def done(no, ids, folds, texts):
             data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
             train = np.array(folds) != HELD_OUT
             toks, cnts, hist = [], [], np.zeros(1 << 16, np.int64)
@@ -82,17 +87,17 @@ def packed(docs: DataFrame) -> DataFrame:
             data, ends = buffers(piece["text"])
             raw = data.tobytes()
             for i, (name, kind) in enumerate(zip(piece["id"].to_pylist(), piece["fold"].to_pylist(), strict=True)):
-                text = normal(raw[ends[i] : ends[i + 1]])
-                if texts and size + len(text) > BLOCK:
-                    yield done(block)
-                    block, size = block + 1, 0
-                    ids, folds, texts = [], [], []
-                ids.append(name)
-                folds.append(kind)
-                texts.append(text)
-                size += len(text)
-        if texts:
-            yield done(block)
+                text, odd = normal(raw[ends[i] : ends[i + 1]]), kind == WEIGHTS
+                if size[odd] and size[odd] + len(text) > BLOCK:
+                    yield done(2 * block + odd, *filling[odd])
+                    block += 1
+                    filling[odd], size[odd] = ([], [], []), 0
+                for to, x in zip(filling[odd], (name, kind, text), strict=True):
+                    to.append(x)
+                size[odd] += len(text)
+        for odd in filling:
+            if size[odd]:
+                yield done(2 * block + odd, *filling[odd])
 
     mark = F.when((fold("doc_id", FOLDS) == WEIGHTS_FOLD) & (F.floor(fold("doc_id", FOLDS * WEIGHTS_PART) / FOLDS) == 0), WEIGHTS).otherwise(fold("doc_id", FOLDS))
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), mark.cast("int").alias("fold"), "text")
@@ -146,8 +151,7 @@ def huffman(weights: np.ndarray) -> list[tuple]:
 def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A Huffman code of the bytes after each byte, from counts of pairs (256 * byte before + byte).
 
-    For each pair: the number of decisions and where they begin in the lists of all decisions' nodes (spread over the
-    slots) and bits.
+    For each pair: the number of decisions and where they begin in the lists of all decisions' nodes (16 bits) and bits.
     """
     length, node, bit = np.zeros(1 << 16, np.int64), [], []
     for before in range(256):
@@ -156,8 +160,7 @@ def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             length[before * 256 + byte] = len(path)
             node += [before * 256 + k + 1 for k, _ in path]
             bit += [b for _, b in path]
-    spread = (np.array(node, np.uint64) * U(W.BASE)) >> U(64 - SLOT_BITS)
-    return length, spread.astype(np.int64), np.array(bit, np.int8), np.cumsum(length) - length
+    return length, np.array(node, np.uint64), np.array(bit, np.int8), np.cumsum(length) - length
 
 
 def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -170,7 +173,7 @@ def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """The predictors' context slots (int64) at each byte; nothing before a text's start is seen."""
+    """Hashes of the predictors' contexts at each byte, above 16 zero bits; nothing before a text's start is seen."""
     n = len(data)
     place, size = np.arange(n), np.diff(ends)
     first = np.repeat(ends[:-1], size)
@@ -202,11 +205,11 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     pair ^= pair >> U(32)
     pair = (word ^ pair * U(W.BASE)) * U(0xBF58476D1CE4E5B9)
     out += [word * U(0xD6E8FEB86659FD93) + U(0x9E6C63D0876A9A47), pair ^ pair >> U(30)]
-    return [(x >> U(64 - SLOT_BITS)).astype(np.int64) for x in out]
+    return [x >> U(64 - CONTEXT_BITS) << U(16) for x in out]
 
 
 def decisions(symbols: np.ndarray, book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run of pairs, all decisions: the byte each belongs to, its node (spread over the slots) and its bit."""
+    """Of a run of pairs, all decisions: the byte each belongs to, its node and its bit."""
     length, node, bit, start = book
     n = length[symbols]
     byte = np.repeat(np.arange(len(symbols)), n)
@@ -236,46 +239,145 @@ def state_odds(hits: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p)).astype(np.float32)
 
 
-def tables(blocks: DataFrame, book, total: int) -> np.ndarray:
-    """States of all predictors' slots (K rows of uint8), from the training texts but the fold for weights."""
+def visited(data: np.ndarray, ends: np.ndarray, train: np.ndarray, book):
+    """(predictor, keys, zeros, ones): the sorted keys of all decisions, and how often each bit followed in training texts.
+
+    A long block comes in several pieces, whose keys may repeat.
+    """
+    seen = np.empty((K, len(data)), np.uint64)
+    for i, j in slabs(ends, 1 << 20):
+        part, edge = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+        low = pairs(part, edge).astype(np.uint64) << U(1)
+        low |= np.repeat(train[i:j], np.diff(edge)).astype(np.uint64)
+        for k, c in enumerate(contexts(part, edge)):
+            seen[k, ends[i] : ends[j]] = c << U(1) | low
+    for k in range(K):
+        for a in range(0, len(data), 8 << 20):  # so that the bits of a number below suffice
+            x = np.sort(seen[k, a : a + (8 << 20)])
+            first = starts_of(x)
+            count, x = np.diff(np.append(first, len(x))), x[first]
+            head = starts_of(x >> U(17))
+            which = np.repeat(np.arange(len(head), dtype=np.uint64), np.diff(np.append(head, len(x))))
+            byte, node, bit = decisions((x >> U(1) & U(0xFFFF)).astype(np.int64), book)
+            y = (which[byte] << U(17) | node << U(1) | bit.astype(np.uint64)) << U(24) | (count.astype(np.uint64) * (x & U(1)))[byte]
+            y.sort()
+            first = starts_of(y >> U(25))
+            often, one = (y & U((1 << 24) - 1)).astype(np.int64), (y >> U(24) & U(1)).astype(np.int64)
+            ones = np.add.reduceat(often * one, first)
+            slot = y[first] >> U(25)
+            yield k, (x[head] >> U(17))[(slot >> U(16)).astype(np.int64)] << U(16) | slot & U(0xFFFF), np.add.reduceat(often, first) - ones, ones
+
+
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def shrunk(x: np.ndarray) -> bytes:
+    """Numbers, packed by their first bytes, their second bytes and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def grown(raw: bytes, dtype) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def ranges_for(total: int) -> int:
+    """Ranges of keys in each predictor's table, a power of two that grows with the corpus."""
+    return max(LEAST_RANGES, 1 << max(0, -(-total // RANGE) - 1).bit_length())
+
+
+def asked(blocks: DataFrame, book, ranges: int) -> DataFrame:
+    """Keys that a block visits, with its counts of training texts, by predictor and range of keys."""
     shared = blocks.sparkSession.sparkContext.broadcast(book)
-    size = 2 << SLOT_BITS
+    edges = np.arange(ranges + 1, dtype=np.uint64) << U(CONTEXT_BITS + 16 - (ranges.bit_length() - 1))
 
     def run(batches):
-        from pyspark import TaskContext
-
-        count = np.zeros((K, size), np.int64)
         for b in batches:
-            for folds, ends, text, n in zip(b["folds"], b["ends"], b["text"], b["size"].to_pylist(), strict=True):
-                kind, at, data = np.frombuffer(folds.as_py(), np.uint8), np.frombuffer(ends.as_py(), np.int64), unpack(text.as_py(), n)
-                use = (kind != HELD_OUT) & (kind != WEIGHTS)
-                data, at = data[np.repeat(use, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[use])])
-                for i, j in slabs(at, 1 << 20):
-                    part, edge = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                    byte, node, bit = decisions(pairs(part, edge), shared.value)
-                    for k, c in enumerate(contexts(part, edge)):
-                        at_slot = c.take(byte)  # arrays of millions: changed in place
-                        at_slot ^= node
-                        at_slot <<= 1
-                        at_slot += bit
-                        if len(at_slot) > 1 << 18:
-                            count[k] += np.bincount(at_slot, minlength=size)
-                        else:
-                            np.add.at(count[k], at_slot, 1)
-        task = TaskContext.get().partitionId()
+            for no, folds, ends, text, n in zip(b["block"], b["folds"], b["ends"], b["text"], b["size"].to_pylist(), strict=True):
+                kind, at = np.frombuffer(folds.as_py(), np.uint8), np.frombuffer(ends.as_py(), np.int64)
+                for k, key, zeros, ones in visited(unpack(text.as_py(), n), at, (kind != HELD_OUT) & (kind != WEIGHTS), shared.value):
+                    cut = np.searchsorted(key, edges)
+                    rows = [(k * ranges + r, key[i:j], zeros[i:j], ones[i:j]) for r, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+                    part, *columns = zip(*rows, strict=True)
+                    packs = [[shrunk(np.diff(x, prepend=U(0))) for x in columns[0]], *([shrunk(x.astype(np.uint32)) for x in c] for c in columns[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([no.as_py()] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in packs)], ["part", "block", "keys", "zeros", "ones"])
+
+    return blocks.select("block", "folds", "ends", "text", "size").mapInArrow(run, "part int, block long, keys binary, zeros binary, ones binary")
+
+
+def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
+    """block, part, keys, states: what each predictor's table says of the keys that a block visits.
+
+    A range's table sums the counts of all blocks, from the training texts but the fold for weights.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = [np.cumsum(grown(x.as_py(), np.uint64), dtype=np.uint64) for x in group["keys"]]
+        every = np.sort(np.concatenate(keys))
+        every = every[starts_of(every)]
+        count = np.zeros((len(every), 2), np.int64)
+        places = [np.searchsorted(every, x) for x in keys]
+        for at, zeros, ones in zip(places, group["zeros"], group["ones"], strict=True):
+            count[at, 0] += grown(zeros.as_py(), np.uint32)
+            count[at, 1] += grown(ones.as_py(), np.uint32)
+        state = states(count)
+        return pa.table([group["block"], group["part"], group["keys"], pa.array([shrunk(state[at]) for at in places], pa.binary())], names=["block", "part", "keys", "states"])
+
+    return asked(blocks, book, ranges).groupBy("part").applyInArrow(run, "block long, part int, keys binary, states binary")
+
+
+class Found:
+    """The tables' entries for all keys that a block visits: by predictor, levels of open hash tables with the whole key in each cell.
+
+    `values` (K, 256 of one byte) is what stands for each state.
+    """
+
+    def __init__(self, rows: list[dict], values: np.ndarray, ranges: int):
+        self.levels = []
         for k in range(K):
-            for p, x in enumerate(np.split(count[k], PARTS)):
-                yield packed_rows([(k * PARTS + p, task, x)])
+            mine = [r for r in rows if r["part"] // ranges == k]
+            key = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(grown(r["keys"], np.uint64), dtype=np.uint64) for r in mine)])
+            value = values[k].view(np.uint8).take(np.concatenate([np.zeros(0, np.uint8), *(grown(r["states"], np.uint8) for r in mine)]))
+            h, levels = key * U(W.BASE), []
+            while len(h):
+                bits = U(max(8, (2 * len(h)).bit_length()))
+                at, cell = (h >> U(64) - bits).astype(np.int64), h << bits | value
+                table = np.zeros(1 << int(bits), np.uint64)
+                table[at] = cell
+                left = table[at] != cell
+                levels.append((bits, table))
+                h, value = W.mix(h[left]), value[left]
+            self.levels.append(levels)
 
-    def reduced(batches):
-        for b in batches:
-            out = [zlib.compress(states(np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(-1, 2)).tobytes(), 1) for x in b["data"]]
-            yield pa.RecordBatch.from_arrays([b["part"], pa.array(out, pa.binary())], ["part", "data"])
+    def find(self, k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return self.look(self.levels[k], (context | node) * U(W.BASE))
+
+    def look(self, levels: list, h: np.ndarray) -> np.ndarray:
+        (bits, table), *rest = levels
+        cell = table.take((h >> U(64) - bits).view(np.int64))
+        cell ^= h << bits
+        out = cell.astype(np.uint8)
+        other = np.flatnonzero(cell > U(255))
+        if len(other):
+            out[other] = self.look(rest, W.mix(h[other]))
+        return out
 
-    tasks = max(1, -(-total // COUNTED))
-    parts = blocks.select("folds", "ends", "text", "size").coalesce(tasks).mapInArrow(run, "part int, task int, data binary")
-    got = gathered(tree_sum(parts, "int64", fan=16, tasks=tasks).mapInArrow(reduced, "part int, data binary"), "uint8")
-    return got.reshape(K, -1) if len(got) else np.full((K, 1 << SLOT_BITS), states(np.zeros((1, 2)))[0])
+
+class Dense:
+    """A table given as an array, K rows of 2^SLOT_BITS bytes."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def find(self, k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return self.table[k].take(((context | node) * U(W.BASE) >> U(64 - SLOT_BITS)).astype(np.int64))
+
+
+def with_found(blocks: DataFrame, found: DataFrame, run, fields: str) -> DataFrame:
+    """run(blocks, found) of each block and its part of the tables."""
+    return blocks.select("block", "ids", "folds", "ends", "text", "size").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, fields)
 
 
 # ---------------------------------------------------------------- mixing
@@ -305,8 +407,9 @@ class Mixer:
     trust them, and the probability of each decision is what the refinement says of the gate and mixed log-odds.
     """
 
-    def __init__(self, book, table: np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float):
-        self.book, self.table, self.weights, self.refine, self.rate = book, table, (weights / SCALE).astype(np.float32), refine, rate
+    def __init__(self, book, table: Found | np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float):
+        self.table = Dense(table) if isinstance(table, np.ndarray) else table
+        self.book, self.weights, self.refine, self.rate = book, (weights / SCALE).astype(np.float32), refine, rate
         self.seen, self.used = np.zeros((GATES * REFINE, 2)), np.zeros(GATES)
         if refine is not None:
             p = np.clip(refine, 1e-7, 1 - 1e-7)
@@ -322,7 +425,7 @@ class Mixer:
             at = place[byte]
             starts = np.concatenate([[0], np.cumsum(length[symbols])])[np.cumsum(take) - take]  # of each text's decisions
             each = np.diff(np.append(starts, len(byte)))
-            s = [self.table[k].take(ctx[k].take(at) ^ node) for k in range(K)]
+            s = [self.table.find(k, ctx[k].take(at), node).view(np.int8) for k in range(K)]
             gate = LEVEL.take(s[3].view(np.uint8)) * np.int8(9)
             gate += LEVEL.take(s[1].view(np.uint8)) * np.int8(3)
             gate += LEVEL.take(s[2].view(np.uint8))
@@ -350,63 +453,68 @@ class Mixer:
         return total
 
 
-def left_out(batches):
-    """The texts of the fold that the tables haven't seen, with their ends, in groups."""
-    for b in batches:
-        for folds, ends, text, n in zip(b["folds"], b["ends"], b["text"], b["size"].to_pylist(), strict=True):
-            kind, at, data = np.frombuffer(folds.as_py(), np.uint8), np.frombuffer(ends.as_py(), np.int64), unpack(text.as_py(), n)
-            mine = kind == WEIGHTS
-            data, at = data[np.repeat(mine, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[mine])])
-            for i, j in slabs(at, SCORED):
-                yield data[at[i] : at[j]], at[i : j + 1] - at[i]
+def texts_of(blocks: pa.Table):
+    """The texts of blocks with their ends, in groups."""
+    for row in blocks.select(["ends", "text", "size"]).to_pylist():
+        ends, data = np.frombuffer(row["ends"], np.int64), unpack(row["text"], row["size"])
+        for i, j in slabs(ends, SCORED):
+            yield data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
 
 
-def follow(book, table: np.ndarray, data: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> None:
+def follow(book, table: Found, data: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> None:
     """Count into `hits` what follows each predictor's states."""
     ctx = contexts(data, ends)
     byte, node, bit = decisions(pairs(data, ends), book)
     for k in range(K):
-        state = table[k].take(ctx[k].take(byte) ^ node).astype(np.int64)
+        state = table.find(k, ctx[k].take(byte), node).astype(np.int64)
         hits[k] += np.bincount(state * 2 + bit, minlength=512).reshape(256, 2)
 
 
-def fit_states(blocks: DataFrame, book, table: np.ndarray) -> np.ndarray:
-    """Log-odds of every predictor's states, from what follows them in the fold that the tables haven't seen."""
-    shared = blocks.sparkSession.sparkContext.broadcast((book, table))
+def summed(blocks: DataFrame, found: DataFrame, one, dtype: str) -> np.ndarray:
+    """Sum of one(blocks, found), an array of fixed size, over all blocks."""
 
-    def run(batches):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        hits = np.zeros((K, 256, 2), np.int64)
-        for data, ends in left_out(batches):
-            follow(*shared.value, data, ends, hits)
-        yield packed_rows([(0, TaskContext.get().partitionId(), hits.ravel())])
+        return pa.Table.from_batches([packed_rows([(0, TaskContext.get().partitionId(), one(left, right.to_pylist()))])])
+
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return gathered(tree_sum(with_found(blocks, found, run, "part int, task int, data binary"), dtype, tasks=tasks), dtype)
+
+
+def fit_states(blocks: DataFrame, found: DataFrame, book, ranges: int) -> np.ndarray:
+    """Log-odds (int8) of every predictor's states, from what follows them in the blocks that the tables haven't seen."""
+    shared = blocks.sparkSession.sparkContext.broadcast(book)
+
+    def one(left: pa.Table, right: list[dict]) -> np.ndarray:
+        hits, table = np.zeros((K, 256, 2), np.int64), Found(right, np.tile(np.arange(256, dtype=np.uint8), (K, 1)), ranges)
+        for data, ends in texts_of(left):
+            follow(shared.value, table, data, ends, hits)
+        return hits.ravel()
 
-    got = gathered(tree_sum(blocks.select("folds", "ends", "text", "size").mapInArrow(run, "part int, task int, data binary"), "int64"), "int64")
-    return state_odds(got.reshape(K, 256, 2) if len(got) else np.zeros((K, 256, 2)))
+    got = summed(blocks, found, one, "int64")
+    odds = state_odds(got.reshape(K, 256, 2) if len(got) else np.zeros((K, 256, 2)))
+    return np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
 
 
-def fit_weights(blocks: DataFrame, book, table: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and the refinement table, from the same fold.
+def fit_weights(blocks: DataFrame, found: DataFrame, book, odds: np.ndarray, ranges: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and the refinement table, from the same blocks.
 
-    Without `start` each task learns weights online through its texts and the tasks' weights are averaged by use; with
-    it, weights begin there, and what follows the mixed odds makes the refinement.
+    Without `start` weights are learnt online through each block's texts and averaged by use; with it, weights begin
+    there, and what follows the mixed odds makes the refinement.
     """
     first = start_weights() if start is None else start
-    shared = blocks.sparkSession.sparkContext.broadcast((book, table, first))
+    shared = blocks.sparkSession.sparkContext.broadcast((book, odds, first))
     rate = 0.02 if start is None else 0.001
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        mixer = Mixer(*shared.value, None, rate)
-        for data, ends in left_out(batches):
+    def one(left: pa.Table, right: list[dict]) -> np.ndarray:
+        book, odds, first = shared.value
+        mixer = Mixer(book, Found(right, odds, ranges), first, None, rate)
+        for data, ends in texts_of(left):
             mixer.bits(data, ends)
-        out = np.concatenate([(mixer.weights * SCALE * mixer.used).ravel(), mixer.used, mixer.seen.ravel()])
-        yield packed_rows([(0, TaskContext.get().partitionId(), out)])
+        return np.concatenate([(mixer.weights * SCALE * mixer.used).ravel(), mixer.used, mixer.seen.ravel()])
 
-    parts = blocks.select("folds", "ends", "text", "size").mapInArrow(run, "part int, task int, data binary")
-    got = gathered(tree_sum(parts, "float64"), "float64")
+    got = summed(blocks, found, one, "float64")
     if not len(got):
         return first, refinement(np.zeros((GATES * REFINE, 2)))
     weights, used, seen = np.split(got, [GATES * K, GATES * K + GATES])
@@ -424,12 +532,6 @@ def refinement(seen: np.ndarray, reach: int = 2) -> np.ndarray:
     return ((near[:, 1] + 30 * base) / (near.sum(1) + 30)).astype(np.float32)
 
 
-def odds_table(table: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """The tables with the log-odds (int8) that their states stand for in place of the states."""
-    small = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
-    return np.stack([small[k].take(table[k]) for k in range(K)])
-
-
 # ---------------------------------------------------------------- scores
 
 
@@ -446,21 +548,26 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     seen = {r["i"]: r["n"] for r in blocks.select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).where("n > 0").collect()}  # 65536 rows at most
     book = code(np.array([seen.get(i, 0) for i in range(1 << 16)], np.int64))
-    table = tables(blocks, book, total)
-    table = odds_table(table, fit_states(blocks, book, table))
-    weights, _ = fit_weights(blocks, book, table, None)
-    weights, refine = fit_weights(blocks, book, table, weights)
+    ranges = ranges_for(total)
+    found = materialize(tables(blocks, book, ranges), "lm-tables")
+    unseen = materialize(blocks.where("block % 2 = 1").select("block", "ids", "folds", "ends", "text", "size"), "lm-weights"), materialize(found.where("block % 2 = 1"), "lm-weights-tables")
+    odds = fit_states(*unseen, book, ranges)
+    weights, _ = fit_weights(*unseen, book, odds, ranges, None)
+    weights, refine = fit_weights(*unseen, book, odds, ranges, weights)
 
     words = blocks.select("block", F.explode(F.arrays_zip("toks", "cnts")).alias("t")).select("block", F.col("t.toks").alias("tok"), F.col("t.cnts").alias("cnt"))
     vocabulary = words.groupBy("tok").agg(F.sum("cnt").alias("c"))
     known = materialize(words.select("block", "tok").join(vocabulary.where("c > 0"), "tok").select("block", "tok", "c"), "lm-counts")
     size = materialize(vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")), "lm-size")
     n_train, v_train = size.first()
-    shared = spark.sparkContext.broadcast((book, table, weights, refine))
+    shared = spark.sparkContext.broadcast((book, odds, weights, refine))
     fields = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        mixer = Mixer(*shared.value, rate)
+        book, odds, weights, refine = shared.value
+        has = right.filter(pc.is_valid(right["part"]))
+        mixer = Mixer(book, Found(has.select(["part", "keys", "states"]).to_pylist(), odds, ranges), weights, refine, rate)
+        right = right.filter(pc.is_null(right["part"]))
         tok, c = right["tok"].to_numpy().view(np.uint64), right["c"].to_numpy()
         order = np.argsort(tok)
         tok, c = np.append(tok[order], U(2**64 - 1)), np.append(c[order], 0)
@@ -480,6 +587,5 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
         ids = [i for x in left["ids"].to_pylist() for i in x]
         return pa.table([pa.array(ids, pa.string()), *(pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds, strict=True))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
-    texts = blocks.select("block", "ids", "folds", "ends", "text", "size")
-    done = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, fields)
+    done = with_found(blocks, found.unionByName(known, allowMissingColumns=True), run, fields)
     return done.select(F.col("id").cast(id_type).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
