@@ -15,13 +15,18 @@ def held_out() -> F.Column:
     return fold("doc_id", FOLDS) == 0
 
 
+def seen_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label of the documents whose labels a model may see, each pair once."""
+    return labels.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """doc_id, text, label of at most `per_class` labelled documents of each of the classes 0 and 1, never held-out ones.
 
     The documents with the smallest hashes of their ids are taken, by a distributed top-k, so the result is bounded,
     repeatable and independent of the order of rows. Null labels and labels without a document don't count.
     """
-    seen = labels.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    seen = seen_labels(labels, label)
     order = F.xxhash64(F.lit(label), "doc_id")
     picked = [seen.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * per_class rows of two numbers

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm import words as W
-from chronoweave.llm.common import buffers, pieces
-from chronoweave.llm.labelled import held_out, prior, sample
+from chronoweave.llm.common import buffers, gathered, packed_rows, pieces, tree_sum
+from chronoweave.llm.labelled import held_out, prior, sample, seen_labels
 
 GRAMS = (3, 4, 5, 6)
 BITS = 16
@@ -52,46 +52,83 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(found), np.concatenate(rows)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
-def sparse_rows(docs: DataFrame) -> DataFrame:
-    """Label, number of n-grams, and the n-gram buckets of each document with their counts (both packed as uint16)."""
+def distinct_buckets(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and count of the buckets that each row has, in order, and each row's number of n-grams."""
+    bucket, row = gram_buckets(*buffers(piece["text"]))
+    code, count = np.unique(row * (1 << BITS) + bucket.astype(np.int64), return_counts=True)
+    return code >> BITS, code & ((1 << BITS) - 1), count, np.bincount(row, minlength=piece.num_rows)
+
+
+def frequencies(docs: DataFrame, labels: DataFrame, label: str) -> np.ndarray:
+    """For the classes 0 and 1, how many of all labelled documents have each bucket, and their number (2, buckets + 1)."""
+    known = seen_labels(labels, label).where("label in (0, 1)").hint("merge")  # labels grow with the documents: never broadcast
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("label", "text")
 
     def run(batches):
+        from pyspark import TaskContext
+
+        seen = np.zeros((2, (1 << BITS) + 1), np.int64)
         for piece in pieces(batches, most=1 << 20):
-            bucket, row = gram_buckets(*buffers(piece["text"]))
-            n = piece.num_rows
-            code, count = np.unique(row * (1 << BITS) + bucket.astype(np.int64), return_counts=True)
-            ends = np.searchsorted(code >> BITS, np.arange(n + 1))
-            total = np.maximum(1, np.bincount(row, minlength=n))
-            ids = (code & ((1 << BITS) - 1)).astype(np.uint16)
-            count = np.minimum(count, 65535).astype(np.uint16)
+            row, bucket, _, _ = distinct_buckets(piece)
+            y = piece["label"].to_numpy()
+            seen[:, -1] += np.bincount(y, minlength=2)
+            for k in (0, 1):
+                seen[k, :-1] += np.bincount(bucket[y[row] == k], minlength=1 << BITS)
+        yield packed_rows([(0, TaskContext.get().partitionId(), seen.ravel())])
+
+    tasks = max(48**2, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # asking for their number would run the join once more
+    got = gathered(tree_sum(rows.mapInArrow(run, "part int, task int, data binary"), "int64", tasks=tasks), "int64")
+    return got.reshape(2, -1) if len(got) else np.zeros((2, (1 << BITS) + 1), np.int64)
+
+
+def sparse_rows(docs: DataFrame, use: np.ndarray) -> DataFrame:
+    """Label, number of n-grams, and those n-gram buckets of each document that are in `use` with their counts (both packed as uint16)."""
+    shared = docs.sparkSession.sparkContext.broadcast(use)
+
+    def run(batches):
+        for piece in pieces(batches, most=1 << 20):
+            row, bucket, count, total = distinct_buckets(piece)
+            kept = shared.value[bucket]
+            ends = np.searchsorted(row[kept], np.arange(piece.num_rows + 1))
+            total = np.maximum(1, total)
+            ids = bucket[kept].astype(np.uint16)
+            count = np.minimum(count[kept], 65535).astype(np.uint16)
             cut = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([piece["label"], pa.array(total), pa.array([ids[c].tobytes() for c in cut], pa.binary()), pa.array([count[c].tobytes() for c in cut], pa.binary())], ["label", "total", "ids", "counts"])
 
     return docs.mapInArrow(run, "label int, total long, ids binary, counts binary")
 
 
-def informative(ids: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
-    """Buckets whose share of documents with them differs between the classes by `least` standard errors.
+def informative(seen: np.ndarray, least: float) -> np.ndarray:
+    """Buckets whose share of documents with them differs between the classes by `least` standard errors, of `frequencies`.
 
     The others can only be learnt by heart: their embeddings stay zero.
     """
-    seen = np.zeros((2, 1 << BITS))
-    for i, k in zip(ids, y, strict=True):
-        seen[k, i] += 1
-    n = np.bincount(y, minlength=2).astype(float)
+    n, seen = np.maximum(1, seen[:, -1]).astype(float), seen[:, :-1]
     p = seen.sum(0) / n.sum()
     z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
     return (np.abs(z) >= least) & (seen.sum(0) >= 3)
 
 
-def train(rows: list, *, dim: int = 8, steps: int = 1200, rate: float = 0.05, decay: float = 1e-3, batch: int = 64, least: float = 4.0, seed: int = 5) -> tuple[np.ndarray, float]:
+def log_odds(seen: np.ndarray) -> np.ndarray:
+    """How much likelier a document of class 1 has each bucket, as a logarithm."""
+    share = (seen[:, :-1] + 0.5) / (seen[:, -1:] + 1)
+    return np.log(share[1] / share[0])
+
+
+def fill(table: np.ndarray, use: np.ndarray, trained: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The table in which buckets of `use` that the sample has not trained get what trained ones with their log-odds have on average."""
+    slope = float(table[trained] @ odds[trained]) / max(1e-9, float(odds[trained] @ odds[trained]))
+    return np.where(use & ~trained, slope * odds, table).astype(np.float32)
+
+
+def train(rows: list, seen: np.ndarray, use: np.ndarray, *, dim: int = 8, steps: int = 1200, rate: float = 0.05, decay: float = 1e-3, batch: int = 64, seed: int = 5) -> tuple[np.ndarray, float]:
     """One number per bucket and a bias, of embeddings and softmax trained together with Adam; the classes weigh the same."""
     rng = np.random.default_rng(seed)
     ids = [np.frombuffer(r["ids"], np.uint16) for r in rows]
     y = np.array([r["label"] for r in rows], np.int64)
-    use = informative(ids, y, least)
-    share = [(np.frombuffer(r["counts"], np.uint16)[use[i]] / r["total"]).astype(np.float32) for r, i in zip(rows, ids, strict=True)]
-    ids = [i[use[i]].astype(np.int64) for i in ids]
+    share = [(np.frombuffer(r["counts"], np.uint16) / r["total"]).astype(np.float32) for r in rows]
+    ids = [i.astype(np.int64) for i in ids]
     weight = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))[y]
     emb, out, bias = (rng.normal(0, 0.1, (1 << BITS, dim)) * use[:, None]).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, out, bias)]
@@ -118,18 +155,21 @@ def train(rows: list, *, dim: int = 8, steps: int = 1200, rate: float = 0.05, de
                 m[at] = 0.9 * m[at] + 0.1 * grad
                 v[at] = 0.99 * v[at] + 0.01 * grad * grad
                 param[at] -= rate * m[at] / (1 - 0.9**step) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-6)
-    return ((emb @ (out[:, 1] - out[:, 0])) * 100).astype(np.float32), float(bias[1] - bias[0])
+    trained = np.bincount(np.concatenate(ids), minlength=1 << BITS) > 0
+    return fill((emb @ (out[:, 1] - out[:, 0])) * 100, use, trained, log_odds(seen)), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 1000) -> tuple[np.ndarray, float]:
-    """A model from at most `per_class` documents of each class; with fewer than two classes, the same score for all."""
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2000, least: float = 4.0) -> tuple[np.ndarray, float]:
+    """A model whose n-grams are chosen by all labelled documents and trained on at most `per_class` of each class; with fewer than two classes, the same score for all."""
     share = prior(labels, label)
-    rows = [r.asDict() for r in sparse_rows(sample(docs, labels, label, per_class)).repartition(8).toLocalIterator()]  # an eighth at a time
+    seen = frequencies(docs, labels, label)
+    use = informative(seen, least)
+    rows = [r.asDict() for r in sparse_rows(sample(docs, labels, label, per_class), use).repartition(8).toLocalIterator()]  # an eighth at a time
     base = float(np.log(share / (1 - share)))
     if len({r["label"] for r in rows}) < 2:
         return np.zeros(1 << BITS, np.float32), base
     rows.sort(key=lambda r: (r["label"], bytes(r["ids"]), bytes(r["counts"])))
-    table, bias = train(rows)
+    table, bias = train(rows, seen, use)
     return table, bias + base
 
 

@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 
-from chronoweave.llm import lm
+from chronoweave.llm import lm, toxicity
+from tests.llm.conftest import prose
 
 
 def test_lm_tables_have_an_entry_for_each_context_of_the_corpus(spark):
@@ -40,3 +41,23 @@ def test_lm_tables_have_an_entry_for_each_context_of_the_corpus(spark):
 def test_lm_ranges_grow_with_the_corpus():
     assert lm.ranges_for(0) == lm.LEAST_RANGES
     assert lm.ranges_for(30 << 30) >= (30 << 30) // lm.RANGE
+
+
+def test_toxicity_learns_from_labels_beyond_the_sample(spark):
+    """A word in 10 % of the toxic documents, none of which need be in the sample, marks a document as toxic."""
+    rng, docs, labels = random.Random(3), [], []
+    for i in range(2000):
+        toxic = i % 2
+        word = ("zzyxqu" if i % 20 == 1 else "gronkel") if toxic else "hello"
+        docs.append((i, f"{prose(rng, 5)} {word} {prose(rng, 5)}"))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    picked = {r.doc_id for r in toxicity.sample(docs, labels, "toxic", 20).collect()}
+    model = toxicity.fit(docs, labels, per_class=20)
+    some = spark.createDataFrame([(1, "kaban lodor zzyxqu mifel negis puhum"), (2, "kaban lodor mifel hello negis puhum")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(some, model).collect()}
+    assert len(picked) == 40 and got[1] > 0.5 > got[2]
+    seen = toxicity.frequencies(docs, labels, "toxic")
+    assert seen[:, -1].sum() == sum(1 for r in labels.select(~toxicity.held_out()).collect() if r[0])
+    bucket = np.unique(toxicity.gram_buckets(np.frombuffer(b"zzyxqu", np.uint8), np.array([0, 6]))[0])
+    assert toxicity.informative(seen, 4.0)[bucket].mean() > 0.9  # a bucket may be shared with a common n-gram
