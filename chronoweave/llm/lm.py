@@ -1,16 +1,19 @@
 """Language-model scores: online logistic mixing of hashed-context bit predictors.
 
-A text is its words (A-Z in lower case, split at ASCII white space), each with a space behind, and an end mark. Its
-bytes are spelt by Huffman codes of the corpus, one after each byte, so likely bytes take few binary decisions. For each decision every
-predictor looks up a context (the last bytes, the word so far, the word so far with the word before) in a table
-of bit counts; the log-odds it finds are mixed with weights that a gate picks by how sure the longest contexts are,
-weights are learnt by online gradient steps, each text learns as it goes how far to trust the mix, and a table refines
-the mixed odds. The sum of the decisions' log-probabilities is the text's; over the bytes it gives bits per byte.
+A text is its words (A-Z in lower case, split at ASCII white space), each with a space behind, and an end mark. For a
+word whose two predecessors the corpus has seen with words that followed them twice or more, the first decision is
+whether one of those follows again; if so, their counts name it. Any other word is spelt: its bytes by Huffman codes of
+the corpus, one after each byte, so likely bytes take few binary decisions. For each decision every predictor looks up
+a context (the last three or five bytes, or all, of the word so far) in a table of bit counts; the log-odds it finds
+are mixed with weights that a gate picks by how sure the predictors are, and a table refines the mixed odds. Weights
+are learnt by online gradient steps; within each text its own steps go on, from the same start for every text, at
+first every few words: they move the weight of each predictor, a bias before the refinement and the odds of the first
+decision. The sum of the decisions' log-probabilities is the text's; over the bytes it gives bits per byte.
 
 Tables hold the counts of all training documents but one of 28; those left out, which the tables have not seen, set
-the weights and the refinement. Tables are Spark rows by ranges of keys, with an entry for each context and decision
-that the corpus has, so they grow with it; each block asks the ranges for the entries that its texts visit. Every
-document is scored by itself from the same starting weights, so equal texts get equal scores.
+the weights and the refinement. Tables are Spark groups by ranges of keys, with an entry for each context and decision
+that the corpus has, so they grow with it; each block asks the ranges for what its words and contexts have. As a
+spelling depends on the word alone, a block looks up each distinct word once.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,34 +34,128 @@ HELD_OUT, FOLDS = 2, 7
 WEIGHTS_FOLD, WEIGHTS_PART, WEIGHTS = 5, 4, 100
 #: Bits of a context's hash; a key is the hash and, in 16 bits more, the node of a decision.
 CONTEXT_BITS = 47
-#: Bytes of text for which a predictor's table gets a range of its own, and the fewest ranges.
+#: Bytes of text for which a kind of question gets a range of its own, and the fewest ranges.
 RANGE, LEAST_RANGES = 16 << 20, 64
-#: Size of a table given as an array, which has no keys.
-SLOT_BITS = 21
-#: Predictors see the last 3 or 5 bytes, the word so far, or that and the word before.
-K = 4
-GATES = 27
+#: Predictors of spelling see the last 3 or 5 bytes of the word so far, or all of it.
+REACH = (3, 5, None)
+K = len(REACH)
+#: Kinds of questions beside the predictors': words' counts, and what followed pairs of words.
+VOCABULARY, LONG = K, K + 1
+#: A follower counts as seen from this many times on: once may be the text itself.
+TWICE = 2
+TAIL_BITS = 28
+GATES, LONG_GATES = 27, 5
 PRIOR = 0.1
 #: Steps of a unit in a table's log-odds; steps of mixed log-odds, from -12 to 12, in the refinement.
 SCALE, REFINE = 16, 256
-SLAB = 512
-#: Bytes of text in a block, and scored at a time.
-BLOCK, SCORED = 2 << 20, 1 << 18
-END = 10
+#: Words between two online steps of a text: the first, and the most.
+STEP, MOST_STEP = 16, 128
+#: Bytes of text in a block, and of a group of texts that are scored side by side.
+BLOCK, SCORED = 4 << 20, 1 << 19
+END, SPACE = 10, 32
 U = np.uint64
 
 
-def normal(raw: bytes) -> bytes:
-    """The text as the model spells it."""
-    parts = raw.lower().split()
-    return b" ".join([*parts, b"\n"])
+# ---------------------------------------------------------------- arrays
+
+
+def distinct(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of well mixed 64-bit numbers: the distinct ones in order, a place of each, and for every place which it is."""
+    n = len(z)
+    if not n:
+        return z, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = U(max(1, (n - 1).bit_length()))
+    y = z >> bits << bits
+    y |= np.arange(n, dtype=np.uint64)
+    y.sort()
+    order = (y & U((1 << int(bits)) - 1)).astype(np.int64)
+    ordered = z[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    keys = ordered[new]
+    if np.any(keys[1:] <= keys[:-1]):  # two that differ in the low bits alone may have been mixed up
+        return np.unique(z, return_index=True, return_inverse=True)
+    which = np.empty(n, np.int64)
+    which[order] = np.cumsum(new) - 1
+    return keys, order[new], which
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each row, n of them, one row after another."""
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
+
+
+def shrunk(x: np.ndarray) -> bytes:
+    """Numbers, packed by their first bytes, their second bytes and so on."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def grown(raw: bytes, dtype) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def slabs(ends: np.ndarray, most: int):
+    """Ranges of documents of at most `most` bytes, or of one longer document."""
+    a, n = 0, len(ends) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield a, b
+        a = b
 
 
 # ---------------------------------------------------------------- blocks
 
 
+def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and stop of each text's words and of its end (hash 0, no bytes), and the number of each text's first (texts + 1)."""
+    out, first, base = [], [np.zeros(1, np.int64)], 0
+    for a, b in slabs(ends, 1 << 20):
+        part, at = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+        starts, stops, f = W.spans(part, at, W.SPACE == 0)
+        h = W.hashes(part, starts, stops)
+        out.append((np.insert(h, f[1:], U(0)), np.insert(starts, f[1:], 0) + ends[a], np.insert(stops, f[1:], 0) + ends[a]))
+        first.append(base + f[1:] + np.arange(1, len(f)))
+        base = int(first[-1][-1])
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(first)
+
+
+def spelt(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spellings of words, a space behind each, or an end mark where there are no bytes; and their ends (words + 1)."""
+    size = stops - starts
+    ends = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(ends[-1], SPACE, np.uint8)
+    out[spread(ends[:-1], size)] = data[spread(starts, size)]
+    out[ends[1:][size == 0] - 1] = END
+    return out, ends
+
+
+class Block:
+    """Texts as numbers of distinct words."""
+
+    def __init__(self, row: dict):
+        self.no, self.ids = row["block"], row["ids"]
+        self.folds, self.first = np.frombuffer(row["folds"], np.uint8), np.frombuffer(row["first"], np.int64)
+        self.word = grown(row["word"], np.uint32).astype(np.int64)
+        self.hash, self.ends = grown(row["hash"], np.uint64), np.concatenate([[0], np.cumsum(grown(row["lengths"], np.uint64).astype(np.int64))])
+        self.spelling = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["spelling"]), np.uint8)
+
+    def counts(self, *left_out: int) -> np.ndarray:
+        """How often each word is in the documents of other folds."""
+        use = ~np.isin(self.folds, left_out)
+        return np.bincount(self.word[np.repeat(use, np.diff(self.first))], minlength=len(self.hash))
+
+
+FIELDS = "block long, ids array<string>, folds binary, first binary, word binary, hash binary, lengths binary, spelling binary, size long, hist array<long>"
+COLUMNS = [f.split()[0] for f in FIELDS.split(", ")]
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """Blocks of documents, those that set weights in blocks with odd numbers: ids (as text), folds, ends of the texts, the normal texts packed, the distinct words' hashes with their counts in training documents, and the training texts' counts of byte pairs."""
+    """Blocks of documents, those that set weights in blocks with odd numbers: ids (as text), folds, where texts begin, which words they have, the distinct words, and the training texts' counts of byte pairs."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -69,26 +165,24 @@ def packed(docs: DataFrame) -> DataFrame:
         size = {False: 0, True: 0}
 
         def done(no, ids, folds, texts):
-            data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-            train = np.array(folds) != HELD_OUT
-            toks, cnts, hist = [], [], np.zeros(1 << 16, np.int64)
-            for a, b in slabs(ends, 4 * SCORED):
-                h, first = token_hashes(data, ends[a : b + 1])
-                doc = W.doc_of(first) + a
-                u, inv = np.unique(h, return_inverse=True)
-                toks.append(u)
-                cnts.append(np.bincount(inv, train[doc], len(u)).astype(np.int64))
-                hist += np.bincount(pairs(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[np.repeat(train[a:b], np.diff(ends[a : b + 1]))], minlength=1 << 16)
-            u, inv = np.unique(np.concatenate(toks), return_inverse=True)
-            c = np.bincount(inv, np.concatenate(cnts), len(u)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([no]), pa.array([ids], pa.list_(pa.string())), pa.array([bytes(folds)], pa.binary()), pa.array([ends.astype(np.int64).tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes())], pa.binary()), pa.array([len(data)]), pa.array([u.view(np.int64)], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64())), pa.array([hist], pa.list_(pa.int64()))], ["block", "ids", "folds", "ends", "text", "size", "toks", "cnts", "hist"])
+            data, ends = W.lower(np.frombuffer(b"".join(texts), np.uint8)), np.cumsum([0, *map(len, texts)])
+            h, start, stop, first = tokens(data, ends)
+            known, at, word = distinct(h)
+            spelling, edge = spelt(data, start[at], stop[at])
+            length = np.diff(edge)
+            count = np.bincount(word[np.repeat(np.array(folds) != HELD_OUT, np.diff(first))], minlength=len(known))
+            hist = np.bincount(pairs(spelling, edge), np.repeat(count, length), 1 << 16).astype(np.int64)
+            pack = zstandard.ZstdCompressor(level=1).compress(spelling.tobytes())
+            values = [no, ids, bytes(folds), first.astype(np.int64).tobytes(), shrunk(word.astype(np.uint32)), shrunk(known), shrunk(length.astype(np.uint64)), pack, int(length[word].sum()), hist]
+            kinds = [pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 6, pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], COLUMNS)
 
         for piece in pieces(batches):
             data, ends = buffers(piece["text"])
             raw = data.tobytes()
             for i, (name, kind) in enumerate(zip(piece["id"].to_pylist(), piece["fold"].to_pylist(), strict=True)):
-                text, odd = normal(raw[ends[i] : ends[i + 1]]), kind == WEIGHTS
-                if size[odd] and size[odd] + len(text) > BLOCK:
+                text, odd = raw[ends[i] : ends[i + 1]], kind == WEIGHTS
+                if filling[odd][0] and size[odd] + len(text) > BLOCK:
                     yield done(2 * block + odd, *filling[odd])
                     block += 1
                     filling[odd], size[odd] = ([], [], []), 0
@@ -96,33 +190,12 @@ def packed(docs: DataFrame) -> DataFrame:
                     to.append(x)
                 size[odd] += len(text)
         for odd in filling:
-            if size[odd]:
+            if filling[odd][0]:
                 yield done(2 * block + odd, *filling[odd])
 
     mark = F.when((fold("doc_id", FOLDS) == WEIGHTS_FOLD) & (F.floor(fold("doc_id", FOLDS * WEIGHTS_PART) / FOLDS) == 0), WEIGHTS).otherwise(fold("doc_id", FOLDS))
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), mark.cast("int").alias("fold"), "text")
-    return rows.mapInArrow(run, "block long, ids array<string>, folds binary, ends binary, text binary, size long, toks array<long>, cnts array<long>, hist array<long>")
-
-
-def slabs(ends: np.ndarray, most: int):
-    """Ranges of documents of at most `most` bytes, or of one longer document."""
-    a, n = 0, len(ends) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
-        yield a, b
-        a = b
-
-
-def token_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text and 0 for its end, and the number of each text's first (texts + 1)."""
-    part, at = data[ends[0] : ends[-1]], ends - ends[0]
-    starts, stops, first = W.spans(part, at, W.SPACE == 0)
-    h = W.hashes(part, starts, stops)
-    return np.insert(h, first[1:], U(0)), first + np.arange(len(first))
-
-
-def unpack(row_text: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row_text, max_output_size=max(1, size)), np.uint8)
+    return rows.mapInArrow(run, FIELDS)
 
 
 # ---------------------------------------------------------------- code and contexts
@@ -164,62 +237,92 @@ def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """256 * the byte before + the byte, at each byte; before a text stands an end mark."""
+    """256 * the byte before + the byte, at each byte; before a word stands a space."""
     out = data.astype(np.int64)
     out[1:] += data[:-1].astype(np.int64) << 8
     heads = ends[:-1][np.diff(ends) > 0]
-    out[heads] = data[heads].astype(np.int64) + (END << 8)
+    out[heads] = data[heads].astype(np.int64) + (SPACE << 8)
     return out
 
 
 def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the predictors' contexts at each byte, above 16 zero bits; nothing before a text's start is seen."""
-    n = len(data)
-    place, size = np.arange(n), np.diff(ends)
-    first = np.repeat(ends[:-1], size)
+    """Hashes of the predictors' contexts at each byte, above 16 zero bits; nothing before a word's start is seen."""
+    n, size = len(data), np.diff(ends)
     heads = ends[:-1][size > 0]
-    # the eight bytes before each place, the nearest highest; those before its text's start are zero
+    # the eight bytes before each place, the nearest highest; those before its word's start are zero
     padded = np.concatenate([np.zeros(8, np.uint8), data])
     window = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
     for j in range(8):
         at = heads[size[size > 0] > j] + j
         window[at] &= U(((1 << 64) - 1) ^ ((1 << 8 * (8 - j)) - 1))
     out = []
-    for k in (3, 5):
-        x = ((window >> U(8 * (8 - k))) + U(k)) * U(W.BASE)
-        x ^= x >> U(29)
-        x *= U(0xBF58476D1CE4E5B9)
-        out.append(x)
-    s = W.prefix_sums(data)
-    inverse = W.powers(W.INVERSE, n + 1)
-    start = data == 32
-    start[1:] = start[:-1]
-    start[heads] = True
-    start[:1] = True
-    start = np.maximum.accumulate(np.where(start, place, 0))  # of the word that each byte is in
-    word = (s[:-1] - s[start]) * inverse[start]
-    word ^= word >> U(31)
-    word *= U(0x94D049BB133111EB)
-    before = np.where(start > first, start[np.maximum(start - 1, 0)], start)
-    pair = (s[start] - s[before]) * inverse[before] + U(0x632BE59BD9B4E019)
-    pair ^= pair >> U(32)
-    pair = (word ^ pair * U(W.BASE)) * U(0xBF58476D1CE4E5B9)
-    out += [word * U(0xD6E8FEB86659FD93) + U(0x9E6C63D0876A9A47), pair ^ pair >> U(30)]
-    return [x >> U(64 - CONTEXT_BITS) << U(16) for x in out]
+    for k in REACH:
+        if k:
+            x = ((window >> U(8 * (8 - k))) + U(k)) * U(W.BASE)
+            x ^= x >> U(29)
+            x *= U(0xBF58476D1CE4E5B9)
+        else:
+            s = W.prefix_sums(data)
+            start = np.repeat(ends[:-1], size)
+            x = (s[:-1] - s[start]) * W.powers(W.INVERSE, n + 1)[start]
+            x ^= x >> U(31)
+            x *= U(0x94D049BB133111EB)
+        out.append(x >> U(64 - CONTEXT_BITS) << U(16))
+    return out
 
 
 def decisions(symbols: np.ndarray, book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a run of pairs, all decisions: the byte each belongs to, its node and its bit."""
     length, node, bit, start = book
     n = length[symbols]
-    byte = np.repeat(np.arange(len(symbols)), n)
-    flat = np.repeat(start[symbols] - (np.cumsum(n) - n), n)
-    flat += np.arange(len(byte))
-    return byte, node.take(flat), bit.take(flat)
+    flat = spread(start[symbols], n)
+    return np.repeat(np.arange(len(symbols)), n), node.take(flat), bit.take(flat)
+
 
+class Keys:
+    """One predictor's keys for all decisions of some words: the distinct ones in order, and which of them each decision has.
 
-# ---------------------------------------------------------------- counting
+    Decisions are first found for each distinct context and byte; `which` and `bit` are theirs, `start` where a byte of
+    the words has its own.
+    """
 
+    def __init__(self, context: np.ndarray, symbols: np.ndarray, book):
+        _, place, self.case = distinct(W.mix(context | symbols.astype(np.uint64)))
+        n = book[0][symbols[place]]
+        self.owner, node, self.bit = decisions(symbols[place], book)
+        self.key, _, self.which = distinct(W.mix(context[place][self.owner] | node))
+        self.start = (np.cumsum(n) - n)[self.case]
+
+    def tally(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often 0 and 1 follow at each key, if byte i of the words is there count[i] times."""
+        n = np.bincount(self.case, count, int(self.case.max(initial=-1)) + 1)[self.owner]
+        ones = np.bincount(self.which, n * self.bit, len(self.key)).astype(np.uint64)
+        return np.bincount(self.which, n, len(self.key)).astype(np.uint64) - ones, ones
+
+
+class Long:
+    """Which pair of words stands before each word, with that word: the distinct ones by ranges of the pairs' hashes, and which each word has."""
+
+    def __init__(self, block: Block, ranges: int):
+        h = block.hash[block.word]
+        before = np.empty_like(h)
+        before[1:], before[block.first[:-1]] = h[:-1], U(1)
+        other = np.empty_like(h)
+        other[1:], other[block.first[:-1]] = before[:-1], U(2)
+        pair = W.mix(before * U(W.BASE) + W.mix(other))
+        key, place, which = distinct(W.mix(pair + h * U(0xD6E8FEB86659FD93)))
+        pair, bits = pair[place], U(ranges.bit_length() - 1)
+        n = len(key)
+        low = U(max(1, (max(n, 2) - 1).bit_length()))
+        order = ((np.sort(pair >> low << low | np.arange(n, dtype=np.uint64))) & U((1 << int(low)) - 1)).astype(np.int64)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        self.which = rank[which]
+        self.range = (pair[order] >> U(64) - bits).astype(np.int64)
+        self.key = (pair[order] << bits) >> U(TAIL_BITS) << U(TAIL_BITS) | key[order] >> U(64 - TAIL_BITS)
+
+
+# ---------------------------------------------------------------- tables
 
 #: A state is how often a slot was seen, in 8 steps, and which odds it had, in 32.
 SEEN = np.array([1, 2, 3, 5, 9, 17, 65])
@@ -239,288 +342,278 @@ def state_odds(hits: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p)).astype(np.float32)
 
 
-def visited(data: np.ndarray, ends: np.ndarray, train: np.ndarray, book):
-    """(predictor, keys, zeros, ones): the sorted keys of all decisions, and how often each bit followed in training texts.
-
-    A long block comes in several pieces, whose keys may repeat.
-    """
-    seen = np.empty((K, len(data)), np.uint64)
-    for i, j in slabs(ends, 1 << 20):
-        part, edge = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-        low = pairs(part, edge).astype(np.uint64) << U(1)
-        low |= np.repeat(train[i:j], np.diff(edge)).astype(np.uint64)
-        for k, c in enumerate(contexts(part, edge)):
-            seen[k, ends[i] : ends[j]] = c << U(1) | low
-    for k in range(K):
-        for a in range(0, len(data), 8 << 20):  # so that the bits of a number below suffice
-            x = np.sort(seen[k, a : a + (8 << 20)])
-            first = starts_of(x)
-            count, x = np.diff(np.append(first, len(x))), x[first]
-            head = starts_of(x >> U(17))
-            which = np.repeat(np.arange(len(head), dtype=np.uint64), np.diff(np.append(head, len(x))))
-            byte, node, bit = decisions((x >> U(1) & U(0xFFFF)).astype(np.int64), book)
-            y = (which[byte] << U(17) | node << U(1) | bit.astype(np.uint64)) << U(24) | (count.astype(np.uint64) * (x & U(1)))[byte]
-            y.sort()
-            first = starts_of(y >> U(25))
-            often, one = (y & U((1 << 24) - 1)).astype(np.int64), (y >> U(24) & U(1)).astype(np.int64)
-            ones = np.add.reduceat(often * one, first)
-            slot = y[first] >> U(25)
-            yield k, (x[head] >> U(17))[(slot >> U(16)).astype(np.int64)] << U(16) | slot & U(0xFFFF), np.add.reduceat(often, first) - ones, ones
-
-
-def starts_of(x: np.ndarray) -> np.ndarray:
-    """Where the runs of equal numbers begin."""
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-
-
-def shrunk(x: np.ndarray) -> bytes:
-    """Numbers, packed by their first bytes, their second bytes and so on."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
-
-
-def grown(raw: bytes, dtype) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
-
-
 def ranges_for(total: int) -> int:
-    """Ranges of keys in each predictor's table, a power of two that grows with the corpus."""
+    """Ranges of keys of each kind of question, a power of two that grows with the corpus."""
     return max(LEAST_RANGES, 1 << max(0, -(-total // RANGE) - 1).bit_length())
 
 
 def asked(blocks: DataFrame, book, ranges: int) -> DataFrame:
-    """Keys that a block visits, with its counts of training texts, by predictor and range of keys."""
+    """A block's questions by kind and range of keys, with its own counts: zeros and ones, or times in `zeros` alone."""
     shared = blocks.sparkSession.sparkContext.broadcast(book)
-    edges = np.arange(ranges + 1, dtype=np.uint64) << U(CONTEXT_BITS + 16 - (ranges.bit_length() - 1))
+    edges = np.arange(1, ranges, dtype=np.uint64) << U(64 - (ranges.bit_length() - 1))
 
     def run(batches):
         for b in batches:
-            for no, folds, ends, text, n in zip(b["block"], b["folds"], b["ends"], b["text"], b["size"].to_pylist(), strict=True):
-                kind, at = np.frombuffer(folds.as_py(), np.uint8), np.frombuffer(ends.as_py(), np.int64)
-                for k, key, zeros, ones in visited(unpack(text.as_py(), n), at, (kind != HELD_OUT) & (kind != WEIGHTS), shared.value):
-                    cut = np.searchsorted(key, edges)
-                    rows = [(k * ranges + r, key[i:j], zeros[i:j], ones[i:j]) for r, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-                    part, *columns = zip(*rows, strict=True)
-                    packs = [[shrunk(np.diff(x, prepend=U(0))) for x in columns[0]], *([shrunk(x.astype(np.uint32)) for x in c] for c in columns[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([no.as_py()] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in packs)], ["part", "block", "keys", "zeros", "ones"])
-
-    return blocks.select("block", "folds", "ends", "text", "size").mapInArrow(run, "part int, block long, keys binary, zeros binary, ones binary")
+            for row in b.to_pylist():
+                block = Block(row)
+                count, all_count = block.counts(HELD_OUT, WEIGHTS), block.counts(HELD_OUT)
+                symbols, times = pairs(block.spelling, block.ends), np.repeat(count, np.diff(block.ends))
+                for kind in (*range(K), VOCABULARY, LONG):
+                    if kind < K:
+                        keys = Keys(contexts(block.spelling, block.ends)[kind], symbols, shared.value)
+                        key, values = keys.key, keys.tally(times)
+                        cut = np.searchsorted(key, edges)
+                    elif kind == VOCABULARY:
+                        key, values = block.hash, (all_count.astype(np.uint64),)
+                        cut = np.searchsorted(key, edges)
+                    else:
+                        long = Long(block, ranges)
+                        use = np.repeat(~np.isin(block.folds, (HELD_OUT, WEIGHTS)), np.diff(block.first))
+                        key, values = long.key, (np.bincount(long.which[use], minlength=len(long.key)).astype(np.uint64),)
+                        cut = np.searchsorted(long.range, np.arange(1, ranges))
+                    cut = [0, *cut.tolist(), len(key)]
+                    full = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+                    parts = [[shrunk(np.diff(key[cut[r] : cut[r + 1]], prepend=U(0))) for r in full], *([shrunk(v[cut[r] : cut[r + 1]]) for r in full] for v in values)]
+                    if len(parts) == 2:
+                        parts.append([None] * len(full))
+                    yield pa.RecordBatch.from_arrays([pa.array([kind * ranges + r for r in full], pa.int32()), pa.array([block.no] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["part", "block", "keys", "zeros", "ones"])
+
+    return blocks.drop("hist").mapInArrow(run, "part int, block long, keys binary, zeros binary, ones binary")
 
 
 def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
-    """block, part, keys, states: what each predictor's table says of the keys that a block visits.
+    """block, part, data: what the counts of all blocks answer to each block's questions, key by key.
 
-    A range's table sums the counts of all blocks, from the training texts but the fold for weights.
+    Predictors answer states; the vocabulary answers counts, and -1 as the block has its number of tokens and of
+    distinct ones; pairs of words answer the word's count if TWICE or more, the sum of such counts, and all counts.
     """
 
     def run(group: pa.Table) -> pa.Table:
+        kind = group["part"][0].as_py() // ranges
         keys = [np.cumsum(grown(x.as_py(), np.uint64), dtype=np.uint64) for x in group["keys"]]
-        every = np.sort(np.concatenate(keys))
-        every = every[starts_of(every)]
-        count = np.zeros((len(every), 2), np.int64)
-        places = [np.searchsorted(every, x) for x in keys]
-        for at, zeros, ones in zip(places, group["zeros"], group["ones"], strict=True):
-            count[at, 0] += grown(zeros.as_py(), np.uint32)
-            count[at, 1] += grown(ones.as_py(), np.uint32)
-        state = states(count)
-        return pa.table([group["block"], group["part"], group["keys"], pa.array([shrunk(state[at]) for at in places], pa.binary())], names=["block", "part", "keys", "states"])
+        at = np.cumsum([0, *map(len, keys)])
+        keys, count = np.concatenate(keys), [np.concatenate([grown(x.as_py(), np.uint64) for x in group[c]]).astype(np.float64) if c == "zeros" or kind < K else None for c in ("zeros", "ones")]
+        key, place, which = distinct(W.mix(keys) if kind == LONG else keys)
+        zeros = np.bincount(which, count[0], len(key))
+        blocks, extra = group["block"].to_pylist(), []
+        if kind < K:
+            answer = [states(np.stack([zeros, np.bincount(which, count[1], len(key))], 1))[which]]
+        elif kind == VOCABULARY:
+            answer = [zeros.astype(np.uint64)[which]]
+            blocks, extra = [*blocks, -1], [np.array([zeros.sum(), np.count_nonzero(zeros)]).astype(np.uint64)]
+        else:
+            _, _, pair = distinct(W.mix(keys[place] >> U(TAIL_BITS)))
+            again = np.where(zeros >= TWICE, zeros, 0)
+            answer = [x.astype(np.uint64)[which] for x in (again, np.bincount(pair, again)[pair], np.bincount(pair, zeros)[pair])]
+        data = [shrunk(np.concatenate([x[i:j] for x in answer])) for i, j in zip(at[:-1], at[1:], strict=True)]
+        return pa.table([pa.array(blocks, pa.int64()), pa.array([group["part"][0].as_py()] * len(blocks), pa.int32()), pa.array([*data, *map(shrunk, extra)], pa.binary())], names=["block", "part", "data"])
 
-    return asked(blocks, book, ranges).groupBy("part").applyInArrow(run, "block long, part int, keys binary, states binary")
+    return asked(blocks, book, ranges).groupBy("part").applyInArrow(run, "block long, part int, data binary")
 
 
-class Found:
-    """The tables' entries for all keys that a block visits: by predictor, levels of open hash tables with the whole key in each cell.
+def answers(rows: pa.Table, ranges: int) -> list[list[bytes]]:
+    """A block's answers by kind, in the order of ranges."""
+    got = sorted(zip(rows["part"].to_pylist(), rows["data"].to_pylist(), strict=True))
+    return [[x for part, x in got if part // ranges == kind] for kind in range(K + 2)]
 
-    `values` (K, 256 of one byte) is what stands for each state.
-    """
 
-    def __init__(self, rows: list[dict], values: np.ndarray, ranges: int):
-        self.levels = []
-        for k in range(K):
-            mine = [r for r in rows if r["part"] // ranges == k]
-            key = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(grown(r["keys"], np.uint64), dtype=np.uint64) for r in mine)])
-            value = values[k].view(np.uint8).take(np.concatenate([np.zeros(0, np.uint8), *(grown(r["states"], np.uint8) for r in mine)]))
-            h, levels = key * U(W.BASE), []
-            while len(h):
-                bits = U(max(8, (2 * len(h)).bit_length()))
-                at, cell = (h >> U(64) - bits).astype(np.int64), h << bits | value
-                table = np.zeros(1 << int(bits), np.uint64)
-                table[at] = cell
-                left = table[at] != cell
-                levels.append((bits, table))
-                h, value = W.mix(h[left]), value[left]
-            self.levels.append(levels)
-
-    def find(self, k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return self.look(self.levels[k], (context | node) * U(W.BASE))
-
-    def look(self, levels: list, h: np.ndarray) -> np.ndarray:
-        (bits, table), *rest = levels
-        cell = table.take((h >> U(64) - bits).view(np.int64))
-        cell ^= h << bits
-        out = cell.astype(np.uint8)
-        other = np.flatnonzero(cell > U(255))
-        if len(other):
-            out[other] = self.look(rest, W.mix(h[other]))
-        return out
-
-
-class Dense:
-    """A table given as an array, K rows of 2^SLOT_BITS bytes."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-
-    def find(self, k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return self.table[k].take(((context | node) * U(W.BASE) >> U(64 - SLOT_BITS)).astype(np.int64))
+def with_found(blocks: DataFrame, found: DataFrame, run, fields: str) -> DataFrame:
+    """run(block, found) of each block and the answers to it."""
+    return blocks.drop("hist").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, fields)
 
 
-def with_found(blocks: DataFrame, found: DataFrame, run, fields: str) -> DataFrame:
-    """run(blocks, found) of each block and its part of the tables."""
-    return blocks.select("block", "ids", "folds", "ends", "text", "size").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, fields)
+class Texts:
+    """A block with what the tables answer: for each decision in the spelling of a word every predictor's state and the bit, and what is known of each word's place."""
+
+    def __init__(self, row: dict, found: list[list[bytes]], book, ranges: int):
+        self.block = block = Block(row)
+        symbols, context = pairs(block.spelling, block.ends), contexts(block.spelling, block.ends)
+        n = book[0][symbols]
+        self.bit = decisions(symbols, book)[2]
+        self.start = np.concatenate([[0], np.cumsum(n)])[block.ends]  # of each word's decisions
+        self.state = np.empty((K, len(self.bit)), np.uint8)
+        for k in range(K):
+            keys = Keys(context[k], symbols, book)
+            state = np.concatenate([np.zeros(0, np.uint8), *(grown(x, np.uint8) for x in found[k])])
+            self.state[k] = state[keys.which].take(spread(keys.start, n))
+        self.count = np.concatenate([np.zeros(0, np.uint64), *(grown(x, np.uint64) for x in found[VOCABULARY])]).astype(np.int64)
+        long = Long(block, ranges)
+        rows = [grown(x, np.uint64).reshape(3, -1) for x in found[LONG]]
+        self.again, self.listed, self.all = (np.concatenate([np.zeros(0, np.uint64), *(r[i] for r in rows)]).astype(np.float32)[long.which] for i in range(3))
+
+    def groups(self):
+        """Ranges of texts to score side by side."""
+        size = np.concatenate([[0], np.cumsum(np.diff(self.block.ends)[self.block.word])])[self.block.first]
+        return slabs(size, SCORED)
 
 
 # ---------------------------------------------------------------- mixing
 
 
 def start_weights() -> np.ndarray:
-    return np.full((K, GATES), 1.2 / K, np.float32)
+    """Weights of the predictors by gate, and weight and bias of the first decision by gate."""
+    return np.concatenate([np.full(K * GATES, 1.2 / K), np.ones(LONG_GATES), np.zeros(LONG_GATES)]).astype(np.float32)
 
 
-def lanes(ends: np.ndarray):
-    """Slabs of all texts side by side: the texts in each, how many bytes of each, and the places of these."""
-    size = np.diff(ends)
-    for slab in range(0, int(size.max(initial=0)), SLAB):
-        live = np.flatnonzero(size > slab)
-        take = np.minimum(SLAB, size[live] - slab)
-        yield live, take, np.repeat(ends[:-1][live] + slab - (np.cumsum(take) - take), take) + np.arange(take.sum())
+def lanes(first: np.ndarray):
+    """All texts side by side, a run of words of each at a time: the texts, how many words of each, and their places."""
+    size, at, step = np.diff(first), 0, STEP
+    while at < size.max(initial=0):
+        live = np.flatnonzero(size > at)
+        take = np.minimum(step, size[live] - at)
+        yield live, take, spread(first[:-1][live] + at, take)
+        at, step = at + step, min(2 * step, MOST_STEP)
 
 
 #: Which of three levels a log-odds' size is at, for every int8.
-LEVEL = np.array([(abs(i) > 0.7 * SCALE) + (abs(i) > 2.5 * SCALE) for i in [*range(128), *range(-128, 0)]], np.int8)
+LEVEL = np.array([(abs(i) > 0.7 * SCALE) + (abs(i) > 2.5 * SCALE) for i in [*range(128), *range(-128, 0)]], np.int64)
 
 
 class Mixer:
-    """Mixes and learns over texts in slabs.
+    """Mixes and learns over the texts of a block.
 
-    Alone (`refine` None) its weights follow all texts. With a refinement, weights stay, each text learns how far to
-    trust them, and the probability of each decision is what the refinement says of the gate and mixed log-odds.
+    Without `refine` the weights follow all texts. With it, every text starts from the weights given and takes its own
+    steps, and the probability of a decision is what the refinement says of the gate and mixed log-odds.
     """
 
-    def __init__(self, book, table: Found | np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float):
-        self.table = Dense(table) if isinstance(table, np.ndarray) else table
-        self.book, self.weights, self.refine, self.rate = book, (weights / SCALE).astype(np.float32), refine, rate
-        self.seen, self.used = np.zeros((GATES * REFINE, 2)), np.zeros(GATES)
+    def __init__(self, texts: Texts, odds: np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float):
+        self.texts, self.refine, self.rate = texts, refine, rate
+        self.weights = weights.astype(np.float64).copy()
+        self.s = np.stack([odds[k].take(texts.state[k]) for k in range(K)])
+        self.gate = sum(LEVEL.take(self.s[k].view(np.uint8)) * 3 ** (K - 1 - k) for k in range(K))
+        self.seen, self.used, self.used_long = np.zeros((GATES * REFINE, 2)), np.zeros(GATES), np.zeros(LONG_GATES)
+        t = texts
+        self.has = t.listed > 0
+        self.x0 = np.clip(np.log((t.listed + 0.1) / (np.maximum(0, t.all - t.listed) + 0.4)), -8, 8)
+        self.gate0 = np.minimum(LONG_GATES - 1, np.log2(np.maximum(1, t.all)).astype(np.int64) // 2)
         if refine is not None:
             p = np.clip(refine, 1e-7, 1 - 1e-7)
             self.cost = -np.log2(np.stack([1 - p, p], 1)).ravel().astype(np.float32)
+            self.mixed = self.plain(slice(None))
+            self.cell = (self.gate * REFINE + REFINE // 2).astype(np.float32)
 
-    def bits(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def plain(self, at) -> np.ndarray:
+        """Log-odds by the weights alone."""
+        gate = self.gate[at]
+        return sum((self.weights[k * GATES : (k + 1) * GATES] / SCALE).astype(np.float32).take(gate) * self.s[k][at] for k in range(K))
+
+    def bits(self) -> np.ndarray:
         """Bits of each text."""
-        ctx, docs, length = contexts(data, ends), len(ends) - 1, self.book[0]
-        trust, total, both = np.ones(docs, np.float32), np.zeros(docs), pairs(data, ends)
-        for live, take, place in lanes(ends):
-            symbols = both[place]
-            byte, node, bit = decisions(symbols, self.book)
-            at = place[byte]
-            starts = np.concatenate([[0], np.cumsum(length[symbols])])[np.cumsum(take) - take]  # of each text's decisions
-            each = np.diff(np.append(starts, len(byte)))
-            s = [self.table.find(k, ctx[k].take(at), node).view(np.int8) for k in range(K)]
-            gate = LEVEL.take(s[3].view(np.uint8)) * np.int8(9)
-            gate += LEVEL.take(s[1].view(np.uint8)) * np.int8(3)
-            gate += LEVEL.take(s[2].view(np.uint8))
-            gate = gate.astype(np.int64)
-            x = self.weights[0].take(gate) * s[0]
-            for k in range(1, K):
-                x += self.weights[k].take(gate) * s[k]
-            if self.refine is not None:
-                mixed = x * np.repeat(trust[live], each)
-                cell = np.clip(mixed * np.float32(REFINE / 24) + np.float32(REFINE / 2), 0, REFINE - 1).astype(np.int64)
-                cell += gate * REFINE
-                total[live] += np.add.reduceat(self.cost.take(cell * 2 + bit), starts, dtype=np.float64)
-                trust[live] += self.rate * np.add.reduceat((bit - self.refine.take(cell)) * x, starts) / np.sqrt(each)
+        first, total = self.texts.block.first, np.zeros(len(self.texts.block.folds))
+        for a, b in self.texts.groups():
+            self.group(first[a : b + 1], total[a:b])
+        return total
+
+    def group(self, first: np.ndarray, total: np.ndarray) -> None:
+        t, n = self.texts, len(total)
+        own, bias, bias0 = np.zeros((K, n), np.float32), np.zeros(n, np.float32), np.zeros(n)
+        for live, take, place in lanes(first):
+            lane = np.repeat(np.arange(len(live)), take)
+            spell = np.ones(len(place), bool)
+            at = np.flatnonzero(self.has[place])
+            if len(at):
+                i, who = place[at], lane[at]
+                x, gate, hit = self.x0[i], self.gate0[i], t.again[i] > 0
+                w, b = self.weights[K * GATES : K * GATES + LONG_GATES], self.weights[K * GATES + LONG_GATES :]
+                p = 1 / (1 + np.exp(-np.clip(w[gate] * x + b[gate] + bias0[live[who]], -14, 14)))
+                cost = -np.log2(np.where(hit, p, 1 - p))
+                cost[hit] -= np.log2(t.again[i][hit] / t.listed[i][hit])
+                total[live] += np.bincount(who, cost, len(live))
+                spell[at[hit]] = False
+                if self.refine is None:
+                    c = np.bincount(gate, minlength=LONG_GATES)
+                    step = 10 * self.rate / np.sqrt(np.maximum(1, c))
+                    w += step * np.bincount(gate, (hit - p) * x, LONG_GATES) / 8
+                    b += step * np.bincount(gate, hit - p, LONG_GATES)
+                    self.used_long += c
+                else:
+                    bias0[live] += 0.5 * np.bincount(who, hit - p, len(live)) / np.sqrt(np.maximum(1, np.bincount(who, minlength=len(live))))
+            word, lane = t.block.word[place[spell]], lane[spell]
+            size = t.start[word + 1] - t.start[word]
+            flat, lane = spread(t.start[word], size), np.repeat(lane, size)
+            if not len(flat):
+                continue
+            bit = t.bit.take(flat)
+            if self.refine is None:
+                self.learn(flat, bit, lane, live, total)
                 continue
+            x = self.mixed.take(flat)
+            s = [self.s[k].take(flat) for k in range(K)]
+            for k in range(K):
+                x += own[k][live].take(lane) * s[k]
+            x += bias[live].take(lane)
             np.clip(x, -11.9, 11.9, out=x)
-            p = 1 / (1 + np.exp(-x))
-            error, cell = bit - p, ((x + 12) * np.float32(REFINE / 24)).astype(np.int64) + gate * REFINE
-            self.seen += np.bincount(cell * 2 + bit, minlength=2 * len(self.seen)).reshape(-1, 2)
-            n = np.bincount(gate, minlength=GATES)
-            step = self.rate / np.sqrt(np.maximum(1, n)) / SCALE
+            x *= np.float32(REFINE / 24)
+            x += self.cell.take(flat)
+            cell = x.astype(np.int32)
+            total[live] += np.bincount(lane, self.cost.take(2 * cell + bit), len(live))
+            error = bit - self.refine.take(cell)
+            step = (self.rate / np.sqrt(np.maximum(1, np.bincount(lane, minlength=len(live))))).astype(np.float32)
             for k in range(K):
-                self.weights[k] += step * np.bincount(gate, error * (s[k] * np.float32(1 / SCALE)), GATES)
-            self.used += n
-            total[live] -= np.add.reduceat(np.log2(np.where(bit, p, 1 - p)), starts, dtype=np.float64)
-        return total
-
-
-def texts_of(blocks: pa.Table):
-    """The texts of blocks with their ends, in groups."""
-    for row in blocks.select(["ends", "text", "size"]).to_pylist():
-        ends, data = np.frombuffer(row["ends"], np.int64), unpack(row["text"], row["size"])
-        for i, j in slabs(ends, SCORED):
-            yield data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-
-
-def follow(book, table: Found, data: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> None:
-    """Count into `hits` what follows each predictor's states."""
-    ctx = contexts(data, ends)
-    byte, node, bit = decisions(pairs(data, ends), book)
-    for k in range(K):
-        state = table.find(k, ctx[k].take(byte), node).astype(np.int64)
-        hits[k] += np.bincount(state * 2 + bit, minlength=512).reshape(256, 2)
+                own[k][live] += step / SCALE * np.bincount(lane, error * s[k], len(live)) / SCALE
+            bias[live] += step * np.bincount(lane, error, len(live))
+
+    def learn(self, flat: np.ndarray, bit: np.ndarray, lane: np.ndarray, live: np.ndarray, total: np.ndarray) -> None:
+        gate, x = self.gate[flat], np.clip(self.plain(flat), -11.9, 11.9)
+        p = 1 / (1 + np.exp(-x))
+        error, cell = bit - p, ((x + 12) * np.float32(REFINE / 24)).astype(np.int64) + gate * REFINE
+        self.seen += np.bincount(cell * 2 + bit, minlength=2 * len(self.seen)).reshape(-1, 2)
+        n = np.bincount(gate, minlength=GATES)
+        step = self.rate / np.sqrt(np.maximum(1, n))
+        for k in range(K):
+            self.weights[k * GATES : (k + 1) * GATES] += step * np.bincount(gate, error * (self.s[k][flat] * np.float32(1 / SCALE)), GATES)
+        self.used += n
+        total[live] -= np.bincount(lane, np.log2(np.where(bit, p, 1 - p)), len(live))
 
 
-def summed(blocks: DataFrame, found: DataFrame, one, dtype: str) -> np.ndarray:
-    """Sum of one(blocks, found), an array of fixed size, over all blocks."""
+def summed(blocks: DataFrame, found: DataFrame, book, ranges: int, one, dtype: str, more) -> np.ndarray:
+    """Sum of one(texts, book, more), an array of fixed size, over all blocks."""
+    shared = blocks.sparkSession.sparkContext.broadcast((book, more))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        return pa.Table.from_batches([packed_rows([(0, TaskContext.get().partitionId(), one(left, right.to_pylist()))])])
+        book, more = shared.value
+        out = [one(Texts(row, answers(right, ranges), book, ranges), more) for row in left.to_pylist()]
+        return pa.Table.from_batches([packed_rows([(0, TaskContext.get().partitionId(), x)]) for x in out], pa.schema([("part", pa.int32()), ("task", pa.int32()), ("data", pa.binary())]))
 
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return gathered(tree_sum(with_found(blocks, found, run, "part int, task int, data binary"), dtype, tasks=tasks), dtype)
 
 
-def fit_states(blocks: DataFrame, found: DataFrame, book, ranges: int) -> np.ndarray:
-    """Log-odds (int8) of every predictor's states, from what follows them in the blocks that the tables haven't seen."""
-    shared = blocks.sparkSession.sparkContext.broadcast(book)
+def follow(texts: Texts, _) -> np.ndarray:
+    """What follows each predictor's states in the texts."""
+    times = np.repeat(np.bincount(texts.block.word, minlength=len(texts.block.hash)), np.diff(texts.start))
+    return np.stack([np.bincount(texts.state[k].astype(np.int64) * 2 + texts.bit, times, 512) for k in range(K)]).astype(np.int64).ravel()
 
-    def one(left: pa.Table, right: list[dict]) -> np.ndarray:
-        hits, table = np.zeros((K, 256, 2), np.int64), Found(right, np.tile(np.arange(256, dtype=np.uint8), (K, 1)), ranges)
-        for data, ends in texts_of(left):
-            follow(shared.value, table, data, ends, hits)
-        return hits.ravel()
 
-    got = summed(blocks, found, one, "int64")
-    odds = state_odds(got.reshape(K, 256, 2) if len(got) else np.zeros((K, 256, 2)))
-    return np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
+def learnt(texts: Texts, more) -> np.ndarray:
+    """Weights after the texts, times how often they were used, and what followed the mixed odds."""
+    odds, first, rate = more
+    mixer = Mixer(texts, odds, first, None, rate)
+    mixer.bits()
+    used = np.concatenate([np.tile(mixer.used, K), np.tile(mixer.used_long, 2)])
+    return np.concatenate([mixer.weights * used, used, mixer.seen.ravel()])
 
 
-def fit_weights(blocks: DataFrame, found: DataFrame, book, odds: np.ndarray, ranges: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and the refinement table, from the same blocks.
+def fit(blocks: DataFrame, found: DataFrame, book, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds (int8) of all states, weights, and the refinement, from blocks that the tables haven't seen.
 
-    Without `start` weights are learnt online through each block's texts and averaged by use; with it, weights begin
-    there, and what follows the mixed odds makes the refinement.
+    Weights are learnt online through each block's texts and averaged by use; then what follows the odds that they mix
+    makes the refinement.
     """
-    first = start_weights() if start is None else start
-    shared = blocks.sparkSession.sparkContext.broadcast((book, odds, first))
-    rate = 0.02 if start is None else 0.001
-
-    def one(left: pa.Table, right: list[dict]) -> np.ndarray:
-        book, odds, first = shared.value
-        mixer = Mixer(book, Found(right, odds, ranges), first, None, rate)
-        for data, ends in texts_of(left):
-            mixer.bits(data, ends)
-        return np.concatenate([(mixer.weights * SCALE * mixer.used).ravel(), mixer.used, mixer.seen.ravel()])
-
-    got = summed(blocks, found, one, "float64")
-    if not len(got):
-        return first, refinement(np.zeros((GATES * REFINE, 2)))
-    weights, used, seen = np.split(got, [GATES * K, GATES * K + GATES])
-    prior = 2000.0  # decisions that the first weights count for
-    weights = (weights.reshape(K, GATES) + prior * first) / (used + prior)
-    return weights.astype(np.float32), refinement(seen.reshape(-1, 2))
+    hits = summed(blocks, found, book, ranges, follow, "int64", None)
+    odds = np.clip(np.rint(state_odds(hits.reshape(K, 256, 2) if len(hits) else np.zeros((K, 256, 2))) * SCALE), -127, 127).astype(np.int8)
+    weights, refine = start_weights(), refinement(np.zeros((GATES * REFINE, 2)))
+    for rate in (0.02, 0.001):
+        got = summed(blocks, found, book, ranges, learnt, "float64", (odds, weights, rate))
+        if not len(got):
+            break
+        total, used, seen = np.split(got, [len(weights), 2 * len(weights)])
+        prior = np.repeat([2000.0, 20.0], [K * GATES, 2 * LONG_GATES])  # decisions that the first weights count for
+        weights = ((total + prior * weights) / (used + prior)).astype(np.float32)
+        refine = refinement(seen.reshape(-1, 2))
+    return odds, weights, refine
 
 
 def refinement(seen: np.ndarray, reach: int = 2) -> np.ndarray:
@@ -541,7 +634,7 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
     Learns from the documents whose fold is not 2. base_score is the add-one unigram model of the training tokens, over
     the vocabulary and one unknown token; score is the mixed model's, both log10 probabilities of the same spelling.
     Null and empty texts are their end alone; repeated rows are scored each; with no training documents every decision
-    is even. An empty table gives no rows. Word counts are joined by 64-bit hashes, one row a block and distinct word.
+    is even. An empty table gives no rows. Words are told apart by 64-bit hashes.
     """
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     blocks = materialize(packed(docs), "lm-blocks")
@@ -550,42 +643,27 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
     book = code(np.array([seen.get(i, 0) for i in range(1 << 16)], np.int64))
     ranges = ranges_for(total)
     found = materialize(tables(blocks, book, ranges), "lm-tables")
-    unseen = materialize(blocks.where("block % 2 = 1").select("block", "ids", "folds", "ends", "text", "size"), "lm-weights"), materialize(found.where("block % 2 = 1"), "lm-weights-tables")
-    odds = fit_states(*unseen, book, ranges)
-    weights, _ = fit_weights(*unseen, book, odds, ranges, None)
-    weights, refine = fit_weights(*unseen, book, odds, ranges, weights)
-
-    words = blocks.select("block", F.explode(F.arrays_zip("toks", "cnts")).alias("t")).select("block", F.col("t.toks").alias("tok"), F.col("t.cnts").alias("cnt"))
-    vocabulary = words.groupBy("tok").agg(F.sum("cnt").alias("c"))
-    known = materialize(words.select("block", "tok").join(vocabulary.where("c > 0"), "tok").select("block", "tok", "c"), "lm-counts")
-    size = materialize(vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")), "lm-size")
-    n_train, v_train = size.first()
+    odds, weights, refine = fit(blocks.where("block % 2 = 1"), found.where("block % 2 = 1"), book, ranges)
+    sizes = found.where("block = -1").select("data").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([int(x) for x in col], pa.int64()) for col in zip(*(grown(d.as_py(), np.uint64) for d in b["data"]), strict=True)], ["n", "v"]) for b in batches if b.num_rows), "n long, v long")
+    n_train, v_train = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     shared = spark.sparkContext.broadcast((book, odds, weights, refine))
     fields = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         book, odds, weights, refine = shared.value
-        has = right.filter(pc.is_valid(right["part"]))
-        mixer = Mixer(book, Found(has.select(["part", "keys", "states"]).to_pylist(), odds, ranges), weights, refine, rate)
-        right = right.filter(pc.is_null(right["part"]))
-        tok, c = right["tok"].to_numpy().view(np.uint64), right["c"].to_numpy()
-        order = np.argsort(tok)
-        tok, c = np.append(tok[order], U(2**64 - 1)), np.append(c[order], 0)
-        out = [[] for _ in range(7)]
-        for row in left.select(["ids", "folds", "ends", "text", "size"]).to_pylist():
-            ends, data = np.frombuffer(row["ends"], np.int64), unpack(row["text"], row["size"])
-            for a, b in slabs(ends, SCORED):
-                h, first = token_hashes(data, ends[a : b + 1])
-                at = np.searchsorted(tok, h)
-                count = np.where(tok[at] == h, c[at], 0)
-                doc = W.doc_of(first)
-                base = np.bincount(doc, np.log10((count + 1) / (n_train + 1 * (v_train + 1))), b - a)
-                bits = mixer.bits(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                for x, y in zip(out, (np.frombuffer(row["folds"], np.uint8)[a:b] == HELD_OUT, np.diff(first), np.bincount(doc[count > 0], minlength=b - a), np.full(b - a, n_train), base, -bits * np.log10(2), np.diff(ends[a : b + 1])), strict=True):
-                    x.append(y)
-        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        ids = [i for x in left["ids"].to_pylist() for i in x]
-        return pa.table([pa.array(ids, pa.string()), *(pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds, strict=True))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
-
-    done = with_found(blocks, found.unionByName(known, allowMissingColumns=True), run, fields)
-    return done.select(F.col("id").cast(id_type).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
+        out = []
+        for row in left.to_pylist():
+            texts = Texts(row, answers(right, ranges), book, ranges)
+            block, n = texts.block, len(texts.block.folds)
+            doc = W.doc_of(block.first)
+            base = np.bincount(doc, np.log10((texts.count + 1) / (n_train + v_train + 1))[block.word], n)
+            known = np.bincount(doc, (texts.count > 0)[block.word], n).astype(np.int64)
+            size = np.bincount(doc, np.diff(block.ends)[block.word], n).astype(np.int64)
+            bits = Mixer(texts, odds, weights, refine, rate).bits()
+            out.append(pa.table([pa.array(x, t) for x, t in zip((block.ids, block.folds == HELD_OUT, np.diff(block.first), known, np.full(n, n_train), base, -bits * np.log10(2), size), kinds, strict=True)], names=names))
+        return pa.concat_tables(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
+
+    done = with_found(blocks, found.where("block >= 0"), run, fields)
+    return done.select(F.col("id").cast(id_type).alias("doc_id"), *names[1:], (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
