@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def local_session(cores: str = "4", app: str = "chronoweave") -> SparkSession:
     """A small session for tests and benches; a cluster brings its own."""
     return (
@@ -28,8 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context, so that Python tasks can import it wherever they run."""
+    """Send this package to the executors, once a context, so that Python tasks can import it wherever they run.
+
+    Rows go to Python in batches of a few MB, unless the session says otherwise: long texts would else fill a worker.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     if getattr(sc, "_chronoweave_shipped", False):
         return
     root = Path(__file__).resolve().parent
