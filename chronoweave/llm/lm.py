@@ -1,14 +1,14 @@
 """Language-model scores: online logistic mixing of hashed-context bit predictors.
 
-A text is its words (A-Z in lower case, split at ASCII white space), each with a space behind, and an end mark. For a
-word whose two predecessors the corpus has seen with words that followed them twice or more, the first decision is
-whether one of those follows again; if so, their counts name it. Any other word is spelt: its bytes by Huffman codes of
-the corpus, one after each byte, so likely bytes take few binary decisions. For each decision every predictor looks up
-a context (the last three or five bytes, or all, of the word so far) in a table of bit counts; the log-odds it finds
-are mixed with weights that a gate picks by how sure the predictors are, and a table refines the mixed odds. Weights
-are learnt by online gradient steps; within each text its own steps go on, from the same start for every text, at
-first every few words: they move the weight of each predictor, a bias before the refinement and the odds of the first
-decision. The sum of the decisions' log-probabilities is the text's; over the bytes it gives bits per byte.
+A text is its words (A-Z in lower case, split at ASCII white space), each with a space behind, and an end mark. Where
+the corpus has seen words twice or more behind the last two, the first decision is whether one of those follows again;
+if so, their counts name it. Any other word is spelt: its bytes by Huffman codes of the corpus, one after each byte, so
+likely bytes take few binary decisions. For each decision every predictor looks up a context (the last three or five
+bytes, or all, of the word so far) in a table of bit counts; the log-odds it finds are mixed with weights that a gate
+picks by how sure the predictors are, and a table refines the mixed odds. Weights are learnt by online gradient steps;
+within each text its own steps go on, from the same start for every text, at first every few words: they move the
+weight of each predictor, a bias before the refinement and the odds of the first decision. The sum of the decisions'
+log-probabilities is the text's; over the bytes it gives bits per byte.
 
 Tables hold the counts of all training documents but one of 28; those left out, which the tables have not seen, set
 the weights and the refinement. Tables are Spark groups by ranges of keys, with an entry for each context and decision
@@ -32,18 +32,19 @@ from chronoweave.llm.common import buffers, fold, gathered, materialize, packed_
 HELD_OUT, FOLDS = 2, 7
 #: Mark of the training documents that set weights: a part of a fold, one document of 28.
 WEIGHTS_FOLD, WEIGHTS_PART, WEIGHTS = 5, 4, 100
-#: Bits of a context's hash; a key is the hash and, in 16 bits more, the node of a decision.
-CONTEXT_BITS = 47
+#: Bits of a context's hash beyond those that pick its range; a key is the hash and, in 16 bits more, what follows.
+CONTEXT_BITS = 28
 #: Bytes of text for which a kind of question gets a range of its own, and the fewest ranges.
 RANGE, LEAST_RANGES = 16 << 20, 64
 #: Predictors of spelling see the last 3 or 5 bytes of the word so far, or all of it.
 REACH = (3, 5, None)
 K = len(REACH)
-#: Kinds of questions beside the predictors': words' counts, and what followed pairs of words.
+#: Kinds of questions beside the predictors': words' counts, and followers of pairs of words.
 VOCABULARY, LONG = K, K + 1
 #: A follower counts as seen from this many times on: once may be the text itself.
 TWICE = 2
-TAIL_BITS = 28
+#: Bits of the hashes of a pair of words, beyond those that pick its range, and of the word behind it.
+PAIR_BITS, TAIL_BITS = 26, 18
 GATES, LONG_GATES = 27, 5
 PRIOR = 0.1
 #: Steps of a unit in a table's log-odds; steps of mixed log-odds, from -12 to 12, in the refinement.
@@ -51,7 +52,7 @@ SCALE, REFINE = 16, 256
 #: Words between two online steps of a text: the first, and the most.
 STEP, MOST_STEP = 16, 128
 #: Bytes of text in a block, and of a group of texts that are scored side by side.
-BLOCK, SCORED = 4 << 20, 1 << 19
+BLOCK, SCORED = 8 << 20, 1 << 19
 END, SPACE = 10, 32
 U = np.uint64
 
@@ -141,8 +142,9 @@ class Block:
         self.no, self.ids = row["block"], row["ids"]
         self.folds, self.first = np.frombuffer(row["folds"], np.uint8), np.frombuffer(row["first"], np.int64)
         self.word = grown(row["word"], np.uint32).astype(np.int64)
-        self.hash, self.ends = grown(row["hash"], np.uint64), np.concatenate([[0], np.cumsum(grown(row["lengths"], np.uint64).astype(np.int64))])
+        self.ends = np.concatenate([[0], np.cumsum(grown(row["lengths"], np.uint64).astype(np.int64))])
         self.spelling = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["spelling"]), np.uint8)
+        self.hash = np.where(np.diff(self.ends) == 1, U(0), W.hashes(self.spelling, self.ends[:-1], self.ends[1:] - 1))
 
     def counts(self, *left_out: int) -> np.ndarray:
         """How often each word is in the documents of other folds."""
@@ -150,7 +152,7 @@ class Block:
         return np.bincount(self.word[np.repeat(use, np.diff(self.first))], minlength=len(self.hash))
 
 
-FIELDS = "block long, ids array<string>, folds binary, first binary, word binary, hash binary, lengths binary, spelling binary, size long, hist array<long>"
+FIELDS = "block long, ids array<string>, folds binary, first binary, word binary, lengths binary, spelling binary, size long, hist array<long>"
 COLUMNS = [f.split()[0] for f in FIELDS.split(", ")]
 
 
@@ -173,8 +175,8 @@ def packed(docs: DataFrame) -> DataFrame:
             count = np.bincount(word[np.repeat(np.array(folds) != HELD_OUT, np.diff(first))], minlength=len(known))
             hist = np.bincount(pairs(spelling, edge), np.repeat(count, length), 1 << 16).astype(np.int64)
             pack = zstandard.ZstdCompressor(level=1).compress(spelling.tobytes())
-            values = [no, ids, bytes(folds), first.astype(np.int64).tobytes(), shrunk(word.astype(np.uint32)), shrunk(known), shrunk(length.astype(np.uint64)), pack, int(length[word].sum()), hist]
-            kinds = [pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 6, pa.int64(), pa.list_(pa.int64())]
+            values = [no, ids, bytes(folds), first.astype(np.int64).tobytes(), shrunk(word.astype(np.uint32)), shrunk(length.astype(np.uint64)), pack, int(length[word].sum()), hist]
+            kinds = [pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 5, pa.int64(), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], COLUMNS)
 
         for piece in pieces(batches):
@@ -245,8 +247,9 @@ def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the predictors' contexts at each byte, above 16 zero bits; nothing before a word's start is seen."""
+def contexts(data: np.ndarray, ends: np.ndarray, ranges: int) -> list[np.ndarray]:
+    """Hashes of the predictors' contexts at each byte, in the high bits; nothing before a word's start is seen."""
+    low = U(64 - CONTEXT_BITS - (ranges.bit_length() - 1))
     n, size = len(data), np.diff(ends)
     heads = ends[:-1][size > 0]
     # the eight bytes before each place, the nearest highest; those before its word's start are zero
@@ -267,7 +270,7 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
             x = (s[:-1] - s[start]) * W.powers(W.INVERSE, n + 1)[start]
             x ^= x >> U(31)
             x *= U(0x94D049BB133111EB)
-        out.append(x >> U(64 - CONTEXT_BITS) << U(16))
+        out.append(x >> low << low)
     return out
 
 
@@ -279,29 +282,21 @@ def decisions(symbols: np.ndarray, book) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.repeat(np.arange(len(symbols)), n), node.take(flat), bit.take(flat)
 
 
-class Keys:
-    """One predictor's keys for all decisions of some words: the distinct ones in order, and which of them each decision has.
+class Cases:
+    """The distinct contexts with the byte that follows, for one predictor and the words of a block: in order, and which each byte has."""
 
-    Decisions are first found for each distinct context and byte; `which` and `bit` are theirs, `start` where a byte of
-    the words has its own.
-    """
-
-    def __init__(self, context: np.ndarray, symbols: np.ndarray, book):
-        _, place, self.case = distinct(W.mix(context | symbols.astype(np.uint64)))
-        n = book[0][symbols[place]]
-        self.owner, node, self.bit = decisions(symbols[place], book)
-        self.key, _, self.which = distinct(W.mix(context[place][self.owner] | node))
-        self.start = (np.cumsum(n) - n)[self.case]
-
-    def tally(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often 0 and 1 follow at each key, if byte i of the words is there count[i] times."""
-        n = np.bincount(self.case, count, int(self.case.max(initial=-1)) + 1)[self.owner]
-        ones = np.bincount(self.which, n * self.bit, len(self.key)).astype(np.uint64)
-        return np.bincount(self.which, n, len(self.key)).astype(np.uint64) - ones, ones
+    def __init__(self, context: np.ndarray, symbols: np.ndarray):
+        key = context | symbols.astype(np.uint64)
+        _, place, which = distinct(W.mix(key))
+        key = key[place]
+        order = np.argsort(key)
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.arange(len(key))
+        self.key, self.which = key[order], rank[which]
 
 
-class Long:
-    """Which pair of words stands before each word, with that word: the distinct ones by ranges of the pairs' hashes, and which each word has."""
+class Followers:
+    """Each word with the two before it in its text: the distinct ones by ranges of the two words' hashes, and which each word has."""
 
     def __init__(self, block: Block, ranges: int):
         h = block.hash[block.word]
@@ -312,14 +307,12 @@ class Long:
         pair = W.mix(before * U(W.BASE) + W.mix(other))
         key, place, which = distinct(W.mix(pair + h * U(0xD6E8FEB86659FD93)))
         pair, bits = pair[place], U(ranges.bit_length() - 1)
-        n = len(key)
-        low = U(max(1, (max(n, 2) - 1).bit_length()))
-        order = ((np.sort(pair >> low << low | np.arange(n, dtype=np.uint64))) & U((1 << int(low)) - 1)).astype(np.int64)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
+        order = np.argsort(pair)
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.arange(len(key))
         self.which = rank[which]
         self.range = (pair[order] >> U(64) - bits).astype(np.int64)
-        self.key = (pair[order] << bits) >> U(TAIL_BITS) << U(TAIL_BITS) | key[order] >> U(64 - TAIL_BITS)
+        self.key = (pair[order] << bits) >> U(64 - PAIR_BITS) << U(TAIL_BITS) | key[order] >> U(64 - TAIL_BITS)
 
 
 # ---------------------------------------------------------------- tables
@@ -347,68 +340,73 @@ def ranges_for(total: int) -> int:
     return max(LEAST_RANGES, 1 << max(0, -(-total // RANGE) - 1).bit_length())
 
 
-def asked(blocks: DataFrame, book, ranges: int) -> DataFrame:
-    """A block's questions by kind and range of keys, with its own counts: zeros and ones, or times in `zeros` alone."""
-    shared = blocks.sparkSession.sparkContext.broadcast(book)
+def asked(blocks: DataFrame, ranges: int) -> DataFrame:
+    """A block's questions by kind and range of keys, with its own counts of each key."""
     edges = np.arange(1, ranges, dtype=np.uint64) << U(64 - (ranges.bit_length() - 1))
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
-                count, all_count = block.counts(HELD_OUT, WEIGHTS), block.counts(HELD_OUT)
-                symbols, times = pairs(block.spelling, block.ends), np.repeat(count, np.diff(block.ends))
+                symbols, times = pairs(block.spelling, block.ends), np.repeat(block.counts(HELD_OUT, WEIGHTS), np.diff(block.ends))
+                hashes = contexts(block.spelling, block.ends, ranges)
                 for kind in (*range(K), VOCABULARY, LONG):
                     if kind < K:
-                        keys = Keys(contexts(block.spelling, block.ends)[kind], symbols, shared.value)
-                        key, values = keys.key, keys.tally(times)
+                        cases = Cases(hashes[kind], symbols)
+                        key, count = cases.key, np.bincount(cases.which, times, len(cases.key))
                         cut = np.searchsorted(key, edges)
                     elif kind == VOCABULARY:
-                        key, values = block.hash, (all_count.astype(np.uint64),)
+                        key, count = block.hash, block.counts(HELD_OUT)
                         cut = np.searchsorted(key, edges)
                     else:
-                        long = Long(block, ranges)
+                        after = Followers(block, ranges)
                         use = np.repeat(~np.isin(block.folds, (HELD_OUT, WEIGHTS)), np.diff(block.first))
-                        key, values = long.key, (np.bincount(long.which[use], minlength=len(long.key)).astype(np.uint64),)
-                        cut = np.searchsorted(long.range, np.arange(1, ranges))
-                    cut = [0, *cut.tolist(), len(key)]
+                        key, count = after.key, np.bincount(after.which[use], minlength=len(after.key))
+                        cut = np.searchsorted(after.range, np.arange(1, ranges))
+                    cut, count = [0, *cut.tolist(), len(key)], count.astype(np.uint64)
                     full = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-                    parts = [[shrunk(np.diff(key[cut[r] : cut[r + 1]], prepend=U(0))) for r in full], *([shrunk(v[cut[r] : cut[r + 1]]) for r in full] for v in values)]
-                    if len(parts) == 2:
-                        parts.append([None] * len(full))
-                    yield pa.RecordBatch.from_arrays([pa.array([kind * ranges + r for r in full], pa.int32()), pa.array([block.no] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["part", "block", "keys", "zeros", "ones"])
+                    parts = [[shrunk(np.diff(key[cut[r] : cut[r + 1]], prepend=U(0))) for r in full], [shrunk(count[cut[r] : cut[r + 1]]) for r in full]]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind * ranges + r for r in full], pa.int32()), pa.array([block.no] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["part", "block", "keys", "counts"])
 
-    return blocks.drop("hist").mapInArrow(run, "part int, block long, keys binary, zeros binary, ones binary")
+    return blocks.drop("hist").mapInArrow(run, "part int, block long, keys binary, counts binary")
 
 
 def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
     """block, part, data: what the counts of all blocks answer to each block's questions, key by key.
 
-    Predictors answer states; the vocabulary answers counts, and -1 as the block has its number of tokens and of
-    distinct ones; pairs of words answer the word's count if TWICE or more, the sum of such counts, and all counts.
+    Predictors answer the state of every decision that spells the byte; the vocabulary answers counts, and -1 as the
+    block has its number of tokens and of distinct ones; pairs of words answer the count of the word behind them if
+    TWICE or more, the sum of such counts, and all counts.
     """
+    shared = blocks.sparkSession.sparkContext.broadcast(book)
 
     def run(group: pa.Table) -> pa.Table:
         kind = group["part"][0].as_py() // ranges
         keys = [np.cumsum(grown(x.as_py(), np.uint64), dtype=np.uint64) for x in group["keys"]]
         at = np.cumsum([0, *map(len, keys)])
-        keys, count = np.concatenate(keys), [np.concatenate([grown(x.as_py(), np.uint64) for x in group[c]]).astype(np.float64) if c == "zeros" or kind < K else None for c in ("zeros", "ones")]
-        key, place, which = distinct(W.mix(keys) if kind == LONG else keys)
-        zeros = np.bincount(which, count[0], len(key))
-        blocks, extra = group["block"].to_pylist(), []
+        keys = np.concatenate(keys)
+        _, place, which = distinct(W.mix(keys))
+        count = np.bincount(which, np.concatenate([grown(x.as_py(), np.uint64) for x in group["counts"]]).astype(np.float64), len(place))
+        key, blocks, extra = keys[place], group["block"].to_pylist(), []
         if kind < K:
-            answer = [states(np.stack([zeros, np.bincount(which, count[1], len(key))], 1))[which]]
+            symbols = (key & U(0xFFFF)).astype(np.int64)
+            owner, node, bit = decisions(symbols, shared.value)
+            slot, _, of = distinct(W.mix(key[owner] >> U(16) << U(16) | node))
+            ones, every = np.bincount(of, count[owner] * bit, len(slot)), np.bincount(of, count[owner], len(slot))
+            state, size = states(np.stack([every - ones, ones], 1))[of], shared.value[0][symbols]
+            start = np.cumsum(size) - size
+            data = [shrunk(state.take(spread(start[w], size[w]))) for w in np.split(which, at[1:-1])]
         elif kind == VOCABULARY:
-            answer = [zeros.astype(np.uint64)[which]]
-            blocks, extra = [*blocks, -1], [np.array([zeros.sum(), np.count_nonzero(zeros)]).astype(np.uint64)]
+            data = [shrunk(count.astype(np.uint64)[w]) for w in np.split(which, at[1:-1])]
+            blocks, extra = [*blocks, -1], [shrunk(np.array([count.sum(), np.count_nonzero(count)]).astype(np.uint64))]
         else:
-            _, _, pair = distinct(W.mix(keys[place] >> U(TAIL_BITS)))
-            again = np.where(zeros >= TWICE, zeros, 0)
-            answer = [x.astype(np.uint64)[which] for x in (again, np.bincount(pair, again)[pair], np.bincount(pair, zeros)[pair])]
-        data = [shrunk(np.concatenate([x[i:j] for x in answer])) for i, j in zip(at[:-1], at[1:], strict=True)]
-        return pa.table([pa.array(blocks, pa.int64()), pa.array([group["part"][0].as_py()] * len(blocks), pa.int32()), pa.array([*data, *map(shrunk, extra)], pa.binary())], names=["block", "part", "data"])
+            _, _, pair = distinct(W.mix(key >> U(TAIL_BITS)))
+            again = np.where(count >= TWICE, count, 0)
+            answer = [x.astype(np.uint64) for x in (again, np.bincount(pair, again)[pair], np.bincount(pair, count)[pair])]
+            data = [shrunk(np.concatenate([x[w] for x in answer])) for w in np.split(which, at[1:-1])]
+        return pa.table([pa.array(blocks, pa.int64()), pa.array([group["part"][0].as_py()] * len(blocks), pa.int32()), pa.array([*data, *extra], pa.binary())], names=["block", "part", "data"])
 
-    return asked(blocks, book, ranges).groupBy("part").applyInArrow(run, "block long, part int, data binary")
+    return asked(blocks, ranges).groupBy("part").applyInArrow(run, "block long, part int, data binary")
 
 
 def answers(rows: pa.Table, ranges: int) -> list[list[bytes]]:
@@ -427,19 +425,19 @@ class Texts:
 
     def __init__(self, row: dict, found: list[list[bytes]], book, ranges: int):
         self.block = block = Block(row)
-        symbols, context = pairs(block.spelling, block.ends), contexts(block.spelling, block.ends)
+        symbols, context = pairs(block.spelling, block.ends), contexts(block.spelling, block.ends, ranges)
         n = book[0][symbols]
         self.bit = decisions(symbols, book)[2]
         self.start = np.concatenate([[0], np.cumsum(n)])[block.ends]  # of each word's decisions
         self.state = np.empty((K, len(self.bit)), np.uint8)
         for k in range(K):
-            keys = Keys(context[k], symbols, book)
+            cases = Cases(context[k], symbols)
+            size = book[0][(cases.key & U(0xFFFF)).astype(np.int64)]
             state = np.concatenate([np.zeros(0, np.uint8), *(grown(x, np.uint8) for x in found[k])])
-            self.state[k] = state[keys.which].take(spread(keys.start, n))
+            self.state[k] = state.take(spread((np.cumsum(size) - size)[cases.which], n))
         self.count = np.concatenate([np.zeros(0, np.uint64), *(grown(x, np.uint64) for x in found[VOCABULARY])]).astype(np.int64)
-        long = Long(block, ranges)
-        rows = [grown(x, np.uint64).reshape(3, -1) for x in found[LONG]]
-        self.again, self.listed, self.all = (np.concatenate([np.zeros(0, np.uint64), *(r[i] for r in rows)]).astype(np.float32)[long.which] for i in range(3))
+        which, rows = Followers(block, ranges).which, [grown(x, np.uint64).reshape(3, -1) for x in found[LONG]]
+        self.again, self.listed, self.all = (np.concatenate([np.zeros(0, np.uint64), *(r[i] for r in rows)]).astype(np.float32)[which] for i in range(3))
 
     def groups(self):
         """Ranges of texts to score side by side."""
@@ -466,7 +464,7 @@ def lanes(first: np.ndarray):
 
 
 #: Which of three levels a log-odds' size is at, for every int8.
-LEVEL = np.array([(abs(i) > 0.7 * SCALE) + (abs(i) > 2.5 * SCALE) for i in [*range(128), *range(-128, 0)]], np.int64)
+LEVEL = np.array([(abs(i) > 0.7 * SCALE) + (abs(i) > 2.5 * SCALE) for i in [*range(128), *range(-128, 0)]], np.int16)
 
 
 class Mixer:
@@ -480,7 +478,7 @@ class Mixer:
         self.texts, self.refine, self.rate = texts, refine, rate
         self.weights = weights.astype(np.float64).copy()
         self.s = np.stack([odds[k].take(texts.state[k]) for k in range(K)])
-        self.gate = sum(LEVEL.take(self.s[k].view(np.uint8)) * 3 ** (K - 1 - k) for k in range(K))
+        self.gate = sum(LEVEL.take(self.s[k].view(np.uint8)) * np.int16(3 ** (K - 1 - k)) for k in range(K))
         self.seen, self.used, self.used_long = np.zeros((GATES * REFINE, 2)), np.zeros(GATES), np.zeros(LONG_GATES)
         t = texts
         self.has = t.listed > 0
@@ -490,7 +488,7 @@ class Mixer:
             p = np.clip(refine, 1e-7, 1 - 1e-7)
             self.cost = -np.log2(np.stack([1 - p, p], 1)).ravel().astype(np.float32)
             self.mixed = self.plain(slice(None))
-            self.cell = (self.gate * REFINE + REFINE // 2).astype(np.float32)
+            self.cell = self.gate.astype(np.float32) * REFINE + REFINE // 2
 
     def plain(self, at) -> np.ndarray:
         """Log-odds by the weights alone."""
@@ -554,7 +552,7 @@ class Mixer:
             bias[live] += step * np.bincount(lane, error, len(live))
 
     def learn(self, flat: np.ndarray, bit: np.ndarray, lane: np.ndarray, live: np.ndarray, total: np.ndarray) -> None:
-        gate, x = self.gate[flat], np.clip(self.plain(flat), -11.9, 11.9)
+        gate, x = self.gate[flat].astype(np.int64), np.clip(self.plain(flat), -11.9, 11.9)
         p = 1 / (1 + np.exp(-x))
         error, cell = bit - p, ((x + 12) * np.float32(REFINE / 24)).astype(np.int64) + gate * REFINE
         self.seen += np.bincount(cell * 2 + bit, minlength=2 * len(self.seen)).reshape(-1, 2)

@@ -51,19 +51,62 @@ def test_lm_gives_equal_texts_equal_scores(edge_docs):
     assert all(len(x) == 1 for x in same.values())
 
 
+def spelling_texts(words, book):
+    """Texts of one word each, every byte spelt from states that a hash of context and node picks."""
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+    symbols = lm.pairs(data, ends)
+    byte, node, bit = lm.decisions(symbols, book)
+    texts = lm.Texts.__new__(lm.Texts)
+    texts.block = lm.Block.__new__(lm.Block)
+    n = len(words)
+    texts.block.word, texts.block.first, texts.block.ends, texts.block.folds = np.arange(n), np.arange(n + 1), ends, np.zeros(n, np.uint8)
+    texts.bit, texts.start = bit, np.concatenate([[0], np.cumsum(book[0][symbols])])[ends]
+    texts.state = np.stack([((c[byte] >> np.uint64(40)) * np.uint64(31) + node * np.uint64(7) & np.uint64(255)).astype(np.uint8) for c in lm.contexts(data, ends, 64)])
+    texts.again = texts.listed = texts.all = np.zeros(n, np.float32)
+    return texts
+
+
 def test_lm_probabilities_sum_to_one():
     some = np.frombuffer(b"some text to count\n", np.uint8)
     book = lm.code(np.bincount(lm.pairs(some, np.array([0, len(some)])), minlength=1 << 16))
     assert np.allclose((2.0 ** -book[0].astype(float)).reshape(256, 256).sum(1), 1)
     rng = np.random.default_rng(1)
-    table = rng.integers(-60, 60, (lm.K, 1 << lm.SLOT_BITS)).astype(np.int8)
-    refine = lm.refinement(np.zeros((lm.GATES * lm.REFINE, 2)))
+    odds = rng.integers(-60, 60, (lm.K, 256)).astype(np.int8)
+    refine = lm.refinement(rng.integers(0, 50, (lm.GATES * lm.REFINE, 2)).astype(float))
     # all continuations of one byte after a fixed start
-    texts = [b"ka " + bytes([c]) for c in range(256)]
-    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.arange(257) * 4
-    whole = lm.Mixer(book, table, lm.start_weights(), refine, 0.02).bits(data, ends)
-    start = lm.Mixer(book, table, lm.start_weights(), refine, 0.02).bits(np.frombuffer(b"ka ", np.uint8), np.array([0, 3]))
-    assert abs(sum(2.0 ** -(whole - start[0])) - 1) < 1e-2
+    bits = lambda words: lm.Mixer(spelling_texts(words, book), odds, lm.start_weights(), refine, 0.02).bits()
+    whole, start = bits([b"ka" + bytes([c]) for c in range(256)]), bits([b"ka"])
+    assert abs(sum(2.0 ** -(whole - start[0])) - 1) < 1e-4
+
+
+def test_lm_steps_follow_the_text():
+    """A text of one word over and over costs less and less, and no other text beside it changes that."""
+    book = lm.code(np.zeros(1 << 16, np.int64))
+    rng = np.random.default_rng(2)
+    odds, refine = rng.integers(-20, 20, (lm.K, 256)).astype(np.int8), lm.refinement(np.zeros((lm.GATES * lm.REFINE, 2)))
+
+    def bits(word, first):
+        texts = spelling_texts([b"kaban ", b"lodor "], book)
+        texts.block.word, texts.block.first, texts.block.folds = np.array(word), np.array(first), np.zeros(len(first) - 1, np.uint8)
+        texts.again = texts.listed = texts.all = np.zeros(len(word), np.float32)
+        return lm.Mixer(texts, odds, lm.start_weights(), refine, 0.02).bits()
+
+    short, long = bits([0] * 16, [0, 16])[0], bits([0] * 400, [0, 400])[0]
+    assert long / 400 < short / 16
+    both = bits([0] * 400 + [1] * 90, [0, 400, 490])
+    assert abs(both[0] - long) < 1e-6 * long
+
+
+def test_lm_knows_texts_that_occur_again(spark):
+    rng = random.Random(5)
+    from tests.llm.conftest import prose
+
+    texts = [prose(rng, 120) for _ in range(120)]
+    docs = spark.createDataFrame([(i, texts[i % 100]) for i in range(120)], "doc_id long, text string")
+    got = lm.score(docs).collect()
+    twice = [r.bits_per_byte for r in got if r.doc_id % 100 < 20 and all(zlib.crc32(str(k).encode()) % 7 not in (2, 5) for k in (r.doc_id % 100, r.doc_id % 100 + 100))]
+    once = [r.bits_per_byte for r in got if 20 <= r.doc_id < 100]
+    assert len(twice) > 8 and max(twice) < min(once)
 
 
 # ---- 2, 3

@@ -4,38 +4,47 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 
 from chronoweave.llm import lm, toxicity
+from chronoweave.llm.common import materialize
 from tests.llm.conftest import prose
 
 
 def test_lm_tables_have_an_entry_for_each_context_of_the_corpus(spark):
-    """Counts are those of the true contexts, over all blocks; a table of 2^21 slots would mix them."""
+    """Counts are those of the true contexts, over all blocks; a table of fixed size would mix them."""
     rng = random.Random(9)
-    texts = {i: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40000)) + " common words at the end" for i in range(8)}
+    texts = {i: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 30))) for _ in range(3000)) + " common words at the end" for i in range(8)}
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(4)
-    blocks = lm.packed(docs).localCheckpoint()
-    rows = blocks.collect()
+    blocks = materialize(lm.packed(docs), "test-blocks")
+    rows = [r.asDict() for r in blocks.collect()]
     book = lm.code(np.sum([r["hist"] for r in rows], 0))
-    seen = Counter()
+    length, nodes, bits, start = book
+    path = lambda before, byte: [(int(nodes[i]), int(bits[i])) for i in range(start[before * 256 + byte], start[before * 256 + byte] + length[before * 256 + byte])]
+    reach = 5
+    seen, words = Counter(), Counter()
     for r in rows:
-        ends, data = np.frombuffer(r["ends"], np.int64), lm.unpack(r["text"], r["size"])
-        for i, kind in enumerate(r["folds"]):
-            text = data[ends[i] : ends[i + 1]]
-            byte, node, bit = lm.decisions(lm.pairs(text, np.array([0, len(text)])), book)
-            if kind not in (lm.HELD_OUT, lm.WEIGHTS):
-                seen.update((bytes(text[max(0, b - 5) : b]), n, x) for b, n, x in zip(byte.tolist(), node.tolist(), bit.tolist(), strict=True))
-    found = lm.tables(blocks, book, 64).collect()
-    assert len({r["part"] for r in found}) == 64 * lm.K
+        for i, kind in zip(r["ids"], r["folds"], strict=True):
+            spelt = [*(w.encode() + b" " for w in texts[int(i)].split()), b"\n"]
+            words.update(spelt if kind != lm.HELD_OUT else [])
+            if kind in (lm.HELD_OUT, lm.WEIGHTS):
+                continue
+            for w in spelt:
+                for b in range(len(w)):
+                    seen.update((w[max(0, b - reach) : b], n, x) for n, x in path(w[b - 1] if b else 32, w[b]))
+    found = materialize(lm.tables(blocks, book, 64), "test-tables").toArrow()
+    assert len({r for r in found["part"].to_pylist()}) > 64 * lm.K  # all ranges of the predictors with many contexts, and more
     for r in rows:
-        table = lm.Found([x.asDict() for x in found if x["block"] == r["block"]], np.tile(np.arange(256, dtype=np.uint8), (lm.K, 1)), 64)
-        ends, data = np.frombuffer(r["ends"], np.int64), lm.unpack(r["text"], r["size"])
-        for i in range(len(r["folds"])):
-            text = data[ends[i] : ends[i + 1]]
-            byte, node, _ = lm.decisions(lm.pairs(text, np.array([0, len(text)])), book)
-            got = table.find(1, lm.contexts(text, np.array([0, len(text)]))[1].take(byte), node)
-            want = lm.states(np.array([[seen[(c := bytes(text[max(0, b - 5) : b])), n, 0], seen[c, n, 1]] for b, n in zip(byte.tolist(), node.tolist(), strict=True)]))
-            assert (got == want).all()
+        mine = found.filter(pc.equal(found["block"], r["block"]))
+        block = lm.Texts(r, lm.answers(mine, 64), book, 64)
+        k = lm.REACH.index(reach)
+        spelling = block.block.spelling.tobytes()
+        for i, (a, b) in enumerate(zip(block.block.ends[:-1].tolist(), block.block.ends[1:].tolist(), strict=True)):
+            w = spelling[a:b]
+            assert block.count[i] == words[w]
+            want = [(c := w[max(0, j - reach) : j], n) for j in range(len(w)) for n, _ in path(w[j - 1] if j else 32, w[j])]
+            want = lm.states(np.array([[seen[c, n, 0], seen[c, n, 1]] for c, n in want]))
+            assert (block.state[k][block.start[i] : block.start[i + 1]] == want).all()
 
 
 def test_lm_ranges_grow_with_the_corpus():
