@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -17,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
         found = sc.getCheckpointDir()
     return found
 
@@ -34,6 +36,48 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that no column of `docs` has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(columns: list[str]) -> Column:
+    """128 bits that name a row by the values of all its columns; nulls count as values of their own."""
+    marked = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *marked).alias("a"), F.xxhash64(F.lit(2), *reversed(marked)).alias("b"))
+
+
+def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """row (all columns, as a struct), row_id and the `columns` that an operator works on: no name of its own can meet a user's."""
+    return docs.select(F.struct("*").alias("row"), row_key(docs.columns).alias("row_id"), *columns)
+
+
+#: Slots of a filter of keys; a fixed size, so it may be broadcast whatever the number of keys.
+FILTER = 1 << 22
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """True at the slots (FILTER of them) that the 64-bit keys of a column fall into: lets through all of them and, beside, a share of others."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        seen = np.zeros(FILTER, np.uint16)
+        for b in batches:
+            seen[slot(b.column(0).to_numpy())] = 1
+        yield packed_rows([(0, TaskContext.get().partitionId(), seen)])
+
+    got = gathered(tree_sum(keys.select(column).mapInArrow(run, "part int, task int, data binary"), "uint16"), "uint16")
+    return got > 0 if len(got) else np.zeros(FILTER, bool)
+
+
+def slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.int64).view(np.uint64) >> np.uint64(20)).astype(np.int64) & (FILTER - 1)
+
+
 def fold(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % k
@@ -68,7 +112,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree_sum(parts: DataFrame, dtype: str, fan: int = 48, tasks: int | None = None) -> DataFrame:
-    """Sum of packed arrays by `part`, through levels of at most `fan` partials each.
+    """Sum of packed arrays by `part` (of uint16: their maximum), through levels of at most `fan` partials each.
 
     `parts` has (part int, task int, data binary): zlib-packed numpy arrays, equal in length within a part.
     Each level streams its rows, so a task holds one accumulator per part, whatever the number of partials.
@@ -81,7 +125,7 @@ def tree_sum(parts: DataFrame, dtype: str, fan: int = 48, tasks: int | None = No
             for part, task, data in zip(b["part"].to_pylist(), b["task"].to_pylist(), b["data"], strict=True):
                 x = np.frombuffer(zlib.decompress(data.as_py()), dtype)
                 if (part, task) in acc:
-                    acc[part, task] += x
+                    acc[part, task] = np.maximum(acc[part, task], x) if dtype == "uint16" else acc[part, task] + x
                 else:
                     acc[part, task] = x.copy()
         for (part, task), x in acc.items():

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm import words as W
-from chronoweave.llm.common import buffers, gathered, materialize, packed_rows, pieces, tree_sum
+from chronoweave.llm.common import buffers, gathered, key_filter, materialize, packed_rows, pieces, slot, tree_sum, whole_rows
 from chronoweave.llm.components import components
 
 WIDTH = 5
@@ -33,6 +33,10 @@ PARITY = 1024
 #: Members of a key that are compared in one cell, pairs of a set that are verified in one go.
 CELL, GO = 2048, 512
 EXACT, DELETE = 1, 2
+#: Count of what is empty, above all others.
+ABOVE = (1 << 20) - 1
+#: Members of a cell up to which all its pairs are listed at once.
+SMALL = 64
 U = np.uint64
 
 
@@ -60,9 +64,9 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each set, whatever the order of its members."""
-    return W.mix(sums(W.mix(h ^ U(0x243F6A8885A308D3)), at)).view(np.int64), W.mix(sums(W.mix(h ^ U(0x13198A2E03707344)), at)).view(np.int64)
+def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set, whatever the order of its members."""
+    return W.mix(sums(W.mix(h ^ U(0x243F6A8885A308D3)), at) + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
 def differences(n):
@@ -102,13 +106,21 @@ def keys_of(h: np.ndarray, log: int, mode: int, rarity: np.ndarray, most: int) -
     if mode == DELETE:
         half = max(1, (m // 2 + 1) // 2)
         seg = ((h >> U(8)) % U(half)).astype(np.int64)
-        part = W.mix(h ^ salt)
-        total = by_segment(seg, half, part)[0]
+        part, count = W.mix(h ^ salt), np.minimum(count, ABOVE - 1)
+        total, rare = by_segment(seg, half, part, count)
         number = np.arange(half, dtype=np.uint64) * U(64) + salt
         key = np.concatenate([W.mix(total ^ W.mix(number)), W.mix((total[seg] - part) ^ W.mix(number[seg]))])
-        return key, np.zeros(len(key), np.int64)
+        # without its rarest shingle, a segment is as rare as the next one
+        order = np.lexsort((count, seg))
+        head = np.append(True, seg[order][1:] != seg[order][:-1])
+        second = np.full(half, ABOVE)
+        next_ = np.flatnonzero(~head & np.append(False, head[:-1]))
+        second[seg[order[next_]]] = count[order[next_]]
+        left = rare[seg]
+        left[order[head]] = second[seg[order[head]]]
+        return key, np.concatenate([rare, left])
     seg = ((h >> U(8)) & U(m - 1)).astype(np.int64)
-    total, rare = by_segment(seg, m, W.mix(h ^ salt), np.minimum(count, (1 << 20) - 2))
+    total, rare = by_segment(seg, m, W.mix(h ^ salt), np.minimum(count, ABOVE - 1))
     key = W.mix(total ^ W.mix(np.arange(m, dtype=np.uint64) * U(64) + salt))
     if most >= m:
         return key, rare
@@ -126,19 +138,19 @@ def by_segment(seg: np.ndarray, m: int, values: np.ndarray, counts: np.ndarray |
     total[ordered[first]] = np.add.reduceat(values[order], first)
     if counts is None:
         return total, None
-    rare = np.full(m, (1 << 20) - 1, np.int64)
+    rare = np.full(m, ABOVE, np.int64)
     rare[ordered[first]] = np.minimum.reduceat(counts[order], first)
     return total, rare
 
 
 def members(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
-    """A row per document (doc_id, n, cid, check, parity, carried columns) and the sketch of shingle counts, in one pass.
+    """A row per document (doc_id, n, cid, parity, carried columns) and the sketch of shingle counts, in one pass.
 
-    cid and check are hashes of the set; parity has the parities of the numbers of shingles in each of 1024 classes.
+    cid is a hash of the set; parity has the parities of the numbers of shingles in each of 1024 classes.
     """
-    names = ["doc_id", "n", "cid", "check", "parity", *carry]
+    names = ["doc_id", "n", "cid", "parity", *carry]
     kept = [docs.schema[c] for c in carry]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("check", T.LongType()), T.StructField("parity", T.BinaryType()), *[T.StructField(f.name, f.dataType) for f in kept], T.StructField("part", T.IntegerType()), T.StructField("task", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("parity", T.BinaryType()), *[T.StructField(f.name, f.dataType) for f in kept], T.StructField("part", T.IntegerType()), T.StructField("task", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -150,8 +162,7 @@ def members(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, np
             counts += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
             row = np.repeat(np.arange(n), np.diff(at))
             odd = (np.bincount(row * PARITY + ((h >> U(20)) % U(PARITY)).astype(np.int64), minlength=n * PARITY) & 1).astype(bool).reshape(n, PARITY)
-            a, b = set_keys(h, at)
-            columns = [piece["doc_id"], pa.array(np.diff(at)), pa.array(a), pa.array(b), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary()), *(piece[c] for c in carry)]
+            columns = [piece["doc_id"], pa.array(np.diff(at)), pa.array(set_keys(h, at)), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary()), *(piece[c] for c in carry)]
             blank = {c: x.type for c, x in zip(names, columns, strict=True)}
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [*names, "part", "task", "data"])
         if blank:
@@ -176,7 +187,7 @@ def index(docs: DataFrame, sketch: np.ndarray, modes: dict[int, int]) -> DataFra
         seen: set[int] = set()
         for piece in pieces(batches, most=2 << 20):
             h, at = shingle_sets(piece["text"])
-            cids = set_keys(h, at)[0].tolist()
+            cids = set_keys(h, at).tolist()
             key, cid, often, size = [], [], [], []
             for i, c in enumerate(cids):
                 n = int(at[i + 1] - at[i])
@@ -256,35 +267,50 @@ def cells(rows: DataFrame, keys: DataFrame, info: DataFrame) -> DataFrame:
     return rows.select("key", "low", "high", "side", "cid", "comp", "n", "parity").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "cid")
 
 
-def forest(pairs: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Of pairs in order, those that join two groups of their cell that no pair before has joined."""
-    parent: dict[tuple[int, int], tuple[int, int]] = {}
+def forest(n: np.ndarray, bits: np.ndarray, apart) -> list[tuple[int, int]]:
+    """Pairs of rows of one cell that join what its allowed pairs join, the closest first: Prim's algorithm, a row of distances at a time.
 
-    def find(x):
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
-
-    keep = np.zeros(len(pairs), bool)
-    for k, (c, (i, j)) in enumerate(zip(cell.tolist(), pairs.tolist(), strict=True)):
-        x, y = find((c, i)), find((c, j))
-        if x != y:
-            parent[x] = y
-            keep[k] = True
-    return keep
+    `apart(i)` says which rows i may be paired with.
+    """
+    far = np.iinfo(np.int64).max
+    best, link, out = np.full(len(n), far), np.full(len(n), -1), []
+    todo = np.ones(len(n), bool)
+    for _ in range(len(n)):
+        i = int(np.argmin(np.where(todo, best, far)))
+        if not todo[i]:
+            i = int(np.argmax(todo))  # what is left can't be reached: another tree begins
+        todo[i] = False
+        if link[i] >= 0:
+            out.append((int(link[i]), i))
+        rows = np.flatnonzero(todo & apart(i))
+        d = may_link(n, bits, np.full(len(rows), i), rows)
+        ok = (d >= 0) & (d < best[rows])
+        best[rows[ok]], link[rows[ok]] = d[ok], i
+    return out
 
 
 def cell_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
-    """(a, b) of members of a cell that are in different components and may link, or enough of them to join the same groups, the closest first; rows come sorted by cell."""
+    """(a, b) of members of a cell that are in different components and may link, or enough of them to join the same groups, the closest first; rows come sorted by cell.
+
+    All pairs of small cells are found side by side. In a large one the tree takes memory by its rows, and all pairs are
+    given out as they are found.
+    """
+
+    def batch(a, b):
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
     def compare(group):
-        """Pairs of whole cells, each row with the rows after it in its cell, a distance at a time."""
         key, low, high, side, cid, comp, n, bits = group
         start = starts_of(key, low, high)
         size = np.bincount(start, minlength=len(start))[start]
-        found = []
-        rows = np.arange(len(key))
-        step = 1
+        large = size > SMALL if spanning else np.zeros(len(key), bool)
+        for first in np.unique(start[large]).tolist():
+            cell = slice(first, first + int(size[first]))
+            c, s, own = comp[cell], side[cell], low[first] == high[first]
+            pairs = np.array(forest(n[cell], bits[cell], lambda i, c=c, s=s, own=own: (c != c[i]) & (own | (s != s[i]))), np.int64).reshape(-1, 2) + first
+            yield batch(cid[pairs[:, 0]], cid[pairs[:, 1]])
+        rows, step, found = np.flatnonzero(~large), 1, []
         while len(rows):
             rows = rows[rows + step < (start + size)[rows]]
             i, j = rows, rows + step
@@ -293,14 +319,16 @@ def cell_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
             if len(i):
                 d = may_link(n, bits, i, j)
                 ok = d >= 0
-                found.append(np.stack([np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]]), d[ok], start[i[ok]]], 1))
+                if spanning:
+                    found.append(np.stack([i[ok], j[ok], d[ok], start[i[ok]]], 1))
+                elif ok.any():
+                    yield batch(cid[i[ok]], cid[j[ok]])
             step += 1
-        pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-        if spanning:
+        if found:
+            pairs = np.concatenate(found)
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2], pairs[:, 3]))]
-            pairs = pairs[forest(pairs[:, :2], pairs[:, 3])]
-        pairs = np.unique(pairs[:, :2], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            pairs = pairs[joining(pairs[:, :2], len(key))]
+            yield batch(cid[pairs[:, 0]], cid[pairs[:, 1]])
 
     def run(batches):
         held = None
@@ -311,39 +339,49 @@ def cell_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
             cut = starts_of(*now[:3])[-1]  # the last cell may go on; cells are bounded
             if cut:
-                yield compare([x[:cut] for x in now])
+                yield from compare([x[:cut] for x in now])
             held = [x[cut:] for x in now]
         if held:
-            yield compare(held)
+            yield from compare(held)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, pairs: DataFrame, most: int = 2_000_000) -> DataFrame:
+def joining(pairs: np.ndarray, rows: int) -> np.ndarray:
+    """Of pairs of rows in order, those that join two groups that no pair before has joined."""
+    up = list(range(rows))
+    keep = np.zeros(len(pairs), bool)
+    for k, (i, j) in enumerate(pairs.tolist()):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        if i != j:
+            up[i] = j
+            keep[k] = True
+    return keep
+
+
+def whole_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cid, members) of the sets in the pairs (a, b), from the texts again.
 
-    Up to `most` wanted sets (8 bytes each) go to every task, which then keeps theirs only; beyond, a join picks them.
+    Every task gets a filter of fixed size, which lets through the wanted sets and few others; a join drops the others.
     """
     wanted = materialize(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "wanted")
-    few = wanted.count() <= most
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if few else None)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(key_filter(wanted, "cid")))
 
     def run(batches):
-        only, seen = shared.value, set()
-        for piece in pieces(batches, most=2 << 20):
+        may, seen = np.unpackbits(shared.value).astype(bool), set()
+        for piece in pieces(batches, most=1 << 20):
             h, at = shingle_sets(piece["text"])
-            ids = set_keys(h, at)[0]
-            ok = np.diff(at) > 0
-            if only is not None:
-                near = np.minimum(np.searchsorted(only, ids), max(0, len(only) - 1))
-                ok &= only[near] == ids if len(only) else False
+            ids = set_keys(h, at)
+            ok = (np.diff(at) > 0) & may[slot(ids)]
             rows = [i for i in np.flatnonzero(ok).tolist() if ids[i] not in seen and not seen.add(ids[i])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], ["cid", "members"])
 
     sets = docs.select("text").mapInArrow(run, "cid long, members binary")
-    sets = sets if few else sets.join(wanted, "cid", "left_semi")
-    return materialize(sets, "whole-sets").dropDuplicates(["cid"])  # equal sets can come from several tasks
+    return materialize(sets.join(wanted, "cid", "left_semi"), "whole-sets").dropDuplicates(["cid"])  # equal sets can come from several tasks
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -374,14 +412,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, sets_of: DataFrame, sketch: np.ndarray, modes: dict[int, int] | None = None) -> DataFrame:
-    """Components (node, comp) of the classes of equal sets that have a link."""
+def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, modes: dict[int, int] | None = None) -> DataFrame:
+    """Components (node, comp) of the `classes` (cid, n, parity, copies) of equal sets that have a link."""
     if modes is None:
-        sizes = {r["n"]: r["docs"] for r in sets_of.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("docs")).collect()}  # as many as sizes
+        sizes = {r["n"]: r["docs"] for r in classes.groupBy("n").agg(F.sum("copies").alias("docs")).collect()}  # as many as sizes
         modes = allocation(sizes, clash(sketch, sum(sizes.values())))
     crowd = materialize(crowded(index(docs, sketch, modes)), "crowded")
-    info = sets_of.where("n > 0").join(crowd.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    info = materialize(info, "crowded-sets")
+    info = materialize(classes.select("cid", "n", "parity").join(crowd.select("cid").distinct(), "cid", "left_semi"), "crowded-sets")
 
     sizes = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     near = cells(crowd.select("key", "cid", F.col("cid").alias("comp")), sizes, info)
@@ -417,35 +454,42 @@ def join(docs: DataFrame, *, modes: dict[int, int] | None = None, carry: tuple[s
     A set is the distinct shingles of 5 words of the text with A-Z in lower case; fewer words are one shingle, no words
     (null and empty texts) an empty set that links with nothing. component_id is the smallest doc_id that links lead to;
     null ids are never it unless there is no other, and repeated rows are documents of one class. An empty table gives
-    no rows. Links are exact but for hash collisions: shingles and classes have 64 bits, equal sets are told by 128.
+    no rows. Links are exact but for hash collisions: shingles and sets are told apart by 64 bits.
     """
     sets_of, sketch = members(docs, carry)
-    comp = links(docs, sets_of, sketch, modes)
-    classes = sets_of.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    groups = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = classes.join(groups, "comp").select("cid", "comp", "component_id")
+    classes = sets_of.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes, "classes")  # one row for all copies, before anything else is dealt by class
+    comp = links(docs, classes, sketch, modes)
+    comp = classes.select("cid", "least").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    groups = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = materialize(comp.join(groups, "comp").select("cid", "comp", "component_id"), "named")
     rows = sets_of.where("n > 0").select("doc_id", "n", "cid", *carry).join(named, "cid")
     alone = sets_of.where("n = 0").select("doc_id", "n", *carry, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
     return rows.select("doc_id", "n", *carry, "component_id", "comp").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("comp").alias("class_id"), *carry)
 
 
-def keep_one(docs: DataFrame, *, most: int = 2_000_000, **params) -> DataFrame:
+#: Buckets of row names that a broadcast may list.
+BUCKETS = 1 << 20
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
     """One document of each component, that with the smallest id, in the columns of `docs`; texts without words all stay.
 
-    Rows that go are named by a hash of all their columns. Up to `most` such names (8 bytes each) go to every task, so
-    that texts needn't be shuffled; beyond, a join on the name drops them.
+    Rows that go are named by 128 bits of all their columns. Most rows are in no bucket of such names (at most BUCKETS,
+    which every task gets) and stay where they are; only the others' texts are shuffled, to a join on the whole names.
+    Of rows that are equal in every column one stays.
     """
-    columns, row = docs.columns, "_join_row"
-    keyed = docs.withColumn(row, F.xxhash64(*columns))
-    joined = materialize(join(keyed, carry=(row,), **params).where("class_id is not null").select("class_id", row, "doc_id"), "joined")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
-    best = joined.groupBy("class_id").agg(F.min_by(F.col(row), order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    names = joined.join(best, "class_id").groupBy(row).agg(F.max((F.col(row) == F.col("best")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("times"))
-    names = materialize(names.where("stays = 0 or times > 1"), "rows-to-drop")
-    listed = lambda rows: F.broadcast(rows.select(row)) if rows.count() <= most else rows.select(row)
-    out = keyed.join(listed(names), row, "left_anti").select(*columns)
-    again = names.where("stays = 1")  # rows equal in every column: one of them stays
-    if not again.limit(1).count():
-        return out
-    return out.unionByName(keyed.join(listed(again), row, "left_semi").dropDuplicates([row]).select(*columns))
+    rows = whole_rows(docs, "doc_id", "text")
+    joined = materialize(join(rows, carry=("row_id",), **params).where("class_id is not null").select("class_id", "row_id", "doc_id"), "joined")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_id"))
+    best = joined.groupBy("class_id").agg(F.min_by(F.col("row_id"), order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class_id", "best")
+    names = joined.join(best, "class_id").select("row_id", (F.col("row_id") == F.col("best")).cast("int").alias("stays"))
+    names = materialize(names, "named-rows").groupBy("row_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    names = materialize(names.where("stays = 0 or times > 1").select("row_id", "stays"), "rows-to-drop")
+    bucket = F.pmod(F.col("row_id.a"), F.lit(BUCKETS)).alias("bucket")
+    listed = F.broadcast(names.select(bucket).distinct().withColumn("listed", F.lit(True)))
+    rows = rows.select("row", "row_id", bucket).join(listed, "bucket", "left")
+    asked = rows.where("listed").select("row", "row_id").join(names, "row_id", "left")
+    out = rows.where("listed is null").select("row").unionByName(asked.where("stays is null").select("row"))
+    out = out.unionByName(asked.where("stays = 1").dropDuplicates(["row_id"]).select("row"))
+    return out.select("row.*")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import materialize
+from chronoweave.llm.common import materialize, whole_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -100,6 +100,8 @@ def mix(docs: DataFrame, *, seed: int = 17, chunk: int = 8192, fan: int = 64, cy
     """
     # the id travels as text: pandas would turn a nullable long into a double
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", word_count().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"), *carry)
+    # rows that are equal here may be exchanged for each other: numbered, they can be dealt out singly, however many
+    slim = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
     slim = materialize(slim, "mix-sizes")
     by_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, most)
     chunks = slim.groupBy("source").agg(F.count(F.lit(1)).alias("_docs")).select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("_docs") / chunk)).alias("_chunks"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, *, seed: int = 17, chunk: int = 8192, fan: int = 64, cy
     plan = materialize(plan, "mix-plan")
     rows = slim.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    whole, key = F.floor(F.col("_ratio") + 1e-12), F.xxhash64(F.lit(seed), "doc_id", "size", "_crc")
+    whole, key = F.floor(F.col("_ratio") + 1e-12), F.xxhash64(F.lit(seed), "doc_id", "size", "_crc", "_copy")
     rows = rows.withColumn("_ratio", ratio).withColumn("_whole", whole).withColumn("_key", key)
     rows = rows.withColumn("_part", F.greatest(F.lit(0.0), F.col("_ratio") - F.col("_whole")) * F.col("size"))
     rows = rows.withColumn("_take", F.when((F.col("_part") <= 1e-9) | (F.col("size") == 0), 0).otherwise(-1))
@@ -132,11 +134,10 @@ def mix(docs: DataFrame, *, seed: int = 17, chunk: int = 8192, fan: int = 64, cy
 def repeated(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus itself: each document as many times as it has copies, in the columns of `docs`.
 
-    Rows that are equal in every column share one key and get the sum of their copies, so the same rows come out
-    whichever of them the copies were given to.
+    Rows that are equal in every column share one name (128 bits of all columns) and get the sum of their copies, so the
+    same rows come out whichever of them the copies were given to.
     """
-    columns, key = docs.columns, "_mix_row"
-    keyed = docs.withColumn(key, F.xxhash64(*columns))
-    copies = mix(keyed, carry=(key,), **params).groupBy(key).agg(F.sum("copies").cast("int").alias("_mix_copies")).where("_mix_copies > 0")
-    once = keyed.dropDuplicates([key])
-    return once.join(copies, key).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*columns)
+    rows = whole_rows(docs, "doc_id", "text", "source")
+    copies = mix(rows, carry=("row_id",), **params).groupBy("row_id").agg(F.sum("copies").cast("int").alias("times")).where("times > 0")
+    once = rows.select("row_id", "row").dropDuplicates(["row_id"])
+    return once.join(copies, "row_id").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

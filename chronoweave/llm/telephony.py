@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronoweave.llm.common import buffers, pieces, utf8
+from chronoweave.llm.common import buffers, materialize, pieces, utf8
 
 # WAVE format tags and the IMA ADPCM index steps, as the formats define them.
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
@@ -122,16 +122,27 @@ def decode(media: bytes) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation to another rate; empty stays empty."""
+    """Linear interpolation to another rate; empty stays empty. Doubling, the usual case, goes in whole numbers, halves to the even one."""
     if rate == to or not len(pcm):
         return pcm
+    if to == 2 * rate:
+        out = np.empty(2 * len(pcm), np.int16)
+        out[::2] = pcm
+        both = pcm[:-1].astype(np.int32) + pcm[1:]
+        out[1:-1:2] = (both >> 1) + ((both & 1) & (both >> 1 & 1))
+        out[-1] = pcm[-1]
+        return out
     at = np.arange(max(1, len(pcm) * to // rate)) * (rate / to)
     return np.rint(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16)
 
 
 def resampled_wave(media: bytes, to: int) -> bytes:
     """The media as 16-bit PCM at another rate, in a WAVE file."""
-    body = resample(decode(media), RATE, to).astype("<i2").tobytes()
+    return wave(decode(media), RATE, to)
+
+
+def wave(pcm: np.ndarray, rate: int, to: int) -> bytes:
+    body = resample(pcm, rate, to).astype("<i2").tobytes()
     chunks = b"fmt " + struct.pack("<IHHIIHH", 16, PCM, 1, to, to * 2, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
     return b"RIFF" + struct.pack("<I", len(chunks) + 4) + b"WAVE" + chunks
 
@@ -161,42 +172,54 @@ def decode_all(tags: list[int], bodies: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def text_media(docs: DataFrame, keep_media: bool = False, rate: int = 16000) -> DataFrame:
-    """Store each whole text as telephony audio, read it back and compute features.
+def stored_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, codec, media of every text: its UTF-8 as telephony audio in a WAVE file, written to the shared folder and read from there.
 
     The text's UTF-8 (null: empty) is filled with zero bytes up to a positive multiple of 64. Its crc32 picks mu-law,
-    A-law or ADPCM, so equal texts get equal values; in ADPCM every 64 bytes are one block behind a block header, so
-    the bytes stay as they are. `payload_*` come from the bytes read back out of the container. `keep_media` adds the
-    container as `media` and its PCM at `rate` Hz as `pcm` (a WAVE file). Repeated rows and null ids give rows of
-    their own; an empty table gives none. Python holds about 4 MB of text at a time, or one longer document.
+    A-law or ADPCM, so equal texts get equal files; in ADPCM every 64 bytes are one block behind a block header, so the
+    bytes stay as they are.
     """
-    id_type = docs.schema["doc_id"].dataType
-    fields = f"doc_id {id_type.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string" + ", media binary, pcm binary" * keep_media
+    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, codec string, media binary"
 
     def store(batches):
         for piece in pieces(batches, most=2 << 20):
             data, ends = buffers(piece["text"])
-            raw = data.tobytes()
-            rows = {k: [] for k in ("n", "size", "sha", "tail", "msize", "msha", "codec", "media")}
-            tags, bodies = [], []
+            raw, tags, media = data.tobytes(), [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 text = raw[a:b]
                 payload = text + b"\0" * (-len(text) % 64 if text else 64)
-                media = container(CODECS[zlib.crc32(payload) % len(CODECS)], payload)
-                tag, _, body = parse(media)
-                back = stored_bytes(media)
-                tags.append(tag)
-                bodies.append(body)
-                for k, v in (("n", b - a), ("size", len(back)), ("sha", hashlib.sha256(back).hexdigest()), ("tail", zlib.crc32(back[-64:])), ("msize", len(media)), ("msha", hashlib.sha256(media).hexdigest()), ("codec", NAMES[tag]), ("media", media if keep_media else None)):
-                    rows[k].append(v)
-            columns = [piece["doc_id"], *(pa.array(rows[k], t) for k, t in (("n", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("tail", pa.int64()), ("msize", pa.int64()), ("msha", pa.string()))), pa.array(features(decode_all(tags, bodies)), pa.string()), pa.array(rows["codec"], pa.string())]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec"]
-            if keep_media:
-                columns += [pa.array(rows["media"], pa.binary()), pa.array([resampled_wave(m, rate) for m in rows["media"]], pa.binary())]
-                names += ["media", "pcm"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(store, fields)
+                tags.append(CODECS[zlib.crc32(payload) % len(CODECS)])
+                media.append(container(tags[-1], payload))
+            yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array(np.diff(ends)), pa.array([NAMES[t] for t in tags], pa.string()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "codec", "media"])
+
+    return materialize(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(store, fields), "media")
+
+
+def text_media(docs: DataFrame, keep_media: bool = False, rate: int = 16000) -> DataFrame:
+    """Store each whole text as telephony audio, read it back and compute features.
+
+    `payload_*` come from the bytes read back out of the stored files (`stored_media`), `feature` from their samples,
+    `pcm_bytes` and `pcm_sha256` from the same as 16-bit PCM at `rate` Hz (a WAVE file). `keep_media` adds the files
+    themselves as `media` and `pcm`. Repeated rows and null ids give rows of their own; an empty table gives none.
+    Python holds about 1 MB of media at a time, or one longer document.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm_bytes long, pcm_sha256 string" + ", media binary, pcm binary" * keep_media
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def read(batches):
+        for piece in pieces(batches, "media", most=1 << 20):
+            media = [m.as_py() for m in piece["media"]]
+            parsed = [parse(m) for m in media]
+            back = [stored_bytes(m) for m in media]
+            signals = decode_all([t for t, _, _ in parsed], [b for _, _, b in parsed])
+            pcm = [wave(x, RATE, rate) for x in signals]
+            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+            size = lambda xs: pa.array([len(x) for x in xs], pa.int64())
+            columns = [piece["doc_id"], piece["n_bytes"], size(back), sha(back), pa.array([zlib.crc32(x[-64:]) for x in back], pa.int64()), size(media), sha(media), pa.array(features(signals), pa.string()), piece["codec"], size(pcm), sha(pcm)]
+            yield pa.RecordBatch.from_arrays([*columns, *([piece["media"], pa.array(pcm, pa.binary())] if keep_media else [])], names)
+
+    return stored_media(docs).mapInArrow(read, fields)
 
 
 def decode_media(rows: DataFrame, media: str = "media", rate: int = 16000) -> DataFrame:

@@ -82,7 +82,7 @@ def frequencies(docs: DataFrame, labels: DataFrame, label: str) -> np.ndarray:
 
 
 def sparse_rows(docs: DataFrame, use: np.ndarray) -> DataFrame:
-    """Label, number of n-grams, and those n-gram buckets of each document that are in `use` with their counts (both packed as uint16)."""
+    """Label, number of n-grams, and those n-gram buckets of each document that are in `use` with their counts (packed as uint16 and uint32)."""
     shared = docs.sparkSession.sparkContext.broadcast(use)
 
     def run(batches):
@@ -92,7 +92,7 @@ def sparse_rows(docs: DataFrame, use: np.ndarray) -> DataFrame:
             ends = np.searchsorted(row[kept], np.arange(piece.num_rows + 1))
             total = np.maximum(1, total)
             ids = bucket[kept].astype(np.uint16)
-            count = np.minimum(count[kept], 65535).astype(np.uint16)
+            count = count[kept].astype(np.uint32)
             cut = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([piece["label"], pa.array(total), pa.array([ids[c].tobytes() for c in cut], pa.binary()), pa.array([count[c].tobytes() for c in cut], pa.binary())], ["label", "total", "ids", "counts"])
 
@@ -127,7 +127,7 @@ def train(rows: list, seen: np.ndarray, use: np.ndarray, *, dim: int = 8, steps:
     rng = np.random.default_rng(seed)
     ids = [np.frombuffer(r["ids"], np.uint16) for r in rows]
     y = np.array([r["label"] for r in rows], np.int64)
-    share = [(np.frombuffer(r["counts"], np.uint16) / r["total"]).astype(np.float32) for r in rows]
+    share = [(np.frombuffer(r["counts"], np.uint32) / r["total"]).astype(np.float32) for r in rows]
     ids = [i.astype(np.int64) for i in ids]
     weight = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))[y]
     emb, out, bias = (rng.normal(0, 0.1, (1 << BITS, dim)) * use[:, None]).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -197,4 +197,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **pa
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **params) -> DataFrame:
     """The documents below the threshold, in the columns of `docs`."""
-    return score(docs, fit(docs, labels, **params), "_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **params))
+
+    def run(batches):
+        table, bias = shared.value
+        cut = np.log(threshold / (1 - threshold))
+        for piece in pieces(batches, most=1 << 20):
+            bucket, row = gram_buckets(*buffers(piece["text"]))
+            n = piece.num_rows
+            mean = np.bincount(row, table[bucket], minlength=n) / np.maximum(1, np.bincount(row, minlength=n))
+            yield piece.filter(pa.array(mean + bias < cut))
+
+    return docs.mapInArrow(run, docs.schema)
