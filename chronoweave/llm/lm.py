@@ -52,7 +52,7 @@ SCALE, REFINE = 16, 256
 #: Words between two online steps of a text: the first, and the most.
 STEP, MOST_STEP = 16, 128
 #: Bytes of text in a block, and of a group of texts that are scored side by side.
-BLOCK, SCORED = 8 << 20, 1 << 19
+BLOCK, SCORED = 6 << 20, 1 << 19
 END, SPACE = 10, 32
 U = np.uint64
 
@@ -170,6 +170,10 @@ def packed(docs: DataFrame) -> DataFrame:
             data, ends = W.lower(np.frombuffer(b"".join(texts), np.uint8)), np.cumsum([0, *map(len, texts)])
             h, start, stop, first = tokens(data, ends)
             known, at, word = distinct(h)
+            often = np.argsort(-np.bincount(word, minlength=len(known)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(known), np.int64)
+            rank[often] = np.arange(len(known))
+            at, word = at[often], rank[word]
             spelling, edge = spelt(data, start[at], stop[at])
             length = np.diff(edge)
             count = np.bincount(word[np.repeat(np.array(folds) != HELD_OUT, np.diff(first))], minlength=len(known))
@@ -335,6 +339,23 @@ def state_odds(hits: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p)).astype(np.float32)
 
 
+#: Steps of a unit in the log-odds that a pair's followers go on, from -8 to 8, and of a bit in what it costs to name one.
+LISTED, NAMED = 2.4, 8
+
+
+def listing(listed: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """How a pair of words stands, from the counts of followers seen TWICE or more and of all: 0 if there are none of the first, else gate and log-odds."""
+    odds = np.clip(np.log((listed + 0.1) / (np.maximum(0, every - listed) + 0.4)), -8, 8)
+    gate = np.minimum(LONG_GATES - 1, np.log2(np.maximum(1, every)).astype(np.int64) // 2)
+    return np.where(listed > 0, 1 + gate * 40 + np.rint((odds + 8) * LISTED), 0).astype(np.uint8)
+
+
+def naming(again: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """What it costs to name a follower, in eighths of a bit and rounded up, so that the followers' shares add up to one at most; 0 for those that are not listed."""
+    bits = np.log2(np.maximum(1, listed) / np.maximum(1, again))
+    return np.where(again > 0, 1 + np.minimum(254, np.ceil(bits * NAMED - 1e-9)), 0).astype(np.uint8)
+
+
 def ranges_for(total: int) -> int:
     """Ranges of keys of each kind of question, a power of two that grows with the corpus."""
     return max(LEAST_RANGES, 1 << max(0, -(-total // RANGE) - 1).bit_length())
@@ -356,7 +377,8 @@ def asked(blocks: DataFrame, ranges: int) -> DataFrame:
                         key, count = cases.key, np.bincount(cases.which, times, len(cases.key))
                         cut = np.searchsorted(key, edges)
                     elif kind == VOCABULARY:
-                        key, count = block.hash, block.counts(HELD_OUT)
+                        order = np.argsort(block.hash)
+                        key, count = block.hash[order], block.counts(HELD_OUT)[order]
                         cut = np.searchsorted(key, edges)
                     else:
                         after = Followers(block, ranges)
@@ -375,8 +397,8 @@ def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
     """block, part, data: what the counts of all blocks answer to each block's questions, key by key.
 
     Predictors answer the state of every decision that spells the byte; the vocabulary answers counts, and -1 as the
-    block has its number of tokens and of distinct ones; pairs of words answer the count of the word behind them if
-    TWICE or more, the sum of such counts, and all counts.
+    block has its number of tokens and of distinct ones; pairs of words answer how they stand (`listing`) and what the
+    word behind them costs to name (`naming`).
     """
     shared = blocks.sparkSession.sparkContext.broadcast(book)
 
@@ -402,8 +424,9 @@ def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
         else:
             _, _, pair = distinct(W.mix(key >> U(TAIL_BITS)))
             again = np.where(count >= TWICE, count, 0)
-            answer = [x.astype(np.uint64) for x in (again, np.bincount(pair, again)[pair], np.bincount(pair, count)[pair])]
-            data = [shrunk(np.concatenate([x[w] for x in answer])) for w in np.split(which, at[1:-1])]
+            listed = np.bincount(pair, again)
+            answer = np.stack([listing(listed, np.bincount(pair, count))[pair], naming(again, listed[pair])])
+            data = [shrunk(answer[:, w].ravel()) for w in np.split(which, at[1:-1])]
         return pa.table([pa.array(blocks, pa.int64()), pa.array([group["part"][0].as_py()] * len(blocks), pa.int32()), pa.array([*data, *extra], pa.binary())], names=["block", "part", "data"])
 
     return asked(blocks, ranges).groupBy("part").applyInArrow(run, "block long, part int, data binary")
@@ -435,9 +458,10 @@ class Texts:
             size = book[0][(cases.key & U(0xFFFF)).astype(np.int64)]
             state = np.concatenate([np.zeros(0, np.uint8), *(grown(x, np.uint8) for x in found[k])])
             self.state[k] = state.take(spread((np.cumsum(size) - size)[cases.which], n))
-        self.count = np.concatenate([np.zeros(0, np.uint64), *(grown(x, np.uint64) for x in found[VOCABULARY])]).astype(np.int64)
-        which, rows = Followers(block, ranges).which, [grown(x, np.uint64).reshape(3, -1) for x in found[LONG]]
-        self.again, self.listed, self.all = (np.concatenate([np.zeros(0, np.uint64), *(r[i] for r in rows)]).astype(np.float32)[which] for i in range(3))
+        self.count = np.zeros(len(block.hash), np.int64)
+        self.count[np.argsort(block.hash)] = np.concatenate([np.zeros(0, np.uint64), *(grown(x, np.uint64) for x in found[VOCABULARY])])
+        which, rows = Followers(block, ranges).which, [grown(x, np.uint8).reshape(2, -1) for x in found[LONG]]
+        self.listing, self.naming = (np.concatenate([np.zeros(0, np.uint8), *(r[i] for r in rows)])[which] for i in range(2))
 
     def groups(self):
         """Ranges of texts to score side by side."""
@@ -467,6 +491,9 @@ def lanes(first: np.ndarray):
 LEVEL = np.array([(abs(i) > 0.7 * SCALE) + (abs(i) > 2.5 * SCALE) for i in [*range(128), *range(-128, 0)]], np.int16)
 
 
+KNOWN = np.dtype([("mixed", np.float32), *((f"s{k}", np.int8) for k in range(K)), ("which", np.uint8)])
+
+
 class Mixer:
     """Mixes and learns over the texts of a block.
 
@@ -481,14 +508,15 @@ class Mixer:
         self.gate = sum(LEVEL.take(self.s[k].view(np.uint8)) * np.int16(3 ** (K - 1 - k)) for k in range(K))
         self.seen, self.used, self.used_long = np.zeros((GATES * REFINE, 2)), np.zeros(GATES), np.zeros(LONG_GATES)
         t = texts
-        self.has = t.listed > 0
-        self.x0 = np.clip(np.log((t.listed + 0.1) / (np.maximum(0, t.all - t.listed) + 0.4)), -8, 8)
-        self.gate0 = np.minimum(LONG_GATES - 1, np.log2(np.maximum(1, t.all)).astype(np.int64) // 2)
         if refine is not None:
             p = np.clip(refine, 1e-7, 1 - 1e-7)
-            self.cost = -np.log2(np.stack([1 - p, p], 1)).ravel().astype(np.float32)
-            self.mixed = self.plain(slice(None))
-            self.cell = self.gate.astype(np.float32) * REFINE + REFINE // 2
+            # what a decision costs and by how much it was missed, at each gate, step and bit
+            self.price = (-np.log2(np.stack([1 - p, p], 1)) + 1j * np.stack([-p, 1 - p], 1)).ravel().astype(np.complex64)
+            # all that is known of a decision, in eight bytes
+            self.known = np.zeros(len(self.gate), KNOWN)
+            self.known["mixed"], self.known["which"] = self.plain(slice(None)), self.gate * 2 + t.bit
+            for k in range(K):
+                self.known[f"s{k}"] = self.s[k]
 
     def plain(self, at) -> np.ndarray:
         """Log-odds by the weights alone."""
@@ -508,14 +536,15 @@ class Mixer:
         for live, take, place in lanes(first):
             lane = np.repeat(np.arange(len(live)), take)
             spell = np.ones(len(place), bool)
-            at = np.flatnonzero(self.has[place])
+            at = np.flatnonzero(t.listing[place])
             if len(at):
                 i, who = place[at], lane[at]
-                x, gate, hit = self.x0[i], self.gate0[i], t.again[i] > 0
+                state, hit = t.listing[i].astype(np.int64) - 1, t.naming[i] > 0
+                x, gate = state % 40 / LISTED - 8, state // 40
                 w, b = self.weights[K * GATES : K * GATES + LONG_GATES], self.weights[K * GATES + LONG_GATES :]
                 p = 1 / (1 + np.exp(-np.clip(w[gate] * x + b[gate] + bias0[live[who]], -14, 14)))
                 cost = -np.log2(np.where(hit, p, 1 - p))
-                cost[hit] -= np.log2(t.again[i][hit] / t.listed[i][hit])
+                cost[hit] += (t.naming[i][hit] - 1.0) / NAMED
                 total[live] += np.bincount(who, cost, len(live))
                 spell[at[hit]] = False
                 if self.refine is None:
@@ -527,31 +556,38 @@ class Mixer:
                 else:
                     bias0[live] += 0.5 * np.bincount(who, hit - p, len(live)) / np.sqrt(np.maximum(1, np.bincount(who, minlength=len(live))))
             word, lane = t.block.word[place[spell]], lane[spell]
-            size = t.start[word + 1] - t.start[word]
-            flat, lane = spread(t.start[word], size), np.repeat(lane, size)
-            if not len(flat):
+            if not len(word):
                 continue
-            bit = t.bit.take(flat)
+            size = t.start[word + 1] - t.start[word]
+            edge = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))  # where texts begin; they come in order
+            who, flat = live[lane[edge]], spread(t.start[word], size)
+            begin = (np.cumsum(size) - size)[edge]
+            n = np.diff(np.append(begin, len(flat)))
             if self.refine is None:
-                self.learn(flat, bit, lane, live, total)
+                self.learn(flat, begin, who, total)
                 continue
-            x = self.mixed.take(flat)
-            s = [self.s[k].take(flat) for k in range(K)]
+            known = self.known.view(np.uint64).take(flat).view(KNOWN)
+            x, s = known["mixed"].copy(), [known[f"s{k}"].astype(np.float32) for k in range(K)]
             for k in range(K):
-                x += own[k][live].take(lane) * s[k]
-            x += bias[live].take(lane)
+                x += np.repeat(own[k, who], n) * s[k]
+            x += np.repeat(bias[who], n)
             np.clip(x, -11.9, 11.9, out=x)
             x *= np.float32(REFINE / 24)
-            x += self.cell.take(flat)
+            x += REFINE // 2
             cell = x.astype(np.int32)
-            total[live] += np.bincount(lane, self.cost.take(2 * cell + bit), len(live))
-            error = bit - self.refine.take(cell)
-            step = (self.rate / np.sqrt(np.maximum(1, np.bincount(lane, minlength=len(live))))).astype(np.float32)
+            cell <<= 1
+            which = known["which"]
+            cell += (which >> 1).astype(np.int32) * (2 * REFINE) + (which & 1)
+            price = self.price.take(cell)
+            total[who] += np.add.reduceat(price.real, begin, dtype=np.float64)
+            error = price.imag.copy()
+            step = (self.rate / np.sqrt(n)).astype(np.float32)
             for k in range(K):
-                own[k][live] += step / SCALE * np.bincount(lane, error * s[k], len(live)) / SCALE
-            bias[live] += step * np.bincount(lane, error, len(live))
+                own[k, who] += step / SCALE * np.add.reduceat(error * s[k], begin) / SCALE
+            bias[who] += step * np.add.reduceat(error, begin)
 
-    def learn(self, flat: np.ndarray, bit: np.ndarray, lane: np.ndarray, live: np.ndarray, total: np.ndarray) -> None:
+    def learn(self, flat: np.ndarray, begin: np.ndarray, who: np.ndarray, total: np.ndarray) -> None:
+        bit = self.texts.bit.take(flat)
         gate, x = self.gate[flat].astype(np.int64), np.clip(self.plain(flat), -11.9, 11.9)
         p = 1 / (1 + np.exp(-x))
         error, cell = bit - p, ((x + 12) * np.float32(REFINE / 24)).astype(np.int64) + gate * REFINE
@@ -561,7 +597,7 @@ class Mixer:
         for k in range(K):
             self.weights[k * GATES : (k + 1) * GATES] += step * np.bincount(gate, error * (self.s[k][flat] * np.float32(1 / SCALE)), GATES)
         self.used += n
-        total[live] -= np.bincount(lane, np.log2(np.where(bit, p, 1 - p)), len(live))
+        total[who] -= np.add.reduceat(np.log2(np.where(bit, p, 1 - p)), begin, dtype=np.float64)
 
 
 def summed(blocks: DataFrame, found: DataFrame, book, ranges: int, one, dtype: str, more) -> np.ndarray:

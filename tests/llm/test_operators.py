@@ -62,7 +62,7 @@ def spelling_texts(words, book):
     texts.block.word, texts.block.first, texts.block.ends, texts.block.folds = np.arange(n), np.arange(n + 1), ends, np.zeros(n, np.uint8)
     texts.bit, texts.start = bit, np.concatenate([[0], np.cumsum(book[0][symbols])])[ends]
     texts.state = np.stack([((c[byte] >> np.uint64(40)) * np.uint64(31) + node * np.uint64(7) & np.uint64(255)).astype(np.uint8) for c in lm.contexts(data, ends, 64)])
-    texts.again = texts.listed = texts.all = np.zeros(n, np.float32)
+    texts.listing = texts.naming = np.zeros(n, np.uint8)
     return texts
 
 
@@ -88,7 +88,7 @@ def test_lm_steps_follow_the_text():
     def bits(word, first):
         texts = spelling_texts([b"kaban ", b"lodor "], book)
         texts.block.word, texts.block.first, texts.block.folds = np.array(word), np.array(first), np.zeros(len(first) - 1, np.uint8)
-        texts.again = texts.listed = texts.all = np.zeros(len(word), np.float32)
+        texts.listing = texts.naming = np.zeros(len(word), np.uint8)
         return lm.Mixer(texts, odds, lm.start_weights(), refine, 0.02).bits()
 
     short, long = bits([0] * 16, [0, 16])[0], bits([0] * 400, [0, 400])[0]
@@ -97,6 +97,15 @@ def test_lm_steps_follow_the_text():
     assert abs(both[0] - long) < 1e-6 * long
 
 
+def test_lm_names_followers_within_their_share():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 300, 5000):
+        count = rng.zipf(1.5, n) + 1
+        cost = lm.naming(count, np.full(n, count.sum()))
+        assert cost.min() > 0 and (2.0 ** -((cost - 1.0) / lm.NAMED)).sum() <= 1 + 1e-6 and (lm.naming(np.zeros(2), np.ones(2)) == 0).all()
+    assert lm.listing(np.array([0, 2, 10**9]), np.array([5, 2, 10**9])).tolist()[0] == 0 < lm.listing(np.array([2]), np.array([2]))[0]
+
+
 def test_lm_knows_texts_that_occur_again(spark):
     rng = random.Random(5)
     from tests.llm.conftest import prose
