@@ -31,7 +31,7 @@ SKETCH_BITS = 21
 PARTS = 8
 PARITY = 1024
 #: Members of a key that are compared in one cell, pairs of a set that are verified in one go.
-CELL, GO = 2048, 512
+CELL, GO = 1024, 512
 EXACT, DELETE = 1, 2
 #: Count of what is empty, above all others.
 ABOVE = (1 << 20) - 1
