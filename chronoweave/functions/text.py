@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +25,12 @@ def first_decimal(text: str | Column) -> Column:
 def mentions(text: str | Column, word: str, reach: int = 18) -> Column:
     """Whether `word` stands in the text without a negation in the `reach` characters before it."""
     low = F.lower(text)
-    return F.exists(F.regexp_extract_all(low, F.lit(rf"(?s)(.{{0,{reach}}}){word}"), 1), lambda before: ~before.rlike("|".join(NEGATIONS)))
+    return F.exists(F.regexp_extract_all(low, F.lit(rf"(?s)(.{{0,{reach}}}){re.escape(word)}"), 1), lambda before: ~before.rlike("|".join(NEGATIONS)))
 
 
 def supports(text: str | Column, words: list[str], excluded: list[str]) -> Column:
-    low = F.lower(text)
-    return low.rlike("|".join(words)) & ~low.rlike("|".join(excluded))
+    low, any_of = F.lower(text), lambda xs: "|".join(map(re.escape, xs))
+    return low.rlike(any_of(words)) & ~low.rlike(any_of(excluded))
 
 
 def fenced_json(text: str | Column) -> Column:

@@ -81,10 +81,11 @@ def classified(rows: DataFrame, flags: dict[str, Column], default: str) -> DataF
 
 
 def nearest_reference(actual: DataFrame, reference: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """For each row the distance to the nearest reference of its keys, in time; null without one."""
-    left = actual.withColumn("_row", F.struct(*keys, at))
-    pairs = left.join(reference.select(*keys, F.col(at).alias("_at")), keys, "left")
-    return pairs.groupBy(*keys, at).agg(F.min(F.abs(F.col(at) - F.col("_at"))).alias("distance"))
+    """For each row the distance to the nearest reference of its keys, in time; null without one. One union and two windows, no pairs."""
+    both = actual.select(*keys, at, F.lit(False).alias("_ref")).unionByName(reference.select(*keys, at, F.lit(True).alias("_ref")))
+    w, known = Window.partitionBy(*keys).orderBy(at), F.when(F.col("_ref"), F.col(at))
+    before, after = F.max(known).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.min(known).over(w.rangeBetween(0, Window.unboundedFollowing))
+    return both.withColumn("distance", F.least(F.col(at) - before, after - F.col(at))).where("not _ref").drop("_ref")
 
 
 def resolved(names: DataFrame, files: DataFrame) -> DataFrame:

@@ -45,12 +45,14 @@ def gaps_without(rows: DataFrame, opening: str, closing: str, between: str) -> D
     return rows.where(F.col("_between").isNull() | (F.col("_between") > F.col("closes_s"))).select("entity", "event_id", "last_s", "closes_s")
 
 
-def with_witness(rows: DataFrame, others: DataFrame, same_action: bool = True) -> DataFrame:
-    """Rows that overlap another row of the same (or another) action."""
-    a, b = rows.alias("a"), others.select("entity", "event_id", "action", "first_s", "last_s").alias("b")
+def with_witness(rows: DataFrame, others: DataFrame, same_action: bool = True, bucket: int = 86400) -> DataFrame:
+    """Rows that overlap another row of the same (or another) action; rows meet in the time buckets that both touch, so a hot entity is split by time."""
+    span = lambda x: F.explode(F.sequence(F.floor(F.col("first_s") / bucket), F.floor(F.col("last_s") / bucket)))
+    a = rows.withColumn("_bucket", span(rows)).alias("a")
+    b = others.select("entity", "event_id", "action", "first_s", "last_s").withColumn("_bucket", span(others)).alias("b")
     kind = F.col("a.action") == F.col("b.action") if same_action else F.col("a.action") != F.col("b.action")
-    met = (F.col("a.entity") == F.col("b.entity")) & (F.col("a.event_id") != F.col("b.event_id")) & kind & (F.col("a.first_s") <= F.col("b.last_s")) & (F.col("b.first_s") <= F.col("a.last_s"))
-    return a.join(b, met, "left_semi")
+    met = (F.col("a.entity") == F.col("b.entity")) & (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a.event_id") != F.col("b.event_id")) & kind & (F.col("a.first_s") <= F.col("b.last_s")) & (F.col("b.first_s") <= F.col("a.last_s"))
+    return a.join(b, met, "left_semi").drop("_bucket").dropDuplicates(["entity", "event_id"])
 
 
 def known_rows_removed(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:

@@ -361,20 +361,30 @@ def _(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.rint(F.avg(off) * 1000).cast("long").alias("mae"), F.count_if(off <= 2).alias("within_2"))
 
 
-@query("run_comparison", f"""WITH {RUNS}, w AS (SELECT entity, run_no, CASE WHEN run_no % 7 = 0 THEN 'wiring' ELSE stage END AS stage, first_s + run_no % 3 AS first_s, last_s FROM runs WHERE run_no % 11 <> 0)
-  SELECT coalesce(a.entity, w.entity) AS entity, coalesce(a.run_no, w.run_no) AS run_no, CASE WHEN a.stage IS NULL THEN 'missing' WHEN w.stage IS NULL THEN 'unexpected' WHEN a.stage <> w.stage THEN 'stage' WHEN abs(a.first_s - w.first_s) > 1 OR abs(a.last_s - w.last_s) > 1 THEN 'time' ELSE 'same' END AS state FROM runs a FULL JOIN w ON a.entity = w.entity AND a.run_no = w.run_no""")
+#: Runs once more, with gaps of up to 90000: another real segmentation of the same events.
+WIDE = """rd2 AS (SELECT *, max(last_s) OVER (PARTITION BY entity, blk ORDER BY first_s, last_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM rc),
+  re2 AS (SELECT *, sum(CASE WHEN m IS NULL OR first_s > m + 90000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity, blk ORDER BY first_s, last_s, event_id ROWS UNBOUNDED PRECEDING) AS prt FROM rd2),
+  rg2 AS (SELECT entity, action AS stage, blk, prt, min(first_s) AS first_s, max(last_s) AS last_s FROM re2 GROUP BY ALL), wide AS (SELECT entity, stage, first_s, last_s, row_number() OVER (PARTITION BY entity ORDER BY blk, prt) AS run_no FROM rg2)"""
+
+
+@query("run_comparison", f"""WITH {RUNS}, {WIDE} SELECT coalesce(a.entity, w.entity) AS entity, coalesce(a.run_no, w.run_no) AS run_no, CASE WHEN a.stage IS NULL THEN 'missing' WHEN w.stage IS NULL THEN 'unexpected' WHEN a.stage <> w.stage THEN 'stage' WHEN abs(a.first_s - w.first_s) > 1 OR abs(a.last_s - w.last_s) > 1 THEN 'time' ELSE 'same' END AS state FROM runs a FULL JOIN wide w ON a.entity = w.entity AND a.run_no = w.run_no""")
 def _(spark, d):
-    r = runs(spark, d)
-    wanted = r.where("run_no % 11 <> 0").select("entity", "run_no", F.when(F.col("run_no") % 7 == 0, "wiring").otherwise(F.col("stage")).alias("stage"), (F.col("first_s") + F.col("run_no") % 3).alias("first_s"), "last_s")
-    return matching.compare_by_position(r, wanted, 1)
+    return matching.compare_by_position(runs(spark, d), intervals.stage_runs(tl(spark, d), gap=90000), 1)
+
+
+def machine_sql(moves: dict, last_phase: int) -> str:
+    table = ", ".join(f"('{action}', {phase}, '{stage}', {after})" for action, by in moves.items() for phase, (stage, after) in by.items())
+    return f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) AS k FROM tl), e AS (SELECT entity, max(CASE WHEN action = 'cleanup' THEN k END) AS stop FROM o GROUP BY entity), m(action, phase, stage, nxt) AS (VALUES {table}),
+  r(entity, k, event_id, stage, phase) AS (SELECT entity, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM e UNION ALL SELECT o.entity, o.k, o.event_id, CASE WHEN o.k > stop THEN 'noise' WHEN o.k = stop THEN 'material_cleanup' ELSE m.stage END, CASE WHEN o.k > stop THEN r.phase WHEN o.k = stop THEN {last_phase} ELSE coalesce(m.nxt, r.phase) END
+  FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1 JOIN e ON e.entity = o.entity LEFT JOIN m ON m.action = o.action AND m.phase = r.phase) SELECT entity, event_id, stage, phase FROM r WHERE k > 0"""
 
 
-@query("state_machine_7")
+@query("state_machine_7", machine_sql(decode.SEVEN, 6))
 def _(spark, d):
     return decode.state_machine(tl(spark, d), decode.SEVEN, 6)
 
 
-@query("state_machine_5")
+@query("state_machine_5", machine_sql(decode.FIVE, 4))
 def _(spark, d):
     return decode.state_machine(tl(spark, d), decode.FIVE, 4)
 
@@ -389,12 +399,16 @@ def _(spark, d):
     return decode.greedy_conflicts(tl(spark, d))
 
 
-@query("separated_topk")
+@query("separated_topk", f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY conf DESC, first_s, event_id) AS k FROM tl), r(entity, k, event_id, kept, times) AS (SELECT DISTINCT entity, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS BIGINT[]) FROM tl
+  UNION ALL SELECT o.entity, o.k, o.event_id, len(times) < 4 AND len(list_filter(times, lambda x: abs(x - o.first_s) < 86400)) = 0, CASE WHEN len(times) < 4 AND len(list_filter(times, lambda x: abs(x - o.first_s) < 86400)) = 0 THEN list_append(times, o.first_s) ELSE times END FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1)
+  SELECT tl.* FROM r JOIN tl ON r.event_id = tl.event_id WHERE kept""")
 def _(spark, d):
     return decode.separated(tl(spark, d), "first_s", "conf", 86400, 4)
 
 
-@query("capped_merge")
+@query("capped_merge", f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity {ORD}) AS k FROM tl), r(entity, k, g, f, l) AS (SELECT entity, k, CAST(1 AS BIGINT), first_s, last_s FROM o WHERE k = 1
+  UNION ALL SELECT o.entity, o.k, CASE WHEN first_s <= l + 3600 AND greatest(l, last_s) - f <= 200000 THEN g ELSE g + 1 END, CASE WHEN first_s <= l + 3600 AND greatest(l, last_s) - f <= 200000 THEN f ELSE first_s END, CASE WHEN first_s <= l + 3600 AND greatest(l, last_s) - f <= 200000 THEN greatest(l, last_s) ELSE last_s END FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1)
+  SELECT entity, min(f) AS first_s, max(l) AS last_s, count(*) AS members FROM r GROUP BY entity, g""")
 def _(spark, d):
     return decode.capped_merge(tl(spark, d), 3600, 200000)
 
@@ -462,11 +476,12 @@ def _(spark, d):
     return rows.select("event_id", value.alias("level"), origin.alias("origin"))
 
 
-@query("plan_diff", """WITH o AS (SELECT doc_id, quality AS was FROM labels WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, toxic AS now FROM labels WHERE doc_id % 3 <> 0)
+@query("plan_diff", """WITH o AS (SELECT doc_id, max(toxic) AS was FROM labels GROUP BY doc_id), n AS (SELECT doc_id, max(CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END) AS now FROM documents GROUP BY doc_id)
   SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, was, now, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'gone' ELSE 'changed' END AS state FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR was IS DISTINCT FROM now""")
 def _(spark, d):
-    rows = table(spark, d, "labels")
-    return fusion.changed(rows.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("v")), rows.where("doc_id % 3 <> 0").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+    old = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("v"))
+    new = table(spark, d, "documents").groupBy("doc_id").agg(F.max((F.col("n_chars") > 1500).cast("int")).alias("v"))
+    return fusion.changed(old, new, "doc_id", "v")
 
 
 @query("partition_errors", f"""WITH {TL}, k AS (SELECT event_id, conf >= 100 AS a, conf < 120 AND action <> 'uncertain' AS j FROM tl) SELECT event_id, CASE WHEN a AND j THEN 'both' ELSE 'missing' END AS error FROM k WHERE a = j""")
@@ -503,10 +518,10 @@ def _(spark, d):
     return fusion.classified(tl(spark, d), {"over": F.col("conf") >= 400, "unsure": F.col("action") == "uncertain"}, "plain")
 
 
-@query("boundary_comparison", f"""WITH {RUNS}, a AS (SELECT DISTINCT entity, stage, first_s FROM runs), r AS (SELECT entity, stage, last_s AS x FROM runs WHERE run_no % 2 = 0) SELECT a.entity, a.stage, a.first_s, min(abs(a.first_s - x)) AS distance FROM a LEFT JOIN r ON a.entity = r.entity AND a.stage = r.stage GROUP BY ALL""")
+@query("boundary_comparison", f"""WITH {RUNS}, {WIDE}, a AS (SELECT DISTINCT entity, stage, first_s FROM runs) SELECT a.entity, a.stage, a.first_s, min(abs(a.first_s - wide.last_s)) AS distance FROM a LEFT JOIN wide ON a.entity = wide.entity AND a.stage = wide.stage GROUP BY ALL""")
 def _(spark, d):
-    r = runs(spark, d)
-    return fusion.nearest_reference(r.select("entity", "stage", "first_s").distinct(), r.where("run_no % 2 = 0").select("entity", "stage", F.col("last_s").alias("first_s")), ["entity", "stage"], "first_s")
+    reference = intervals.stage_runs(tl(spark, d), gap=90000).select("entity", "stage", F.col("last_s").alias("first_s"))
+    return fusion.nearest_reference(runs(spark, d).select("entity", "stage", "first_s").distinct(), reference, ["entity", "stage"], "first_s")
 
 
 @query("beam_decode")

@@ -24,18 +24,36 @@ def read_documents(spark: SparkSession, path: str, schema: str | None = None) ->
     return text.select("path", F.try_parse_json("body").alias("root"))
 
 
-def nested_runs(documents: DataFrame, depth: int = 6) -> DataFrame:
-    """Every object {stage, start, end} at any depth up to `depth` of VARIANT documents, found level by level.
+def nodes(documents: DataFrame):
+    """The objects and arrays of VARIANT documents (path, root), level by level, to whatever depth they have."""
+    level = documents.select("path", F.col("root").alias("node"))
+    while not level.isEmpty():
+        yield level
+        level = level.selectExpr("path", "explode(concat(coalesce(try_cast(node as array<variant>), array()), coalesce(map_values(try_cast(node as map<string, variant>)), array()))) as node").where("schema_of_variant(node) like 'OBJECT<%' or schema_of_variant(node) like 'ARRAY<%'")
 
-    Of equal (stage, start, end) in a document, the one with the most other fields stays.
+
+def nested_runs(documents: DataFrame) -> DataFrame:
+    """Every object {stage, start_seconds, end_seconds} at any depth of VARIANT documents.
+
+    Of equal (stage, start, end) in a document, the one with the most fields stays, as JSON in `node`.
     """
-    level, found = documents.select("path", F.col("root").alias("node")), None
-    for _ in range(depth):
-        here = level.select("path", F.expr("try_variant_get(node, '$.stage', 'string')").alias("stage"), F.expr("try_variant_get(node, '$.start_seconds', 'double')").alias("start_s"), F.expr("try_variant_get(node, '$.end_seconds', 'double')").alias("end_s"), F.expr("size(try_cast(node as map<string, variant>))").alias("fields"))
+    found = None
+    for level in nodes(documents):
+        here = level.select("path", F.expr("try_variant_get(node, '$.stage', 'string')").alias("stage"), F.expr("try_variant_get(node, '$.start_seconds', 'double')").alias("start_s"), F.expr("try_variant_get(node, '$.end_seconds', 'double')").alias("end_s"), F.expr("size(try_cast(node as map<string, variant>))").alias("fields"), F.to_json("node").alias("node"))
         here = here.where("stage is not null and start_s is not null and end_s is not null")
         found = here if found is None else found.unionByName(here)
-        level = level.selectExpr("path", "explode(concat(coalesce(try_cast(node as array<variant>), array()), coalesce(map_values(try_cast(node as map<string, variant>)), array()))) as node")
-    return found.groupBy("path", "stage", "start_s", "end_s").agg(F.max("fields").alias("fields"))
+    if found is None:
+        return documents.sparkSession.createDataFrame([], "path string, stage string, start_s double, end_s double, fields int, node string")
+    return found.groupBy("path", "stage", "start_s", "end_s").agg(F.max("fields").alias("fields"), F.max_by("node", F.struct("fields", "node")).alias("node"))
+
+
+def nested_numbers(documents: DataFrame, field: str = "frame_number") -> DataFrame:
+    """path and every distinct whole number that a field of that name has, at any depth."""
+    found = None
+    for level in nodes(documents):
+        here = level.select("path", F.expr(f"try_variant_get(node, '$.{field}', 'bigint')").alias("number")).where("number is not null")
+        found = here if found is None else found.unionByName(here)
+    return documents.sparkSession.createDataFrame([], "path string, number long") if found is None else found.distinct()
 
 
 def media_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("mp4", "mov", "avi", "mkv", "webm")) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-import chronoweave.plans.queries  # noqa: F401
+import chronoweave.plans.evidence_queries  # noqa: F401
 from chronoweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
