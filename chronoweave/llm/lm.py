@@ -44,7 +44,7 @@ VOCABULARY, LONG = K, K + 1
 #: A follower counts as seen from this many times on: once may be the text itself.
 TWICE = 2
 #: Bits of the hashes of a pair of words, beyond those that pick its range, and of the word behind it.
-PAIR_BITS, TAIL_BITS = 26, 18
+PAIR_BITS, TAIL_BITS = 25, 16
 GATES, LONG_GATES = 27, 5
 PRIOR = 0.1
 #: Steps of a unit in a table's log-odds; steps of mixed log-odds, from -12 to 12, in the refinement.
@@ -52,7 +52,7 @@ SCALE, REFINE = 16, 256
 #: Words between two online steps of a text: the first, and the most.
 STEP, MOST_STEP = 16, 128
 #: Bytes of text in a block, and of a group of texts that are scored side by side.
-BLOCK, SCORED = 6 << 20, 1 << 19
+BLOCK, SCORED = 12 << 20, 1 << 19
 END, SPACE = 10, 32
 U = np.uint64
 
@@ -504,8 +504,7 @@ class Mixer:
     def __init__(self, texts: Texts, odds: np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float):
         self.texts, self.refine, self.rate = texts, refine, rate
         self.weights = weights.astype(np.float64).copy()
-        self.s = np.stack([odds[k].take(texts.state[k]) for k in range(K)])
-        self.gate = sum(LEVEL.take(self.s[k].view(np.uint8)) * np.int16(3 ** (K - 1 - k)) for k in range(K))
+        self.odds = odds
         self.seen, self.used, self.used_long = np.zeros((GATES * REFINE, 2)), np.zeros(GATES), np.zeros(LONG_GATES)
         t = texts
         if refine is not None:
@@ -513,15 +512,22 @@ class Mixer:
             # what a decision costs and by how much it was missed, at each gate, step and bit
             self.price = (-np.log2(np.stack([1 - p, p], 1)) + 1j * np.stack([-p, 1 - p], 1)).ravel().astype(np.complex64)
             # all that is known of a decision, in eight bytes
-            self.known = np.zeros(len(self.gate), KNOWN)
-            self.known["mixed"], self.known["which"] = self.plain(slice(None)), self.gate * 2 + t.bit
-            for k in range(K):
-                self.known[f"s{k}"] = self.s[k]
-
-    def plain(self, at) -> np.ndarray:
+            self.known = np.zeros(len(texts.bit), KNOWN)
+            for i in range(0, len(texts.bit), 1 << 20):
+                part = slice(i, i + (1 << 20))
+                s, gate = self.found(part)
+                self.known["mixed"][part], self.known["which"][part] = self.plain(s, gate), gate * 2 + texts.bit[part]
+                for k in range(K):
+                    self.known[f"s{k}"][part] = s[k]
+
+    def found(self, at) -> tuple[list[np.ndarray], np.ndarray]:
+        """What each predictor says of decisions, and their gates."""
+        s = [self.odds[k].take(self.texts.state[k][at]) for k in range(K)]
+        return s, sum(LEVEL.take(s[k].view(np.uint8)) * np.int16(3 ** (K - 1 - k)) for k in range(K))
+
+    def plain(self, s: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """Log-odds by the weights alone."""
-        gate = self.gate[at]
-        return sum((self.weights[k * GATES : (k + 1) * GATES] / SCALE).astype(np.float32).take(gate) * self.s[k][at] for k in range(K))
+        return sum((self.weights[k * GATES : (k + 1) * GATES] / SCALE).astype(np.float32).take(gate) * s[k] for k in range(K))
 
     def bits(self) -> np.ndarray:
         """Bits of each text."""
@@ -588,14 +594,15 @@ class Mixer:
 
     def learn(self, flat: np.ndarray, begin: np.ndarray, who: np.ndarray, total: np.ndarray) -> None:
         bit = self.texts.bit.take(flat)
-        gate, x = self.gate[flat].astype(np.int64), np.clip(self.plain(flat), -11.9, 11.9)
+        s, gate = self.found(flat)
+        gate, x = gate.astype(np.int64), np.clip(self.plain(s, gate), -11.9, 11.9)
         p = 1 / (1 + np.exp(-x))
         error, cell = bit - p, ((x + 12) * np.float32(REFINE / 24)).astype(np.int64) + gate * REFINE
         self.seen += np.bincount(cell * 2 + bit, minlength=2 * len(self.seen)).reshape(-1, 2)
         n = np.bincount(gate, minlength=GATES)
         step = self.rate / np.sqrt(np.maximum(1, n))
         for k in range(K):
-            self.weights[k * GATES : (k + 1) * GATES] += step * np.bincount(gate, error * (self.s[k][flat] * np.float32(1 / SCALE)), GATES)
+            self.weights[k * GATES : (k + 1) * GATES] += step * np.bincount(gate, error * (s[k] * np.float32(1 / SCALE)), GATES)
         self.used += n
         total[who] -= np.add.reduceat(np.log2(np.where(bit, p, 1 - p)), begin, dtype=np.float64)
 
