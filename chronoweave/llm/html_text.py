@@ -115,7 +115,7 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
         n = len(x)
     ones = np.zeros(len(x))
     ones[:n] = 1
-    return (np.convolve(x, k, "same") / np.convolve(ones, k, "same"))[:n]
+    return np.convolve(x, k, "same")[:n] / np.convolve(ones, k, "same")[:n]
 
 
 def threshold(x: np.ndarray) -> float:

@@ -24,13 +24,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> Da
     """doc_id, text, label of at most `per_class` labelled documents of each of the classes 0 and 1, never held-out ones.
 
     The documents with the smallest hashes of their ids are taken, by a distributed top-k, so the result is bounded,
-    repeatable and independent of the order of rows. Null labels and labels without a document don't count.
+    repeatable and independent of the order of rows. Of the rows of one doc_id, however many, the one with the smallest
+    hash of its text stands for it. Null labels and labels without a document don't count.
     """
     seen = seen_labels(labels, label)
     order = F.xxhash64(F.lit(label), "doc_id")
     picked = [seen.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * per_class rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def prior(labels: DataFrame, label: str) -> float:

@@ -149,8 +149,9 @@ def training_order(docs: DataFrame, *, seed: int = 29, tokenizer: str = TOKENIZE
 def write_shards(ordered: DataFrame, path: str) -> None:
     """Write `training_order` rows as one row a shard (shard, first_slot, n_slots, stride, crc32, payload) under `path`.
 
-    A shard's records stand one after another in `payload`. Shards that are there already are left out, so a broken
-    run is taken up where it stopped; a shard (shard_slots records) is what a task holds at a time.
+    A shard's records stand one after another in `payload`. Shards that are there already are left out, so writing goes
+    on from what earlier calls have committed (a call that breaks commits nothing); a shard (shard_slots records) is what
+    a task holds at a time.
     """
     spark = ordered.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -178,7 +179,16 @@ def write_shards(ordered: DataFrame, path: str) -> None:
 
 
 def read_shards(spark: SparkSession, path: str, *, start: int = 0) -> DataFrame:
-    """(slot, tokens) from slot `start` on; whole shards before it are not read."""
-    rows = spark.read.parquet(path).where(F.col("first_slot") + F.col("n_slots") > start)
-    rows = rows.select("first_slot", "stride", "payload", F.explode(F.sequence(F.greatest(F.lit(0), start - F.col("first_slot")), F.col("n_slots") - 1)).alias("i"))
-    return rows.select((F.col("first_slot") + F.col("i")).alias("slot"), F.expr("substring(payload, cast(i * stride + 1 as int), cast(stride as int))").alias("tokens"))
+    """(slot, tokens) from slot `start` on; whole shards before it are not read, as the filter is on a column that Parquet has statistics of."""
+    shards = spark.read.parquet(path)
+    most = shards.agg(F.coalesce(F.max("n_slots"), F.lit(0))).first()[0]
+
+    def cut(batches):
+        for b in batches:
+            for first, n, stride, crc, payload in zip(*(b[c].to_pylist() for c in ("first_slot", "n_slots", "stride", "crc32", "payload")), strict=True):
+                if zlib.crc32(payload) != crc:
+                    raise ValueError(f"the shard from slot {first} on is damaged")
+                at = range(max(0, start - first), n)
+                yield pa.RecordBatch.from_arrays([pa.array([first + i for i in at], pa.int64()), pa.array([payload[i * stride : (i + 1) * stride] for i in at], pa.binary())], ["slot", "tokens"])
+
+    return shards.where(F.col("first_slot") > start - most).select("first_slot", "n_slots", "stride", "crc32", "payload").mapInArrow(cut, "slot long, tokens binary")
