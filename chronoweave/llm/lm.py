@@ -80,6 +80,15 @@ def distinct(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, order[new], which
 
 
+def by_high_bits(z: np.ndarray) -> np.ndarray:
+    """Order of 64-bit numbers by all bits but as many low ones as it takes to number them."""
+    bits = max(1, (max(len(z), 2) - 1).bit_length())
+    y = z >> U(bits) << U(bits)
+    y |= np.arange(len(z), dtype=np.uint64)
+    y.sort()
+    return (y & U((1 << bits) - 1)).astype(np.int64)
+
+
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each row, n of them, one row after another."""
     out = np.repeat(start - (np.cumsum(n) - n), n)
@@ -87,6 +96,16 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def stretches(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each row n values from its start on, a part of the rows at a time."""
+    out, at = np.empty(int(n.sum()), values.dtype), 0
+    for i in range(0, len(n), 1 << 18):
+        part = values.take(spread(start[i : i + (1 << 18)], n[i : i + (1 << 18)]))
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def shrunk(x: np.ndarray) -> bytes:
     """Numbers, packed by their first bytes, their second bytes and so on."""
     x = np.ascontiguousarray(x)
@@ -306,12 +325,19 @@ class Followers:
         h = block.hash[block.word]
         before = np.empty_like(h)
         before[1:], before[block.first[:-1]] = h[:-1], U(1)
-        other = np.empty_like(h)
-        other[1:], other[block.first[:-1]] = before[:-1], U(2)
-        pair = W.mix(before * U(W.BASE) + W.mix(other))
-        key, place, which = distinct(W.mix(pair + h * U(0xD6E8FEB86659FD93)))
+        pair = np.empty_like(h)
+        pair[1:], pair[block.first[:-1]] = before[:-1], U(2)
+        pair = W.mix(pair)
+        before *= U(W.BASE)
+        pair += before
+        del before
+        pair = W.mix(pair)
+        h *= U(0xD6E8FEB86659FD93)
+        h += pair
+        key, place, which = distinct(W.mix(h))
+        del h
         pair, bits = pair[place], U(ranges.bit_length() - 1)
-        order = np.argsort(pair)
+        order = by_high_bits(pair)
         rank = np.empty(len(key), np.int64)
         rank[order] = np.arange(len(key))
         self.which = rank[which]
@@ -450,14 +476,15 @@ class Texts:
         self.block = block = Block(row)
         symbols, context = pairs(block.spelling, block.ends), contexts(block.spelling, block.ends, ranges)
         n = book[0][symbols]
-        self.bit = decisions(symbols, book)[2]
+        self.bit = stretches(book[2], book[3][symbols], n)
         self.start = np.concatenate([[0], np.cumsum(n)])[block.ends]  # of each word's decisions
         self.state = np.empty((K, len(self.bit)), np.uint8)
         for k in range(K):
             cases = Cases(context[k], symbols)
             size = book[0][(cases.key & U(0xFFFF)).astype(np.int64)]
             state = np.concatenate([np.zeros(0, np.uint8), *(grown(x, np.uint8) for x in found[k])])
-            self.state[k] = state.take(spread((np.cumsum(size) - size)[cases.which], n))
+            self.state[k] = stretches(state, (np.cumsum(size) - size)[cases.which], n)
+            del cases, size, state
         self.count = np.zeros(len(block.hash), np.int64)
         self.count[np.argsort(block.hash)] = np.concatenate([np.zeros(0, np.uint64), *(grown(x, np.uint64) for x in found[VOCABULARY])])
         which, rows = Followers(block, ranges).which, [grown(x, np.uint8).reshape(2, -1) for x in found[LONG]]
