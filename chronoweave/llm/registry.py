@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoweave.llm import decontaminate, html_text, jaccard_join, lm, mixing, packing, quality, telephony, toxicity, training_order, warc
+from chronoweave.llm import decontaminate, html_text, jaccard_join, lm, mixing, packing, quality, spelling, telephony, toxicity, training_order, warc
 from chronoweave.llm.common import table
 from chronoweave.session import ship_package
 
@@ -89,6 +89,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
