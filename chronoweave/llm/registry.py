@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chronoweave.llm import decontaminate, html_text, jaccard_join, lm, mixing, packing, quality, spelling, telephony, toxicity, training_order, warc
+from chronoweave.llm import decontaminate, hard_negatives, html_text, jaccard_join, lm, mixing, packing, quality, spelling, telephony, toxicity, training_order, warc
 from chronoweave.llm.common import table
 from chronoweave.session import ship_package
 
@@ -94,6 +94,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -131,3 +136,12 @@ t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS it
 l AS (SELECT rid, max(size) AS longest FROM (SELECT rid, count(*) + n - 1 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, row_no, n, i - q ORDER BY i) AS run FROM m) GROUP BY rid, row_no, n, i - q, run) GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest, 0) AS longest
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN l USING (rid)"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
