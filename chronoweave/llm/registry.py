@@ -145,3 +145,18 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+# Two words are one edit apart if they differ in the letter at one place alone, or one is the other less one letter.
+ORACLES["op12_spelling"] = r"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(list_concat([k], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY k) AS crc FROM range(256) r(k)),
+w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+c AS (SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s, count(*) AS n FROM w WHERE length(w) >= 6 GROUP BY doc_id, w),
+b AS (SELECT w, n, flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + ord(x) // 64, 128 + ord(x) % 64] END)) AS b FROM c),
+h AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(b, lambda x: CAST(x AS BIGINT))), lambda a, x: xor(a >> 8, crc[1 + (xor(a, x) & 255)])), 4294967295) AS h FROM b, t),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+e AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word UNION SELECT less, d.word FROM d JOIN v ON v.word = less UNION SELECT d.word, less FROM d JOIN v ON v.word = less),
+f AS (SELECT a, b, v.n AS m, count(*) OVER (PARTITION BY a) AS k FROM e JOIN v ON v.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1),
+g AS (SELECT word, n, coalesce(k, 0) AS n_near, CASE WHEN m >= 5 * n THEN b END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN f ON a = word),
+r(word, root, next) AS (SELECT word, word, form FROM g UNION ALL SELECT r.word, g.word, g.form FROM r JOIN g ON g.word = r.next)
+SELECT g.word, g.form, r.root, g.n, g.n_near, g.form_n FROM g JOIN r ON r.word = g.word WHERE r.next IS NULL"""
