@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
-from chronoweave.operators import graph, similarity
+from chronoweave.operators import clusters, decode, graph, scan, similarity
+from chronoweave.plans.queries import TL, tl
 from chronoweave.plans.registry import query
 from chronoweave.session import table
+from chronoweave.streaming import stateful
 
 # ---- near duplicates of vectors
 
@@ -36,3 +38,51 @@ def _(spark, d):
   SELECT id, component, count(DISTINCT v) OVER (PARTITION BY component) AS vectors, count(*) OVER (PARTITION BY component) AS members FROM m JOIN f USING (id)""")
 def _(spark, d):
     return similarity.near_groups(frames(spark, d), "id", "v", 3)
+
+
+# ---- state machines of live streams, replayed out of order
+
+#: Seven stages spelt out: where each phase goes, and by what name.
+SEVEN_NEXT = """CASE WHEN p = 7 OR action = 'cleanup' THEN 7 WHEN action = 'wiring' AND p IN (1, 2, 3) THEN 3 WHEN action = 'measurement' AND p IN (0, 1) THEN 1 WHEN action = 'measurement' AND p IN (3, 4) THEN 4
+  WHEN action = 'writing' AND p < 3 THEN 2 WHEN action = 'writing' AND p < 6 THEN 5 ELSE p END"""
+SEVEN_STAGE = """CASE WHEN p = 7 THEN 'noise' WHEN action = 'cleanup' THEN 'material_cleanup' WHEN action = 'wiring' AND p = 0 THEN 'circuit_wiring' WHEN action = 'wiring' AND p IN (1, 2, 3) THEN 'circuit_rewiring'
+  WHEN action = 'measurement' AND p IN (0, 1) THEN 'measurement_1' WHEN action = 'measurement' AND p IN (3, 4) THEN 'measurement_2' WHEN action = 'writing' AND p < 3 THEN 'recording_1' WHEN action = 'writing' AND p < 6 THEN 'recording_2' END"""
+LIVE_STAGES = f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) AS k FROM tl),
+  r(entity, k, event_id, stage, q) AS (SELECT DISTINCT entity, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 0 FROM tl UNION ALL SELECT entity, k, event_id, {SEVEN_STAGE}, {SEVEN_NEXT} FROM (SELECT o.*, r.q AS p FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1))
+  SELECT entity, event_id, stage, CAST(least(q, 6) AS BIGINT) AS phase FROM r WHERE k > 0"""
+#: Seconds that a row may come behind the latest one.
+LATE = 90000
+
+
+def arrival() -> F.Column:
+    """Rows arrive up to a day behind their time."""
+    return F.col("first_s") + F.pmod(F.col("event_id") * 7919, F.lit(86400))
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    stage = scan.protocol_stage(decode.SEVEN, 6, F.col("symbol"), F.col("before"))
+    return rows.select("entity", "event_id", stage.alias("stage"), F.least("after", F.lit(6)).cast("long").alias("phase"))
+
+
+@query("first_end_stages", LIVE_STAGES)
+def _(spark, d):
+    symbol = scan.protocol_symbol(F.col("action") == "cleanup")
+    return staged(scan.scanned(tl(spark, d), scan.protocol(decode.SEVEN, 6), symbol, ["entity"], ["first_s", "event_id"]))
+
+
+@query("live_stages", LIVE_STAGES)
+def _(spark, d):
+    symbol = scan.protocol_symbol(F.col("action") == "cleanup")
+    return staged(stateful.replayed(spark, tl(spark, d), scan.protocol(decode.SEVEN, 6), symbol, arrival=arrival(), late_s=LATE))
+
+
+LIVE_PRESENCE = f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) AS k FROM tl), r(entity, k, event_id, side, streak) AS (SELECT entity, k, event_id, conf >= 150, 0 FROM o WHERE k = 1
+  UNION ALL SELECT entity, k, event_id, CASE WHEN s = 3 THEN NOT side ELSE side END, s % 3 FROM (SELECT o.entity, o.k, o.event_id, r.side, CASE WHEN (r.side AND conf <= 100) OR (NOT r.side AND conf >= 200) THEN streak + 1 ELSE 0 END AS s FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1))
+  SELECT entity, event_id, CASE WHEN side THEN 'present' ELSE 'absent' END AS state FROM r"""
+
+
+@query("live_presence", LIVE_PRESENCE)
+def _(spark, d):
+    symbol = scan.persistence_symbol(F.col("conf"), F.lit(100), F.lit(200))
+    rows = stateful.replayed(spark, tl(spark, d), scan.persistence(3), symbol, arrival=arrival(), late_s=LATE)
+    return rows.select("entity", "event_id", F.when(F.col("after") >= 3, "present").otherwise("absent").alias("state"))
