@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from chronoweave.operators import clusters, decode, graph, scan, similarity
 from chronoweave.plans.queries import TL, tl
 from chronoweave.plans.registry import query
-from chronoweave.session import table
+from chronoweave.session import shared_dir, table
+from chronoweave.sources import runs as artifacts
 from chronoweave.streaming import stateful
 
 # ---- near duplicates of vectors
@@ -86,3 +89,28 @@ def _(spark, d):
     symbol = scan.persistence_symbol(F.col("conf"), F.lit(100), F.lit(200))
     rows = stateful.replayed(spark, tl(spark, d), scan.persistence(3), symbol, arrival=arrival(), late_s=LATE)
     return rows.select("entity", "event_id", F.when(F.col("after") >= 3, "present").otherwise("absent").alias("state"))
+
+
+# ---- runs of artifacts
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("conversation_run", """SELECT CAST(conv_id AS VARCHAR) AS entity, count(*) AS turns, count(DISTINCT role) AS roles, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS letters, max(turn) AS last_turn, max(sha256(coalesce(text, ''))) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id""")
+def _(spark, d):
+    path = folder(spark, "runs")
+    artifacts.write_run(table(spark, d, "conversations"), path, "conversations", "conv_id")
+    back = artifacts.read_runs(spark, path, "turn long, role string, text string").select("entity", "item.*")
+    text = F.coalesce("text", F.lit(""))
+    return back.groupBy("entity").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"), F.sum(F.length(text)).alias("letters"), F.max("turn").alias("last_turn"), F.max(F.sha2(text, 256)).alias("digest"))
+
+
+@query("report_summary", f"""WITH {TL}, r AS (SELECT entity, count(*) AS n, max(conf) AS best FROM tl GROUP BY entity) SELECT entity, n, best, (SELECT count(*) FROM r) AS entities, (SELECT CAST(sum(n) AS BIGINT) FROM r) AS total FROM r""")
+def _(spark, d):
+    path, rows = folder(spark, "summary"), tl(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("best"))
+    artifacts.write_summary(rows, path, ["entity"], {"entities": "count(*)", "total": "sum(n)"})
+    rows, totals = artifacts.read_summary(spark, path, "entity long, n long, best long")
+    return rows.join(F.broadcast(totals))  # one row
