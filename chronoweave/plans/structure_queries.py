@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
-from chronoweave.operators import clusters, decode, graph, scan, similarity
+from chronoweave.operators import clusters, decode, graph, scan, similarity, tracking
 from chronoweave.plans.queries import TL, tl
 from chronoweave.plans.registry import query
 from chronoweave.session import shared_dir, table
@@ -114,3 +114,55 @@ def _(spark, d):
     artifacts.write_summary(rows, path, ["entity"], {"entities": "count(*)", "total": "sum(n)"})
     rows, totals = artifacts.read_summary(spark, path, "entity long, n long, best long")
     return rows.join(F.broadcast(totals))  # one row
+
+
+# ---- tracks and pairs in the plane
+
+#: Candidates of a frame (six hours) with places and scores from their ids.
+SPOT = f"""{TL}, c AS (SELECT *, first_s // 21600 AS frame, event_id * 37 % 200 AS x, event_id * 91 % 200 AS y, event_id * 7919 % 1000 AS score, event_id * 10473 % 1000 AS alike FROM tl)"""
+
+
+def spots(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return tl(spark, d).withColumns({"frame": F.floor(F.col("first_s") / 21600), "x": e * 37 % 200, "y": e * 91 % 200, "score": e * 7919 % 1000, "alike": e * 10473 % 1000})
+
+
+@query("anchor_tracks", f"""WITH RECURSIVE {SPOT}, g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY entity ORDER BY frame, event_id) AS BIGINT) AS group_no FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY entity ORDER BY frame, event_id) > 8 THEN 1 ELSE 0 END AS new FROM c)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY entity, group_no ORDER BY frame) AS k FROM (SELECT entity, group_no, frame, list({{'id': event_id, 'x': x, 'y': y, 't': score, 'h': alike}} ORDER BY score DESC, event_id) AS m FROM g GROUP BY entity, group_no, frame)),
+  a AS (SELECT g.*, k FROM g JOIN f USING (entity, group_no, frame) QUALIFY row_number() OVER (PARTITION BY entity, group_no ORDER BY score DESC, frame, event_id) = 1),
+  r(entity, group_no, dir, k, frame, id, x, y, t, h, step) AS (SELECT entity, group_no, dir, k, frame, event_id, x, y, score, alike, CAST(0 AS DOUBLE) FROM a, (SELECT unnest([1, -1]) AS dir)
+  UNION ALL SELECT entity, group_no, dir, k, frame, CASE WHEN ok THEN b.id END, CASE WHEN ok THEN b.x ELSE x END, CASE WHEN ok THEN b.y ELSE y END, b.t, b.h, b.gap FROM (SELECT *, coalesce(b.t >= 240 AND b.h >= 340, false) AS ok FROM (SELECT f.entity, f.group_no, dir, f.k, f.frame, r.x, r.y,
+    list_max(list_transform(list_filter(f.m, lambda c: sqrt((c.x - r.x) * (c.x - r.x) + (c.y - r.y) * (c.y - r.y)) <= 90), lambda c: {{'s': c.t / 1000.0::DOUBLE - sqrt((c.x - r.x) * (c.x - r.x) + (c.y - r.y) * (c.y - r.y)) / 360.0::DOUBLE, 't': c.t, 'i': -c.id, 'id': c.id, 'x': c.x, 'y': c.y, 'h': c.h, 'gap': sqrt((c.x - r.x) * (c.x - r.x) + (c.y - r.y) * (c.y - r.y))}})) AS b
+    FROM r JOIN f ON f.entity = r.entity AND f.group_no = r.group_no AND f.k = r.k + r.dir)))
+  SELECT DISTINCT entity, group_no, frame, id AS event_id, CAST(floor(step * 1000) AS BIGINT) AS step, t AS score, h AS alike FROM r WHERE id IS NOT NULL AND NOT (t < 340 AND step > 28) AND (t >= 400 OR (t >= 340 AND h >= 650))""")
+def _(spark, d):
+    groups = tracking.gap_groups(spots(spark, d), "frame", 8)
+    return tracking.tracked_outwards(groups).withColumn("step", F.floor(F.col("step") * 1000))
+
+
+@query("nearest_in_plane", f"""WITH {TL}, p AS (SELECT *, first_s // 60 AS x, conf * 5 AS y FROM tl), n AS (SELECT a.event_id AS left_id, b.event_id AS right_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS squared FROM p a JOIN p b ON a.action = 'wiring' AND b.action = 'measurement')
+  SELECT * FROM n WHERE squared <= 90000 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY squared, right_id) = 1""")
+def _(spark, d):
+    rows = tl(spark, d).withColumns({"x": F.floor(F.col("first_s") / 60), "y": F.col("conf") * 5})
+    return tracking.nearest_in_plane(rows.where("action = 'wiring'"), rows.where("action = 'measurement'"), [], "event_id", 300)
+
+
+@query("nearest_apart", f"""WITH {SPOT}, n AS (SELECT a.entity, a.event_id AS left_id, b.event_id AS right_id, abs(a.first_s - b.first_s) AS gap, a.conf + b.conf AS quality FROM c a JOIN c b ON a.entity = b.entity AND a.action = 'wiring' AND b.action = 'measurement'
+  WHERE abs(a.first_s - b.first_s) <= 40000 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) >= 3600) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY entity ORDER BY gap, quality DESC, left_id, right_id) = 1""")
+def _(spark, d):
+    rows = spots(spark, d)
+    return tracking.nearest_apart(rows.where("action = 'wiring'"), rows.where("action = 'measurement'"), ["entity"], "event_id", "first_s", 40000, 60, "conf")
+
+
+@query("role_collisions", f"""WITH {TL}, b AS (SELECT entity, first_s // 86400 AS day, action, event_id, conf AS strength, CAST(event_id * 37 % 100 AS DOUBLE) AS x, CAST(event_id * 91 % 20 AS DOUBLE) AS y FROM tl WHERE action IN ('wiring', 'measurement')
+    QUALIFY row_number() OVER (PARTITION BY entity, first_s // 86400, action ORDER BY conf DESC, event_id) = 1),
+  p AS (SELECT coalesce(a.entity, v.entity) AS entity, coalesce(a.day, v.day) AS day, a.event_id AS ai, v.event_id AS vi, a.strength AS s, v.strength AS t, a.x AS ax, v.x AS vx, CASE WHEN a.x IS NOT NULL AND v.x IS NOT NULL THEN greatest(0, 60 - abs(a.x - v.x)) * greatest(0, 40 - abs(a.y - v.y)) END AS w
+    FROM (SELECT * FROM b WHERE action = 'wiring') a FULL JOIN (SELECT * FROM b WHERE action = 'measurement') v ON a.entity = v.entity AND a.day = v.day),
+  q AS (SELECT *, CASE WHEN w IS NULL THEN NULL WHEN w / (4800 - w) >= 0.35 THEN CASE WHEN least(s, t) > 0 AND greatest(s, t) >= 1.25 * least(s, t) THEN 'weaker' ELSE 'ambiguous' END WHEN ax >= vx THEN 'order' END AS reason FROM p)
+  SELECT entity, day, reason, ai IS NOT NULL AND NOT coalesce(reason IN ('ambiguous', 'order') OR (reason = 'weaker' AND s < t), false) AS ammeter_kept, vi IS NOT NULL AND NOT coalesce(reason IN ('ambiguous', 'order') OR (reason = 'weaker' AND t < s), false) AS voltmeter_kept FROM q""")
+def _(spark, d):
+    x, y = (F.col("event_id") * 37 % 100).cast("double"), (F.col("event_id") * 91 % 20).cast("double")
+    rows = tl(spark, d).where("action in ('wiring', 'measurement')").withColumns({"day": F.floor(F.col("first_s") / 86400), "box": F.struct(x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 40).alias("y1"), F.col("conf").alias("strength"))})
+    best = lambda action: F.max_by(F.when(F.col("action") == action, F.col("box")), F.when(F.col("action") == action, F.struct("conf", -F.col("event_id"))))
+    pairs = rows.groupBy("entity", "day").agg(best("wiring").alias("ammeter"), best("measurement").alias("voltmeter"))
+    return tracking.resolved_collisions(pairs, "ammeter", "voltmeter", "strength", overlap=0.35, ratio=1.25).select("entity", "day", "reason", "ammeter_kept", "voltmeter_kept")
