@@ -66,3 +66,32 @@ def bounds(centres: DataFrame, low_share: float, high_share: float, median: Colu
     apart = F.col("high") - F.col("low") >= F.greatest(F.lit(least), share * F.greatest(F.col("high"), F.lit(1e-6)))
     at = lambda s: F.when(apart, F.col("low") + s * (F.col("high") - F.col("low"))).otherwise(median)
     return at(low_share), at(high_share)
+
+
+def fused_rounds(rounds: list[DataFrame], value: str, at: str, *, gap: int, persist_gap: int, fallback: float, apart: float, least_high: float, width: int = 5) -> DataFrame:
+    """All rows of several rounds with one threshold fitted to all of them: smoothed, state, and the size of the run of closed rows they are in.
+
+    Rows are (entity, event_id, `at`, `value`). The threshold is `shared_threshold` of all rows; within groups of an entity's
+    rows without a gap above `gap`, values are smoothed by a centred median of `width` rows (fewer at the ends), and a row is
+    closed at or above the threshold. `persistence` counts the consecutive closed rows around one without a gap above
+    `persist_gap`, 0 for open ones. Rows without a value or a time are left out; repeated rows count each, as rounds may
+    have frames in common.
+    """
+    from pyspark.sql import Window
+
+    from chronoweave.operators.tracking import gap_groups
+
+    rows = rounds[0]
+    for more in rounds[1:]:
+        rows = rows.unionByName(more)
+    rows = written(rows.where(F.col(value).isNotNull() & F.col(at).isNotNull()), "rounds")
+    cut = shared_threshold(rows, value, [], fallback=fallback, apart=apart, least_high=least_high).select("threshold")
+    grouped = gap_groups(rows, at, gap)
+    here = Window.partitionBy("entity", "group_no").orderBy(at, "event_id")
+    smooth = F.percentile(value, F.lit(0.5)).over(here.rowsBetween(-(width // 2), width // 2))
+    states = grouped.withColumn("smoothed", smooth).join(F.broadcast(cut)).withColumn("closed", F.col("smoothed") >= F.col("threshold"))  # one row
+    runs = gap_groups(states, at, persist_gap, name="_part")
+    by = Window.partitionBy("entity", "_part").orderBy(at, "event_id")
+    runs = runs.withColumn("_run", F.sum((~F.col("closed")).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.count_if("closed").over(Window.partitionBy("entity", "_part", "_run"))
+    return runs.withColumn("persistence", F.when(F.col("closed"), size).otherwise(F.lit(0)).cast("long")).drop("_part", "_run")

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
-from chronoweave.operators import clusters, decode, graph, scan, similarity, tracking
-from chronoweave.plans.queries import TL, tl
+from chronoweave.operators import clusters, decode, gate, graph, nested, requests, scan, similarity, tracking
+from chronoweave.plans.queries import RUNS, TL, runs, tl
 from chronoweave.plans.registry import query
 from chronoweave.session import shared_dir, table
 from chronoweave.sources import runs as artifacts
@@ -166,3 +166,68 @@ def _(spark, d):
     best = lambda action: F.max_by(F.when(F.col("action") == action, F.col("box")), F.when(F.col("action") == action, F.struct("conf", -F.col("event_id"))))
     pairs = rows.groupBy("entity", "day").agg(best("wiring").alias("ammeter"), best("measurement").alias("voltmeter"))
     return tracking.resolved_collisions(pairs, "ammeter", "voltmeter", "strength", overlap=0.35, ratio=1.25).select("entity", "day", "reason", "ammeter_kept", "voltmeter_kept")
+
+
+# ---- one threshold over all rounds
+
+
+@query("shared_threshold_states", f"""WITH RECURSIVE {TL}, q AS (SELECT quantile_cont(CAST(conf AS DOUBLE), 0.25) AS low, quantile_cont(CAST(conf AS DOUBLE), 0.75) AS high, count(*) AS n FROM tl), xs AS (SELECT list({{'v': CAST(conf AS DOUBLE), 'n': n}}) AS xs FROM (SELECT conf, count(*) AS n FROM tl GROUP BY conf)),
+  m(i, low, high, done) AS (SELECT 0, low, high, false FROM q UNION ALL SELECT i + 1, a, b, abs(a - low) + abs(b - high) < 1e-6 FROM (SELECT i, low, high, coalesce(list_sum(list_transform(list_filter(xs, lambda x: x.v <= (low + high) / 2), lambda x: x.v * x.n)) / list_sum(list_transform(list_filter(xs, lambda x: x.v <= (low + high) / 2), lambda x: x.n)), low) AS a,
+    coalesce(list_sum(list_transform(list_filter(xs, lambda x: x.v > (low + high) / 2), lambda x: x.v * x.n)) / list_sum(list_transform(list_filter(xs, lambda x: x.v > (low + high) / 2), lambda x: x.n)), high) AS b FROM m, xs WHERE i < 50 AND NOT done)),
+  t AS (SELECT CASE WHEN n >= 4 AND m.high - m.low >= 180 AND m.high >= 150 THEN (m.low + m.high) / 2 ELSE 800 END AS threshold FROM m, q QUALIFY row_number() OVER (ORDER BY i DESC) = 1),
+  g AS (SELECT *, sum(CASE WHEN first_s - p > 90000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY first_s, event_id) AS gr, sum(CASE WHEN first_s - p > 40000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY first_s, event_id) AS part FROM (SELECT *, lag(first_s) OVER (PARTITION BY entity ORDER BY first_s, event_id) AS p FROM tl)),
+  s AS (SELECT *, quantile_cont(CAST(conf AS DOUBLE), 0.5) OVER (PARTITION BY entity, gr ORDER BY first_s, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smoothed FROM g),
+  c AS (SELECT s.*, smoothed >= threshold AS closed FROM s, t), r AS (SELECT *, sum(CASE WHEN closed THEN 0 ELSE 1 END) OVER (PARTITION BY entity, part ORDER BY first_s, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+  SELECT entity, event_id, CAST(gr AS BIGINT) AS group_no, CAST(round_even(smoothed * 1000, 0) AS BIGINT) AS smoothed, closed, CASE WHEN closed THEN count(*) FILTER (WHERE closed) OVER (PARTITION BY entity, part, run) ELSE 0 END AS persistence FROM r""")
+def _(spark, d):
+    rows = tl(spark, d).select("entity", "event_id", "first_s", "conf")
+    rounds = [rows.where(F.col("event_id") % 3 == k) for k in range(3)]
+    fused = clusters.fused_rounds(rounds, "conf", "first_s", gap=90000, persist_gap=40000, fallback=800, apart=180, least_high=150)
+    return fused.select("entity", "event_id", "group_no", F.rint(F.col("smoothed") * 1000).cast("long").alias("smoothed"), "closed", "persistence")
+
+
+# ---- requests
+
+#: Scores are counts of thousandths, so that sums of bonuses are exact in both engines.
+@query("diverse_picks", f"""WITH RECURSIVE {TL}, c AS (SELECT entity, event_id, conf, CASE WHEN event_id % 5 = 0 THEN [] WHEN event_id % 5 = 1 THEN ['t' || event_id % 7] ELSE list_sort(list_distinct(['t' || event_id % 7, 't' || event_id % 4])) END AS tracks, action AS source, first_s FROM tl),
+  l AS (SELECT entity, list({{'id': event_id, 's': conf, 't': tracks, 'a': source, 'f': first_s}}) AS m FROM c GROUP BY entity),
+  r(entity, pick, id, seen, had, ids) AS (SELECT entity, 0, CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) FROM l
+  UNION ALL SELECT entity, pick + 1, -b.i, list_concat(seen, b.t), list_append(had, b.a), list_append(ids, -b.i) FROM (SELECT r.*, list_max(list_transform(list_filter(m, lambda x: NOT list_contains(r.ids, x.id)),
+    lambda x: {{'s': x.s + CASE WHEN len(x.t) = 0 OR len(list_filter(x.t, lambda y: NOT list_contains(r.seen, y))) > 0 THEN 180 ELSE 0 END + CASE WHEN list_contains(r.had, x.a) THEN 0 ELSE 80 END, 'f': -x.f, 'i': -x.id, 't': x.t, 'a': x.a}})) AS b FROM r JOIN l USING (entity) WHERE pick < 4) WHERE b IS NOT NULL)
+  SELECT r.entity, pick, id AS event_id, conf FROM r JOIN c ON c.event_id = id WHERE pick > 0""")
+def _(spark, d):
+    e = F.col("event_id")
+    one = F.concat(F.lit("t"), (e % 7).cast("string"))
+    tracks = F.when(e % 5 == 0, F.array().cast("array<string>")).when(e % 5 == 1, F.array(one)).otherwise(F.array(one, F.concat(F.lit("t"), (e % 4).cast("string"))))
+    rows = tl(spark, d).withColumn("tracks", tracks)
+    picks = requests.diverse_picks(rows, ["entity"], "event_id", "conf", "tracks", "action", [F.col("first_s")], limit=4, new_track=180, new_source=80)
+    return picks.select("entity", "pick", "event_id", "conf")
+
+
+PLAN = f"""{TL}, a AS (SELECT entity, first_s AS at, row_number() OVER (PARTITION BY entity ORDER BY conf DESC, first_s, event_id) AS rank, first_s // 3600 * 3600 AS h FROM tl QUALIFY rank <= 6),
+  n AS (SELECT entity, list(DISTINCT first_s // 3600 * 3600) AS known FROM tl GROUP BY entity)"""
+
+
+@query("request_plan", f"""WITH RECURSIVE {PLAN}, r(entity, k, budget, made, taken, w) AS (SELECT entity, CAST(0 AS BIGINT), CAST(14 AS BIGINT), 0, CAST([] AS BIGINT[]), {{'new': CAST(0 AS BIGINT), 'rows': CAST(0 AS BIGINT), 'near': CAST(0 AS BIGINT), 'early': CAST(0 AS BIGINT), 'f': CAST(0 AS BIGINT), 't': CAST(0 AS BIGINT)}} FROM n
+  UNION ALL SELECT entity, k, CASE WHEN w IS NULL THEN budget ELSE budget - w.new END, CASE WHEN w IS NULL THEN made ELSE made + 1 END, CASE WHEN w IS NULL THEN taken ELSE list_concat(taken, range(w.f, w.t + 1, 3600)) END, w FROM (
+    SELECT r.entity, a.rank AS k, budget, made, taken, CASE WHEN made < 3 AND budget > 0 THEN list_max(list_filter(list_transform(list_filter(flatten(list_transform(range(h - 21600, h + 21601, 3600), lambda f: list_transform(range(f, h + 21601, 3600), lambda t: {{'f': f, 't': t}}))), lambda p: NOT list_has_any(range(p.f, p.t + 1, 3600), r.taken)),
+      lambda p: {{'new': CAST(len(list_filter(range(p.f, p.t + 1, 3600), lambda x: NOT list_contains(n.known, x))) AS BIGINT), 'rows': CAST(len(range(p.f, p.t + 1, 3600)) AS BIGINT), 'near': -abs(p.f + p.t - 2 * a.at), 'early': -p.f, 'f': p.f, 't': p.t}}), lambda c: c.new > 0 AND c.new <= r.budget)) END AS w
+    FROM r JOIN a ON a.entity = r.entity AND a.rank = r.k + 1 JOIN n ON n.entity = r.entity))
+  SELECT entity, made AS request, CAST(k AS INTEGER) AS rank, w.f AS "from", w.t AS "to", w.rows AS rows, w.new AS "new" FROM r WHERE k > 0 AND w IS NOT NULL""")
+def _(spark, d):
+    rows = tl(spark, d)
+    hour = F.floor(F.col("first_s") / 3600) * 3600
+    rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.col("conf").desc(), "first_s", "event_id"))
+    anchors = rows.withColumn("rank", rank).where("rank <= 6").select("entity", "rank", F.col("first_s").alias("at"), (hour - 21600).alias("low"), (hour + 21600).alias("high"))
+    return requests.request_plan(anchors, rows.select("entity", hour.alias("at")), step=3600, budget=14)
+
+
+@query("checked_requests", f"""WITH {RUNS}, q AS (SELECT entity, event_id, first_s, conf, unnest(generate_series(0, CAST(conf % 5 AS BIGINT) - 1)) AS j FROM tl), e AS (SELECT *, first_s + j * 700 - CASE WHEN event_id % 17 = 0 THEN 3000000 ELSE 0 END AS s FROM q),
+  f AS (SELECT *, s + 100 * (event_id % 6) AS t FROM e), x AS (SELECT *, CASE WHEN NOT (0 <= s AND s < t AND t <= 2592000) THEN 'outside_video' WHEN t - s > 400 THEN 'too_long' WHEN NOT EXISTS (SELECT 1 FROM runs WHERE runs.entity = f.entity AND s >= greatest(0, runs.first_s - 200) AND t <= least(2592000, runs.last_s + 200)) THEN 'outside_stages' END AS err FROM f),
+  g AS (SELECT event_id, first(err ORDER BY j) FILTER (WHERE err IS NOT NULL) AS err, sum(t - s) AS total, count(*) AS n FROM x GROUP BY event_id)
+  SELECT tl.entity, tl.event_id, CASE WHEN coalesce(n, 0) NOT BETWEEN 1 AND 3 THEN 'number_of_ranges' WHEN err IS NOT NULL THEN err WHEN total > 800 THEN 'too_long_together' END AS error FROM tl LEFT JOIN g USING (event_id)""")
+def _(spark, d):
+    ranges = F.expr("transform(filter(sequence(0L, 4L), j -> j < conf % 5), j -> named_struct('start', first_s + j * 700 - if(event_id % 17 = 0, 3000000, 0), 'end', first_s + j * 700 - if(event_id % 17 = 0, 3000000, 0) + 100 * (event_id % 6)))")
+    asked = tl(spark, d).select("entity", "event_id", ranges.alias("ranges"), F.lit(2592000).alias("duration"))
+    stages = runs(spark, d).select("entity", F.col("first_s").alias("start"), F.col("last_s").alias("end"))
+    return requests.checked_requests(asked, stages, "event_id", longest=400, total=800, slack=200).select("entity", "event_id", "error")
