@@ -17,7 +17,12 @@ def get(path: str, kind: str = "string", of: str = "root") -> str:
 
 def absent(*paths: str, of: str = "root") -> str:
     """Any of these fields is missing or null."""
-    return " or ".join(f"coalesce(is_variant_null({get(p, 'variant', of)}), true)" for p in paths)
+    return " or ".join(f"{get(p, 'variant', of)} is null or is_variant_null({get(p, 'variant', of)})" for p in paths)
+
+
+def true(path: str, of: str = "root") -> str:
+    """The field is a boolean and true; what could be read as one doesn't count."""
+    return f"({shape(path, of)} = 'BOOLEAN' and {get(path, 'boolean', of)})"
 
 
 def shape(path: str, of: str = "root") -> str:
@@ -70,8 +75,8 @@ RULES: dict[str, dict[str, str]] = {
     "qwen_structured_result": {
         "INVALID_JSON_PARSED": f"{shape('json_parsed')} <> 'BOOLEAN'",
         "INVALID_SAFETY_VALID": f"{shape('safety_valid')} <> 'BOOLEAN'",
-        "MISSING_STRUCTURED_RESULT": f"{get('json_parsed', 'boolean')} and {shape('structured_result')} not like 'OBJECT%' and {shape('result')} not like 'OBJECT%'",
-        "SAFETY_VALID_WITH_ERRORS": f"{get('safety_valid', 'boolean')} and ({NOT_LIST('validation_errors')} or size({listed('validation_errors')}) > 0)",
+        "MISSING_STRUCTURED_RESULT": f"{true('json_parsed')} and {shape('structured_result')} not like 'OBJECT%' and {shape('result')} not like 'OBJECT%'",
+        "SAFETY_VALID_WITH_ERRORS": f"{true('safety_valid')} and ({NOT_LIST('validation_errors')} or size({listed('validation_errors')}) > 0)",
         "FORBIDDEN_QWEN_SCORING_FIELD": " or ".join(f"{get(f'structured_result.{f}', 'variant')} is not null" for f in FORBIDDEN),
     },
     "evidence_package": PACKAGE,
@@ -79,7 +84,7 @@ RULES: dict[str, dict[str, str]] = {
     "offline_evaluation": {
         "MISSING_REQUIRED_FIELD": absent("prediction_package_path", "prediction_package_sha256"),
         "INVALID_PREDICTION_SHA256": f"coalesce(not {get('prediction_package_sha256')} rlike '^[0-9a-fA-F]{{64}}$', true)",
-        "PREDICTION_NOT_FROZEN_BEFORE_GROUND_TRUTH": f"coalesce(not {get('prediction_frozen_before_ground_truth', 'boolean')}, true)",
+        "PREDICTION_NOT_FROZEN_BEFORE_GROUND_TRUTH": f"not {true('prediction_frozen_before_ground_truth')}",
     },
     "validation_gate": {
         "MISSING_REQUIRED_FIELD": absent("rubric_id", "status", "frozen_artifacts", "required_new_data", "prohibited_actions"),

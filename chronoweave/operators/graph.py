@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.session import written
@@ -47,3 +47,16 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
         front = written(ahead.join(known, ["start", "node"], "left_anti").withColumn("steps", F.lit(steps)), "front")
         known = known.unionByName(front)
     return known
+
+
+def producer_plan(made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """tool, call_no, products, wanted, first_product: the tools that produce something wanted, each called once, in the order of their first place.
+
+    `made` has (tool, produced, pos), `wanted` (produced); what a tool makes beside is counted in `products`. A product that a tool
+    names several times counts once. Places number one row a tool, which is what the last window orders.
+    """
+    once = made.dropna(subset=["tool", "produced"]).groupBy("tool", "produced").agg(F.min("pos").alias("pos"))
+    asked = wanted.select("produced").dropna().distinct().withColumn("_asked", F.lit(1))
+    tools = once.join(asked, "produced", "left").groupBy("tool").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("products"), F.count("_asked").alias("wanted"), F.min("produced").alias("first_product"))
+    tools = tools.where("wanted > 0")
+    return tools.withColumn("call_no", F.row_number().over(Window.orderBy("pos", "tool"))).drop("pos")

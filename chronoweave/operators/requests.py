@@ -37,7 +37,8 @@ def diverse_picks(rows: DataFrame, keys: list[str], id: str, score: str, tracks:
         add = lambda c, more: F.when(F.col("n.b").isNull(), F.col(c)).otherwise(F.concat(c, more)).alias(c)
         had = written(met.select(*(F.col(f"h.{k}") for k in keys), add("_seen", F.coalesce("n.b._tracks", F.array().cast("array<string>"))), add("_from", F.array("n.b._source")), add("_ids", F.array("n.b.id"))), "picks")
     picked = had.select(*keys, F.posexplode("_ids").alias("_at", id)).withColumn("pick", F.col("_at") + 1).drop("_at")
-    return few.drop("_tracks", "_source", *tail).join(picked, [*keys, id])
+    met = few.drop("_tracks", "_source", *tail).alias("x").join(picked.alias("p"), [*on("x", "p"), F.col(f"x.{id}") == F.col(f"p.{id}")])
+    return met.select("x.*", "p.pick")
 
 
 # ---- T18, T19

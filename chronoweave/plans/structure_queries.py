@@ -231,3 +231,106 @@ def _(spark, d):
     asked = tl(spark, d).select("entity", "event_id", ranges.alias("ranges"), F.lit(2592000).alias("duration"))
     stages = runs(spark, d).select("entity", F.col("first_s").alias("start"), F.col("last_s").alias("end"))
     return requests.checked_requests(asked, stages, "event_id", longest=400, total=800, slack=200).select("entity", "event_id", "error")
+
+
+# ---- nested values
+
+NOTE = "CASE turn % 4 WHEN 0 THEN 'Bearer abcdefgh' || conv_id WHEN 1 THEN 'plain ' || turn WHEN 2 THEN 'key sk-12345678' || turn || ' end' ELSE 'bearer short' END"
+
+
+def nested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document a conversation: its turns in order, with secrets in keys, under keys and in texts, at several depths."""
+    note = F.expr("case turn % 4 when 0 then concat('Bearer abcdefgh', conv_id) when 1 then concat('plain ', turn) when 2 then concat('key sk-12345678', turn, ' end') else 'bearer short' end")
+    token = F.when(F.col("turn") % 3 == 0, F.struct(F.lit("deep").alias("a"), F.array(F.col("turn")).alias("b")))
+    turn = F.struct("turn", "role", F.struct(note.alias("note"), token.alias("Auth_Token"), F.array(F.array("turn", F.length("text")), F.array(F.length("text"))).alias("sizes")).alias("meta"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    body = F.to_json(F.struct(F.col("conv_id").alias("id"), F.lit("x").alias("api_key"), F.col("turns").alias("video_7"), F.struct(F.lit(1).alias("fixed_roi"), F.array(F.struct(F.lit(2).alias("video_12_left"))).alias("list")).alias("workflow")), {"ignoreNullFields": "false"})
+    return rows.select("conv_id", F.parse_json(body).alias("root"))
+
+
+@query("redacted_documents", """WITH t AS (SELECT conv_id, turn, role, length(text) AS n, CASE turn % 4 WHEN 0 THEN '<redacted>' WHEN 1 THEN 'plain ' || turn WHEN 2 THEN 'key <redacted> end' ELSE 'bearer short' END AS note FROM conversations)
+  SELECT conv_id AS id, '{"api_key":"<redacted>","id":' || conv_id || ',"video_7":[' || string_agg('{"meta":{"Auth_Token":"<redacted>","note":"' || note || '","sizes":[[' || turn || ',' || n || '],[' || n || ']]},"role":"' || role || '","turn":' || turn || '}', ',' ORDER BY turn, role, note) || '],"workflow":{"fixed_roi":1,"list":[{"video_12_left":2}]}}' AS body FROM t GROUP BY conv_id""")
+def _(spark, d):
+    return nested.redacted_documents(nested_documents(spark, d), "conv_id", "root")
+
+
+@query("forbidden_paths", "SELECT DISTINCT conv_id AS id, unnest(['root.video_7', 'root.workflow.fixed_roi', 'root.workflow.list.0.video_12_left']) AS path FROM conversations")
+def _(spark, d):
+    return nested.forbidden_paths(nested_documents(spark, d), "conv_id", "root", ["fixed_roi", "fixed_video_roi"], root="root")
+
+
+# ---- closure and producers
+
+LINKS = """l AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || min(n_nationkey) FROM nation GROUP BY n_regionkey)"""
+
+
+@query("reachable_producers", f"""WITH RECURSIVE {LINKS}, r(start, node, steps) AS (SELECT DISTINCT a, a, 0 FROM l WHERE a LIKE 'c%' UNION SELECT r.start, l.b, r.steps + 1 FROM r JOIN l ON r.node = l.a WHERE r.steps < 6)
+  SELECT start, node, min(steps) AS steps FROM r GROUP BY start, node""")
+def _(spark, d):
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    link = lambda t, a, b: table(spark, d, t).select(a.alias("a"), b.alias("b"))
+    links = link("orders", name("o", "o_orderkey"), name("c", "o_custkey")).unionByName(link("customer", name("c", "c_custkey"), name("n", "c_nationkey"))).unionByName(link("nation", name("n", "n_nationkey"), name("r", "n_regionkey")))
+    back = table(spark, d, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n")).select(name("r", "n_regionkey").alias("a"), name("n", "n").alias("b"))  # a cycle
+    links = links.unionByName(back)
+    return graph.reachable(links, links.where("a like 'c%'").select(F.col("a").alias("start")))
+
+
+@query("producer_plan", """WITH p AS (SELECT l_suppkey AS tool, l_partkey AS produced, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY ALL), w AS (SELECT p_partkey FROM part WHERE p_size >= 48),
+  t AS (SELECT tool, min(pos) AS pos FROM p GROUP BY tool), n AS (SELECT DISTINCT tool FROM p JOIN w ON produced = p_partkey)
+  SELECT tool, row_number() OVER (ORDER BY t.pos, tool) AS call_no, count(*) AS products, count(*) FILTER (WHERE produced IN (SELECT p_partkey FROM w)) AS wanted, min(produced) AS first_product FROM p JOIN n USING (tool) JOIN (SELECT tool, pos FROM t) t USING (tool) GROUP BY tool, t.pos""")
+def _(spark, d):
+    made = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tool"), F.col("l_partkey").alias("produced"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    wanted = table(spark, d, "part").where("p_size >= 48").select(F.col("p_partkey").alias("produced"))
+    return graph.producer_plan(made, wanted)
+
+
+# ---- artifacts and the gate
+
+#: One JSON artifact an event: its type by event_id % 9 (the ninth is unknown), its faults by k = event_id div 9.
+ARTIFACT = """case e % 9
+  when 0 then concat('{"source_video":', if(k % 11 = 0, 'null', '"v"'), ',"frames":', if(k % 7 = 0, '5', concat('[{"timestamp_seconds":1,"output_path":"a"},{', if(k % 3 = 0, '', '"frame_path":"b",'), '"timestamp_seconds":', if(k % 5 = 0, 'null', '2'), '}', if(k % 13 = 0, ',7', ''), ']')), '}')
+  when 1 then concat('{"rubric_id":1,"source_video":"v","review_method":"m","candidate_reviews":', if(k % 7 = 0, '{}', concat('[{"timestamp_seconds":1,"frame_path":"f","usable_for_qwen_evidence":true,"switch_visibility":"', if(k % 3 = 0, 'odd', 'full'), '"}', if(k % 4 = 0, ',[]', ''), ']')), '}')
+  when 2 then concat('{"frames":[{"devices":{"voltmeter":{"status":"full","bbox":', if(k % 3 = 0, '[1,2,3]', '[1,2,3,4]'), '},"ammeter":', if(k % 5 = 0, '4', '{"status":"partial","bbox":[1,2,3,4.5]}'), ',"switch":{"status":"', if(k % 7 = 0, 'gone', 'not_visible'), '"', if(k % 4 = 0, ',"enhanced_crop":"c"', ''), '}}}]}')
+  when 3 then concat('{"json_parsed":', if(k % 5 = 0, '"yes"', 'true'), ',"safety_valid":', if(k % 2 = 0, 'true', 'false'), ',"validation_errors":', if(k % 3 = 0, '["e"]', '[]'), if(k % 7 = 0, '', concat(',"structured_result":{', if(k % 11 = 0, '"score":1', ''), '}')), '}')
+  when 4 then concat('{"rubric_id":1,"source_video":"v","automated_decision":"', case k % 4 when 0 then 'yes' when 1 then 'abstained' when 2 then 'perhaps' else 'no' end, '","automated_outcome":"', if(k % 3 = 0, 'abstained', 'scored'), '","predicted_score":', case k % 5 when 0 then '0' when 1 then '1' when 2 then 'null' when 3 then '2' else '1' end, if(k % 2 = 0, ',"abstention_reason":"r"', ''), '}')
+  when 5 then concat('{"rubric_id":1,"source_video":"v","automated_decision":"no","automated_outcome":"scored","predicted_score":1', if(k % 2 = 0, ',"circuit_closed_evidence":{}', ''), '}')
+  when 6 then concat('{"prediction_package_path":"p","prediction_package_sha256":"', if(k % 3 = 0, 'abc', repeat('aB', 32)), '","prediction_frozen_before_ground_truth":', if(k % 2 = 0, 'true', 'false'), '}')
+  when 7 then concat('{"rubric_id":1,"status":"', if(k % 5 = 0, 'open', 'blocked_waiting_for_data'), '","required_new_data":', if(k % 3 = 0, '[]', '[1]'), ',"prohibited_actions":["a"],"frozen_artifacts":[{"path":"p"', if(k % 7 = 0, '', concat(',"sha256":"', if(k % 2 = 0, 'zz', repeat('0f', 32)), '"')), '}]}')
+  else case k % 3 when 0 then '{broken' when 1 then '[1]' else '{"a":1}' end end"""
+TYPES = ["frame_manifest", "evidence_availability_review", "dynamic_roi_results", "qwen_structured_result", "evidence_package", "prediction_package", "offline_evaluation", "validation_gate", "something_else"]
+
+
+def artifact_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").selectExpr("event_id", "event_id as e", "event_id div 9 as k")
+    return rows.select("event_id", F.element_at(F.array(*map(F.lit, TYPES)), (F.col("e") % 9 + 1).cast("int")).alias("type"), F.expr(ARTIFACT).alias("body"))
+
+
+FAULTS = """x AS (SELECT event_id, event_id % 9 AS t, event_id // 9 AS k FROM events), f AS (SELECT event_id, t, list_filter([
+  CASE WHEN t = 8 AND k % 3 = 0 THEN 'JSON_PARSE_ERROR' END, CASE WHEN t = 8 AND k % 3 = 1 THEN 'INVALID_ROOT_TYPE' END, CASE WHEN t = 8 AND k % 3 = 2 THEN 'UNKNOWN_ARTIFACT_TYPE' END,
+  CASE WHEN t = 0 AND (k % 11 = 0 OR (k % 7 <> 0 AND k % 5 = 0)) THEN 'MISSING_REQUIRED_FIELD' END, CASE WHEN t = 0 AND k % 7 = 0 THEN 'INVALID_FRAMES' END, CASE WHEN t = 0 AND k % 7 <> 0 AND k % 13 = 0 THEN 'INVALID_FRAME_RECORD' END, CASE WHEN t = 0 AND k % 7 <> 0 AND k % 3 = 0 THEN 'MISSING_FRAME_OUTPUT_PATH' END,
+  CASE WHEN t = 1 AND k % 7 = 0 THEN 'INVALID_CANDIDATE_REVIEWS' END, CASE WHEN t = 1 AND k % 7 <> 0 AND k % 4 = 0 THEN 'INVALID_CANDIDATE_REVIEW' END, CASE WHEN t = 1 AND k % 7 <> 0 AND k % 3 = 0 THEN 'INVALID_ROI_STATUS' END, CASE WHEN t = 2 AND k % 7 = 0 THEN 'INVALID_ROI_STATUS' END,
+  CASE WHEN t = 2 AND k % 5 = 0 THEN 'MISSING_DEVICE_RESULT' END, CASE WHEN t = 2 AND k % 7 <> 0 AND k % 4 = 0 THEN 'CROP_PRESENT_FOR_NOT_VISIBLE' END, CASE WHEN t = 2 AND k % 3 = 0 THEN 'MISSING_OR_INVALID_BBOX' END,
+  CASE WHEN t = 3 AND k % 5 = 0 THEN 'INVALID_JSON_PARSED' END, CASE WHEN t = 3 AND k % 5 <> 0 AND k % 7 = 0 THEN 'MISSING_STRUCTURED_RESULT' END, CASE WHEN t = 3 AND k % 2 = 0 AND k % 3 = 0 THEN 'SAFETY_VALID_WITH_ERRORS' END, CASE WHEN t = 3 AND k % 7 <> 0 AND k % 11 = 0 THEN 'FORBIDDEN_QWEN_SCORING_FIELD' END,
+  CASE WHEN t = 4 AND k % 4 = 2 THEN 'INVALID_DECISION' END, CASE WHEN t = 4 AND k % 4 = 1 AND k % 5 <> 2 THEN 'ABSTAINED_WITH_SCORE' END, CASE WHEN t = 4 AND k % 3 = 0 AND k % 2 = 1 THEN 'ABSTENTION_REASON_MISSING' END, CASE WHEN t = 4 AND k % 3 <> 0 AND k % 5 IN (2, 3) THEN 'SCORED_OUTCOME_INVALID_SCORE' END,
+  CASE WHEN t = 4 AND (k % 4 = 1) <> (k % 3 = 0) THEN 'DECISION_OUTCOME_MISMATCH' END, CASE WHEN t = 5 AND k % 2 = 1 THEN 'MISSING_CIRCUIT_EVIDENCE' END, CASE WHEN t = 6 AND k % 3 = 0 THEN 'INVALID_PREDICTION_SHA256' END, CASE WHEN t = 6 AND k % 2 = 1 THEN 'PREDICTION_NOT_FROZEN_BEFORE_GROUND_TRUTH' END,
+  CASE WHEN t = 7 AND k % 5 <> 0 AND k % 3 = 0 THEN 'MISSING_BLOCKED_GATE_REQUIREMENT' END, CASE WHEN t = 7 AND k % 5 <> 0 AND k % 7 = 0 THEN 'INVALID_FROZEN_ARTIFACT' END, CASE WHEN t = 7 AND k % 5 <> 0 AND k % 7 <> 0 AND k % 2 = 0 THEN 'INVALID_FROZEN_ARTIFACT_SHA256' END],
+  lambda c: c IS NOT NULL) AS errors FROM x)"""
+
+
+@query("artifact_errors", f"WITH {FAULTS} SELECT event_id, unnest(errors) AS error FROM f")
+def _(spark, d):
+    return gate.checked_artifacts(artifact_rows(spark, d), "type", "body").select("event_id", F.explode("errors").alias("error"))
+
+
+@query("validation_gate", f"""WITH {FAULTS} SELECT t AS type_no, count(*) AS rows, count(*) FILTER (WHERE len(errors) > 0) AS wrong, 2 * count(*) FILTER (WHERE len(errors) > 0) <= count(*) AS opened, CASE WHEN 2 * count(*) FILTER (WHERE len(errors) > 0) <= count(*) THEN count(*) ELSE 0 END AS visible FROM f GROUP BY t""")
+def _(spark, d):
+    path, out = folder(spark, "gate"), []
+    rows = gate.checked_artifacts(artifact_rows(spark, d), "type", "body")
+    for i, kind in enumerate(TYPES):  # nine writes, each opened by its own counts
+        opened, counts = gate.gated_write(rows.where(F.col("type") == kind), path, kind, most=0.5)
+        seen = spark.read.parquet(f"{path}/{kind}") if opened else rows.where("false")
+        out.append(seen.select("event_id").agg(F.count(F.lit(1)).alias("visible")).select(F.lit(i).alias("type_no"), F.lit(counts["rows"]).alias("rows"), F.lit(counts["wrong"]).alias("wrong"), F.lit(opened).alias("opened"), "visible"))
+    result = out[0]
+    for more in out[1:]:
+        result = result.unionByName(more)
+    return result.where("rows > 0")
