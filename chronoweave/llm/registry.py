@@ -76,7 +76,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.training_order(table(spark, sf_dir, "documents"))
+    return training_order.written_order(table(spark, sf_dir, "documents"))
 
 
 @query
