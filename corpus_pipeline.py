@@ -38,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def order_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order."""
+    """Fixed-stride token records in training order, written as shards and read back."""
     ship_package(spark)
-    return training_order.training_order(docs)
+    return training_order.written_order(docs)
 
 
 STAGES = [
