@@ -1,8 +1,8 @@
 """Language-model scores: online logistic mixing of hashed-context bit predictors.
 
 A text is its words (A-Z in lower case, split at ASCII white space), each with a space behind, and an end mark. Where
-the corpus has seen words twice or more behind the last two, the first decision is whether one of those follows again;
-if so, their counts name it. Any other word is spelt: its bytes by Huffman codes of the corpus, one after each byte, so
+the corpus has seen words behind the last two (in a training text twice or more, as once may be the text itself), the
+first decision is whether one of those follows again; if so, their counts name it. Any other word is spelt: its bytes by Huffman codes of the corpus, one after each byte, so
 likely bytes take few binary decisions. For each decision every predictor looks up a context (the last three or five
 bytes, or all, of the word so far) in a table of bit counts; the log-odds it finds are mixed with weights that a gate
 picks by how sure the predictors are, and a table refines the mixed odds. Weights are learnt by online gradient steps;
@@ -41,14 +41,22 @@ REACH = (3, 5, None)
 K = len(REACH)
 #: Kinds of questions beside the predictors': words' counts, and followers of pairs of words.
 VOCABULARY, LONG = K, K + 1
-#: A follower counts as seen from this many times on: once may be the text itself.
-TWICE = 2
+#: A follower counts as seen from this many times on: in a training text, where once may be the text itself, and in others.
+TWICE, ONCE = 2, 1
+#: Kinds of blocks, the last two bits of a block's number: of training texts, of those that set weights, and of held-out ones.
+TRAINING, WEIGHING, HELD = 0, 1, 2
+#: Parts of a unit in the weights' sums, which are of whole numbers, so that no order of adding changes them.
+FIXED = 1 << 20
 #: Bits of the hashes of a pair of words, beyond those that pick its range, and of the word behind it.
 PAIR_BITS, TAIL_BITS = 25, 16
-GATES, LONG_GATES = 27, 5
+#: Gates of the predictors; of the first decision by how often a pair was seen, and by that and how the last two such decisions of the text went.
+GATES, SEEN_GATES, PAST = 27, 5, 9
+LONG_GATES = SEEN_GATES * PAST
 PRIOR = 0.1
 #: Steps of a unit in a table's log-odds; steps of mixed log-odds, from -12 to 12, in the refinement.
 SCALE, REFINE = 16, 256
+#: Words that the even shares of the two ways to a word count for at a text's start.
+SHARE = 16
 #: Words between two online steps of a text: the first, and the most.
 STEP, MOST_STEP = 16, 128
 #: Bytes of text in a block, and of a group of texts that are scored side by side.
@@ -176,14 +184,18 @@ COLUMNS = [f.split()[0] for f in FIELDS.split(", ")]
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Blocks of documents, those that set weights in blocks with odd numbers: ids (as text), folds, where texts begin, which words they have, the distinct words, and the training texts' counts of byte pairs."""
+    """Blocks of documents of one kind: ids (as text), folds, where texts begin, which words they have, the distinct words, and the training texts' counts of byte pairs.
+
+    What weights are learnt from is dealt out and sorted by a hash of id and text, as learning goes in order: files and
+    tasks have no part in it.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 24
-        filling = {False: ([], [], []), True: ([], [], [])}
-        size = {False: 0, True: 0}
+        filling = {kind: ([], [], []) for kind in (TRAINING, WEIGHING, HELD)}
+        size = dict.fromkeys(filling, 0)
 
         def done(no, ids, folds, texts):
             data, ends = W.lower(np.frombuffer(b"".join(texts), np.uint8)), np.cumsum([0, *map(len, texts)])
@@ -206,21 +218,24 @@ def packed(docs: DataFrame) -> DataFrame:
             data, ends = buffers(piece["text"])
             raw = data.tobytes()
             for i, (name, kind) in enumerate(zip(piece["id"].to_pylist(), piece["fold"].to_pylist(), strict=True)):
-                text, odd = raw[ends[i] : ends[i + 1]], kind == WEIGHTS
-                if filling[odd][0] and size[odd] + len(text) > BLOCK:
-                    yield done(2 * block + odd, *filling[odd])
+                text, of = raw[ends[i] : ends[i + 1]], {WEIGHTS: WEIGHING, HELD_OUT: HELD}.get(kind, TRAINING)
+                if filling[of][0] and size[of] + len(text) > BLOCK:
+                    yield done(4 * block + of, *filling[of])
                     block += 1
-                    filling[odd], size[odd] = ([], [], []), 0
-                for to, x in zip(filling[odd], (name, kind, text), strict=True):
+                    filling[of], size[of] = ([], [], []), 0
+                for to, x in zip(filling[of], (name, kind, text), strict=True):
                     to.append(x)
-                size[odd] += len(text)
-        for odd in filling:
-            if filling[odd][0]:
-                yield done(2 * block + odd, *filling[odd])
+                size[of] += len(text)
+        for of in filling:
+            if filling[of][0]:
+                yield done(4 * block + of, *filling[of])
 
     mark = F.when((fold("doc_id", FOLDS) == WEIGHTS_FOLD) & (F.floor(fold("doc_id", FOLDS * WEIGHTS_PART) / FOLDS) == 0), WEIGHTS).otherwise(fold("doc_id", FOLDS))
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), mark.cast("int").alias("fold"), "text")
-    return rows.mapInArrow(run, FIELDS)
+    weigh = rows.where(F.col("fold") == WEIGHTS).select("*", F.xxhash64("id", "text").alias("a"), F.xxhash64("text", "id").alias("b"))
+    parts = max(1, -(-weigh.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // BLOCK))
+    weigh = weigh.repartitionById(parts, F.pmod("a", F.lit(parts)).cast("int")).sortWithinPartitions("a", "b").select("id", "fold", "text")
+    return rows.where(F.col("fold") != WEIGHTS).unionByName(weigh).mapInArrow(run, FIELDS)
 
 
 # ---------------------------------------------------------------- code and contexts
@@ -372,7 +387,7 @@ LISTED, NAMED = 2.4, 8
 def listing(listed: np.ndarray, every: np.ndarray) -> np.ndarray:
     """How a pair of words stands, from the counts of followers seen TWICE or more and of all: 0 if there are none of the first, else gate and log-odds."""
     odds = np.clip(np.log((listed + 0.1) / (np.maximum(0, every - listed) + 0.4)), -8, 8)
-    gate = np.minimum(LONG_GATES - 1, np.log2(np.maximum(1, every)).astype(np.int64) // 2)
+    gate = np.minimum(SEEN_GATES - 1, np.log2(np.maximum(1, every)).astype(np.int64) // 2)
     return np.where(listed > 0, 1 + gate * 40 + np.rint((odds + 8) * LISTED), 0).astype(np.uint8)
 
 
@@ -449,10 +464,12 @@ def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
             blocks, extra = [*blocks, -1], [shrunk(np.array([count.sum(), np.count_nonzero(count)]).astype(np.uint64))]
         else:
             _, _, pair = distinct(W.mix(key >> U(TAIL_BITS)))
-            again = np.where(count >= TWICE, count, 0)
-            listed = np.bincount(pair, again)
-            answer = np.stack([listing(listed, np.bincount(pair, count))[pair], naming(again, listed[pair])])
-            data = [shrunk(answer[:, w].ravel()) for w in np.split(which, at[1:-1])]
+            answer = {}
+            for least in (ONCE, TWICE):
+                again = np.where(count >= least, count, 0)
+                listed = np.bincount(pair, again)
+                answer[least] = np.stack([listing(listed, np.bincount(pair, count))[pair], naming(again, listed[pair])])
+            data = [shrunk(answer[TWICE if block % 4 == TRAINING else ONCE][:, w].ravel()) for block, w in zip(blocks, np.split(which, at[1:-1]), strict=True)]
         return pa.table([pa.array(blocks, pa.int64()), pa.array([group["part"][0].as_py()] * len(blocks), pa.int32()), pa.array([*data, *extra], pa.binary())], names=["block", "part", "data"])
 
     return asked(blocks, ranges).groupBy("part").applyInArrow(run, "block long, part int, data binary")
@@ -501,7 +518,20 @@ class Texts:
 
 def start_weights() -> np.ndarray:
     """Weights of the predictors by gate, and weight and bias of the first decision by gate."""
-    return np.concatenate([np.full(K * GATES, 1.2 / K), np.ones(LONG_GATES), np.zeros(LONG_GATES)]).astype(np.float32)
+    followed = np.tile(np.array([-1.0, 1.0, 0.0])[np.arange(PAST) % 3] + np.array([-0.5, 0.5, 0.0])[np.arange(PAST) // 3], SEEN_GATES)
+    return np.concatenate([np.full(K * GATES, 1.2 / K), np.ones(LONG_GATES), followed]).astype(np.float32)
+
+
+def past(listing: np.ndarray, naming: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each place with a first decision, how the two before it in its text went: 3 * the earlier + the later one, each 0 (not followed), 1 or 2 (there was none)."""
+    at = np.flatnonzero(listing)
+    went, text = (naming[at] > 0).astype(np.uint8), np.searchsorted(first, at, "right")
+    out = np.full(len(listing), 8, np.uint8)
+    last, earlier = np.full(len(at), 2, np.uint8), np.full(len(at), 2, np.uint8)
+    last[1:] = np.where(text[1:] == text[:-1], went[:-1], 2)
+    earlier[2:] = np.where(text[2:] == text[:-2], went[:-2], 2)
+    out[at] = 3 * earlier + last
+    return out
 
 
 def lanes(first: np.ndarray):
@@ -525,10 +555,13 @@ class Mixer:
     """Mixes and learns over the texts of a block.
 
     Without `refine` the weights follow all texts. With it, every text starts from the weights given and takes its own
-    steps, and the probability of a decision is what the refinement says of the gate and mixed log-odds.
+    steps, and the probability of a decision is what the refinement says of the gate and mixed log-odds. With `plainly` too, the
+    bits of each distinct word by its count alone, a word that is spelt has a share of that probability and a share of the
+    mixed one; shares are the text's own, by which of the two has done better in it so far.
     """
 
-    def __init__(self, texts: Texts, odds: np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float):
+    def __init__(self, texts: Texts, odds: np.ndarray, weights: np.ndarray, refine: np.ndarray | None, rate: float, plainly: np.ndarray | None = None):
+        self.plainly = plainly
         self.texts, self.refine, self.rate = texts, refine, rate
         self.weights = weights.astype(np.float64).copy()
         self.odds = odds
@@ -565,7 +598,9 @@ class Mixer:
 
     def group(self, first: np.ndarray, total: np.ndarray) -> None:
         t, n = self.texts, len(total)
+        before = past(t.listing[first[0] : first[-1]], t.naming[first[0] : first[-1]], first - first[0])
         own, bias, bias0 = np.zeros((K, n), np.float32), np.zeros(n, np.float32), np.zeros(n)
+        better, tried = np.full(n, SHARE / 2.0), np.full(n, float(SHARE))
         for live, take, place in lanes(first):
             lane = np.repeat(np.arange(len(live)), take)
             spell = np.ones(len(place), bool)
@@ -573,7 +608,7 @@ class Mixer:
             if len(at):
                 i, who = place[at], lane[at]
                 state, hit = t.listing[i].astype(np.int64) - 1, t.naming[i] > 0
-                x, gate = state % 40 / LISTED - 8, state // 40
+                x, gate = state % 40 / LISTED - 8, state // 40 * PAST + before[i - first[0]]
                 w, b = self.weights[K * GATES : K * GATES + LONG_GATES], self.weights[K * GATES + LONG_GATES :]
                 p = 1 / (1 + np.exp(-np.clip(w[gate] * x + b[gate] + bias0[live[who]], -14, 14)))
                 cost = -np.log2(np.where(hit, p, 1 - p))
@@ -612,7 +647,16 @@ class Mixer:
             which = known["which"]
             cell += (which >> 1).astype(np.int32) * (2 * REFINE) + (which & 1)
             price = self.price.take(cell)
-            total[who] += np.add.reduceat(price.real, begin, dtype=np.float64)
+            if self.plainly is None:
+                total[who] += np.add.reduceat(price.real, begin, dtype=np.float64)
+            else:
+                of = live[lane]
+                share = (better / tried)[of]
+                plain = np.log2(share) - self.plainly[word]
+                bits = -np.logaddexp2(plain, np.log2(1 - share) - np.add.reduceat(price.real, np.cumsum(size) - size, dtype=np.float64))
+                total += np.bincount(of, bits, len(total))
+                better += np.bincount(of, np.exp2(plain + bits), len(total))
+                tried += np.bincount(of, minlength=len(total))
             error = price.imag.copy()
             step = (self.rate / np.sqrt(n)).astype(np.float32)
             for k in range(K):
@@ -661,7 +705,7 @@ def learnt(texts: Texts, more) -> np.ndarray:
     mixer = Mixer(texts, odds, first, None, rate)
     mixer.bits()
     used = np.concatenate([np.tile(mixer.used, K), np.tile(mixer.used_long, 2)])
-    return np.concatenate([mixer.weights * used, used, mixer.seen.ravel()])
+    return np.concatenate([np.rint(mixer.weights * used * FIXED), used, mixer.seen.ravel()]).astype(np.int64)
 
 
 def fit(blocks: DataFrame, found: DataFrame, book, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -674,10 +718,11 @@ def fit(blocks: DataFrame, found: DataFrame, book, ranges: int) -> tuple[np.ndar
     odds = np.clip(np.rint(state_odds(hits.reshape(K, 256, 2) if len(hits) else np.zeros((K, 256, 2))) * SCALE), -127, 127).astype(np.int8)
     weights, refine = start_weights(), refinement(np.zeros((GATES * REFINE, 2)))
     for rate in (0.02, 0.001):
-        got = summed(blocks, found, book, ranges, learnt, "float64", (odds, weights, rate))
+        got = summed(blocks, found, book, ranges, learnt, "int64", (odds, weights, rate))
         if not len(got):
             break
-        total, used, seen = np.split(got, [len(weights), 2 * len(weights)])
+        total, used, seen = np.split(got.astype(np.float64), [len(weights), 2 * len(weights)])
+        total /= FIXED
         prior = np.repeat([2000.0, 20.0], [K * GATES, 2 * LONG_GATES])  # decisions that the first weights count for
         weights = ((total + prior * weights) / (used + prior)).astype(np.float32)
         refine = refinement(seen.reshape(-1, 2))
@@ -711,7 +756,7 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
     book = code(np.array([seen.get(i, 0) for i in range(1 << 16)], np.int64))
     ranges = ranges_for(total)
     found = materialize(tables(blocks, book, ranges), "lm-tables")
-    odds, weights, refine = fit(blocks.where("block % 2 = 1"), found.where("block % 2 = 1"), book, ranges)
+    odds, weights, refine = fit(blocks.where(f"block % 4 = {WEIGHING}"), found.where(f"block % 4 = {WEIGHING}"), book, ranges)
     sizes = found.where("block = -1").select("data").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([int(x) for x in col], pa.int64()) for col in zip(*(grown(d.as_py(), np.uint64) for d in b["data"]), strict=True)], ["n", "v"]) for b in batches if b.num_rows), "n long, v long")
     n_train, v_train = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     shared = spark.sparkContext.broadcast((book, odds, weights, refine))
@@ -729,7 +774,11 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
             base = np.bincount(doc, np.log10((texts.count + 1) / (n_train + v_train + 1))[block.word], n)
             known = np.bincount(doc, (texts.count > 0)[block.word], n).astype(np.int64)
             size = np.bincount(doc, np.diff(block.ends)[block.word], n).astype(np.int64)
-            bits = Mixer(texts, odds, weights, refine, rate).bits()
+            # a training text's words have one use less, its own
+            uses = np.maximum(0, texts.count - (block.no % 4 == TRAINING))
+            with np.errstate(divide="ignore"):
+                plainly = -np.log2(uses / max(1, n_train))
+            bits = Mixer(texts, odds, weights, refine, rate, plainly).bits()
             out.append(pa.table([pa.array(x, t) for x, t in zip((block.ids, block.folds == HELD_OUT, np.diff(block.first), known, np.full(n, n_train), base, -bits * np.log10(2), size), kinds, strict=True)], names=names))
         return pa.concat_tables(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
 
