@@ -372,29 +372,46 @@ def _(spark, d):
     return matching.compare_by_position(runs(spark, d), intervals.stage_runs(tl(spark, d), gap=90000), 1)
 
 
-def machine_sql(moves: dict, last_phase: int) -> str:
-    table = ", ".join(f"('{action}', {phase}, '{stage}', {after})" for action, by in moves.items() for phase, (stage, after) in by.items())
-    return f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) AS k FROM tl), e AS (SELECT entity, max(CASE WHEN action = 'cleanup' THEN k END) AS stop FROM o GROUP BY entity), m(action, phase, stage, nxt) AS (VALUES {table}),
-  r(entity, k, event_id, stage, phase) AS (SELECT entity, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM e UNION ALL SELECT o.entity, o.k, o.event_id, CASE WHEN o.k > stop THEN 'noise' WHEN o.k = stop THEN 'material_cleanup' ELSE m.stage END, CASE WHEN o.k > stop THEN r.phase WHEN o.k = stop THEN {last_phase} ELSE coalesce(m.nxt, r.phase) END
-  FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1 JOIN e ON e.entity = o.entity LEFT JOIN m ON m.action = o.action AND m.phase = r.phase) SELECT entity, event_id, stage, phase FROM r WHERE k > 0"""
+def machine_sql(stage: str, phase: str, last_phase: int) -> str:
+    """SQL of a state machine whose moves are spelt out: the stage and the next phase of `action` in phase `p`."""
+    return f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) AS k FROM tl), e AS (SELECT entity, coalesce(max(CASE WHEN action = 'cleanup' THEN k END), 1000000000) AS stop FROM o GROUP BY entity),
+  r(entity, k, event_id, stage, phase) AS (SELECT entity, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM e UNION ALL
+  SELECT entity, k, event_id, CASE WHEN k > stop THEN 'noise' WHEN k = stop THEN 'material_cleanup' ELSE {stage} END, CASE WHEN k > stop THEN p WHEN k = stop THEN {last_phase} ELSE {phase} END
+  FROM (SELECT o.entity, o.k, o.event_id, o.action, r.phase AS p, stop FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1 JOIN e ON e.entity = o.entity)) SELECT entity, event_id, stage, phase FROM r WHERE k > 0"""
 
 
-@query("state_machine_7", machine_sql(decode.SEVEN, 6))
+SEVEN_STAGE = """CASE WHEN action = 'wiring' AND p = 0 THEN 'circuit_wiring' WHEN action = 'wiring' AND p IN (1, 2, 3) THEN 'circuit_rewiring' WHEN action = 'measurement' AND p IN (0, 1) THEN 'measurement_1' WHEN action = 'measurement' AND p IN (3, 4) THEN 'measurement_2'
+  WHEN action = 'writing' AND p IN (0, 1, 2) THEN 'recording_1' WHEN action = 'writing' AND p IN (3, 4, 5) THEN 'recording_2' END"""
+SEVEN_PHASE = """CASE WHEN action = 'wiring' AND p IN (1, 2, 3) THEN 3 WHEN action = 'measurement' AND p IN (0, 1) THEN 1 WHEN action = 'measurement' AND p IN (3, 4) THEN 4 WHEN action = 'writing' AND p IN (0, 1, 2) THEN 2 WHEN action = 'writing' AND p IN (3, 4, 5) THEN 5 ELSE p END"""
+FIVE_STAGE = """CASE WHEN action = 'wiring' AND p = 0 THEN 'circuit_wiring' WHEN action = 'wiring' AND p IN (1, 2) THEN 'circuit_rewiring' WHEN action IN ('measurement', 'writing') AND p IN (0, 1) THEN 'recording_1' WHEN action IN ('measurement', 'writing') AND p IN (2, 3) THEN 'recording_2' END"""
+FIVE_PHASE = """CASE WHEN action = 'wiring' AND p IN (1, 2) THEN 2 WHEN action IN ('measurement', 'writing') AND p IN (0, 1) THEN 1 WHEN action IN ('measurement', 'writing') AND p IN (2, 3) THEN 3 ELSE p END"""
+
+
+@query("state_machine_7", machine_sql(SEVEN_STAGE, SEVEN_PHASE, 6))
 def _(spark, d):
     return decode.state_machine(tl(spark, d), decode.SEVEN, 6)
 
 
-@query("state_machine_5", machine_sql(decode.FIVE, 4))
+@query("state_machine_5", machine_sql(FIVE_STAGE, FIVE_PHASE, 4))
 def _(spark, d):
     return decode.state_machine(tl(spark, d), decode.FIVE, 4)
 
 
-@query("hysteresis")
+@query("hysteresis", f"""WITH RECURSIVE {TL}, l AS (SELECT entity, list(CAST(conf AS DOUBLE)) AS xs, median(CAST(conf AS DOUBLE)) AS mid FROM tl GROUP BY entity),
+  m(entity, i, low, high, done) AS (SELECT entity, 0, list_min(xs), list_max(xs), false FROM l UNION ALL SELECT entity, i + 1, a, b, abs(a - low) + abs(b - high) < 1e-8 FROM (SELECT m.entity, i, low, high, coalesce(list_sum(list_filter(xs, lambda x: x <= (low + high) / 2)) / len(list_filter(xs, lambda x: x <= (low + high) / 2)), low) AS a,
+    coalesce(list_sum(list_filter(xs, lambda x: x > (low + high) / 2)) / nullif(len(list_filter(xs, lambda x: x > (low + high) / 2)), 0), high) AS b FROM m JOIN l USING (entity) WHERE i < 20 AND NOT done)),
+  c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY entity ORDER BY i DESC) = 1), d AS (SELECT entity, CASE WHEN high - low >= greatest(0.025, 0.08 * greatest(high, 1e-6)) THEN low + 0.35::DOUBLE * (high - low) ELSE mid END AS down, CASE WHEN high - low >= greatest(0.025, 0.08 * greatest(high, 1e-6)) THEN low + 0.65::DOUBLE * (high - low) ELSE mid END AS up FROM c JOIN l USING (entity)),
+  o AS (SELECT tl.*, down, up, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) AS k FROM tl JOIN d USING (entity)), r(entity, k, event_id, side, streak) AS (SELECT entity, k, event_id, conf >= (down + up) / 2, 0 FROM o WHERE k = 1
+  UNION ALL SELECT entity, k, event_id, CASE WHEN s = 2 THEN NOT side ELSE side END, s % 2 FROM (SELECT o.entity, o.k, o.event_id, r.side, CASE WHEN (r.side AND conf <= down) OR (NOT r.side AND conf >= up) THEN streak + 1 ELSE 0 END AS s FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1))
+  SELECT entity, event_id, CASE WHEN side THEN 'present' ELSE 'absent' END AS state FROM r""")
 def _(spark, d):
     return decode.hysteresis(tl(spark, d), "conf", ["first_s", "event_id"])
 
 
-@query("greedy_conflicts")
+@query("greedy_conflicts", f"""WITH RECURSIVE {TL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY first_s, event_id) AS k FROM tl), r(entity, k, kept) AS (SELECT DISTINCT entity, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, a VARCHAR, f BIGINT, l BIGINT, c BIGINT)[]) FROM tl
+  UNION ALL SELECT entity, k, CASE WHEN len(met) = 0 OR c > top THEN list_append(list_filter(kept, lambda x: NOT list_contains(met, x)), {{'i': i, 'a': a, 'f': f, 'l': l, 'c': c}}) WHEN c < top AND len(list_filter(met, lambda x: x.c = top)) = 1 THEN list_filter(kept, lambda x: NOT list_contains(met, x) OR x.c = top) ELSE list_filter(kept, lambda x: NOT list_contains(met, x)) END
+  FROM (SELECT *, list_max(list_transform(met, lambda x: x.c)) AS top FROM (SELECT o.entity, o.k, kept, event_id AS i, action AS a, first_s AS f, last_s AS l, conf AS c, list_filter(kept, lambda x: x.a <> 'uncertain' AND o.action <> 'uncertain' AND x.a <> o.action AND x.l >= o.first_s AND x.f <= o.last_s) AS met FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1))),
+  z AS (SELECT entity, list_transform(kept, lambda x: x.i) AS ids FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY k DESC) = 1) SELECT tl.entity, event_id, list_contains(ids, event_id) AS kept FROM tl JOIN z USING (entity)""")
 def _(spark, d):
     return decode.greedy_conflicts(tl(spark, d))
 
@@ -413,12 +430,17 @@ def _(spark, d):
     return decode.capped_merge(tl(spark, d), 3600, 200000)
 
 
-@query("farthest_first")
+@query("farthest_first", f"""WITH RECURSIVE {TL}, l AS (SELECT entity, list({{'n': 1000000000000, 't': -first_s, 'i': -event_id}}) AS m FROM tl GROUP BY entity), r(entity, rank, id, left_) AS (SELECT entity, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), m FROM l
+  UNION ALL SELECT entity, rank + 1, -b.i, list_transform(list_filter(left_, lambda x: x.i <> b.i), lambda x: {{'n': least(x.n, abs(x.t - b.t)), 't': x.t, 'i': x.i}}) FROM (SELECT *, list_max(left_) AS b FROM r WHERE len(left_) > 0)) SELECT entity, id AS event_id, rank FROM r WHERE rank > 0""")
 def _(spark, d):
     return decode.farthest_first(tl(spark, d), "first_s")
 
 
-@query("nms_iou")
+@query("nms_iou", f"""WITH RECURSIVE {TL}, b AS (SELECT entity, event_id, first_s / 1e4::DOUBLE AS x0, conf / 1e2::DOUBLE AS y0, last_s / 1e4::DOUBLE AS x1, conf / 1e2::DOUBLE + 5::DOUBLE AS y1, CAST(conf AS DOUBLE) AS score, row_number() OVER (PARTITION BY entity ORDER BY conf DESC, event_id) AS k FROM tl),
+  r(entity, k, kept) AS (SELECT DISTINCT entity, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) FROM b
+  UNION ALL SELECT b.entity, b.k, CASE WHEN len(kept) < 20 AND len(list_filter(kept, lambda q: NOT coalesce(greatest(0, least(q.x1, b.x1) - greatest(q.x0, b.x0)) * greatest(0, least(q.y1, b.y1) - greatest(q.y0, b.y0)) / nullif((b.x1 - b.x0) * (b.y1 - b.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) - greatest(0, least(q.x1, b.x1) - greatest(q.x0, b.x0)) * greatest(0, least(q.y1, b.y1) - greatest(q.y0, b.y0)), 0), 0) < 0.35)) = 0
+    THEN list_append(kept, {{'i': b.event_id, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}}) ELSE kept END FROM r JOIN b ON b.entity = r.entity AND b.k = r.k + 1),
+  z AS (SELECT entity, list_transform(kept, lambda x: x.i) AS ids FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY k DESC) = 1) SELECT b.* EXCLUDE (k) FROM b JOIN z ON b.entity = z.entity AND list_contains(ids, event_id)""")
 def _(spark, d):
     rows = tl(spark, d).select("entity", "event_id", (F.col("first_s") / 1e4).alias("x0"), (F.col("conf") / 1e2).alias("y0"), (F.col("last_s") / 1e4).alias("x1"), (F.col("conf") / 1e2 + 5).alias("y1"), F.col("conf").cast("double").alias("score"))
     return decode.suppressed(rows, 20)
