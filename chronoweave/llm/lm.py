@@ -60,7 +60,7 @@ SHARE = 16
 #: Words between two online steps of a text: the first, and the most.
 STEP, MOST_STEP = 16, 128
 #: Bytes of text in a block, and of a group of texts that are scored side by side.
-BLOCK, SCORED = 12 << 20, 1 << 19
+BLOCK, SCORED = 9 << 20, 1 << 19
 END, SPACE = 10, 32
 U = np.uint64
 
