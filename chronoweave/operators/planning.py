@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.folds import Fold, folded
 from chronoweave.operators.intervals import islands
 
 
@@ -138,24 +139,31 @@ def promoted_end(rows: DataFrame, kind: str = "cleanup", window: int = 86400) ->
     return rows.withColumn("role", F.when(me == F.col("_end"), "end").when(me > F.col("_end"), "quarantined").otherwise("kept")).drop("_last", "_end")
 
 
+class Increasing(Fold):
+    """Starts that strictly increase; all that is kept is the last one."""
+
+    def __init__(self):
+        self.last = None
+
+    def row(self, r):
+        if self.last is None:
+            start, source = r["low"], "fixed"
+        else:
+            fits = lambda v: v is not None and self.last + 1 < v < r["high"] - 1
+            source = next((n for n in ("refined", "coarse") if fits(r[f"{n}_s"])), "unusable")
+            start = r[f"{source}_s"] if source != "unusable" else min(r["high"] - 1, max(self.last + 1, r["coarse_s"]))
+        self.last = start
+        return [(r["entity"], r["position"], r["high"], start, source)]
+
+
 def compiled(segments: DataFrame, low: Column, high: Column) -> DataFrame:
     """Segments with starts that strictly increase within (low, high): the refined one, else the coarse one, else the least that does.
 
-    segments: entity, position (from 0), coarse_s, refined_s (may be null), all in thousandths. An entity's segments are
-    folded in order as one array.
+    segments: entity, position (from 0), coarse_s, refined_s (may be null), all in thousandths. Segments stream past in order, so
+    that an entity's number of them doesn't matter.
     """
-    rows = segments.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("position", "coarse_s", "refined_s"))).alias("list"), F.first(low).alias("low"), F.first(high).alias("high"))
-    rest = F.filter("list", lambda x: x["position"] > 0)
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fits = lambda v: (v > last["start_s"] + 1) & (v < F.col("high") - 1)
-        start = F.when(fits(x["refined_s"]), x["refined_s"]).when(fits(x["coarse_s"]), x["coarse_s"]).otherwise(F.least(F.col("high") - 1, F.greatest(last["start_s"] + 1, x["coarse_s"])))
-        source = F.when(fits(x["refined_s"]), "refined").when(fits(x["coarse_s"]), "coarse").otherwise("unusable")
-        return F.concat(acc, F.array(F.struct(x["position"].alias("position"), start.alias("start_s"), source.alias("source"))))
-
-    first = F.array(F.struct(F.lit(0).cast("long").alias("position"), F.col("low").alias("start_s"), F.lit("fixed").alias("source")))
-    out = rows.select("entity", "high", F.explode(F.aggregate(rest, first, step)).alias("s")).select("entity", "high", "s.*")
+    rows = segments.select("entity", "position", "coarse_s", "refined_s", low.alias("low"), high.alias("high"))
+    out = folded(rows, ["entity"], ["position"], Increasing, f"entity {segments.schema['entity'].dataType.simpleString()}, position long, high long, start_s long, source string")
     return out.withColumn("end_s", F.coalesce(F.lead("start_s").over(Window.partitionBy("entity").orderBy("position")), F.col("high"))).where("end_s > start_s").drop("high")
 
 

@@ -357,15 +357,15 @@ def _(spark, d):
 # ---- coverage and contracts
 
 
-@query("fact_coverage", f"""WITH {OBS}, f AS (SELECT event_id, c, row_number() OVER (PARTITION BY c ORDER BY event_id) AS n FROM obs WHERE kind = 'click') SELECT p_partkey, coalesce(f.event_id, -1) AS event_id, CASE WHEN f.c IS NULL THEN 'missing' END AS error FROM part LEFT JOIN f ON p_partkey = f.c AND n = 1""")
+@query("fact_coverage", f"""WITH {OBS}, f AS (SELECT event_id, c, row_number() OVER (PARTITION BY c ORDER BY event_id) AS n FROM obs) SELECT p_partkey, coalesce(f.event_id, -1) AS event_id, CASE WHEN f.c IS NULL THEN 'missing' END AS error FROM part LEFT JOIN f ON p_partkey = f.c AND n = 1""")
 def _(spark, d):
-    given = obs(spark, d).where("kind = 'click'").select(F.col("c").alias("p_partkey"), "event_id")
+    given = obs(spark, d).select(F.col("c").alias("p_partkey"), "event_id")
     return coverage.normalized(table(spark, d, "part").select("p_partkey"), given, "p_partkey", ["event_id"], {"event_id": F.lit(-1)})
 
 
-@query("fact_rejects", f"""WITH {OBS}, f AS (SELECT event_id, c, row_number() OVER (PARTITION BY c ORDER BY event_id) AS n FROM obs WHERE kind = 'click') SELECT event_id, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'duplicate' END AS reason FROM f LEFT JOIN part ON p_partkey = c WHERE p_partkey IS NULL OR n > 1""")
+@query("fact_rejects", f"""WITH {OBS}, f AS (SELECT event_id, c, row_number() OVER (PARTITION BY c ORDER BY event_id) AS n FROM obs) SELECT event_id, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'duplicate' END AS reason FROM f LEFT JOIN part ON p_partkey = c WHERE p_partkey IS NULL OR n > 1""")
 def _(spark, d):
-    given = obs(spark, d).where("kind = 'click'").select(F.col("c").alias("p_partkey"), "event_id")
+    given = obs(spark, d).select(F.col("c").alias("p_partkey"), "event_id")
     return coverage.rejected(table(spark, d, "part").select("p_partkey"), given, "p_partkey", ["event_id"]).select("event_id", "reason")
 
 
@@ -445,7 +445,6 @@ def _(spark, d):
   SELECT m.entity, m.action, x.first_s AS first_s, y.first_s AS last_s, w.first_s AS rep_s FROM m JOIN tl x ON x.event_id = a JOIN tl y ON y.event_id = z JOIN tl w ON w.event_id = r""")
 def _(spark, d):
     rows = tl(spark, d)
-    m = rows.groupBy("entity", "action").agg(F.min("event_id").alias("a"), F.max("event_id").alias("z"), F.max_by("event_id", F.struct("conf", -F.col("event_id"))).alias("r"))
-    for key, name in (("a", "first_s"), ("z", "last_s"), ("r", "rep_s")):
-        m = m.join(rows.select(F.col("event_id").alias(key), F.col("first_s").alias(name)), key)
+    at = lambda pick, key: pick(F.struct(key, "first_s"))["first_s"]
+    m = rows.groupBy("entity", "action").agg(at(F.min, "event_id").alias("first_s"), at(F.max, "event_id").alias("last_s"), F.max_by("first_s", F.struct("conf", -F.col("event_id"))).alias("rep_s"))
     return m.select("entity", "action", "first_s", "last_s", "rep_s")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as X
-from chronoweave.operators import checking, decode, fusion, intervals, matching, sampling, voting
+from chronoweave.operators import checking, decode, fusion, graph, intervals, matching, sampling, voting
 from chronoweave.plans.registry import query
 from chronoweave.session import table
 from chronoweave.sources.timeline import timeline
@@ -350,9 +350,15 @@ def _(spark, d):
     return c.withColumn("route", F.when(F.col("measurement") == 0, "fallback").when(F.col("writing") > F.col("measurement"), "record_first").otherwise("standard"))
 
 
-@query("dependency_closure", "WITH RECURSIVE d(a, b) AS (VALUES (7, 4), (7, 5), (9, 6), (4, 1), (5, 1), (6, 2)), c AS (SELECT a, b FROM d UNION SELECT c.a, d.b FROM c JOIN d ON c.b = d.a) SELECT CAST(a AS BIGINT) AS rubric, CAST(b AS BIGINT) AS needs FROM c")
+#: Rubrics are parts by size and container; one needs those that the same order asks for before it, up to the ring of sizes.
+@query("dependency_closure", """WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, p_size AS r FROM lineitem JOIN part ON l_partkey = p_partkey), d AS (SELECT DISTINCT a.r AS a, b.r AS b FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber - 1 AND a.l_orderkey % 40 = a.r AND b.r <> a.r),
+  c AS (SELECT a, b FROM d UNION SELECT c.a, d.b FROM c JOIN d ON c.b = d.a) SELECT CAST(a AS BIGINT) AS rubric, CAST(b AS BIGINT) AS needs FROM c WHERE a <> b""")
 def _(spark, d):
-    return spark.sql("WITH RECURSIVE d AS (SELECT * FROM VALUES (7L, 4L), (7L, 5L), (9L, 6L), (4L, 1L), (5L, 1L), (6L, 2L) AS t(a, b)), c AS (SELECT a, b FROM d UNION ALL SELECT c.a, d.b FROM c JOIN d ON c.b = d.a) SELECT DISTINCT a AS rubric, b AS needs FROM c")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_size").cast("long").alias("r"))
+    asked = lines.where(F.col("l_orderkey") % 40 == F.col("r")).alias("a").join(lines.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") - 1))
+    links = asked.where("a.r <> b.r").select(F.col("a.r").alias("a"), F.col("b.r").alias("b"))
+    found = graph.reachable(links, links.select(F.col("a").alias("start")))
+    return found.where("steps > 0").select(F.col("start").alias("rubric"), F.col("node").alias("needs"))
 
 
 @query("error_metrics_mae", """SELECT event_type, CAST(round_even(avg(abs(value - 50)) * 1000, 0) AS BIGINT) AS mae, count(*) FILTER (abs(value - 50) <= 2) AS within_2 FROM events GROUP BY event_type""")
