@@ -55,6 +55,18 @@ def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), row_key(docs.columns).alias("row_id"), *columns)
 
 
+#: Numbers that one row is exploded to at a time.
+WIDE = 1 << 15
+
+
+def numbered(rows: DataFrame, times: str, column: str) -> DataFrame:
+    """Each row `times` times, numbered from 1 on in `column`, in two steps: no array has more than WIDE numbers, or a WIDEth of the times."""
+    block, n = fresh(rows, "_block"), F.col(times).cast("long")
+    rows = rows.where(n > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / WIDE))))
+    first = F.col(block) * WIDE + 1
+    return rows.withColumn(column, F.explode(F.sequence(first, F.least(n, first + (WIDE - 1))))).drop(block)
+
+
 #: Slots of a filter of keys; a fixed size, so it may be broadcast whatever the number of keys.
 FILTER = 1 << 22
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import materialize, whole_rows
+from chronoweave.llm.common import materialize, numbered, whole_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, *, seed: int = 17, chunk: int = 8192, fan: int = 64, cy
     # the id travels as text: pandas would turn a nullable long into a double
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", word_count().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"), *carry)
     # rows that are equal here may be exchanged for each other: numbered, they can be dealt out singly, however many
-    slim = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
+    slim = numbered(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("_times")), "_times", "_copy").drop("_times")
     slim = materialize(slim, "mix-sizes")
     by_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, most)
     chunks = slim.groupBy("source").agg(F.count(F.lit(1)).alias("_docs")).select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("_docs") / chunk)).alias("_chunks"))
@@ -138,6 +138,6 @@ def repeated(docs: DataFrame, **params) -> DataFrame:
     same rows come out whichever of them the copies were given to.
     """
     rows = whole_rows(docs, "doc_id", "text", "source")
-    copies = mix(rows, carry=("row_id",), **params).groupBy("row_id").agg(F.sum("copies").cast("int").alias("times")).where("times > 0")
+    copies = mix(rows, carry=("row_id",), **params).groupBy("row_id").agg(F.sum("copies").alias("times")).where("times > 0")
     once = rows.select("row_id", "row").dropDuplicates(["row_id"])
-    return once.join(copies, "row_id").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    return numbered(once.join(copies, "row_id").select("row", "times"), "times", "copy").select("row.*")
