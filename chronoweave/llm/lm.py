@@ -60,7 +60,7 @@ SHARE = 16
 #: Words between two online steps of a text: the first, and the most.
 STEP, MOST_STEP = 16, 128
 #: Bytes of text in a block, and of a group of texts that are scored side by side.
-BLOCK, SCORED = 9 << 20, 1 << 19
+BLOCK, SCORED = 12 << 20, 1 << 19
 END, SPACE = 10, 32
 U = np.uint64
 
@@ -397,6 +397,17 @@ def naming(again: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return np.where(again > 0, 1 + np.minimum(254, np.ceil(bits * NAMED - 1e-9)), 0).astype(np.uint8)
 
 
+def followers(pair: np.ndarray, count: np.ndarray, least: int) -> np.ndarray:
+    """`listing` of each key's pair and `naming` of its follower (2, keys), where one counts as seen from `least` times on; a part of the keys at a time."""
+    again = np.where(count >= least, count, 0)
+    listed, out = np.bincount(pair, again), np.empty((2, len(pair)), np.uint8)
+    state = listing(listed, np.bincount(pair, count))
+    for i in range(0, len(pair), 1 << 17):
+        part = slice(i, i + (1 << 17))
+        out[0, part], out[1, part] = state[pair[part]], naming(again[part], listed[pair[part]])
+    return out
+
+
 def ranges_for(total: int) -> int:
     """Ranges of keys of each kind of question, a power of two that grows with the corpus."""
     return max(LEAST_RANGES, 1 << max(0, -(-total // RANGE) - 1).bit_length())
@@ -449,8 +460,9 @@ def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
         at = np.cumsum([0, *map(len, keys)])
         keys = np.concatenate(keys)
         _, place, which = distinct(W.mix(keys))
-        count = np.bincount(which, np.concatenate([grown(x.as_py(), np.uint64) for x in group["counts"]]).astype(np.float64), len(place))
         key, blocks, extra = keys[place], group["block"].to_pylist(), []
+        del keys
+        count = np.bincount(which, np.concatenate([grown(x.as_py(), np.uint64).astype(np.float64) for x in group["counts"]]), len(place))
         if kind < K:
             symbols = (key & U(0xFFFF)).astype(np.int64)
             owner, node, bit = decisions(symbols, shared.value)
@@ -463,12 +475,10 @@ def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
             data = [shrunk(count.astype(np.uint64)[w]) for w in np.split(which, at[1:-1])]
             blocks, extra = [*blocks, -1], [shrunk(np.array([count.sum(), np.count_nonzero(count)]).astype(np.uint64))]
         else:
-            _, _, pair = distinct(W.mix(key >> U(TAIL_BITS)))
-            answer = {}
-            for least in (ONCE, TWICE):
-                again = np.where(count >= least, count, 0)
-                listed = np.bincount(pair, again)
-                answer[least] = np.stack([listing(listed, np.bincount(pair, count))[pair], naming(again, listed[pair])])
+            del place
+            pair = distinct(W.mix(key >> U(TAIL_BITS)))[2]
+            del key
+            answer = {least: followers(pair, count, least) for least in {TWICE if block % 4 == TRAINING else ONCE for block in blocks}}
             data = [shrunk(answer[TWICE if block % 4 == TRAINING else ONCE][:, w].ravel()) for block, w in zip(blocks, np.split(which, at[1:-1]), strict=True)]
         return pa.table([pa.array(blocks, pa.int64()), pa.array([group["part"][0].as_py()] * len(blocks), pa.int32()), pa.array([*data, *extra], pa.binary())], names=["block", "part", "data"])
 
