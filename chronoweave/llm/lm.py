@@ -60,7 +60,7 @@ SHARE = 16
 #: Words between two online steps of a text: the first, and the most.
 STEP, MOST_STEP = 16, 128
 #: Bytes of text in a block, and of a group of texts that are scored side by side.
-BLOCK, SCORED = 12 << 20, 1 << 19
+BLOCK, SCORED = 8 << 20, 1 << 19
 END, SPACE = 10, 32
 U = np.uint64
 
@@ -285,8 +285,8 @@ def pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, ranges: int) -> list[np.ndarray]:
-    """Hashes of the predictors' contexts at each byte, in the high bits; nothing before a word's start is seen."""
+def contexts(data: np.ndarray, ends: np.ndarray, ranges: int):
+    """Hashes of each predictor's contexts at each byte, in the high bits, one predictor after another; nothing before a word's start is seen."""
     low = U(64 - CONTEXT_BITS - (ranges.bit_length() - 1))
     n, size = len(data), np.diff(ends)
     heads = ends[:-1][size > 0]
@@ -296,20 +296,24 @@ def contexts(data: np.ndarray, ends: np.ndarray, ranges: int) -> list[np.ndarray
     for j in range(8):
         at = heads[size[size > 0] > j] + j
         window[at] &= U(((1 << 64) - 1) ^ ((1 << 8 * (8 - j)) - 1))
-    out = []
+    del padded
     for k in REACH:
         if k:
-            x = ((window >> U(8 * (8 - k))) + U(k)) * U(W.BASE)
+            x = window >> U(8 * (8 - k))
+            x += U(k)
+            x *= U(W.BASE)
             x ^= x >> U(29)
             x *= U(0xBF58476D1CE4E5B9)
         else:
             s = W.prefix_sums(data)
-            start = np.repeat(ends[:-1], size)
-            x = (s[:-1] - s[start]) * W.powers(W.INVERSE, n + 1)[start]
+            x = s[:-1] - np.repeat(s[ends[:-1]], size)
+            del s
+            x *= np.repeat(W.powers(W.INVERSE, n + 1)[ends[:-1]], size)
             x ^= x >> U(31)
             x *= U(0x94D049BB133111EB)
-        out.append(x >> low << low)
-    return out
+        x >>= low
+        x <<= low
+        yield x
 
 
 def decisions(symbols: np.ndarray, book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,6 +331,7 @@ class Cases:
         key = context | symbols.astype(np.uint64)
         _, place, which = distinct(W.mix(key))
         key = key[place]
+        del place
         order = np.argsort(key)
         rank = np.empty(len(key), np.int64)
         rank[order] = np.arange(len(key))
@@ -425,7 +430,7 @@ def asked(blocks: DataFrame, ranges: int) -> DataFrame:
                 hashes = contexts(block.spelling, block.ends, ranges)
                 for kind in (*range(K), VOCABULARY, LONG):
                     if kind < K:
-                        cases = Cases(hashes[kind], symbols)
+                        cases = Cases(next(hashes), symbols)
                         key, count = cases.key, np.bincount(cases.which, times, len(cases.key))
                         cut = np.searchsorted(key, edges)
                     elif kind == VOCABULARY:
@@ -501,13 +506,13 @@ class Texts:
 
     def __init__(self, row: dict, found: list[list[bytes]], book, ranges: int):
         self.block = block = Block(row)
-        symbols, context = pairs(block.spelling, block.ends), contexts(block.spelling, block.ends, ranges)
+        symbols = pairs(block.spelling, block.ends)
         n = book[0][symbols]
         self.bit = stretches(book[2], book[3][symbols], n)
         self.start = np.concatenate([[0], np.cumsum(n)])[block.ends]  # of each word's decisions
         self.state = np.empty((K, len(self.bit)), np.uint8)
-        for k in range(K):
-            cases = Cases(context[k], symbols)
+        for k, context in enumerate(contexts(block.spelling, block.ends, ranges)):
+            cases = Cases(context, symbols)
             size = book[0][(cases.key & U(0xFFFF)).astype(np.int64)]
             state = np.concatenate([np.zeros(0, np.uint8), *(grown(x, np.uint8) for x in found[k])])
             self.state[k] = stretches(state, (np.cumsum(size) - size)[cases.which], n)
