@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from chronoweave.llm import training_order
+from chronoweave.llm.common import materialize
 from tests.llm.test_operators import brute_components, brute_leaks, brute_targets, words
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,16 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows_and_on_none(spark, edge_docs, empty_docs):
+    """Nulls in every column, empty and long texts, repeated rows and names that stages use; and an empty table."""
+    for docs, some in ((edge_docs, True), (empty_docs, False)):
+        columns = docs.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = materialize(stage(spark, docs, SF), f"odd-{name}")
+            assert k == 4 or docs.columns == columns, name
+            assert (docs.count() > 0) == some, name
+        if some:
+            ids = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert None in ids and {100, 101, 106, 107} <= ids and 104 not in ids or 103 not in ids
