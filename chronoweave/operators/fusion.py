@@ -14,9 +14,10 @@ def best_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def first_wins(tables: list[DataFrame], keys: list[str]) -> DataFrame:
-    """The union of tables; of rows with one key that of the earliest table stays, within a table any one."""
+    """The union of tables; of rows with one key that of the earliest table stays, within a table the first by all other columns, nulls first."""
     tagged = [t.withColumn("_from", F.lit(i)) for i, t in enumerate(tables)]
-    return best_per_key(reduce(DataFrame.unionByName, tagged), keys, ["_from"]).drop("_from")
+    rest = [F.col(f"`{c}`") for c in tables[0].columns if c not in keys]
+    return best_per_key(reduce(DataFrame.unionByName, tagged), keys, ["_from", *rest]).drop("_from")
 
 
 def overridden(base: DataFrame, newer: DataFrame, key: str, usable: Column, columns: list[str]) -> DataFrame:

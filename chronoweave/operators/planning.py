@@ -70,7 +70,7 @@ def followed_by(runs: DataFrame, first: str, then: str, guard: int) -> DataFrame
 
 def profile_windows(runs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Windows of every profile (profile, stage, mode, before_s, after_s): around a run, before it, after it, or its tail."""
-    rows = runs.join(F.broadcast(profiles), "stage")  # profiles are a configuration of a few rows
+    rows = runs.join(profiles, "stage")  # Spark sends profiles out where they are as few as they should be
     mode = F.col("mode")
     low = F.when(mode == "after", F.col("last_s")).when(mode == "tail", F.greatest("first_s", F.col("last_s") - F.col("before_s"))).otherwise(F.greatest(F.lit(0), F.col("first_s") - F.col("before_s")))
     high = F.when(mode == "before", F.col("first_s")).otherwise(F.col("last_s") + F.when(mode == "tail", 0).otherwise(F.col("after_s")))
