@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import chronoweave.plans.evidence_queries  # noqa: F401
+import chronoweave.plans.source_queries  # noqa: F401
 import chronoweave.plans.structure_queries  # noqa: F401
 import chronoweave.plans.window_queries  # noqa: F401
 from chronoweave.plans import registry
