@@ -76,9 +76,10 @@ def frequencies(docs: DataFrame, labels: DataFrame, label: str) -> np.ndarray:
                 seen[k, :-1] += np.bincount(bucket[y[row] == k], minlength=1 << BITS)
         yield packed_rows([(0, TaskContext.get().partitionId(), seen.ravel())])
 
-    tasks = 48**4  # more than any join is split into; asking for their number would run the join once more
+    tasks = max(48**2, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # asking for their number would run the join once more
     got = gathered(tree_sum(rows.mapInArrow(run, "part int, task int, data binary"), "int64", tasks=tasks), "int64")
-    return got.reshape(2, -1) if len(got) else np.zeros((2, (1 << BITS) + 1), np.int64)
+    # a join that Spark splits into more tasks than that leaves some sums, a part of the tasks each
+    return got.reshape(-1, 2, (1 << BITS) + 1).sum(0)
 
 
 def sparse_rows(docs: DataFrame, use: np.ndarray) -> DataFrame:

@@ -27,7 +27,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that this public vocabulary splits text with before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Shards that a range partition holds at most, and files that tokens wait in at most.
-SHARDS_A_PARTITION, MOST_BUCKETS = 16, 50_000
+SHARDS_A_PARTITION, MOST_BUCKETS = 32, 50_000
 U = np.uint64
 
 
@@ -163,7 +163,7 @@ def slots(made: DataFrame, seed: int) -> tuple[DataFrame, int]:
 class Order:
     """The training order of documents: their sequences, kept where they were made, and a slot for each."""
 
-    def __init__(self, docs: DataFrame, *, seed: int = 29, tokenizer: str = TOKENIZER, seq_len: int = 512, shard_slots: int = 8192):
+    def __init__(self, docs: DataFrame, *, seed: int = 29, tokenizer: str = TOKENIZER, seq_len: int = 512, shard_slots: int = 4096):
         self.spark, self.seq_len, self.shard_slots = docs.sparkSession, seq_len, shard_slots
         ranks = read_ranks(tokenizer)
         self.end, self.kind = len(ranks), id_kind(ranks)
@@ -231,7 +231,7 @@ def shards_there(spark: SparkSession, path: str, first: int, last: int) -> int:
     return spark.read.parquet(path).where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard").distinct().count()
 
 
-def training_order(docs: DataFrame, *, seed: int = 29, tokenizer: str = TOKENIZER, seq_len: int = 512, shard_slots: int = 8192) -> DataFrame:
+def training_order(docs: DataFrame, *, seed: int = 29, tokenizer: str = TOKENIZER, seq_len: int = 512, shard_slots: int = 4096) -> DataFrame:
     """doc_id, piece, n_tokens, shard, slot, at, tokens of every sequence of documents, in training order.
 
     Repeated rows are documents each, a null doc_id stays null, null and empty texts are an end of text alone, an empty table
