@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -86,6 +87,14 @@ def key_filter(keys: DataFrame, column: str) -> np.ndarray:
     return got > 0 if len(got) else np.zeros(FILTER, bool)
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed but keeps to the machine: workers live on from stage to stage, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim:
+        trim(0)
+
+
 def slot(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.int64).view(np.uint64) >> np.uint64(20)).astype(np.int64) & (FILTER - 1)
 

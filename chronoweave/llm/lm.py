@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import words as W
-from chronoweave.llm.common import buffers, fold, gathered, materialize, packed_rows, pieces, tree_sum
+from chronoweave.llm.common import buffers, fold, gathered, give_back, materialize, packed_rows, pieces, tree_sum
 
 HELD_OUT, FOLDS = 2, 7
 #: Mark of the training documents that set weights: a part of a fold, one document of 28.
@@ -229,6 +229,8 @@ def packed(docs: DataFrame) -> DataFrame:
         for of in filling:
             if filling[of][0]:
                 yield done(4 * block + of, *filling[of])
+        filling.clear()
+        give_back()
 
     mark = F.when((fold("doc_id", FOLDS) == WEIGHTS_FOLD) & (F.floor(fold("doc_id", FOLDS * WEIGHTS_PART) / FOLDS) == 0), WEIGHTS).otherwise(fold("doc_id", FOLDS))
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), mark.cast("int").alias("fold"), "text")
@@ -446,6 +448,8 @@ def asked(blocks: DataFrame, ranges: int) -> DataFrame:
                     full = [r for r in range(ranges) if cut[r] < cut[r + 1]]
                     parts = [[shrunk(np.diff(key[cut[r] : cut[r + 1]], prepend=U(0))) for r in full], [shrunk(count[cut[r] : cut[r + 1]]) for r in full]]
                     yield pa.RecordBatch.from_arrays([pa.array([kind * ranges + r for r in full], pa.int32()), pa.array([block.no] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["part", "block", "keys", "counts"])
+                del block, symbols, times, hashes, cases, after, use, order, key, count, parts
+                give_back()
 
     return blocks.drop("hist").mapInArrow(run, "part int, block long, keys binary, counts binary")
 
@@ -460,6 +464,7 @@ def tables(blocks: DataFrame, book, ranges: int) -> DataFrame:
     shared = blocks.sparkSession.sparkContext.broadcast(book)
 
     def run(group: pa.Table) -> pa.Table:
+        give_back()  # what the group before left
         kind = group["part"][0].as_py() // ranges
         keys = [np.cumsum(grown(x.as_py(), np.uint64), dtype=np.uint64) for x in group["keys"]]
         at = np.cumsum([0, *map(len, keys)])
@@ -700,6 +705,7 @@ def summed(blocks: DataFrame, found: DataFrame, book, ranges: int, one, dtype: s
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
+        give_back()
         book, more = shared.value
         out = [one(Texts(row, answers(right, ranges), book, ranges), more) for row in left.to_pylist()]
         return pa.Table.from_batches([packed_rows([(0, TaskContext.get().partitionId(), x)]) for x in out], pa.schema([("part", pa.int32()), ("task", pa.int32()), ("data", pa.binary())]))
@@ -780,6 +786,7 @@ def score(docs: DataFrame, *, rate: float = 0.02) -> DataFrame:
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         book, odds, weights, refine = shared.value
         out = []
         for row in left.to_pylist():
