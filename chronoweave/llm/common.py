@@ -95,6 +95,17 @@ def give_back() -> None:
         trim(0)
 
 
+def trimmed(run):
+    """`run` over batches, as it is, but for the memory that earlier tasks and it have freed, which goes back before and after."""
+
+    def inner(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def slot(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.int64).view(np.uint64) >> np.uint64(20)).astype(np.int64) & (FILTER - 1)
 

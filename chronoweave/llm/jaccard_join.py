@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm import words as W
-from chronoweave.llm.common import buffers, gathered, key_filter, materialize, packed_rows, pieces, slot, tree_sum, whole_rows
+from chronoweave.llm.common import buffers, gathered, key_filter, materialize, packed_rows, pieces, slot, tree_sum, trimmed, whole_rows
 from chronoweave.llm.components import components
 
 WIDTH = 5
@@ -170,7 +170,7 @@ def members(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, np
                 p = packed_rows([(part, TaskContext.get().partitionId(), x)])
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in blank.values()), *p.columns], [*names, "part", "task", "data"])
 
-    made = materialize(docs.select("doc_id", "text", *carry).mapInArrow(run, schema), "shingles")
+    made = materialize(docs.select("doc_id", "text", *carry).mapInArrow(trimmed(run), schema), "shingles")
     parts = made.where("part is not null").select("part", "task", "data")
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     sketch = gathered(tree_sum(parts, "int64", tasks=tasks), "int64")
@@ -203,7 +203,7 @@ def index(docs: DataFrame, sketch: np.ndarray, modes: dict[int, int]) -> DataFra
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(np.array(cid, np.int64), size)), pa.array(np.concatenate(often) > hot)], ["key", "cid", "hot"])
 
-    return docs.select("text").mapInArrow(run, "key long, cid long, hot boolean")
+    return docs.select("text").mapInArrow(trimmed(run), "key long, cid long, hot boolean")
 
 
 def crowded(keys: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def crowded(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid), pa.array(hot)], ["key", "cid", "hot"])
 
     spread = F.when(F.col("hot"), F.pmod("cid", F.lit(64))).otherwise(F.lit(0)).cast("int")
-    return keys.repartition("key", spread).sortWithinPartitions("key", "cid").mapInArrow(run, "key long, cid long, hot boolean")
+    return keys.repartition("key", spread).sortWithinPartitions("key", "cid").mapInArrow(trimmed(run), "key long, cid long, hot boolean")
 
 
 def words64(column: pa.Array) -> np.ndarray:
@@ -344,7 +344,7 @@ def cell_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
         if held:
             yield from compare(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def joining(pairs: np.ndarray, rows: int) -> np.ndarray:
@@ -380,7 +380,7 @@ def whole_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], ["cid", "members"])
 
-    sets = docs.select("text").mapInArrow(run, "cid long, members binary")
+    sets = docs.select("text").mapInArrow(trimmed(run), "cid long, members binary")
     return materialize(sets.join(wanted, "cid", "left_semi"), "whole-sets").dropDuplicates(["cid"])  # equal sets can come from several tasks
 
 
@@ -409,7 +409,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind", "a")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, modes: dict[int, int] | None = None) -> DataFrame:

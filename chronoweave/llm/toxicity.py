@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm import words as W
-from chronoweave.llm.common import buffers, gathered, packed_rows, pieces, tree_sum
+from chronoweave.llm.common import buffers, gathered, packed_rows, pieces, tree_sum, trimmed
 from chronoweave.llm.labelled import held_out, prior, sample, seen_labels
 
 GRAMS = (3, 4, 5, 6)
@@ -77,7 +77,7 @@ def frequencies(docs: DataFrame, labels: DataFrame, label: str) -> np.ndarray:
         yield packed_rows([(0, TaskContext.get().partitionId(), seen.ravel())])
 
     tasks = max(48**2, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # asking for their number would run the join once more
-    got = gathered(tree_sum(rows.mapInArrow(run, "part int, task int, data binary"), "int64", tasks=tasks), "int64")
+    got = gathered(tree_sum(rows.mapInArrow(trimmed(run), "part int, task int, data binary"), "int64", tasks=tasks), "int64")
     # a join that Spark splits into more tasks than that leaves some sums, a part of the tasks each
     return got.reshape(-1, 2, (1 << BITS) + 1).sum(0)
 
@@ -97,7 +97,7 @@ def sparse_rows(docs: DataFrame, use: np.ndarray) -> DataFrame:
             cut = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([piece["label"], pa.array(total), pa.array([ids[c].tobytes() for c in cut], pa.binary()), pa.array([count[c].tobytes() for c in cut], pa.binary())], ["label", "total", "ids", "counts"])
 
-    return docs.mapInArrow(run, "label int, total long, ids binary, counts binary")
+    return docs.mapInArrow(trimmed(run), "label int, total long, ids binary, counts binary")
 
 
 def informative(seen: np.ndarray, least: float) -> np.ndarray:
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
             mean = np.bincount(row, table[bucket], minlength=n) / np.maximum(1, np.bincount(row, minlength=n))
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(1 / (1 + np.exp(-np.clip(mean + bias, -60, 60))), pa.float64())], [*names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **params) -> DataFrame:
@@ -209,4 +209,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **
             mean = np.bincount(row, table[bucket], minlength=n) / np.maximum(1, np.bincount(row, minlength=n))
             yield piece.filter(pa.array(mean + bias < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

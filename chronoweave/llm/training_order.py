@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import materialize, pieces, shared_dir
+from chronoweave.llm.common import materialize, pieces, shared_dir, trimmed
 from chronoweave.llm.words import mix
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -111,7 +111,7 @@ def sequences(docs: DataFrame, *, tokenizer: str = TOKENIZER, seq_len: int = 512
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"origin int, place long, a long, b long, doc_id {doc_id}, piece int, n_tokens int, ids binary")
+    return rows.mapInArrow(trimmed(run), f"origin int, place long, a long, b long, doc_id {doc_id}, piece int, n_tokens int, ids binary")
 
 
 def kept_by_origin(made: DataFrame) -> tuple[DataFrame, str]:
@@ -191,7 +191,7 @@ class Order:
         fields = f"doc_id {self.doc_id}, piece int, n_tokens int, shard int, slot long, ids binary"
         wide = max(1, min(SHARDS_A_PARTITION, (last - first) // int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
         partitions = max(1, -(-(last - first) // wide))
-        placed = met.mapInArrow(squeezed, fields).repartitionById(partitions, F.floor((F.col("shard") - first) / wide).cast("int")).sortWithinPartitions("slot")
+        placed = met.mapInArrow(trimmed(squeezed), fields).repartitionById(partitions, F.floor((F.col("shard") - first) / wide).cast("int")).sortWithinPartitions("slot")
         end, kind, seq_len, stride, shard_slots = self.end, self.kind, self.seq_len, self.stride, self.shard_slots
 
         def fill(batches):
@@ -205,7 +205,7 @@ class Order:
                 slot = b["slot"].to_numpy()
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["piece"], b["n_tokens"], b["shard"], b["slot"], pa.array(slot % shard_slots * stride), pa.array(out, pa.binary())], ["doc_id", "piece", "n_tokens", "shard", "slot", "at", "tokens"])
 
-        return placed.mapInArrow(fill, f"doc_id {self.doc_id}, piece int, n_tokens int, shard int, slot long, at long, tokens binary")
+        return placed.mapInArrow(trimmed(fill), f"doc_id {self.doc_id}, piece int, n_tokens int, shard int, slot long, at long, tokens binary")
 
     def write(self, path: str, stripes: int = 1) -> None:
         """Write the shards under `path`, a stripe of range partitions after another; each stripe is there whole or not at all.
@@ -295,7 +295,7 @@ def append_shards(ordered: DataFrame, path: str) -> None:
         if held:
             yield done()
 
-    ordered.select("shard", "slot", "tokens", "doc_id", "piece", "n_tokens").mapInArrow(run, fields).write.mode("append").option("compression", "zstd").parquet(path)
+    ordered.select("shard", "slot", "tokens", "doc_id", "piece", "n_tokens").mapInArrow(trimmed(run), fields).write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def cut_records(batches, start: int = 0):
@@ -317,7 +317,7 @@ def read_shards(spark: SparkSession, path: str, *, start: int = 0) -> DataFrame:
         for _, first, at, tokens in cut_records(batches, start):
             yield pa.RecordBatch.from_arrays([pa.array([first + k for k in at], pa.int64()), pa.array(tokens, pa.binary())], ["slot", "tokens"])
 
-    return shards.where(F.col("first_slot") > start - most).select("first_slot", "n_slots", "stride", "crc32", "payload").mapInArrow(cut, "slot long, tokens binary")
+    return shards.where(F.col("first_slot") > start - most).select("first_slot", "n_slots", "stride", "crc32", "payload").mapInArrow(trimmed(cut), "slot long, tokens binary")
 
 
 def read_records(spark: SparkSession, path: str, doc_id: str = "bigint") -> DataFrame:
@@ -335,4 +335,4 @@ def read_records(spark: SparkSession, path: str, doc_id: str = "bigint") -> Data
             inner = [one[c].values.slice(one[c].offsets[0].as_py(), n) for c in ("doc_ids", "pieces", "sizes")]
             yield pa.RecordBatch.from_arrays([*inner, pa.array([one["shard"][0].as_py()] * n, pa.int32()), pa.array(first + place), pa.array(place * stride), pa.array(tokens, pa.binary())], ["doc_id", "piece", "n_tokens", "shard", "slot", "at", "tokens"])
 
-    return spark.read.parquet(path).mapInArrow(cut, fields)
+    return spark.read.parquet(path).mapInArrow(trimmed(cut), fields)
