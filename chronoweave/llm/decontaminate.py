@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 The benchmark is the stated query set: it is cut into blocks of bounded size, and each block goes to every task. A
-task takes the words of a few MB of documents as a shard and sorts the shard's suffixes, but for those whose first
+task takes the words of a MB of documents as a shard and sorts the shard's suffixes, but for those whose first
 three words begin no test suffix. Every test suffix is binary-searched in this suffix array; neighbouring finds join to
 the longest verbatim matches with their places, and these say which words are hit, by which items, and which documents
 go.
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm import words as W
-from chronoweave.llm.common import buffers, fresh, materialize, pieces
+from chronoweave.llm.common import buffers, fresh, materialize, pieces, trimmed
 
 #: Bits of the table that says quickly that no test suffix begins so, and the words that it looks at.
 FILTER_BITS, PREFIX = 22, 3
+#: Bytes of text whose suffixes are sorted at a time.
+SLICE = 1 << 20
 #: Matches of a window that are joined to longest ones at a time, or those of one document.
 JOINED = 1 << 20
 LEAK = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
@@ -138,7 +140,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes
     def scan(shared, last):
         def run(batches):
             block = shared.value
-            for piece in pieces(batches):
+            for piece in pieces(batches, most=SLICE):
                 h, first = word_hashes(piece["text"])
                 edge = np.zeros(len(h) + 1, np.int32)
                 owned, longest = [set() for _ in range(piece.num_rows)], np.zeros(piece.num_rows, np.int64)
@@ -162,7 +164,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes
                     found = pa.StructArray.from_arrays([packed_spans(hit, first), pa.array([sorted(x) for x in owned], pa.list_(pa.string())), pa.array(longest)], ["spans", "items", "longest"])
                     yield pa.RecordBatch.from_arrays([*(piece[c] for c in columns), found], [*columns, carried])
 
-        return run
+        return trimmed(run)
 
     rows = docs.withColumn(carried, F.lit(None).cast(before))
     held, done = None, 0
@@ -197,11 +199,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10,
     def scan(shared):
         def run(batches):
             block = shared.value
-            for piece in pieces(batches):
+            for piece in pieces(batches, most=SLICE):
                 for d, item, p, q, size in block.longest(*word_hashes(piece["text"])):
                     yield pa.RecordBatch.from_arrays([piece["doc_id"].take(pa.array(d)), pa.array([block.items[i] for i in item], pa.string()), pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
-        return run
+        return trimmed(run)
 
     found = None
     for block in blocks(benchmark, window, block_bytes):
