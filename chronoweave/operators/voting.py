@@ -13,10 +13,26 @@ def moving_median(rows: DataFrame, value: str, order: list[str], width: int = 5)
     return rows.withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
 
 
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """entity and a column for each share: the percentile, between two values rounded once, as lower * (1 - part) + upper * part in one fused step.
+
+    That is DuckDB's `quantile_cont`; Spark's own rounds both products, and what is computed on may fall on another side of a tie.
+    """
+    w = Window.partitionBy("entity")
+    ranked = rows.select("entity", F.col(value).cast("double").alias("_v"))
+    ranked = ranked.withColumns({"_i": F.row_number().over(w.orderBy(F.col("_v").asc_nulls_last())) - 1, "_last": F.count("_v").over(w) - 1})
+    at = {name: F.col("_last") * F.lit(share) for name, share in shares.items()}
+    ends = [F.max(F.when(F.col("_i") == edge(x), F.col("_v"))).alias(f"{name}_{k}") for name, x in at.items() for k, edge in (("lower", F.floor), ("upper", F.ceil))]
+    found = ranked.groupBy("entity").agg(F.max("_last").alias("_last"), *ends)
+    part = {name: x - F.floor(x) for name, x in at.items()}
+    fused = {name: F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col(f"{name}_lower"), 1 - d, F.col(f"{name}_upper") * d).cast("double") for name, d in part.items()}
+    return found.select("entity", *(F.when(F.col("_last") >= 0, x).alias(name) for name, x in fused.items()))
+
+
 def percentile_normalized(rows: DataFrame, value: str, low: float = 0.2, high: float = 0.9) -> DataFrame:
     """The value's place between two percentiles of its entity, cut to 0..1; one half where they are equal."""
-    w = Window.partitionBy("entity")
-    rows = rows.withColumns({"_l": F.percentile(value, F.lit(low)).over(w), "_h": F.percentile(value, F.lit(high)).over(w)})
+    ends = percentiles(rows, value, {"_l": low, "_h": high})
+    rows = rows.alias("r").join(ends.alias("p"), F.col("r.entity").eqNullSafe(F.col("p.entity"))).select("r.*", "_l", "_h")
     place = F.when(F.col("_h") - F.col("_l") <= 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - F.col("_l")) / (F.col("_h") - F.col("_l")))))
     return rows.withColumn("normalized", place).drop("_l", "_h")
 
