@@ -181,9 +181,18 @@ def chain(rows: DataFrame) -> DataFrame:
     return rows.groupBy("entity", "episode").agg(F.count(F.lit(1)).alias("relocations"), F.count_if(~good).alias("violations")).withColumn("decision", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
 
 
-def edge_touches(rows: DataFrame, window: int, tolerance: int) -> DataFrame:
-    """Rows that touch a border between windows, by border and action; a border with rows of one action on both sides is bridged."""
-    sides = rows.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(F.col("first_s") / window), F.floor((F.col("first_s") + tolerance) / window), F.floor(F.col("last_s") / window) + 1, F.floor((F.col("last_s") - tolerance) / window) + 1)))).withColumn("_t", F.col("_b") * window)
+def edge_touches(rows: DataFrame, window: int, tolerance: int, last: int | None = None) -> DataFrame:
+    """Rows that touch a border between windows, by border and action; a border with rows of one action on both sides is bridged.
+
+    Borders are the multiples of `window` above 0, up to `last` if it is given; a row touches those at most `tolerance` from its
+    start or its end, both bounds included.
+    """
+    near = lambda x: (F.ceil((F.col(x) - tolerance) / window), F.floor((F.col(x) + tolerance) / window))
+    borders = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    touched = F.array_distinct(F.concat(*(F.coalesce(borders(*near(x)), F.array().cast("array<bigint>")) for x in ("first_s", "last_s"))))
+    sides = rows.withColumn("_b", F.explode(touched)).withColumn("_t", F.col("_b") * window)
+    if last is not None:
+        sides = sides.where(F.col("_t") <= last)
     left = F.abs(F.col("last_s") - F.col("_t")) <= tolerance
     right = F.abs(F.col("first_s") - F.col("_t")) <= tolerance
     sides = sides.where((F.col("_t") > 0) & (left | right))
