@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from chronoweave.operators.scan import Machine
 from chronoweave.session import shared_dir
 
+#: When first_s is 0, in seconds since 1970: watermarks begin there, and a row at or before them is late.
+ORIGIN_S = 1704067200
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,17 +38,17 @@ class InOrder(StatefulProcessor):
         new = [(int(r.first_s), int(r.event_id), -1 if pd.isna(r.symbol) else int(r.symbol)) for frame in rows for r in frame.itertuples(index=False)]
         if new:
             self.waiting.appendList(new)
-            self.handle.registerTimer(min(new)[0] * 1000)
+            self.handle.registerTimer((min(new)[0] + ORIGIN_S) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
         rows = sorted(self.waiting.get())
-        done = [r for r in rows if r[0] * 1000 <= passed]
+        done = [r for r in rows if (r[0] + ORIGIN_S) * 1000 <= passed]
         rest = rows[len(done) :]
         if rest:
             self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] * 1000)
+            self.handle.registerTimer((rest[0][0] + ORIGIN_S) * 1000)
         else:
             self.waiting.clear()
         state = self.state.get()[0] if self.state.exists() else self.machine.start
@@ -79,22 +81,32 @@ def scanned(events: DataFrame, machine: Machine, symbol: Column, late_s: int) ->
     time can't be placed and are left out; a null symbol changes nothing.
     """
     entity = events.schema["entity"].dataType.simpleString()
-    rows = events.where("first_s is not null and event_id is not null").select("entity", "event_id", "first_s", symbol.cast("int").alias("symbol"), F.timestamp_seconds("first_s").alias("at"))
+    rows = events.where("first_s is not null and event_id is not null").select("entity", "event_id", "first_s", symbol.cast("int").alias("symbol"), F.timestamp_seconds(F.col("first_s") + ORIGIN_S).alias("at"))
     keyed = rows.withWatermark("at", f"{late_s} seconds").groupBy("entity")
     out = f"entity {entity}, event_id long, first_s long, symbol int, before int, after int"
     return keyed.transformWithStateInPandas(statefulProcessor=InOrder(machine), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
-def arrivals(rows: DataFrame, arrival: Column, path: str, files: int, end_s: int) -> None:
-    """Write timeline rows as a folder of files in the order of `arrival`, and an end mark at `end_s` that lets the watermark pass all of them."""
+def stretches(rows: DataFrame, arrival: Column, n: int) -> list[DataFrame]:
+    """Timeline rows parted in the order of `arrival`; those without one never arrive."""
     low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
-    if low is not None:
-        wide = (high - low) // files + 1
-        for k in range(files):
-            rows.where((arrival >= low + k * wide) & (arrival < low + (k + 1) * wide)).write.mode("append").parquet(path)
+    if low is None:
+        return []
+    wide = (high - low) // n + 1
+    return [rows.where((arrival >= low + k * wide) & (arrival < low + (k + 1) * wide)) for k in range(n)]
+
+
+def end_mark(rows: DataFrame, end_s: int) -> DataFrame:
+    """A row of no entity at `end_s` that lets the watermark pass all others."""
     mark = rows.sparkSession.createDataFrame([(end_s,)], "first_s long")
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in ("first_s", "event_id")]
-    mark.select("first_s", F.lit(-1).cast("long").alias("event_id"), *nothing).select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
+    return mark.select("first_s", F.lit(-1).cast("long").alias("event_id"), *nothing).select(*rows.columns).coalesce(1)
+
+
+def arrivals(rows: DataFrame, arrival: Column, path: str, files: int, end_s: int) -> None:
+    """Write timeline rows as a folder of files in the order of `arrival`, a stretch of it a file for each of its partitions, and an end mark at `end_s`."""
+    for part in [*stretches(rows, arrival, files), end_mark(rows, end_s)]:
+        part.write.mode("append").parquet(path)
 
 
 def run_to_end(out: DataFrame, path: str, checkpoint: str) -> None:
@@ -103,11 +115,16 @@ def run_to_end(out: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def replayed(spark: SparkSession, rows: DataFrame, machine: Machine, symbol: Column, *, arrival: Column, late_s: int, files: int = 3) -> DataFrame:
-    """`scanned` over a table that is streamed in the order of `arrival`, a file a micro-batch: what a live query would have answered."""
+    """`scanned` over a table that is streamed in the order of `arrival`, a micro-batch a stretch of it: what a live query would have answered.
+
+    Tasks write their shares of a stretch side by side, so that its files have no order: the query takes all of a stretch at once,
+    stops, and goes on from its checkpoint when the next one is there.
+    """
     folder = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     last = rows.agg(F.coalesce(F.max("first_s"), F.lit(0))).first()[0]
-    arrivals(rows, arrival, f"{folder}/in", files, last + late_s + 1)
-    live = stateful_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = scanned(live, machine, symbol, late_s)
-    run_to_end(out, f"{folder}/out", f"{folder}/checkpoint")
+    session = stateful_session(spark)
+    for part in [*stretches(rows, arrival, files), end_mark(rows, last + late_s + 1)]:
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = scanned(session.readStream.schema(rows.schema).parquet(f"{folder}/in"), machine, symbol, late_s)
+        run_to_end(out, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
