@@ -100,23 +100,18 @@ def checked_artifacts(rows: DataFrame, kind: str, body: str) -> DataFrame:
     """rows with `errors`, the codes of all rules that an artifact (JSON text) of its type breaks, in the order of CODES.
 
     What isn't JSON, has no object as its root (a leading byte-order mark is ignored) or is of no known type breaks that one rule
-    alone. All rules are expressions of one projection.
+    alone. Only the rules of a row's type are looked at, once each, and its text is parsed once.
     """
     text = F.regexp_replace(F.coalesce(body, F.lit("")), "^﻿", "")
-    rows = rows.withColumn("root", F.try_parse_json(text))
-    broken: dict[str, Column] = {
-        "JSON_PARSE_ERROR": F.col("root").isNull(),
-        "INVALID_ROOT_TYPE": F.expr("root is not null and schema_of_variant(root) not like 'OBJECT%'"),
-        "UNKNOWN_ARTIFACT_TYPE": F.expr("schema_of_variant(root) like 'OBJECT%'") & ~F.coalesce(F.col(kind).isin(*RULES), F.lit(False)),
-    }
-    fits = F.expr("schema_of_variant(root) like 'OBJECT%'")
-    for code in CODES[3:]:
-        of = [(F.col(kind) == t) & F.expr(rules[code]) for t, rules in RULES.items() if code in rules]
-        hit = of[0]
-        for more in of[1:]:
-            hit = F.coalesce(hit, F.lit(False)) | F.coalesce(more, F.lit(False))
-        broken[code] = fits & hit
-    return rows.withColumn("errors", F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in broken.items())))).drop("root")
+    # a generated column is computed once a row: as a projected one it would be put in the place of each of its uses in a filter
+    rows = rows.withColumn("root", F.explode(F.array(F.try_parse_json(text))))
+    alone = lambda code: F.array(F.lit(code))
+    found = F.when(F.col("root").isNull(), alone("JSON_PARSE_ERROR")).when(F.expr("schema_of_variant(root) not like 'OBJECT%'"), alone("INVALID_ROOT_TYPE"))
+    for t, rules in RULES.items():
+        broken = [F.when(F.coalesce(F.expr(rules[code]), F.lit(False)), F.lit(code)) for code in CODES if code in rules]
+        found = found.when(F.col(kind) == t, F.array_compact(F.array(*broken)))
+    rows = rows.withColumn("errors", F.explode(F.array(found.otherwise(alone("UNKNOWN_ARTIFACT_TYPE")))))
+    return rows.drop("root")
 
 
 def gated_write(rows: DataFrame, path: str, name: str, *, errors: str = "errors", most: float = 0.0) -> tuple[bool, dict[str, int]]:
