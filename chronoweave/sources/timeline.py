@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.session import written
+
 ACTIONS = {"click": "wiring", "view": "measurement", "purchase": "writing", "signup": "cleanup", "error": "uncertain"}
 START = "2024-01-01 00:00:00"
 
@@ -25,11 +27,14 @@ def read_documents(spark: SparkSession, path: str, schema: str | None = None) ->
 
 
 def nodes(documents: DataFrame):
-    """The objects and arrays of VARIANT documents (path, root), level by level, to whatever depth they have."""
-    level = documents.select("path", F.col("root").alias("node"))
+    """The objects and arrays of VARIANT documents (path, root), level by level, to whatever depth they have.
+
+    Each level is written, so that documents are read and parsed once and a level is one pass over the last.
+    """
+    level = written(documents.select("path", F.col("root").alias("node")), "levels")
     while not level.isEmpty():
         yield level
-        level = level.selectExpr("path", "explode(concat(coalesce(try_cast(node as array<variant>), array()), coalesce(map_values(try_cast(node as map<string, variant>)), array()))) as node").where("schema_of_variant(node) like 'OBJECT<%' or schema_of_variant(node) like 'ARRAY<%'")
+        level = written(level.selectExpr("path", "explode(concat(coalesce(try_cast(node as array<variant>), array()), coalesce(map_values(try_cast(node as map<string, variant>)), array()))) as node").where("schema_of_variant(node) like 'OBJECT<%' or schema_of_variant(node) like 'ARRAY<%'"), "levels")
 
 
 def nested_runs(documents: DataFrame) -> DataFrame:
