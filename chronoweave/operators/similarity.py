@@ -3,9 +3,11 @@
 Two vectors whose absolute differences sum to at most L differ by at most L / bands in one band of components at least,
 and any sum of a band's components with signs differs by no more than that. So each band has axes, sums with the signs of
 a Hadamard matrix, cut into cells; near vectors meet in the same or a neighbouring cell of every axis of one band. Keys
-start with two axes and take on another one wherever they would cost too many comparisons, so that small tables make few
-rows and large ones small keys. Where all axes are used up, the vectors are as good as equal or a dense cluster; there a
-few pivots tie most of them together first, and only rows that the pivots left apart meet the others.
+start with two axes and take on another one wherever more than WORTH vectors share one, so that small tables make few rows
+and large ones small keys. Which keys are parted is counted first, a round an axis, with one row a vector and band; rows of
+all cells that near vectors may be in are then made once, with their axes in 16 bytes. Where all axes are used up, the
+vectors are as good as equal or a dense cluster; there a few pivots tie most of them together first, and only rows that the
+pivots left apart meet the others.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ from pyspark.sql import functions as F
 from chronoweave.operators.graph import components
 from chronoweave.session import written
 
-#: A key takes on an axis when its comparisons are so many times its rows; pivots of a key that has no axis left.
-WORTH, PIVOTS = 24, 8
+#: A key takes on an axis when it has more vectors than this; pivots of a key that has no axis left.
+WORTH, PIVOTS = 256, 8
 #: Axes of a band and of the whole vector; cells are so many times as wide as what near vectors may differ by.
 AXES, CELL = 8, 4
+#: Keys of one axis that are parted at most, the largest first: they go to every task. Others are compared as they are.
+ROOM = 1 << 18
+#: Steps of what near vectors may differ by that an axis is rounded to, in a byte that wraps.
+STEPS = 8
 
 
 def hadamard(n: int) -> np.ndarray:
@@ -61,47 +67,98 @@ def distinct_vectors(rows: DataFrame, id: str, vector: str) -> tuple[DataFrame,
     return reps.select("rep", "v", F.size("v").alias("size")), used.select("id", "h", "g").join(reps.select("h", "g", "rep"), ["h", "g"]).select("id", "rep")
 
 
-def indexed(reps: DataFrame, limit: float, bands: int) -> DataFrame:
-    """(rep, key, axis) of each vector and band."""
-    rep = reps.schema["rep"].dataType.simpleString()
+def mixed(key: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Keys with another cell in them, as 64-bit hashes."""
+    x = (key.view(np.uint64) ^ cell.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def within(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones."""
+    if not len(known):
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
+def walked(x: np.ndarray, key: np.ndarray, parted: list[np.ndarray], probe: bool):
+    """(row, key, axes in it) of the keys that rows end in; `parted` has the keys of 2, 3 .. axes that take on another. Probes go to all cells that near vectors may be in."""
+    row, slack = np.arange(len(x)), 1 + 1e-6
+    for axis in range(x.shape[1]):
+        at = x[row, axis]
+        own = np.floor(at / CELL)
+        cells = [(row, key, own)]
+        for moved in (at - slack, at + slack) if probe else ():
+            cell = np.floor(moved / CELL)
+            other = cell != own
+            cells.append((row[other], key[other], cell[other]))
+        row, key = np.concatenate([c[0] for c in cells]), np.concatenate([mixed(c[1], c[2]) for c in cells])
+        if axis:
+            on = within(key, parted[axis - 1]) if axis <= len(parted) and axis < x.shape[1] - 1 else np.zeros(len(key), bool)
+            yield row[~on], key[~on], axis + 1
+            row, key = row[on], key[on]
+
+
+def banded(b: pa.RecordBatch, limit: float, bands: int):
+    """(places of vectors in the batch, their axes, their first keys), a row a vector and band, of the vectors of each length."""
+    lists = b["v"]
+    size, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    for n in np.unique(size):
+        row = np.flatnonzero(size == n)
+        x = axes(flat[start[row][:, None] + np.arange(n)], limit, bands)
+        yield np.repeat(row, bands), x.reshape(-1, x.shape[2]), np.tile(np.arange(bands, dtype=np.int64) + bands * int(n), len(row))
+
+
+def parted_keys(reps: DataFrame, limit: float, bands: int, worth: float) -> list[np.ndarray]:
+    """The keys of 2, 3 .. axes, up to all, that have more than `worth` vectors, sorted; at most ROOM of each."""
+    parted = []
+    for axis in range(1, 2 * AXES):
 
-    def run(batches):
-        for b in batches:
-            lists = b["v"]
-            size, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
-            start = np.concatenate([[0], np.cumsum(size)])[:-1]
-            for n in np.unique(size):
-                row = np.flatnonzero(size == n)
-                x = axes(flat[start[row][:, None] + np.arange(n)], limit, bands)
-                key = np.tile(np.arange(bands, dtype=np.int64) + bands * int(n), len(row))
-                at = pa.array(np.arange(0, x.size + 1, x.shape[2]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b["rep"].take(pa.array(np.repeat(row, bands))), pa.array(key), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["rep", "key", "axis"])
+        def run(batches, last=axis + 1):
+            for b in batches:
+                for _, x, key in banded(b, limit, bands):
+                    keys = [k for _, k, n in walked(x[:, :last], key, parted, False) if n == last]
+                    own, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return reps.select("rep", "v").mapInArrow(run, f"rep {rep}, key long, axis array<double>")
+        counts = reps.select("v").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > worth)
+        keys = np.array([r.key for r in counts.orderBy(F.desc("n"), "key").limit(ROOM).select("key").collect()], np.int64)
+        if not len(keys):
+            break
+        parted.append(np.sort(keys))
+    return parted
 
 
-def refined(entries: DataFrame, axis: int) -> DataFrame:
-    """Entries with another axis in their key; probes go to all cells that near vectors may be in."""
-    x, slack = F.col("axis")[axis], 1 + 1e-6
-    cell = lambda y: F.floor(y / CELL)
-    near = F.when(F.col("probe"), F.array_distinct(F.array(cell(x), cell(x - slack), cell(x + slack)))).otherwise(F.array(cell(x)))
-    return entries.select("rep", "probe", "axis", F.col("key").alias("_k"), F.explode(near).alias("_c")).select("rep", "probe", F.xxhash64("_k", "_c").alias("key"), "axis")
+def indexed(reps: DataFrame, limit: float, bands: int, parted: list[np.ndarray]) -> DataFrame:
+    """(rep, probe, key, dense, x, y) of each vector and key: x and y hold its rounded axes; keys with all axes that still have many vectors are dense."""
+    rep = reps.schema["rep"].dataType.simpleString()
+    full = parted[-1] if len(parted) == 2 * AXES - 1 else np.zeros(0, np.int64)
 
+    def run(batches):
+        for b in batches:
+            for place, x, first in banded(b, limit, bands):
+                q = np.ascontiguousarray(np.floor(x * STEPS).astype(np.int64).astype(np.uint8)).view(np.int64)
+                for probe in (False, True):
+                    for row, key, n in walked(x, first, parted, probe):
+                        if len(row):
+                            dense = within(key, full) if n == 2 * AXES else np.zeros(len(key), bool)
+                            yield pa.RecordBatch.from_arrays([b["rep"].take(pa.array(place[row])), pa.array(np.full(len(row), probe)), pa.array(key), pa.array(dense), pa.array(q[row, 0]), pa.array(q[row, 1])], ["rep", "probe", "key", "dense", "x", "y"])
 
-def costs(entries: DataFrame, worth: float) -> DataFrame:
-    """(key, hot) of the keys with a pair to compare."""
-    keys = entries.groupBy("key").agg(F.count_if(~F.col("probe")).alias("i"), F.count_if("probe").alias("p"))
-    return keys.where("i > 0 and p > 1").select("key", (F.col("i") * F.col("p") > worth * (F.col("i") + F.col("p"))).alias("hot"))
+    return reps.select("rep", "v").mapInArrow(run, f"rep {rep}, probe boolean, key long, dense boolean, x long, y long")
 
 
 def compared(left: DataFrame, right: DataFrame, apart: bool = False) -> DataFrame:
     """(a, b), a below b, of index and probe rows that share a key and whose axes all allow them to be near; `apart`: that differ in `label` too."""
-    near = F.col("a") != F.col("b")
-    for k in range(2 * AXES):
-        near &= F.abs(F.col("x")[k] - F.col("y")[k]) <= 1 + 1e-6
+    near, most = F.col("a") != F.col("b"), STEPS + 1
+    for c in ("y", "x"):  # those of the whole vector are in no key at first
+        for k in range(0, 64, 8):
+            own, other = (F.shiftright(f"{c}{s}", k).bitwiseAND(F.lit(255)) for s in "ab")
+            near &= (own - other + most).bitwiseAND(F.lit(255)) <= 2 * most
     more = ["label"] if apart else []
-    left = left.select("key", F.col("rep").alias("a"), F.col("axis").alias("x"), *(F.col(c).alias("la") for c in more))
-    right = right.select("key", F.col("rep").alias("b"), F.col("axis").alias("y"), *(F.col(c).alias("lb") for c in more))
+    left = left.select("key", F.col("rep").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), *(F.col(c).alias("la") for c in more))
+    right = right.select("key", F.col("rep").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), *(F.col(c).alias("lb") for c in more))
     found = left.join(right, "key").where(near & (F.col("la") != F.col("lb")) if apart else near)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -114,21 +171,9 @@ def verified(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
     return both.select("a", "b", "n", total.alias("total")).where(F.col("total") <= limit * F.col("n")).select("a", "b", "total")
 
 
-def candidates(reps: DataFrame, limit: float, bands: int, worth: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs of cold keys, and the entries (rep, probe, key, axis) of keys that are still hot with all axes in them."""
-    entries = indexed(reps, limit, bands)
-    entries = entries.select("rep", F.explode(F.array(F.lit(False), F.lit(True))).alias("probe"), "key", "axis")
-    entries, found = refined(entries, 0), None
-    for axis in range(1, 2 * AXES):
-        entries = written(refined(entries, axis), "near-entries")
-        keys = written(costs(entries, worth), "near-keys")
-        cold = entries.join(keys.where(~F.col("hot")).select("key"), "key", "left_semi")
-        pairs = written(compared(cold.where(~F.col("probe")), cold.where("probe")), "near-candidates")
-        found = pairs if found is None else found.unionByName(pairs)
-        entries = entries.join(keys.where("hot").select("key"), "key", "left_semi")
-        if keys.where("hot").isEmpty():
-            break
-    return found.distinct(), written(entries, "near-hot")
+def candidates(reps: DataFrame, limit: float, bands: int, worth: float) -> DataFrame:
+    """Entries (rep, probe, key, dense, x, y): near vectors share a key, one as index and the other as probe, either way round."""
+    return written(indexed(reps, limit, bands, parted_keys(reps, limit, bands, worth)), "near-entries")
 
 
 def near_pairs(rows: DataFrame, id: str, vector: str, limit: float, *, bands: int = 8, worth: float = WORTH) -> DataFrame:
@@ -139,9 +184,8 @@ def near_pairs(rows: DataFrame, id: str, vector: str, limit: float, *, bands: in
     alone, `near_groups` doesn't list them. `limit` must be above 0.
     """
     reps, _ = distinct_vectors(rows, id, vector)
-    pairs, hot = candidates(reps, limit, bands, worth)
-    pairs = pairs.unionByName(compared(hot.where(~F.col("probe")), hot.where("probe"))).distinct()
-    return verified(pairs, reps, limit)
+    entries = candidates(reps, limit, bands, worth)
+    return verified(compared(entries.where(~F.col("probe")), entries.where("probe")), reps, limit)
 
 
 def near_groups(rows: DataFrame, id: str, vector: str, limit: float, *, bands: int = 8, worth: float = WORTH) -> DataFrame:
@@ -151,8 +195,9 @@ def near_groups(rows: DataFrame, id: str, vector: str, limit: float, *, bands: i
     only have equal copies are in no group. Terms are those of `near_pairs`.
     """
     reps, members = distinct_vectors(rows, id, vector)
-    pairs, hot = candidates(reps, limit, bands, worth)
-    links = verified(pairs, reps, limit).select("a", "b")
+    entries = candidates(reps, limit, bands, worth)
+    cold, hot = entries.where(~F.col("dense")), entries.where("dense")
+    links = verified(compared(cold.where(~F.col("probe")), cold.where("probe")), reps, limit).select("a", "b")
     if not hot.isEmpty():
         index, probe = hot.where(~F.col("probe")), hot.where("probe")
         pivot = index.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("_r") <= PIVOTS).drop("_r")

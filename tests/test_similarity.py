@@ -157,3 +157,17 @@ def test_no_plan_has_a_cross_join(spark, capsys):
     S.near_pairs(df, "id", "v", 0.1).explain("formatted")
     plan = capsys.readouterr().out
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+@pytest.mark.parametrize("share", [1, 0.01])
+def test_entries_are_made_once_and_small(spark, monkeypatch, share):
+    """Rows with their axes are written once, not a level of axes, and few a vector."""
+    made, keep = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, tag: made.append((tag, keep(df, tag))) or made[-1][1])
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 32 * share, (1500, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(5000 + i, (v + 0.5 * share).tolist()) for i, v in enumerate(base[:200])]
+    found = S.near_pairs(spark.createDataFrame(rows, SCHEMA), "id", "v", 3 * share, worth=24)
+    assert {(r.a, r.b) for r in found.collect()} == {(i, 5000 + i) for i in range(200)}
+    entries = [df for tag, df in made if tag == "near-entries"]
+    assert len(entries) == 1 and entries[0].count() < 1700 * 8 * 12
+    assert not [f for f in entries[0].schema if f.dataType.typeName() == "array"]
