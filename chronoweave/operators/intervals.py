@@ -23,15 +23,26 @@ def merge_overlaps(rows: DataFrame, keys: tuple[str, ...] = ("entity", "action")
     return grouped.groupBy(*keys, "island").agg(F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), F.max("conf").alias("conf"), best.alias("event_id"), F.count(F.lit(1)).alias("members")).drop("island")
 
 
+def parted(rows: DataFrame) -> DataFrame:
+    """Rows dealt by entity to as many tasks as the session has shuffle partitions: without the number, small rows would be joined to a few large tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+
+
 def stage_runs(rows: DataFrame, stage: str = "action", gap: int = 3600) -> DataFrame:
-    """Runs of one stage with gaps of at most `gap`; another stage in between always splits."""
+    """Runs of one stage with gaps of at most `gap`; another stage in between always splits.
+
+    Every window is in the one order, so that rows are sorted once; the running number of starts is the run's number.
+    """
     w = Window.partitionBy("entity").orderBy(*ORDER)
-    rows = islands(rows, ["entity"], list(ORDER), F.coalesce(F.col(stage) != F.lag(stage).over(w), F.lit(True)), "_block")
-    inside = Window.partitionBy("entity", "_block").orderBy(*ORDER)
-    before = F.max("last_s").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    rows = islands(rows, ["entity", "_block"], list(ORDER), before.isNull() | (F.col("first_s") > before + gap), "_part")
-    runs = rows.groupBy("entity", F.col(stage).alias("stage"), "_block", "_part").agg(F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), F.count(F.lit(1)).alias("members"))
-    return runs.withColumn("run_no", F.row_number().over(Window.partitionBy("entity").orderBy("_block", "_part")).cast("long")).drop("_block", "_part")
+    slim = parted(rows.select("entity", F.col(stage).alias("stage"), "first_s", "last_s", "event_id"))
+    rows = islands(slim, ["entity"], list(ORDER), F.coalesce(F.col("stage") != F.lag("stage").over(w), F.lit(True)), "_block")
+    # blocks only grow, so the largest (block, last_s) before a row has the latest end of its own block, if that has begun
+    before = F.max(F.struct("_block", "last_s")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", before)
+    known = F.when(F.col("_before._block") == F.col("_block"), F.col("_before.last_s"))
+    rows = islands(rows.withColumn("_before", known), ["entity"], list(ORDER), F.col("_before").isNull() | (F.col("first_s") > F.col("_before") + gap), "run_no")
+    runs = rows.groupBy("entity", "stage", "run_no").agg(F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), F.count(F.lit(1)).alias("members"))
+    return runs.select("entity", "stage", "first_s", "last_s", "members", F.col("run_no").cast("long").alias("run_no"))
 
 
 def cycle_runs(rows: DataFrame, cycle: str, stage: str = "action", gap: int = 3600) -> DataFrame:
@@ -58,14 +69,19 @@ def monotone(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
 
 
 def gap_fill(runs: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Cover [low, high] of each entity: observed pieces cut to what is not yet covered, and unclassified pieces between."""
-    w = Window.partitionBy("entity").orderBy("first_s", "last_s", "run_no")
-    rows = runs.withColumns({"_low": low, "_high": high}).where("last_s > _low and first_s < _high")
-    rows = rows.withColumn("_end", F.least("last_s", "_high")).withColumn("_done", F.greatest(F.col("_low"), F.coalesce(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_low"))))
-    seen = rows.select("entity", "stage", F.greatest("first_s", "_done").alias("first_s"), F.col("_end").alias("last_s")).where("last_s > first_s")
-    holes = rows.where("first_s > _done").select("entity", F.lit("unclassified").alias("stage"), F.col("_done").alias("first_s"), F.col("first_s").alias("last_s"))
-    tail = rows.groupBy("entity").agg(F.max("_end").alias("first_s"), F.max("_high").alias("last_s")).where("last_s > first_s")
-    return seen.unionByName(holes).unionByName(tail.select("entity", F.lit("unclassified").alias("stage"), "first_s", "last_s"))
+    """Cover [low, high] of each entity: observed pieces cut to what is not yet covered, and unclassified pieces between.
+
+    One pass: each run gives its hole before, its own piece and, if it is the last one, what is left behind it.
+    """
+    order = Window.partitionBy("entity").orderBy("first_s", "last_s", "run_no")
+    w = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumns({"_low": low, "_high": high}).where("last_s > _low and first_s < _high").withColumn("_end", F.least("last_s", "_high"))
+    rows = rows.withColumns({"_before": F.max("_end").over(w), "_tops": F.max("_high").over(w), "_last": F.lead(F.lit(1)).over(order).isNull()})
+    done, hole = F.greatest("_low", F.coalesce("_before", "_low")), F.lit("unclassified")
+    piece = lambda stage, first, last: F.struct(stage.alias("stage"), first.alias("first_s"), last.alias("last_s"))
+    tail = F.when(F.col("_last"), piece(hole, F.greatest("_before", "_end"), F.greatest("_tops", "_high")))
+    pieces = F.array(piece(F.col("stage"), F.greatest(F.col("first_s"), done), F.col("_end")), piece(hole, done, F.col("first_s")), tail)
+    return rows.select("entity", F.explode(pieces).alias("_piece")).select("entity", "_piece.*").where("last_s > first_s")
 
 
 def bucketed(rows: DataFrame, first: str, last: str, bucket: int) -> DataFrame:
