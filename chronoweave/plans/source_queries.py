@@ -41,13 +41,10 @@ def _(spark, d):
 def _(spark, d):
     path = folder(spark, "media")
     bodies = table(spark, d, "conversations").where("conv_id is not null").groupBy("conv_id").agg(F.concat(F.lit("clip "), F.count(F.lit(1)), F.lit(" "), F.sum("turn")).alias("value"))
-    for kind, part in (("mp4", bodies.where("conv_id % 2 = 0")), ("txt", bodies.where("conv_id % 2 <> 0"))):
-        part.write.mode("append").partitionBy("conv_id").text(f"{path}/{kind}")
+    S.write_files(bodies.withColumn("kind", F.when(F.col("conv_id") % 2 == 0, "mp4").otherwise("txt")), path, ["kind", "conv_id"])
     # Spark names its own files .txt; those that are asked for are the ones under the folder of the suffix
-    named = S.media_files(spark, f"{path}/mp4", ("txt",))
-    known = S.manifest(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/mp4"))
-    met = named.join(known, "path")
-    return met.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "length", "sha256")
+    known = S.manifest(S.media_files(spark, f"{path}/kind=mp4", ("txt",), content=True), keep=("length",))
+    return known.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "length", "sha256")
 
 
 @query("markdown_table", """WITH e AS (SELECT event_type, count(*) AS n, CASE WHEN event_type <> 'view' THEN max(event_id) END AS last FROM events GROUP BY event_type) SELECT CAST(0 AS BIGINT) AS n, '| event_type | n | last |' AS line UNION ALL SELECT 1, '|---|---|---|'

@@ -61,9 +61,23 @@ def nested_numbers(documents: DataFrame, field: str = "frame_number") -> DataFra
     return documents.sparkSession.createDataFrame([], "path string, number long") if found is None else found.distinct()
 
 
-def media_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("mp4", "mov", "avi", "mkv", "webm")) -> DataFrame:
-    """path, length and modification time of media files under a folder, by suffix; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime").where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*suffixes))
+def media_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("mp4", "mov", "avi", "mkv", "webm"), content: bool = False) -> DataFrame:
+    """path, length and modification time of media files under a folder, by suffix; contents are not read, unless `content` asks for them too.
+
+    Spark reckons each file as some MB to open, so that a task would read few; here tasks are no more than shuffle partitions.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select("path", "length", "modificationTime", *(["content"] if content else [])).where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*suffixes))
+
+
+def write_files(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """A text file of each row's `value`, in a folder of its keys.
+
+    A file costs the same however small: rows are dealt by number, as they would else be joined to one task, and tasks
+    put their own files in place, where the driver would else move one after the other.
+    """
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).text(path)
 
 
 def write_run(rows: DataFrame, path: str) -> None:
@@ -71,9 +85,9 @@ def write_run(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").parquet(path)
 
 
-def manifest(files: DataFrame, content: str = "content") -> DataFrame:
-    """path, bytes and SHA-256 of binary files."""
-    return files.select("path", F.length(content).alias("bytes"), F.sha2(content, 256).alias("sha256"))
+def manifest(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, bytes and SHA-256 of binary files, and what else of them is to be kept."""
+    return files.select("path", F.length(content).alias("bytes"), F.sha2(content, 256).alias("sha256"), *keep)
 
 
 def table_lines(rows: DataFrame, order: Column | str, columns: list[str]) -> DataFrame:
